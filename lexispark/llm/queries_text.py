@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import byte_bpe, exact_dedup
+from lexispark.llm import byte_bpe, exact_dedup, packing, simhash
 from lexispark.llm.common import read_table
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit SimHash of 3-word shingles; components of fingerprints within 3 bits."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences of at most 4096 ids."""
+    import public_tokenizers
+
+    vocabulary = byte_bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the public byte-level vocabulary, hashed, and decoded again."""
     import public_tokenizers
@@ -21,7 +34,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op3_simhash": op3_simhash, "op6_harmonic_packing": op6_harmonic_packing, "op8_byte_bpe": op8_byte_bpe, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE = {
     "op9_exact_dedup": """
