@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexispark.llm import byte_bpe, exact_dedup, packing, simhash
-from lexispark.llm.common import read_table
+from lexispark.llm import bloom_lm, byte_bpe, exact_dedup, language_id, packing, simhash, toxicity
+from lexispark.llm.common import fold, read_table
+
+
+def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed bigram log10 probability of every text, and the unigram base score."""
+    return bloom_lm.score_documents(read_table(spark, sf_dir, "documents"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +19,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> language_id.Model:
+    """Fitted on documents with a language whose crc32 fold (of 4) is not 2."""
+    import public_tokenizers
+
+    pieces = language_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.fit_from_table(read_table(spark, sf_dir, "documents"), pieces)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every text and its posterior."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = language_id.predict_texts(docs, language_model(spark, sf_dir))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenised and packed into sequences of at most 4096 ids."""
     import public_tokenizers
@@ -21,6 +42,17 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on labelled documents whose crc32 fold (of 5) is not 0."""
+    return toxicity.fit_from_tables(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, and how many of its sentences offend."""
+    scored = toxicity.score_texts(read_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_offending")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the public byte-level vocabulary, hashed, and decoded again."""
     import public_tokenizers
@@ -34,7 +66,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_harmonic_packing": op6_harmonic_packing, "op8_byte_bpe": op8_byte_bpe, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op1_bloom_lm": op1_bloom_lm,
+    "op3_simhash": op3_simhash,
+    "op5_language_id": op5_language_id,
+    "op6_harmonic_packing": op6_harmonic_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 ORACLE = {
     "op9_exact_dedup": """
