@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["chat"]
+MODULES = ["text", "packing", "chat", "kernels"]
 
 
 def _joined(attribute: str) -> dict:
