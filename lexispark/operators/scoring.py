@@ -129,10 +129,14 @@ def report(results: DataFrame) -> str:
 
 def results_json(results: DataFrame) -> DataFrame:
     """One JSON text: {"chance_baselines": .., "checkpoints": {name: {metric: value}}}, keys sorted."""
-    entries = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v))))
-    by_checkpoint = results.groupBy("checkpoint").agg(entries(F.col("metric"), F.col("value")).alias("metrics"))
+
+    def entries(key: str, value: str) -> Column:
+        pairs = F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))  # maps have no order of their own
+        return F.map_from_entries(F.array_sort(pairs, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
+
+    by_checkpoint = results.groupBy("checkpoint").agg(entries("metric", "value").alias("metrics"))
     chance = F.create_map(*[x for m in sorted(METRICS) for x in (F.lit(m[0]), F.lit(m[3]).cast("double"))])
-    return by_checkpoint.agg(entries(F.col("checkpoint"), F.col("metrics")).alias("checkpoints")).select(F.to_json(F.struct(chance.alias("chance_baselines"), "checkpoints"), {"ignoreNullFields": "false"}).alias("json"))
+    return by_checkpoint.agg(entries("checkpoint", "metrics").alias("checkpoints")).select(F.to_json(F.struct(chance.alias("chance_baselines"), "checkpoints"), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def read_results(json_text: DataFrame, column: str = "json") -> DataFrame:

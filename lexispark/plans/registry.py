@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text", "packing", "chat", "kernels"]
+MODULES = ["text", "packing", "chat", "kernels", "attention", "policy", "evaluation", "configs"]
 
 
 def _joined(attribute: str) -> dict:
