@@ -21,10 +21,13 @@ of two, see ``padding``.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -36,7 +39,7 @@ from lexispark.llm.common import map_rows, materialize
 CAPACITY = 4096
 END_ID = 2
 #: Words whose ids a Python worker remembers; characters of text handled at a time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 CHUNK_CHARS = 400_000
 
 
@@ -59,44 +62,60 @@ def _latin_words() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
 
 
-#: Texts with other characters, or with a capital whose lower case has a second character,
-#: go through the tokenizer as a whole.
-_OTHER = re.compile("[^\x00-ſ]|İ")
+#: Texts with other characters, with a capital whose lower case has a second character, or with
+#: separators that Python alone takes for white space go through the tokenizer as a whole.
+_OTHER = re.compile("[^\x00-ſ]|İ|[\x1c-\x1f]")
 
 
 class WordTokenizer:
-    """Ids of a word-level BPE tokenizer, with the ids of seen words remembered."""
+    """Ids of a word-level BPE tokenizer, with the ids of seen words remembered.
+
+    The split never crosses white space, so what stands between white space can be looked up
+    as one.
+    """
 
     def __init__(self, data: bytes):
         import tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         self.tokenizer = tokenizers.Tokenizer.from_str(data.decode("utf-8"))
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words in one call; the ids of a word end with its only end-of-word token."""
-        new = list(words.difference(self.known))
-        if not new:
-            return
+    def learn(self, tokens: set[str]) -> None:
+        """Remember the ids of what stands between white space: of its matches, in order."""
+        new = list(tokens.difference(self.known))
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = list(words)
-        ids = np.asarray(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            self.matches.clear()
+            new = list(tokens)
+        split = _latin_words().findall
+        parts = list(map(split, new))
+        self.learn_matches(list(set(chain.from_iterable(parts)).difference(self.matches)))
+        get = self.matches.__getitem__
+        self.known.update((token, get(own[0]) if len(own) == 1 else b"".join(map(get, own))) for token, own in zip(new, parts, strict=True))
+
+    def learn_matches(self, new: list[str]) -> None:
+        """Encode matches in few calls; the ids of a match end with its only end-of-word token."""
+        if not new:
+            return
+        texts = [" ".join(new[at : at + 500]) for at in range(0, len(new), 500)]
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.asarray(c.ids, dtype="<u4") for c in coded])
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(stops) != len(new):
             raise ValueError("the tokenizer splits words differently than its pattern says")
         raw, at = ids.tobytes(), 0
-        for word, stop in zip(new, stops, strict=True):
-            self.known[word] = raw[4 * at : 4 * stop]
+        for match, stop in zip(new, stops, strict=True):
+            self.matches[match] = raw[at:stop]
             at = stop
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit words, without special tokens."""
-        split = _latin_words().findall
         out, pending, size = [], [], 0
 
         def flush():
@@ -108,10 +127,10 @@ class WordTokenizer:
 
         for text in texts:
             text = text or ""
-            if not text.isascii() and _OTHER.search(text):
+            if _OTHER.search(text):
                 pending.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
             else:
-                pending.append(split(text.lower()))
+                pending.append(text.lower().split())
             size += len(text)
             if size >= CHUNK_CHARS:
                 flush()
@@ -134,9 +153,9 @@ def word_tokenizer(data: bytes) -> WordTokenizer:
 
 
 @lru_cache(maxsize=4)
-def class_sizes(capacity: int = CAPACITY) -> np.ndarray:
+def class_sizes(capacity: int = CAPACITY) -> list[int]:
     """The distinct values of capacity // k, ascending: 1 is the first, capacity the last."""
-    return np.unique(capacity // np.arange(1, capacity + 1))
+    return sorted({capacity // k for k in range(1, capacity + 1)})
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -145,7 +164,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[int]:
     pieces = [capacity] * (n // capacity)
     rest = n % capacity
     while rest:
-        size = int(sizes[np.searchsorted(sizes, rest, side="right") - 1])
+        size = sizes[bisect_right(sizes, rest) - 1]
         pieces.append(size)
         rest -= size
     return pieces
