@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from lexispark.llm.common import map_rows
 
 #: Distinct matches whose encodings a Python worker remembers, and token pairs.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 800_000
 #: Longer matches are encoded but not remembered.
 CACHE_LENGTH = 64
 
@@ -37,6 +37,22 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
+class _Known(dict):
+    """Encodings of matches seen so far; others are encoded on the way."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        ids = self.encode(match)
+        if len(match) <= CACHE_LENGTH:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[match] = ids
+        return ids
+
+
 class ByteBpe:
     """Encoder and decoder over a rank table."""
 
@@ -53,7 +69,7 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.findall = regex.compile(pattern).findall
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self.encode_match)
 
     def merge_by_rank(self, text: str) -> list[int]:
         """The plain definition: merge the adjacent pair of lowest rank, leftmost first."""
@@ -80,46 +96,40 @@ class ByteBpe:
         whole = self.ranks.get(text)
         if whole is not None:
             return (whole,)
-        n = len(text)
+        n, length, fits, compatible = len(text), self.length, self.fits, self.compatible
         starting: list[list[int]] = [[] for _ in range(n + 1)]
-        for end, (rank, length) in self.automaton.iter(text):
-            starting[end - length + 1].append(rank)  # ends grow, so each list grows in length
+        for end, (rank, size) in self.automaton.iter(text):
+            starting[end - size + 1].append(rank)  # ends grow, so each list grows in length
         closed = bytearray(n + 1)
         tokens: list[int] = []
-        choices = [len(starting[0]) - 1]  # index of the token tried at each boundary so far
-        at = 0
+        choices: list[int] = []  # index of the token taken at each boundary before this one
+        at, last, k = 0, -1, len(starting[0]) - 1
         while at < n:
-            here, k = starting[at], choices[-1]
+            here = starting[at]
             while k >= 0:
                 rank = here[k]
-                if not closed[at + self.length[rank]] and (not tokens or self.fits(tokens[-1], rank)):
-                    break
+                if not closed[at + length[rank]]:
+                    if last < 0:
+                        break
+                    known = compatible.get((last, rank))
+                    if known if known is not None else fits(last, rank):
+                        break
                 k -= 1
             if k >= 0:
-                tokens.append(here[k])
-                choices[-1] = k
-                at += self.length[here[k]]
-                choices.append(len(starting[at]) - 1)
+                tokens.append(rank)
+                choices.append(k)
+                last = rank
+                at += length[rank]
+                k = len(starting[at]) - 1
             else:
                 closed[at] = 1
-                choices.pop()
-                at -= self.length[tokens.pop()]
-                choices[-1] -= 1
+                at -= length[tokens.pop()]
+                last = tokens[-1] if tokens else -1
+                k = choices.pop() - 1
         return tuple(tokens)
 
     def encode(self, text: str | None) -> list[int]:
-        matches = self.findall(text or "")
-        known = self.known
-        for match in set(matches).difference(known):
-            if len(known) >= CACHE_ENTRIES:
-                known.clear()
-                break
-        missing = {m: self.encode_match(m) for m in set(matches).difference(known)}
-        if len(missing) < CACHE_ENTRIES:
-            known.update((m, ids) for m, ids in missing.items() if len(m) <= CACHE_LENGTH)
-        if any(len(m) > CACHE_LENGTH for m in missing) or len(missing) >= CACHE_ENTRIES:
-            return list(chain.from_iterable(missing[m] if m in missing else known[m] for m in matches))
-        return list(chain.from_iterable(map(known.__getitem__, matches)))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.findall(text or ""))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
