@@ -5,22 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most buckets that an order is cut into; each is summed by one task.
+BUCKETS = 128
+#: Values sampled per bucket to place the cuts.
+SAMPLE = 40
+
+
+def cut_points(df: DataFrame, column: str, buckets: int) -> list:
+    """Values that cut a column into buckets of about equal rows, from a bounded sample."""
+    rows = df.select(column).where(F.col(column).isNotNull()).orderBy(F.rand(7)).limit(SAMPLE * buckets).collect()
+    values = sorted(r[0] for r in rows)
+    return sorted({values[len(values) * i // buckets] for i in range(1, buckets)}) if values else []
+
+
+def bucket_of(column: str, cuts: list) -> Column:
+    """Number of the bucket of a value: a function of the value alone, by binary search. Nulls
+    come first."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(column) < F.lit(cuts[mid]), search(low, mid)).otherwise(search(mid + 1, high))
+
+    return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(search(0, len(cuts)))
+
 
 def with_prefix_sum(df: DataFrame, order: list[str], value: Column, name: str = "offset") -> DataFrame:
     """Add the exclusive running sum of ``value`` in the global order of ``order``.
 
-    Rows are range-partitioned by the order; each partition sums on its own, the partitions'
-    totals (one row each) are summed up, and joined back as a broadcast. ``order`` must be
-    unique for the result to be determined.
+    The first order column is cut into buckets; each bucket is summed on its own, the buckets'
+    totals (at most ``BUCKETS`` rows) are summed up and joined back. ``order`` must be unique for
+    the result to be determined; where the cuts lie only balances the work.
     """
-    placed = df.withColumn("_v", value.cast("bigint")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    # the partition id is fixed by the range exchange; both uses below share that exchange
-    totals = placed.groupBy("_part").agg(F.sum("_v").alias("_total"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = min(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    placed = df.withColumn("_v", value.cast("bigint")).withColumn("_bucket", bucket_of(order[0], cut_points(df, order[0], buckets)))
+    totals = placed.groupBy("_bucket").agg(F.sum("_v").alias("_total"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    local = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("_local", F.coalesce(F.sum("_v").over(local), F.lit(0)))
-    return summed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_v", "_part", "_start", "_local")
+    joined = summed.join(F.broadcast(starts), "_bucket")  # at most BUCKETS + 1 rows
+    return joined.withColumn(name, F.col("_start") + F.col("_local")).drop("_v", "_bucket", "_start", "_local")
 
 
 def with_row_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:

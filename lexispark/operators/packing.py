@@ -13,10 +13,10 @@ from lexispark.operators.order import with_prefix_sum
 SHARD_NAME = "shard_%05d.bin"
 
 
-def token_offsets(docs: DataFrame, n_tokens: Column, *, order: str = "doc_id", add_eos: bool = True) -> DataFrame:
+def token_offsets(docs: DataFrame, n_tokens: Column, *, order: str | list[str] = "doc_id", add_eos: bool = True) -> DataFrame:
     """docs plus n_tokens (with the closing eos) and the document's global token offset."""
     counted = docs.withColumn("n_tokens", (n_tokens + (1 if add_eos else 0)).cast("bigint"))
-    return with_prefix_sum(counted, [order], F.col("n_tokens"), "offset")
+    return with_prefix_sum(counted, [order] if isinstance(order, str) else order, F.col("n_tokens"), "offset")
 
 
 def shard_overlaps(placed: DataFrame, shard_tokens: int, *, key: str = "doc_id") -> DataFrame:

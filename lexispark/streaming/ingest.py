@@ -40,8 +40,8 @@ def start_packing(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
             before = spark.read.parquet(f"{out}/batch=*").where(F.col("batch_id") < number)
             start = before.agg(F.coalesce(F.max(F.col("offset") + F.col("n_tokens")), F.lit(0))).first()[0]
         keyed = batch.select("file", F.monotonically_increasing_id().alias("line"), F.octet_length(F.coalesce("text", F.lit(""))).alias("octets"))
-        ordered = keyed.withColumn("key", F.struct("file", "line")).persist()
-        placed = token_offsets(ordered, F.col("octets"), order="key")
+        ordered = keyed.persist()
+        placed = token_offsets(ordered, F.col("octets"), order=["file", "line"])
         rows = placed.select(F.lit(number).cast("bigint").alias("batch_id"), "file", "line", "n_tokens", (F.col("offset") + start).alias("offset"))
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
         ordered.unpersist()
