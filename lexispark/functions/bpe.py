@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexispark.functions.vocab import PRETOKEN_PATTERN, SPECIAL_TOKENS, byte_alphabet, fingerprint, pretokens
+from lexispark.functions.vocab import PRETOKEN_PATTERN, SPECIAL_TOKENS, byte_alphabet, byte_ids, fingerprint, pretokens
 
 Pair = tuple[int, int]
 
@@ -173,6 +173,15 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(pretokens(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pair_counts(words: DataFrame, min_frequency: int = 2) -> DataFrame:
+    """(a, b, n): adjacent byte-level ids in (word, n) rows, weighted by the words' counts, where
+    frequent enough: the first step of learning merges."""
+    ids = words.select("n", byte_ids("word").alias("ids")).where(F.size("ids") > 1)
+    zipped = F.arrays_zip(F.slice("ids", F.lit(1), F.size("ids") - 1).alias("a"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("b"))
+    pairs = ids.select("n", F.explode(zipped).alias("p"))
+    return pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
+
+
 def learn_merges(counts: dict[str, int], vocab_size: int, min_frequency: int = 2) -> BpeTokenizer:
     """Merge the most frequent adjacent pair until the vocabulary is full or no pair is frequent
     enough; of equally frequent pairs the one with the lowest ids comes first.

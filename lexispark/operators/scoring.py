@@ -139,6 +139,15 @@ def results_json(results: DataFrame) -> DataFrame:
     return by_checkpoint.agg(entries("checkpoint", "metrics").alias("checkpoints")).select(F.to_json(F.struct(chance.alias("chance_baselines"), "checkpoints"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """Store a result set as one JSON line at any path that Spark can write."""
+    results_json(results).coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_results(spark, path: str) -> DataFrame:
+    return read_results(spark.read.text(path), "value")
+
+
 def read_results(json_text: DataFrame, column: str = "json") -> DataFrame:
     """(checkpoint, metric, value) rows of such a text."""
     parsed = json_text.select(F.from_json(column, "checkpoints map<string, map<string, double>>").alias("r"))

@@ -12,6 +12,7 @@ from lexispark.functions.schedule import get_config
 from lexispark.model import evaluation, generation, optim, providers, training
 from lexispark.model.transformer import init_params
 from lexispark.operators import chat, scoring
+from lexispark.plans.text import BYTE_AT, BYTE_ID
 from lexispark.session import table
 from lexispark.sources import corpus, tasks
 
@@ -27,6 +28,13 @@ def pretoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.word_counts(table(spark, sf_dir, "conversations"))
 
 
+def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent adjacent byte pairs of lower-case words: words between single spaces stand in for
+    pre-tokens, whose pattern has no SQL."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return bpe.pair_counts(words)
+
+
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges learned from the conversations, in rank order."""
     coder = _tokenizer(spark, sf_dir)
@@ -120,12 +128,19 @@ def orthogonalized_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        pretoken_words, bpe_merges, bpe_token_counts, synthetic_documents, synthetic_chats, arithmetic_bank, generation_preferred, sampled_groups,
+        pretoken_words, bpe_pair_counts, bpe_merges, bpe_token_counts, synthetic_documents, synthetic_chats, arithmetic_bank, generation_preferred, sampled_groups,
         uniform_perplexity, sample_choice_accuracy, sample_programs, transformer_loss, orthogonalized_update,
     )
 }
 
 ORACLE = {
+    "bpe_pair_counts": f"""
+        WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark) t GROUP BY word),
+        k AS (SELECT word, n, unnest(range(octet_length(encode(word)))) AS k FROM w),
+        b AS (SELECT word, n, k, {BYTE_AT.format(t="word", k="k")} AS b FROM k),
+        i AS (SELECT word, n, k, CAST({BYTE_ID} AS INTEGER) AS a FROM b),
+        p AS (SELECT a, lead(a) OVER (PARTITION BY word ORDER BY k) AS b, n FROM i)
+        SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM p WHERE b IS NOT NULL GROUP BY a, b HAVING sum(n) >= 2""",
     "generation_preferred": """
         SELECT conv_id AS "group", CAST(sample AS INTEGER) AS sample, 'aaaaaa' AS text, 6 AS n_new, false AS terminated
         FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id < 20) c, (SELECT unnest([0, 1]) AS sample) s""",

@@ -34,7 +34,7 @@ def synthetic_documents(spark: SparkSession, n: int, seed: int = 0) -> DataFrame
 
 def raw_documents(rows: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose text is neither null nor empty."""
-    return rows.where(F.length(text) > 0)
+    return rows.where(F.col(text) != "")
 
 
 def token_documents(rows: DataFrame, decode: Callable[[Column], Column], *, tokens: str = "tokens", fallback: str = "input_ids") -> DataFrame:

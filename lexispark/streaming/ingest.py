@@ -1,7 +1,7 @@
 """File-stream ingest of JSON-lines parts: new files are packed as they arrive.
 
-The packing offset is the only state; it is a small table that every micro-batch reads and
-replaces, so a restart goes on where the last committed batch ended.
+The next token offset is the only state: one row per micro-batch beside the stream's checkpoint.
+A batch starts where the one before it ended, so replaying a batch gives the same rows.
 """
 
 from __future__ import annotations
@@ -35,15 +35,13 @@ def start_packing(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 
     def place(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        start = 0
-        if number:
-            before = spark.read.parquet(f"{out}/batch=*").where(F.col("batch_id") < number)
-            start = before.agg(F.coalesce(F.max(F.col("offset") + F.col("n_tokens")), F.lit(0))).first()[0]
-        keyed = batch.select("file", F.monotonically_increasing_id().alias("line"), F.octet_length(F.coalesce("text", F.lit(""))).alias("octets"))
-        ordered = keyed.persist()
-        placed = token_offsets(ordered, F.col("octets"), order=["file", "line"])
+        start = spark.read.schema("next bigint").json(f"{checkpoint}/packing/{number - 1}").first()["next"] if number else 0
+        keyed = batch.select("file", F.monotonically_increasing_id().alias("line"), F.octet_length(F.coalesce("text", F.lit(""))).alias("octets")).persist()
+        placed = token_offsets(keyed, F.col("octets"), order=["file", "line"])
         rows = placed.select(F.lit(number).cast("bigint").alias("batch_id"), "file", "line", "n_tokens", (F.col("offset") + start).alias("offset"))
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        ordered.unpersist()
+        total = keyed.agg(F.coalesce(F.sum(F.col("octets") + 1), F.lit(0)).alias("n"))
+        total.select((F.col("n") + start).alias("next")).coalesce(1).write.mode("overwrite").json(f"{checkpoint}/packing/{number}")
+        keyed.unpersist()
 
     return stream.writeStream.foreachBatch(place).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

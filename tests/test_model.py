@@ -271,7 +271,7 @@ def test_sft_loss_falls_and_grpo_runs(spark):
     assert len(means) == 1 and before.shape == run.params["layer0.q"].shape
 
 
-def test_report(spark):
+def test_report(spark, tmp_path):
     rows = [("sft", "perplexity", 12.345), ("base", "perplexity", 20.0), ("zeta", "arc_easy", 0.5), ("base", "humaneval", 0.125)]
     df = spark.createDataFrame(rows, "checkpoint string, metric string, value double")
     lines = scoring.report(df).splitlines()
@@ -279,3 +279,5 @@ def test_report(spark):
     assert [x.split(" | ")[0] for x in lines[2:]] == ["| base", "| sft", "| zeta"]
     assert lines[2] == "| base | 20.00 | — | 12.5% |"
     assert sorted(map(tuple, scoring.read_results(scoring.results_json(df)).collect())) == sorted(rows)
+    scoring.write_results(df, str(tmp_path / "r"))
+    assert sorted(map(tuple, scoring.load_results(spark, str(tmp_path / "r")).collect())) == sorted(rows)
