@@ -24,7 +24,7 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from lexispark.llm.common import map_rows
+from lexispark.llm.common import WORKER_CACHE, map_rows
 
 #: Distinct matches whose encodings a Python worker remembers, and token pairs.
 CACHE_ENTRIES = 800_000
@@ -135,16 +135,12 @@ class ByteBpe:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
-_ENCODERS: dict[tuple[str, str], ByteBpe] = {}
-
-
 def encoder(data: bytes, pattern: str) -> ByteBpe:
     """The encoder of a rank file; a worker process builds it once."""
-    key = (hashlib.sha256(data).hexdigest(), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = ByteBpe(parse_ranks(data), pattern)
-    return _ENCODERS[key]
+    key = ("byte_bpe", hashlib.sha256(data).hexdigest(), pattern)
+    if key not in WORKER_CACHE:
+        WORKER_CACHE[key] = ByteBpe(parse_ranks(data), pattern)
+    return WORKER_CACHE[key]
 
 
 def read_vocabulary(path: str) -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -74,21 +75,88 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
     ``make`` runs once a task and returns a function from columns (lists) to columns (lists);
     the two may differ in length.
     """
+    bound_batches(df.sparkSession)
     struct = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     arrow = _arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            with collector_off():
-                out = step({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        with worker_task(make.__qualname__):
+            step = make()
+            for batch in slices(batches):
+                with collector_off():
+                    out = step({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, struct)
 
 
+def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """Rows of ``df`` whose value of ``column`` is kept; a narrow map that keeps all columns.
+
+    ``make`` runs once a task and returns a function from values to decisions.
+    """
+    bound_batches(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with worker_task(make.__qualname__):
+            keep = make()
+            for batch in slices(batches):
+                with collector_off():
+                    kept = keep(batch.column(at).to_pylist())
+                yield batch.filter(pa.array(kept, type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+#: Rows that Python holds as objects at a time, and rows of an Arrow batch.
+SLICE_ROWS = 512
+BATCH_ROWS = 1024
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: What a Python worker keeps from one task of an operator to the next, and whose it is.
+WORKER_CACHE: dict = {}
+_owner: list[str] = [""]
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 10,000 rows, which are made for numbers: with
+    texts they take tens of megabytes in the JVM and again in Python. A session's own setting
+    below that default is left alone."""
+    if int(spark.conf.get(_BATCH_SETTING, "10000")) >= 10_000:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+@contextmanager
+def worker_task(name: str) -> Iterator[None]:
+    """A task of an operator in a Python worker, which Spark uses again for other tasks.
+
+    What another operator left in the worker is dropped, and memory that the task has freed is
+    given back to the system at its end.
+    """
+    if _owner[0] != name:
+        WORKER_CACHE.clear()
+        _owner[0] = name
+    try:
+        yield
+    finally:
+        release_memory()
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # where the C library has it
+    except (OSError, AttributeError):
+        pass
+
+
 @contextmanager
 def collector_off() -> Iterator[None]:
     """No cyclic garbage collection in a batch: its lists and caches hold no cycles, and walking

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import fold, letters, map_rows, materialize
+from lexispark.llm.common import filter_rows, fold, letters, map_rows, materialize
 
 UNDETERMINED = "und"
 FIT_DOCS = 400
@@ -125,10 +125,11 @@ class Segmenter:
                 recent = recent[-self.longest :]
         return scale + np.log(np.maximum(recent[-1], 1e-300))
 
-    def expected_counts(self, words: list[str], counts: np.ndarray, theta: np.ndarray) -> np.ndarray:
-        """Expected piece counts over all segmentations of weighted words (one language)."""
+    def expected_counts(self, batches: list, counts: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        """Expected piece counts over all segmentations of weighted words (one language), given
+        as the batches of ``by_length``."""
         total = np.zeros(len(theta))
-        for own, rows, by_end in self.by_length(words):
+        for own, rows, by_end in batches:
             if rows is None:
                 continue  # words longer than a batch takes part in scoring alone
             n = len(by_end) - 1
@@ -142,9 +143,11 @@ class Segmenter:
                 for i, k in by_end[j]:
                     backward[i] += backward[j] * p[:, k]
             weight = counts[own] / np.maximum(forward[n], 1e-300)
+            share = np.empty(p.shape)
             for j in range(1, n + 1):
                 for i, k in by_end[j]:
-                    np.add.at(total, rows[:, k], weight * forward[i] * p[:, k] * backward[j])
+                    share[:, k] = weight * forward[i] * p[:, k] * backward[j]
+            total += np.bincount(rows.ravel() % len(total), weights=share.ravel(), minlength=len(total))  # -1 is the last
         return total
 
 
@@ -162,9 +165,10 @@ def fit(words: dict[str, Counter], pieces: list[str]) -> Model:
         distinct = sorted(words[language])
         counts = np.array([words[language][w] for w in distinct], dtype=np.float64)
         theta = np.full(segmenter.size + 2, 1.0 / max(1, segmenter.size))
+        batches = list(segmenter.by_length(distinct))
         for _ in range(ROUNDS):
             theta[0], theta[-1] = 0.0, UNKNOWN
-            expected = segmenter.expected_counts(distinct, counts, theta)[1:-1] + ALPHA
+            expected = segmenter.expected_counts(batches, counts, theta)[1:-1] + ALPHA
             theta[1:-1] = expected / expected.sum()
         table[1:-1, column] = theta[1:-1]
     table[-1] = UNKNOWN
@@ -253,15 +257,14 @@ def predict_texts(docs: DataFrame, model: Model, *, key: str = "doc_id", text: s
 def keep_determined(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` without texts of no determinable language: ``und``, or a score below ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    column = docs.columns.index(text)
-
-    def run(batches):
-        import pyarrow as pa
 
+    def make():
         predictor = Predictor(shared.value)
-        for batch in batches:
-            labels, scores = predictor.predict(batch.column(column).to_pylist())
-            keep = [label != UNDETERMINED and score >= least for label, score in zip(labels, scores, strict=True)]
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+        def keep(texts):
+            labels, scores = predictor.predict(texts)
+            return [label != UNDETERMINED and score >= least for label, score in zip(labels, scores, strict=True)]
+
+        return keep
+
+    return filter_rows(docs, text, make)

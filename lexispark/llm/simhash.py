@@ -127,8 +127,11 @@ def _forest_by_masks(rest: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 def link_edges(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): edges whose components are those of all links between distinct ``fp``."""
     masks = F.array(*[F.struct(F.lit(i).cast("byte").alias("choice"), F.lit(m).cast("bigint").alias("mask")) for i, m in enumerate(position_masks(max_bits))])
-    postings = distinct.select("fp", F.explode(masks).alias("p")).select("fp", F.col("p.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("value"))
-    lists = postings.groupBy("choice", "value").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("members")
+    # A table of a few bytes a document becomes 56 postings each: deal it out for that first.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    postings = distinct.select("fp").repartition(tasks).select("fp", F.explode(masks).alias("p")).select("fp", F.col("p.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("value"))
+    # Nearly all lists have one member, so nothing is gained by combining them before the shuffle.
+    lists = postings.repartition("choice", "value").groupBy("choice", "value").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("members")
 
     def make():
         def step(rows):

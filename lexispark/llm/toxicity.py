@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import fold, map_rows
+from lexispark.llm.common import filter_rows, fold, map_rows
 
 #: Labelled documents of each class that the fit reads, and the longest text among them.
 FIT_ROWS = 4_000
@@ -45,7 +45,7 @@ TOXIC_SHARE = 0.35
 #: Logit of a sentence without any telling feature, so that length alone never offends.
 NEVER = -50.0
 #: Words whose weight a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 #: Words, and marks or line ends that close a sentence.
 _TOKEN = re.compile(r"\w+|[.!?\n]+")
@@ -222,14 +222,9 @@ def score_texts(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str
 def keep_clean(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs`` without the rows scored a half or more; a narrow map, no row is moved."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    column = docs.columns.index(text)
-
-    def run(batches):
-        import pyarrow as pa
 
+    def make():
         scorer = Scorer(shared.value)
-        for batch in batches:
-            keep = [scorer.score(value)[0] < 0.5 for value in batch.column(column).to_pylist()]
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
+        return lambda texts: [scorer.score(t)[0] < 0.5 for t in texts]
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, text, make)

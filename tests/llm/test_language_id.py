@@ -79,7 +79,7 @@ def test_expected_counts():
     seg, t = tables(np.random.default_rng(3), 1)
     words, counts = ["ab", "abab", "cx", "a"], np.array([1.0, 2.0, 3.0, 0.5])
     want = sum(n * brute_counts(w, t[:, 0], seg.index, len(t)) for w, n in zip(words, counts, strict=True))
-    assert seg.expected_counts(words, counts, t[:, 0]) == pytest.approx(want)
+    assert seg.expected_counts(list(seg.by_length(words)), counts, t[:, 0]) == pytest.approx(want)
 
 
 def test_em_raises_likelihood_and_separates(monkeypatch):
