@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import map_rows, materialize
+from lexispark.llm.common import WORKER_CACHE, map_rows, materialize
 
 CAPACITY = 4096
 END_ID = 2
@@ -67,6 +67,16 @@ def _latin_words() -> re.Pattern:
 _OTHER = re.compile("[^\x00-ſ]|İ|[\x1c-\x1f]")
 
 
+def needs_whole(text: str) -> bool:
+    """Whether a text must go through the tokenizer as a whole. Most texts are settled by a copy
+    into Latin-1, which is much faster than the pattern."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _OTHER.search(text) is not None
+    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+
+
 class WordTokenizer:
     """Ids of a word-level BPE tokenizer, with the ids of seen words remembered.
 
@@ -127,7 +137,7 @@ class WordTokenizer:
 
         for text in texts:
             text = text or ""
-            if _OTHER.search(text):
+            if needs_whole(text):
                 pending.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
             else:
                 pending.append(text.lower().split())
@@ -138,15 +148,11 @@ class WordTokenizer:
         return out
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(data: bytes) -> WordTokenizer:
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        _TOKENIZERS[key] = WordTokenizer(data)
-    return _TOKENIZERS[key]
+    key = ("word_bpe", hashlib.sha256(data).hexdigest())
+    if key not in WORKER_CACHE:
+        WORKER_CACHE[key] = WordTokenizer(data)
+    return WORKER_CACHE[key]
 
 
 # --- classes -----------------------------------------------------------------------------
