@@ -16,7 +16,7 @@ from lexispark.plans.text import BYTE_AT, BYTE_ID
 from lexispark.session import table
 from lexispark.sources import corpus, tasks
 
-TINY = {"vocab_size": 384, "d_model": 32, "n_layers": 2, "n_q_heads": 4, "n_kv_heads": 2, "head_dim": 8, "mlp_hidden": 64, "context": 32, "window": 16, "micro_batch": 2, "grad_accum": 1}
+TINY = {"vocab_size": 384, "d_model": 32, "n_layers": 2, "n_q_heads": 4, "n_kv_heads": 2, "head_dim": 8, "mlp_hidden": 64, "context": 64, "window": 16, "micro_batch": 2, "grad_accum": 1}
 
 
 def _tokenizer(spark: SparkSession, sf_dir: str, merges: int = 120) -> bpe.BpeTokenizer:
@@ -108,10 +108,10 @@ def sample_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transformer_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss and gradient norm of an untrained tiny model over packed chats, by distributed gradients."""
+    """Loss and gradient norm of an untrained tiny model over packed generated chats, by
+    distributed gradients."""
     c = get_config("nano", **TINY)
-    rows = chat.pack_conversations(chat.render(table(spark, sf_dir, "conversations").where("conv_id < 3")), c.context)
-    rows = rows.where(F.exists("loss_mask", lambda m: m > 0)).orderBy("row").limit(16)
+    rows = chat.pack_conversations(chat.render_messages(tasks.synthetic_conversations(spark, 64, seed=3)), c.context)
     named = rows.select(F.col("input_ids").alias("inputs"), "targets", F.col("loss_mask").alias("mask"), F.col("segment_ids").alias("segments"))
     loss, grads = training.distributed_gradients(named, init_params(c), c)
     _, size = optim.clip(grads, c.grad_clip)
