@@ -34,6 +34,8 @@ BLOCK = 4096
 QUERY_BLOCK = 512
 HEAD = 2048
 SAMPLE = 2000
+#: Share of a pair of blocks above which survivors are taken from one matrix product.
+DENSE = 0.02
 LONG = (1 << 63) - 1
 
 
@@ -59,6 +61,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def exact_products(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Integer inner products of q[rows] and c[cols], clamped to 64 bits."""
     largest = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
+    if largest < 2.0**53 and len(rows) > DENSE * len(q) * len(c):
+        # all partial sums are integers below 2**53, so the float product is exact
+        return (q.astype(np.float64) @ c.astype(np.float64).T)[rows, cols].astype(np.int64)
     if largest < 2.0**62:
         out = np.empty(len(rows), dtype=np.int64)
         for at in range(0, len(rows), 65_536):

@@ -44,6 +44,17 @@ def test_is_brute_force(spark, monkeypatch, kind):
     assert run(spark, rows) == brute(rows, 20, 20)
 
 
+def test_exact_products_agree_however_they_are_made(monkeypatch):
+    rng = np.random.default_rng(5)
+    for size in (100, 1 << 22, 1 << 40):
+        q, c = rng.integers(-size, size, (9, 6)), rng.integers(-size, size, (11, 6))
+        rows, cols = map(np.ravel, np.indices((9, 11)))
+        want = [max(-topk.LONG - 1, min(topk.LONG, sum(int(a) * int(b) for a, b in zip(q[i], c[j], strict=True)))) for i, j in zip(rows, cols, strict=True)]
+        for dense in (0.0, 2.0):
+            monkeypatch.setattr(topk, "DENSE", dense)
+            assert topk.exact_products(q, c, rows, cols).tolist() == want
+
+
 def test_edges(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf")]), (5, []), (6, [0.5]), (7, [-1.0, 3.0, 9.0]), (20, [0.0, 0.0]), (-20, [2.0, 2.0])]
     assert run(spark, rows) == brute(rows, 20, 20)
