@@ -14,11 +14,11 @@ with the exact word counts, and the number of texts for the start of a text.
 Plan. Documents are read once into chunks of at most ``CHUNK_BYTES``: a chunk's distinct words
 (one row each) and its texts as numbers of those words. A window over the words gives each
 chunk the global counts of its own words only; the vocabulary is never gathered. Bigrams are
-counted per chunk as 64-bit hashes, dealt out by hash to segments as sorted, difference-coded
-arrays and merged there, each segment setting its own bits. The filter has a fixed share of
-bits per training token up to ``MAX_BITS``; it is the only thing that is broadcast. Where a
-segment's bigrams would overload its bits it enters only those above a count, the least that
-keeps the error rate, so the filter's quality holds at any size of corpus.
+counted per slice of a chunk as 64-bit hashes and dealt out by hash to segments as sorted,
+difference-coded arrays. Each segment merges them, enters every training bigram into its own
+bits, probes the bits for all bigrams it was sent, and sends each slice the levels back. The
+number of segments follows the training tokens and no count is left out, so the filter's
+quality is the same at any size of corpus; no part of it is gathered or broadcast.
 
 Edge cases: null and empty texts are the end token alone; the learning fold may be empty (all
 counts 0); null keys take part (their fold is that of the empty text); repeated rows are
@@ -32,6 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,9 +44,8 @@ from lexispark.llm.common import _arrow_schema, bound_batches, collector_off, fo
 CHUNK_BYTES = 32 << 20
 SEGMENT_TOKENS = 3_000_000
 SLICE_TOKENS = 1_500_000
-#: Bits of the filter per training token, its largest size, bits per entry, probes per entry.
+#: Bits of the filter per training token, least bits per entry, probes per entry.
 BITS_PER_TOKEN = 14
-MAX_BITS = 1 << 29
 BITS_PER_ENTRY = 8
 PROBES = 4
 MU = 8.0
@@ -195,28 +195,40 @@ def _bigrams_of(numbers: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return bigram_hash(left, own)
 
 
+def text_slices(lengths: np.ndarray):
+    """(first text, text after the last) of each slice of a chunk: whole texts, about
+    ``SLICE_TOKENS`` tokens, so that memory does not follow the chunk."""
+    piece = (np.cumsum(lengths) - 1) // SLICE_TOKENS
+    bounds = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+    return zip(bounds.tolist(), [*bounds[1:].tolist(), len(lengths)], strict=True)
+
+
+def placed(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Segment and lower half of a hash as one number: the identity of a bigram in the filter."""
+    return segment_of(keys, segments) << 32 | (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def count_bigrams(texts: DataFrame, segments: int) -> DataFrame:
-    """(segment, keys, counts): distinct training bigrams of stored chunks, by segment.
-
-    A chunk is counted in slices of whole texts, so that memory does not follow the chunk.
-    """
-    schema = pa.schema([("segment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def count(numbers: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-        keys = _bigrams_of(numbers, hashes)
-        keys.sort()
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        counts = np.diff(np.r_[first, len(keys)])
-        keys = keys[first]
-        edges = np.searchsorted(segment_of(keys, segments), np.arange(segments + 1))
-        short = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        out: dict[str, list] = {"segment": [], "keys": [], "counts": []}
+    """(segment, chunk, slice, keys, counts): a slice's distinct bigrams of all texts in a
+    segment, in order, and how often training texts have them."""
+    schema = pa.schema([("segment", pa.int32()), ("chunk", pa.int64()), ("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def count(chunk: int, at: int, numbers: np.ndarray, learn: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        places = placed(_bigrams_of(numbers, hashes), segments)
+        order = np.argsort(places)
+        places = places[order]
+        first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+        counts = np.add.reduceat(learn[order].astype(np.int64), first)
+        places = places[first]
+        edges = np.searchsorted(places >> 32, np.arange(segments + 1))
+        out: dict[str, list] = {name: [] for name in schema.names}
         for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             if a < b:
-                order = np.argsort(short[a:b])
                 out["segment"].append(s)
-                out["keys"].append(pack_sorted(short[a:b][order]))
-                out["counts"].append(pack_numbers(counts[a:b][order]))
+                out["chunk"].append(chunk)
+                out["slice"].append(at)
+                out["keys"].append(pack_sorted(places[a:b] & 0xFFFFFFFF))
+                out["counts"].append(pack_numbers(counts[a:b]))
         return pa.RecordBatch.from_pydict(out, schema=schema)
 
     def run(batches):
@@ -230,15 +242,11 @@ def count_bigrams(texts: DataFrame, segments: int) -> DataFrame:
                 numbers, hashes = unpack_numbers(row["numbers"][0]), unpack_hashes(row["hashes"][0])
                 lengths, learn = np.asarray(row["lengths"][0], np.int64), ~np.asarray(row["held"][0], bool)
                 ends = np.cumsum(lengths)
-                piece = (ends - 1) // SLICE_TOKENS
-                bounds = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-                for first, last in zip(bounds, [*bounds[1:], len(lengths)], strict=True):
+                for i, (first, last) in enumerate(text_slices(lengths)):
                     span = numbers[ends[first] - lengths[first] : ends[last - 1]]
-                    own = span[np.repeat(learn[first:last], lengths[first:last])]
-                    if len(own):
-                        yield count(own, hashes)
+                    yield count(row["chunk"][0], i, span, np.repeat(learn[first:last], lengths[first:last]), hashes)
 
-    return texts.select("lengths", "held", "numbers", "hashes").mapInArrow(run, "segment int, keys binary, counts binary")
+    return texts.select("chunk", "lengths", "held", "numbers", "hashes").mapInArrow(run, "segment int, chunk bigint, slice int, keys binary, counts binary")
 
 
 def unpack_hashes(data: bytes) -> np.ndarray:
@@ -306,47 +314,71 @@ class LogBloom:
         return found
 
 
-def build_filter(texts: DataFrame, train_tokens: int) -> tuple[LogBloom, list[int]]:
-    """The filter of the training bigrams, and the least count that each segment entered."""
-    segments = max(1, -(-train_tokens // SEGMENT_TOKENS))
-    total = min(MAX_BITS, max(1024, BITS_PER_TOKEN * train_tokens))
-    bits = max(64, total // segments // 8 * 8)
+def segment_levels(short: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """Levels that a segment's filter gives the distinct bigrams ``short``; those with a count
+    are entered, all of them: the segment has ``bits`` or as many more as its entries need."""
+    seen = counts > 0
+    entries = int(np.searchsorted(LEVELS, counts[seen], side="right").sum())
+    bits = max(bits, -(-BITS_PER_ENTRY * entries // 8) * 8)
+    field, least = enter(short[seen], counts[seen], bits)
+    assert least == 1
+    return LogBloom(field, 1, bits).levels(short.astype(np.uint64))
+
 
-    def merge(table: pa.Table) -> pa.Table:
-        short = np.concatenate([unpack_sorted(k) for k in table["keys"].to_pylist()])
+def segments_for(train_tokens: int) -> int:
+    return max(1, -(-train_tokens // SEGMENT_TOKENS))
+
+
+def probe_bigrams(texts: DataFrame, train_tokens: int) -> DataFrame:
+    """(chunk, slice, segment, levels): the filter's levels of each slice's distinct bigrams."""
+    segments = segments_for(train_tokens)
+    bits = max(64, max(1024, BITS_PER_TOKEN * train_tokens) // segments // 8 * 8)
+
+    def probe(table: pa.Table) -> pa.Table:
+        keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])
+        short = np.concatenate(keys)
         counts = np.concatenate([unpack_numbers(c) for c in table["counts"].to_pylist()])
-        order = np.argsort(short, kind="stable")
+        order = np.argsort(short)
         short, counts = short[order], counts[order]
-        first = np.flatnonzero(np.r_[True, short[1:] != short[:-1]])
-        field, least = enter(short[first], np.add.reduceat(counts, first), bits)
-        return pa.table({"segment": table["segment"].slice(0, 1), "bits": [field.tobytes()], "least": pa.array([least], pa.int64())})
+        new = np.r_[True, short[1:] != short[:-1]]
+        first = np.flatnonzero(new)
+        found = segment_levels(short[first], np.add.reduceat(counts, first), bits)
+        levels = np.empty(len(short), dtype=np.uint8)
+        levels[order] = found[np.cumsum(new) - 1]
+        packed = [zlib.compress(part.tobytes(), 1) for part in np.split(levels, ends[:-1])]
+        return pa.table({"chunk": table["chunk"], "slice": table["slice"], "segment": table["segment"], "levels": pa.array(packed, pa.binary())})
 
-    parts = count_bigrams(texts, segments).groupBy("segment").applyInArrow(merge, "segment int, bits binary, least bigint").collect()
-    data = np.zeros(segments * (bits // 8), dtype=np.uint8)
-    for row in parts:  # MAX_BITS in all
-        data[row["segment"] * (bits // 8) :][: bits // 8] = np.frombuffer(row["bits"], np.uint8)
-    return LogBloom(data, segments, bits), [row["least"] for row in parts]
+    return count_bigrams(texts, segments).groupBy("segment").applyInArrow(probe, "chunk bigint, slice int, segment int, levels binary")
 
 
 # --- scoring -----------------------------------------------------------------------------
 
 
-def score_chunk(numbers: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int, v: int, texts: int, bloom: LogBloom) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n_known, base, score) of a chunk's texts, from the global counts of its words."""
+def chunk_levels(numbers: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, segments: int, rows: dict[str, list]) -> np.ndarray:
+    """The level of every token's bigram, from the rows (slice, segment, levels) of a chunk."""
+    parts = {(i, s): data for i, s, data in zip(rows["slice"], rows["segment"], rows["levels"], strict=True)}
+    ends, out = np.cumsum(lengths), np.empty(len(numbers), dtype=np.uint8)
+    for i, (first, last) in enumerate(text_slices(lengths)):
+        span = slice(ends[first] - lengths[first], ends[last - 1])
+        distinct, own = np.unique(placed(_bigrams_of(numbers[span], hashes), segments), return_inverse=True)
+        levels = np.frombuffer(b"".join(zlib.decompress(parts[i, s]) for s in np.unique(distinct >> 32).tolist()), np.uint8)
+        out[span] = levels[own]
+    return out
+
+
+def score_chunk(numbers: np.ndarray, lengths: np.ndarray, levels: np.ndarray, counts: np.ndarray, n: int, v: int, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n_known, base, score) of a chunk's texts, from the global counts of its words and the
+    levels of its bigrams; a bigram of a word never seen has none."""
     p1 = (counts + 1.0) / (n + v + 1.0)
     base, known, log_p = np.empty(len(numbers)), np.empty(len(numbers), np.int64), np.empty(len(numbers))
     for at in range(0, len(numbers), 500_000):
         part = slice(at, at + 500_000)
         own = numbers[part]
         before = np.r_[numbers[at - 1] if at else 0, own[:-1]]
-        starts = before == 0  # 0 ends the text before
-        c_left = np.where(starts, texts, counts[before])
+        c_left = np.where(before == 0, texts, counts[before])  # 0 ends the text before
         c_right = counts[own]
-        keys = bigram_hash(np.where(starts, START_HASH, hashes[before]), hashes[own])
-        likely = np.flatnonzero((c_left > 0) & (c_right > 0))
-        pair = np.zeros(len(own))
-        level = bloom.levels(keys[likely])
-        pair[likely] = np.minimum(np.r_[0.0, ESTIMATES][level], np.minimum(c_left[likely], c_right[likely]))
+        pair = np.minimum(np.r_[0.0, ESTIMATES][levels[part]], np.minimum(c_left, c_right))
         base[part], known[part] = np.log10(p1[own]), c_right > 0
         log_p[part] = np.log10((pair + MU * p1[own]) / (c_left + MU))
     first = np.cumsum(lengths) - lengths
@@ -366,20 +398,23 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     counted = materialize(ranked.select("chunk", "number", "c", (F.col("once") & (F.col("c") > 0)).alias("new"), (F.octet_length("word") == 0).alias("end"), "n"), "word-counts")
     totals = counted.agg(F.sum("n").alias("n"), F.count(F.when(F.col("new"), 1)).alias("v"), F.sum(F.when(F.col("end"), F.col("n"))).alias("texts")).first()
     n, v, n_texts = int(totals["n"] or 0), int(totals["v"] or 0), int(totals["texts"] or 0)
-    bloom, _ = build_filter(texts, n)
-    shared = spark.sparkContext.broadcast(bloom)
+    segments = segments_for(n)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         counts = np.zeros(right.num_rows, dtype=np.int64)
         counts[right["number"].to_numpy()] = right["c"].to_numpy()
-        row = left.slice(0, 1).to_pydict()
-        lengths = np.asarray(row["lengths"][0], dtype=np.int64)
-        known, base, total = score_chunk(unpack_numbers(row["numbers"][0]), lengths, unpack_hashes(row["hashes"][0]), counts, n, v, n_texts, shared.value)
+        is_text = left["levels"].is_null()
+        row = left.filter(is_text).to_pydict()
+        lengths, numbers = np.asarray(row["lengths"][0], dtype=np.int64), unpack_numbers(row["numbers"][0])
+        rows = left.filter(pc.invert(is_text)).select(["slice", "segment", "levels"]).to_pydict()
+        levels = chunk_levels(numbers, lengths, unpack_hashes(row["hashes"][0]), segments, rows)
+        known, base, total = score_chunk(numbers, lengths, levels, counts, n, v, n_texts)
         return pa.table(
             {"doc_id": pa.array(row["ids"][0], pa.int64()), "held_out": pa.array(row["held"][0], pa.bool_()), "n_tokens": lengths, "n_known": known, "train_tokens": np.full(len(lengths), n), "base_score": base, "score": total}
         )
 
-    left = texts.select("chunk", "ids", "held", "lengths", "numbers", "hashes").groupBy("chunk")
+    own = texts.select("chunk", "ids", "held", "lengths", "numbers", "hashes")
+    left = own.unionByName(probe_bigrams(texts, n), allowMissingColumns=True).groupBy("chunk")
     right = counted.select("chunk", "number", "c").groupBy("chunk")
     return left.cogroup(right).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 

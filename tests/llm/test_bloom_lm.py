@@ -110,6 +110,25 @@ def test_overload_enters_only_larger_counts():
     assert (levels[counts >= least] > 0).all()
 
 
+def test_no_ceiling_drops_rare_bigrams(spark, monkeypatch):
+    # a bound on the filter's bits once left bigrams of small counts out; no such bound may act
+    monkeypatch.setattr(B, "MAX_BITS", 1 << 13, raising=False)
+    monkeypatch.setattr(B, "BITS_PER_TOKEN", 400)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(30))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    compare([tuple(r) for r in B.score_documents(docs).collect()], brute(rows), 0.99)
+
+
+def test_full_segment_enters_all_counts():
+    rng = np.random.default_rng(5)
+    short = np.sort(rng.choice(1 << 32, 4000, replace=False))
+    counts = rng.integers(0, 6, 4000)
+    levels = B.segment_levels(short, counts, 8 * 500)
+    assert (levels[counts > 0] >= np.searchsorted(B.LEVELS, counts[counts > 0], side="right")).all()
+    assert (levels[counts == 0] > 0).mean() < 0.06
+
+
 def test_codes():
     x = np.sort(np.random.default_rng(2).integers(0, 1 << 32, 999))
     assert (B.unpack_sorted(B.pack_sorted(x)) == x).all()
