@@ -13,9 +13,11 @@ host labels, split at hyphens, is on a short list of words that name adult, gamb
 advertising sites; accepted are the others, but for those a rule blocks. The models generalise
 from whole hosts of that kind by their characters.
 
-Character counts are kept in tables of fixed size by hash of (order, context, character), so
-what is gathered and broadcast is bounded whatever the number of URLs; counts are summed in
-Spark. Digits count as one character, since numbers in paths only identify pages.
+Counts are exact: a context of up to five bytes, its order and the symbol after it are one
+64-bit number, and the table of counts by that number stays in Spark, as large as the URLs make
+it. URLs are scored in blocks of ``1 << BLOCK_BITS`` rows: the distinct numbers of a block are joined
+with the table, and the counts found meet the block's URLs. No counts come to the driver.
+Digits count as one character, since numbers in paths only identify pages.
 
 Edge cases: null and URLs without ``://`` have empty host and path, fit no rule and are judged
 by the models (of the end mark alone); without URLs of both classes all verdicts of the
@@ -28,10 +30,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import LOWER, UPPER, fold, map_rows
+from lexispark.llm.common import LOWER, SLICE_ROWS, UPPER, fold, map_rows, materialize, worker_task
 
 
 @dataclass(frozen=True)
@@ -54,7 +57,7 @@ def rule(verdict: str, pattern: str) -> Rule:
 #: Words of hosts whose URLs teach the rejected model.
 REJECTED_WORDS = ["adult", "porn", "sex", "xxx", "casino", "bets", "poker", "pills", "viagra", "pharma", "spam", "ads", "track", "malware", "warez"]
 ORDER = 5
-TABLE_BITS = 19
+BLOCK_BITS = 12
 STRENGTH = 2.0
 CALIBRATION_FOLDS = 5
 BINS = 2000
@@ -79,10 +82,9 @@ def apply_rules(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return name, verdict
 
 
-# --- variable-order Markov models in tables of fixed size --------------------------------
+# --- variable-order Markov models of exact counts ----------------------------------------
 
 _PAD, _END = 1, 2
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def symbols(text: str | None) -> bytes:
@@ -91,104 +93,100 @@ def symbols(text: str | None) -> bytes:
     return out.translate(bytes.maketrans(b"123456789", b"000000000"))
 
 
-def _slots(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every symbol of every text (and its end mark): text number, and per order the slots
-    of (context, symbol) and of (context): arrays [ORDER + 1, n]."""
+def _keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every symbol of every text (and its end mark): text number, and per order the numbers
+    of (context, symbol) and of (context): arrays [ORDER + 1, n]. No two of them share a number:
+    bits 0 to 7 are the symbol, 8 to 47 the context, 48 to 50 the order, 52 marks a context."""
     coded = [bytes([_PAD] * ORDER) + symbols(t) + bytes([_END]) for t in texts]
-    flat = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.int64)
     lengths = np.fromiter(map(len, coded), np.int64, len(coded))
     owner = np.repeat(np.arange(len(coded)), lengths)
     first = np.repeat(np.cumsum(lengths) - lengths, lengths)
     at = np.flatnonzero(np.arange(len(flat)) - first >= ORDER)
     pair, context = np.empty((ORDER + 1, len(at)), np.int64), np.empty((ORDER + 1, len(at)), np.int64)
-    state = np.full(len(at), 0x51, dtype=np.uint64)
-    shift = np.uint64(64 - TABLE_BITS)
-    with np.errstate(over="ignore"):
-        for order in range(ORDER + 1):
-            if order:
-                state = (state ^ flat[at - order]) * _MIX
-                state ^= state >> np.uint64(29)
-            tagged = (state + np.uint64(order)) * _MIX
-            context[order] = (tagged >> shift).astype(np.int64)
-            tagged = ((tagged ^ (tagged >> np.uint64(31))) + flat[at] + np.uint64(1)) * _MIX
-            pair[order] = (((tagged ^ (tagged >> np.uint64(27))) * _MIX) >> shift).astype(np.int64)
+    state = np.zeros(len(at), dtype=np.int64)
+    for order in range(ORDER + 1):
+        if order:
+            state = state | flat[at - order] << 8 * order
+        pair[order] = order << 48 | state | flat[at]
+        context[order] = _CONTEXT | order << 48 | state
     return owner[at], pair, context
 
 
-class Markov:
-    """Counts of (context, symbol) and of contexts; interpolated from order 0 to ORDER."""
-
-    def __init__(self, pair: np.ndarray, context: np.ndarray):
-        self.pair, self.context = pair, context
-
-    def log10_probability(self, slots) -> np.ndarray:
-        owner, pair, context = slots
-        p = np.full(len(owner), 1.0 / 256)
-        for order in range(ORDER + 1):
-            p = (self.pair[pair[order]] + STRENGTH * p) / (self.context[context[order]] + STRENGTH)
-        return np.log10(p)
+_CONTEXT = 1 << 52
+_ANY = _CONTEXT  # the context of order 0: its counts are those of all symbols
 
 
 @dataclass
 class Model:
-    accepted: Markov
-    rejected: Markov
+    """(key, accepted, rejected): counts of (context, symbol) and of contexts; and the threshold."""
+
+    counts: DataFrame
     threshold: float
 
 
+def _log10_probability(pair: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Of each symbol, from the counts [ORDER + 1, n]: interpolated from order 0 to ORDER."""
+    p = np.full(pair.shape[1], 1.0 / 256)
+    for order in range(ORDER + 1):
+        p = (pair[order] + STRENGTH * p) / (context[order] + STRENGTH)
+    return np.log10(p)
+
+
+def text_differences(texts: list[str | None], keys: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
+    """Length-normalised log10-likelihood difference, accepted less rejected, per text; ``keys``
+    ascend and end with one that no text has and whose counts are 0."""
+    owner, pair, context = _keys(texts)
+    places = []
+    for wanted in (pair, context):
+        at = np.searchsorted(keys, wanted)
+        places.append(np.where(keys[at] == wanted, at, len(keys) - 1))
+    per_symbol = _log10_probability(*(accepted[at] for at in places)) - _log10_probability(*(rejected[at] for at in places))
+    return np.bincount(owner, weights=per_symbol, minlength=len(texts)) / np.bincount(owner, minlength=len(texts))
+
+
 def differences(model: Model, texts: list[str | None]) -> np.ndarray:
-    """Length-normalised log10-likelihood difference, accepted less rejected, per text."""
-    slots = _slots(texts)
-    per_symbol = model.accepted.log10_probability(slots) - model.rejected.log10_probability(slots)
-    n = np.bincount(slots[0], minlength=len(texts))
-    return np.bincount(slots[0], weights=per_symbol, minlength=len(texts)) / n
+    """The differences of a few texts of the driver, in their order."""
+    session = model.counts.sparkSession
+    rows = session.createDataFrame(list(enumerate(texts)), "at bigint, text string")
+    return np.array([r["difference"] for r in score(rows, model, "text", ["at"]).orderBy("at").collect()])
 
 
 def count_symbols(labelled: DataFrame) -> DataFrame:
-    """(accepted, kind, slot, n) of (text, accepted): summed counts, kind 0 pairs, 1 contexts.
+    """(key, accepted, rejected) of (text, accepted): how often URLs of each class have a key.
 
-    Each batch adds up its own counts first, so the shuffle holds a row per table slot and
-    batch at most.
+    Each batch adds up its own counts first.
     """
 
     def make():
         def step(rows):
-            out: dict[str, list] = {"accepted": [], "kind": [], "slot": [], "n": []}
+            out: dict[str, list] = {"accepted": [], "key": [], "n": []}
             for accepted in (True, False):
                 texts = [t for t, a in zip(rows["text"], rows["accepted"], strict=True) if a is accepted]
                 if not texts:
                     continue
-                for kind, slots in enumerate(_slots(texts)[1:]):
-                    slot, n = np.unique(slots, return_counts=True)
-                    out["slot"] += slot.tolist()
-                    out["n"] += n.tolist()
-                    out["accepted"] += [accepted] * len(slot)
-                    out["kind"] += [kind] * len(slot)
+                key, n = np.unique(np.concatenate(_keys(texts)[1:]), return_counts=True)
+                out["key"] += key.tolist()
+                out["n"] += n.tolist()
+                out["accepted"] += [accepted] * len(key)
             return out
 
         return step
 
-    counts = map_rows(labelled.select("text", "accepted"), "accepted boolean, kind int, slot int, n bigint", make)
-    return counts.groupBy("accepted", "kind", "slot").agg(F.sum("n").alias("n"))
+    counts = map_rows(labelled.select("text", "accepted"), "accepted boolean, key bigint, n bigint", make)
+    of = lambda side: F.sum(F.when(side, F.col("n")).otherwise(0))
+    return counts.groupBy("key").agg(of(F.col("accepted")).alias("accepted"), of(~F.col("accepted")).alias("rejected"))
 
 
 def fit(labelled: DataFrame, calibration: Column) -> Model | None:
     """Models and threshold from (text, accepted, key) rows; rows where ``calibration`` holds
     set the threshold, the others are counted. None if a class is missing."""
     labelled = labelled.withColumn("_held", calibration)
-    # At most 4 * 2**TABLE_BITS rows of counts, whatever the input.
-    counts = count_symbols(labelled.where("NOT _held")).toPandas()
-    tables = {}
-    for accepted in (True, False):
-        own = counts[counts["accepted"] == accepted]
-        if own.empty:
-            return None
-        for kind in (0, 1):
-            table = np.zeros(1 << TABLE_BITS, dtype=np.float32)
-            part = own[own["kind"] == kind]
-            table[part["slot"].to_numpy()] = part["n"].to_numpy()
-            tables[accepted, kind] = table
-    model = Model(Markov(tables[True, 0], tables[True, 1]), Markov(tables[False, 0], tables[False, 1]), 0.0)
+    counts = materialize(count_symbols(labelled.where("NOT _held")), "url-counts")
+    total = counts.where(F.col("key") == _ANY).first()
+    if total is None or not total["accepted"] or not total["rejected"]:
+        return None
+    model = Model(counts, 0.0)
     model.threshold = calibrated_threshold(labelled.where("_held"), model)
     return model
 
@@ -216,15 +214,39 @@ def calibrated_threshold(held: DataFrame, model: Model) -> float:
 
 
 def score(df: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns and the length-normalised difference; a narrow map."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    """The ``keep`` columns and the length-normalised difference of every row."""
     kinds = dict(df.dtypes)
+    block = F.shiftrightunsigned(F.monotonically_increasing_id(), BLOCK_BITS)
+    # written, so that a row is in the same block wherever it is read
+    rows = materialize(df.select(*dict.fromkeys([*keep, text])).withColumn("_block", block), "url-blocks")
 
     def make():
-        return lambda rows: {c: rows[c] for c in keep} | {"difference": differences(shared.value, rows[text]).tolist()}
+        def step(batch):
+            out: dict[str, list] = {"_block": [], "key": []}
+            blocks = np.array(batch["_block"])
+            for b in np.unique(blocks).tolist():
+                texts = [batch[text][i] for i in np.flatnonzero(blocks == b)]
+                key = np.unique(np.concatenate(_keys(texts)[1:]))
+                out["key"] += key.tolist()
+                out["_block"] += [b] * len(key)
+            return out
+
+        return step
+
+    wanted = map_rows(rows.select("_block", text), "_block bigint, key bigint", make).distinct()
+    found = wanted.join(model.counts, "key")
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        with worker_task("url-score"):
+            keys = right["key"].to_numpy()
+            order = np.argsort(keys)
+            keys = np.r_[keys[order], np.iinfo(np.int64).max]
+            sides = [np.r_[right[side].to_numpy()[order], 0] for side in ("accepted", "rejected")]
+            parts = [text_differences(left[text].slice(at, SLICE_ROWS).to_pylist(), keys, *sides) for at in range(0, left.num_rows, SLICE_ROWS)]
+            return left.select(keep).append_column("difference", pa.array(np.concatenate(parts)))
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", difference double"
-    return map_rows(df.select(*dict.fromkeys([*keep, text])), schema, make)
+    return rows.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(add, schema)
 
 
 def rejected_host(host: Column, words: list[str] = REJECTED_WORDS) -> Column:

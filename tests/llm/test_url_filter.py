@@ -90,6 +90,18 @@ def test_models_and_calibration(spark):
     assert all(x == a for x, a in held)
 
 
+def test_counts_stay_exact_on_diverse_urls(spark):
+    # some 600,000 distinct n-grams
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz-._~"
+    rows = [(i, "".join(rng.choices(letters, k=60)), i % 4 > 0) for i in range(3000)]
+    table = spark.createDataFrame(rows, "page_id bigint, text string, accepted boolean").repartition(3)
+    model = U.fit(table, F.col("page_id") % 5 == 0)
+    texts = [t for _, t, _ in rows[:200]] + ["", None]
+    want = reference_scores([[t for i, t, a in rows if i % 5 and a is side] for side in (True, False)], texts)
+    assert U.differences(model, texts).tolist() == pytest.approx(want, abs=1e-9)
+
+
 def test_query_on_whole_table(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = {r.page_id: r for r in op10_url_filter(spark, sf_dir).collect()}
