@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import batched, groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,18 +16,22 @@ from lexispark.model.transformer import log_softmax
 from lexispark.operators import scoring
 
 
+#: Neighbours of equal length that the provider sees at once.
+WINDOWS_AT_A_TIME = 64
+
+
 def perplexity(windows: DataFrame, provider: Provider, tokens: str = "tokens") -> DataFrame:
     """Token-weighted perplexity of windows: one row (perplexity)."""
     shared = windows.sparkSession.sparkContext.broadcast(provider)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for ids in batch.column(0).to_pylist():
-                x = np.array([ids])
-                logp = log_softmax(shared.value(x[:, :-1]))
-                out += (-np.take_along_axis(logp, x[:, 1:, None], -1)).ravel().tolist()
-            yield pa.RecordBatch.from_pydict({"nll": out}, schema=pa.schema([("nll", pa.float64())]))
+            for _, same in groupby(batch.column(0).to_pylist(), key=len):
+                for part in batched(same, WINDOWS_AT_A_TIME):
+                    x = np.array(part)
+                    logp = log_softmax(shared.value(x[:, :-1]))
+                    nll = -np.take_along_axis(logp, x[:, 1:, None], -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(nll.ravel())], names=["nll"])
 
     return windows.select(tokens).mapInArrow(run, "nll double").agg(scoring.perplexity(F.col("nll")).alias("perplexity"))
 

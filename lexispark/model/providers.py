@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexispark.functions.schedule import ModelConfig
 from lexispark.model.transformer import Params, forward
@@ -44,6 +47,24 @@ class Bigram:
             np.add.at(counts, (np.asarray(s[:-1], int), np.asarray(s[1:], int)), 1.0)
         return cls(counts)
 
+    @classmethod
+    def fit_table(cls, sequences: DataFrame, vocab_size: int) -> Bigram:
+        """The same over a column of sequences: what comes to the driver is one matrix."""
+
+        def run(batches):
+            for batch in batches:
+                pair = [np.empty(0, np.int64)]
+                for s in batch.column(0):
+                    ids = np.asarray(s.values, np.int64)
+                    pair.append(ids[:-1] * vocab_size + ids[1:])
+                pair, n = np.unique(np.concatenate(pair), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], names=["pair", "n"])
+
+        counts = np.zeros(vocab_size * vocab_size)
+        for row in sequences.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            counts[row["pair"]] = row["n"]
+        return cls(counts.reshape(vocab_size, vocab_size))
+
     def __call__(self, ids):
         return self.log_p[ids]
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import bpe, vocab
@@ -80,19 +80,27 @@ def vocab_id(character: str) -> int:
 
 def sampled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of a byte bigram model of the conversations, in groups."""
-    texts = table(spark, sf_dir, "conversations").where("conv_id < 40").select(vocab.with_specials(vocab.byte_ids(F.col("text")), bos=True, eos=True).alias("ids"))
-    model = providers.Bigram.fit((r["ids"] for r in texts.collect()), 264)
+    texts = table(spark, sf_dir, "conversations").select(vocab.with_specials(vocab.byte_ids(F.col("text")), bos=True, eos=True).alias("ids"))
+    model = providers.Bigram.fit_table(texts, 264)
     prompts = spark.range(8).select(F.col("id").alias("group"), F.array(F.lit(1)).alias("ids"))
     coder = bpe.BpeTokenizer(bpe.base_tokens(), [])
     return generation.sample_groups(prompts, model, coder, group_size=4, max_new=24, top_k=40, seed=1).select("group", "sample", "n_new", "terminated")
 
 
 def uniform_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perplexity of a uniform provider: the vocabulary's size."""
-    windows = table(spark, sf_dir, "documents").where("doc_id < 50").select(F.slice(vocab.byte_ids(F.col("text")), 1, 17).alias("tokens"))
+    """Perplexity of a uniform provider over windows of all documents: the vocabulary's size."""
+    ids = table(spark, sf_dir, "documents").select(vocab.byte_ids(F.col("text")).alias("ids"))
+    windows = ids.select(F.explode(windows_of(F.col("ids"), 16)).alias("tokens"))
     return evaluation.perplexity(windows, providers.Uniform(264)).select(stable(F.col("perplexity")).alias("perplexity"))
 
 
+def windows_of(tokens: Column, size: int) -> Column:
+    """Windows of up to size + 1 tokens that overlap by one, so that each token but the first is
+    a target once; none where there is no target."""
+    starts = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(tokens, i, F.lit(size + 1)))
+
+
 def sample_choice_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The built-in questions under a provider that prefers the letters of " blue": 1 of 2."""
     coder = bpe.BpeTokenizer(bpe.base_tokens(), [])
@@ -108,11 +116,16 @@ def sample_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transformer_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss and gradient norm of an untrained tiny model over packed generated chats, by
-    distributed gradients."""
+    """Loss and gradient norm of an untrained tiny model over windows of all conversations, by
+    distributed gradients. Windows without a supervised target add nothing and are not run."""
     c = get_config("nano", **TINY)
-    rows = chat.pack_conversations(chat.render_messages(tasks.synthetic_conversations(spark, 64, seed=3)), c.context)
-    named = rows.select(F.col("input_ids").alias("inputs"), "targets", F.col("loss_mask").alias("mask"), F.col("segment_ids").alias("segments"))
+    windows = chat.render(table(spark, sf_dir, "conversations")).select(F.explode(windows_of(F.col("tokens"), c.context)).alias("t"))
+    windows = windows.where(F.exists(F.slice("t", 2, c.context), lambda t: t["mask"] > 0))
+    filled = lambda value, pad: F.concat(value, F.array_repeat(F.lit(pad), c.context + 1 - F.size("t")))
+    ids, mask = filled(F.transform("t", lambda t: t["id"]), vocab.PAD), filled(F.transform("t", lambda t: t["mask"]), 0)
+    segments = filled(F.transform("t", lambda t: F.lit(0)), chat.PAD_SEGMENT)
+    first, second = (lambda x: F.slice(x, 1, c.context)), (lambda x: F.slice(x, 2, c.context))
+    named = windows.select(first(ids).alias("inputs"), second(ids).alias("targets"), second(mask).alias("mask"), first(segments).alias("segments"))
     loss, grads = training.distributed_gradients(named, init_params(c), c)
     _, size = optim.clip(grads, c.grad_clip)
     return spark.createDataFrame([(round(float(loss), 6), round(float(size), 6))], "loss double, grad_norm double")
