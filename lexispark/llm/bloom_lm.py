@@ -12,8 +12,9 @@ count cannot exceed either word's. Probabilities are smoothed towards the unigra
 with the exact word counts, and the number of texts for the start of a text.
 
 Plan. Documents are read once into chunks of at most ``CHUNK_BYTES``: a chunk's distinct words
-(one row each) and its texts as numbers of those words. A window over the words gives each
-chunk the global counts of its own words only; the vocabulary is never gathered. Bigrams are
+(one row each) and its texts as numbers of those words. Word counts are summed with a map-side
+combine and joined back, so each chunk gets the global counts of its own words only and a word
+that every chunk has is a key that the join can split; the vocabulary is never gathered. Bigrams are
 counted per slice of a chunk as 64-bit hashes and dealt out by hash to segments as sorted,
 difference-coded arrays. Each segment merges them, enters every training bigram into its own
 bits, probes the bits for all bigrams it was sent, and sends each slice the levels back. The
@@ -34,16 +35,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import _arrow_schema, bound_batches, collector_off, fold, materialize, worker_task
 
 #: Text bytes of a chunk; training tokens whose bigrams make a segment of the filter; tokens
 #: whose bigrams are counted at a time.
-CHUNK_BYTES = 32 << 20
-SEGMENT_TOKENS = 3_000_000
-SLICE_TOKENS = 1_500_000
+CHUNK_BYTES = 8 << 20
+SEGMENT_TOKENS = 1_500_000
+SLICE_TOKENS = 500_000
 #: Bits of the filter per training token, least bits per entry, probes per entry.
 BITS_PER_TOKEN = 14
 BITS_PER_ENTRY = 8
@@ -270,20 +271,14 @@ def _probes(short: np.ndarray, level: int, bits: int):
             base = base + step
 
 
-def enter(short: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
-    """A segment's bits with all levels entered, and the least count that was entered."""
+def enter(short: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """A segment's bits with all levels of all bigrams entered."""
     level = np.searchsorted(LEVELS, counts, side="right")  # 1 is the first
-    room = max(1, bits // BITS_PER_ENTRY)
-    least = 1
-    while len(level) and level.sum() > room:
-        least = int(LEVELS[np.searchsorted(LEVELS, least, side="right")])
-        keep = counts >= least
-        short, counts, level = short[keep], counts[keep], level[keep]
     field = np.zeros(-(-bits // 8) * 8, dtype=np.uint8)
     for q in range(1, int(level.max(initial=0)) + 1):
         for place in _probes(short[level >= q].astype(np.uint64), q, bits):
             field[place] = 1
-    return np.packbits(field, bitorder="little"), least
+    return np.packbits(field, bitorder="little")
 
 
 class LogBloom:
@@ -320,9 +315,7 @@ def segment_levels(short: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarr
     seen = counts > 0
     entries = int(np.searchsorted(LEVELS, counts[seen], side="right").sum())
     bits = max(bits, -(-BITS_PER_ENTRY * entries // 8) * 8)
-    field, least = enter(short[seen], counts[seen], bits)
-    assert least == 1
-    return LogBloom(field, 1, bits).levels(short.astype(np.uint64))
+    return LogBloom(enter(short[seen], counts[seen], bits), 1, bits).levels(short.astype(np.uint64))
 
 
 def segments_for(train_tokens: int) -> int:
@@ -393,18 +386,17 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     chunks = materialize_by_kind(read_chunks(source, "doc_id"))
     words, texts = chunks(WORDS), chunks(TEXTS)
 
-    by_word = Window.partitionBy("word")
-    ranked = words.select("chunk", "number", "word", "n").withColumn("c", F.sum("n").over(by_word)).withColumn("once", F.row_number().over(by_word.orderBy("chunk")) == 1)
-    counted = materialize(ranked.select("chunk", "number", "c", (F.col("once") & (F.col("c") > 0)).alias("new"), (F.octet_length("word") == 0).alias("end"), "n"), "word-counts")
-    totals = counted.agg(F.sum("n").alias("n"), F.count(F.when(F.col("new"), 1)).alias("v"), F.sum(F.when(F.col("end"), F.col("n"))).alias("texts")).first()
-    n, v, n_texts = int(totals["n"] or 0), int(totals["v"] or 0), int(totals["texts"] or 0)
+    totals = materialize(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts")
+    sums = totals.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.octet_length("word") == 0, F.col("c"))).alias("texts")).first()
+    n, v, n_texts = int(sums["n"] or 0), int(sums["v"]), int(sums["texts"] or 0)
+    counted = words.select("chunk", "number", "word").join(totals, "word")  # words without a count are left at 0
     segments = segments_for(n)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts = np.zeros(right.num_rows, dtype=np.int64)
-        counts[right["number"].to_numpy()] = right["c"].to_numpy()
         is_text = left["levels"].is_null()
         row = left.filter(is_text).to_pydict()
+        counts = np.zeros(len(row["hashes"][0]) // HASH_BYTES, dtype=np.int64)
+        counts[right["number"].to_numpy()] = right["c"].to_numpy()
         lengths, numbers = np.asarray(row["lengths"][0], dtype=np.int64), unpack_numbers(row["numbers"][0])
         rows = left.filter(pc.invert(is_text)).select(["slice", "segment", "levels"]).to_pydict()
         levels = chunk_levels(numbers, lengths, unpack_hashes(row["hashes"][0]), segments, rows)

@@ -92,9 +92,7 @@ def test_filter_levels():
     rng = np.random.default_rng(1)
     short = rng.integers(0, 1 << 32, 4000)
     counts = rng.integers(1, 300, 4000)
-    field, least = B.enter(short, counts, 1 << 21)
-    assert least == 1
-    bloom = B.LogBloom(field, 1, 1 << 21)
+    bloom = B.LogBloom(B.enter(short, counts, 1 << 21), 1, 1 << 21)
     want = np.searchsorted(B.LEVELS, counts, side="right")
     got = bloom.levels(short.astype(np.uint64))
     assert (got >= want).all() and (got == want).mean() > 0.99  # no false negatives
@@ -102,12 +100,10 @@ def test_filter_levels():
     assert (bloom.levels(strangers) > 0).mean() < 0.02
 
 
-def test_overload_enters_only_larger_counts():
+def test_overload_still_enters_every_count():
     short, counts = np.arange(1000), np.arange(1000) % 10 + 1
-    field, least = B.enter(short, counts, 8 * 1500)
-    assert least > 1
-    levels = B.LogBloom(field, 1, 8 * 1500).levels(short.astype(np.uint64))
-    assert (levels[counts >= least] > 0).all()
+    levels = B.LogBloom(B.enter(short, counts, 8 * 1500), 1, 8 * 1500).levels(short.astype(np.uint64))
+    assert (levels >= np.searchsorted(B.LEVELS, counts, side="right")).all()
 
 
 def test_no_ceiling_drops_rare_bigrams(spark, monkeypatch):
