@@ -87,15 +87,13 @@ START_HASH = np.uint64((1 << 8 * HASH_BYTES) + 1)  # of the start of a text: no
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
-    """uint32 numbers, low halves and high halves apart, lightly compressed."""
-    x = x.astype("<u4")
-    return zlib.compress((x & 0xFFFF).astype("<u2").tobytes() + (x >> 16).astype("<u2").tobytes(), 1)
+    """uint32 numbers, a plane for each of their bytes, lightly compressed."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
-    halves = np.frombuffer(zlib.decompress(data), "<u2")
-    n = len(halves) // 2
-    return halves[:n].astype(np.int64) | halves[n:].astype(np.int64) << 16
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -122,9 +120,18 @@ class _Chunk:
         self.held.append(held)
         self.bytes += len(text or "")
 
-    def training(self) -> np.ndarray:
-        own = [n for n, h in zip(self.numbers, self.held, strict=True) if not h]
-        return np.concatenate(own) if own else np.empty(0, np.uint32)
+    def ranked(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words by falling frequency (the end stays first), the tokens as their numbers, which
+        are then mostly small, and the words' training counts."""
+        numbers = np.concatenate(self.numbers)
+        order = np.argsort(-np.bincount(numbers, minlength=len(self.words))[1:], kind="stable") + 1
+        order = np.r_[0, order].astype(np.int64)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        numbers = place[numbers]
+        learn = np.repeat(~np.asarray(self.held, bool), list(map(len, self.numbers)))
+        words = list(self.words)
+        return [words[i] for i in order.tolist()], numbers, np.bincount(numbers[learn], minlength=len(words))
 
 
 def _chunks(batches, key: str):
@@ -163,14 +170,13 @@ def read_chunks(docs: DataFrame, key: str) -> DataFrame:
 
     def of_chunks(batches):
         for number, chunk in _chunks(batches, key):
-            words = list(chunk.words)
-            counts = np.bincount(chunk.training(), minlength=len(words))
+            words, numbers, counts = chunk.ranked()
             for at in range(0, len(words), 50_000):
                 part = words[at : at + 50_000]
                 own = np.arange(at, at + len(part), dtype=np.int32)
                 yield rows(len(part), kind=np.full(len(part), WORDS, np.int32), chunk=np.full(len(part), number), number=own, word=part, n=counts[own])
             hashes = word_hashes(words).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
-            yield rows(1, kind=[TEXTS], chunk=[number], ids=[chunk.ids], held=[chunk.held], lengths=[list(map(len, chunk.numbers))], numbers=[pack_numbers(np.concatenate(chunk.numbers))], hashes=[hashes])
+            yield rows(1, kind=[TEXTS], chunk=[number], ids=[chunk.ids], held=[chunk.held], lengths=[list(map(len, chunk.numbers))], numbers=[pack_numbers(numbers)], hashes=[hashes])
 
     return docs.mapInArrow(run, struct)
 
@@ -418,7 +424,7 @@ def materialize_by_kind(rows: DataFrame):
     from lexispark.llm.common import shared_dir
 
     path = f"{shared_dir(rows.sparkSession)}/lexispark/chunks-{uuid.uuid4().hex}"
-    rows.write.partitionBy("kind").parquet(path)
+    rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     schema = rows.drop("kind").schema.add("kind", "integer")
 
     def read(kind: int) -> DataFrame:

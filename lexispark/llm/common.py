@@ -44,7 +44,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     the shared folder and each task commits its file whole.
     """
     path = f"{shared_dir(df.sparkSession)}/lexispark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
