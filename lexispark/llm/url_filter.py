@@ -7,11 +7,10 @@ accepted and one from rejected URLs. The judgement is the difference of their lo
 divided by the number of characters, against a threshold calibrated on URLs held out of the
 counts.
 
-Which URLs teach: rules express a site policy (whole language sections), which says nothing
-about other sites, so they are no teachers of rejection. Rejected are the URLs one of whose
-host labels, split at hyphens, is on a short list of words that name adult, gambling, drug, spam and
-advertising sites; accepted are the others, but for those a rule blocks. The models generalise
-from whole hosts of that kind by their characters.
+Which URLs teach: rejected are those that a rule blocks; accepted are all others, those that a rule
+allows and those that no rule speaks of. Hosts are dealt into ``FOLDS`` folds, and counts are kept
+per fold: a URL is judged by the counts of the other folds alone, so no URL, ruled or not, is
+judged by models that have seen it or its host, and the threshold, too, is one for unseen hosts.
 
 Counts are exact: a context of up to five bytes, its order and the symbol after it are one
 64-bit number, and the table of counts by that number stays in Spark, as large as the URLs make
@@ -19,10 +18,12 @@ it. URLs are scored in blocks of ``1 << BLOCK_BITS`` rows: the distinct numbers
 with the table, and the counts found meet the block's URLs. No counts come to the driver.
 Digits count as one character, since numbers in paths only identify pages.
 
-Edge cases: null and URLs without ``://`` have empty host and path, fit no rule and are judged
-by the models (of the end mark alone); without URLs of both classes all verdicts of the
-method are allow; of fitting rules of equal length the alphabetically first decides; repeated
-rows repeat their verdicts.
+Edge cases: null and empty URLs and URLs without ``://`` have empty host and path, fit no rule, teach
+nothing and are judged by the models (of the end mark alone); where the rules block nothing, or
+everything, all verdicts of the method are allow; of fitting rules of equal length the
+alphabetically first decides; very long URLs are judged whole; rows with a null key are judged
+like others; repeated rows teach and are judged one by one; an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +56,10 @@ def rule(verdict: str, pattern: str) -> Rule:
     return Rule(verdict, host.lower(), slash + path)
 
 
-#: Words of hosts whose URLs teach the rejected model.
-REJECTED_WORDS = ["adult", "porn", "sex", "xxx", "casino", "bets", "poker", "pills", "viagra", "pharma", "spam", "ads", "track", "malware", "warez"]
 ORDER = 5
 BLOCK_BITS = 12
 STRENGTH = 2.0
-CALIBRATION_FOLDS = 5
+FOLDS = 5
 BINS = 2000
 SPAN = 10.0  # differences per character are put into bins between -SPAN and SPAN
 
@@ -119,7 +119,8 @@ _ANY = _CONTEXT  # the context of order 0: its counts are those of all symbols
 
 @dataclass
 class Model:
-    """(key, accepted, rejected): counts of (context, symbol) and of contexts; and the threshold."""
+    """(key, accepted, rejected): counts of (context, symbol) and of contexts, an array with a
+    place for each fold; and the threshold."""
 
     counts: DataFrame
     threshold: float
@@ -133,77 +134,78 @@ def _log10_probability(pair: np.ndarray, context: np.ndarray) -> np.ndarray:
     return np.log10(p)
 
 
-def text_differences(texts: list[str | None], keys: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
-    """Length-normalised log10-likelihood difference, accepted less rejected, per text; ``keys``
-    ascend and end with one that no text has and whose counts are 0."""
+def text_differences(texts: list[str | None], folds: np.ndarray, keys: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
+    """Length-normalised log10-likelihood difference, accepted less rejected, per text, by the
+    counts [FOLDS, keys] of all folds but the text's own; ``keys`` ascend and end with one that no
+    text has and whose counts are 0."""
     owner, pair, context = _keys(texts)
+    own = folds[owner]
     places = []
     for wanted in (pair, context):
         at = np.searchsorted(keys, wanted)
         places.append(np.where(keys[at] == wanted, at, len(keys) - 1))
-    per_symbol = _log10_probability(*(accepted[at] for at in places)) - _log10_probability(*(rejected[at] for at in places))
-    return np.bincount(owner, weights=per_symbol, minlength=len(texts)) / np.bincount(owner, minlength=len(texts))
+    logs = []
+    for counts in (accepted, rejected):
+        others = counts.sum(axis=0)[None, :] - counts
+        logs.append(_log10_probability(*(others[own[None, :], at] for at in places)))
+    return np.bincount(owner, weights=logs[0] - logs[1], minlength=len(texts)) / np.bincount(owner, minlength=len(texts))
 
 
-def differences(model: Model, texts: list[str | None]) -> np.ndarray:
-    """The differences of a few texts of the driver, in their order."""
-    session = model.counts.sparkSession
-    rows = session.createDataFrame(list(enumerate(texts)), "at bigint, text string")
-    return np.array([r["difference"] for r in score(rows, model, "text", ["at"]).orderBy("at").collect()])
+def in_blocks(df: DataFrame) -> DataFrame:
+    """``df`` (with text and fold) written once, with the number of each row's block: a row is in
+    the same block wherever it is read."""
+    block = F.shiftrightunsigned(F.monotonically_increasing_id(), BLOCK_BITS)
+    return materialize(df.withColumn("_block", block), "url-blocks")
 
 
 def count_symbols(labelled: DataFrame) -> DataFrame:
-    """(key, accepted, rejected) of (text, accepted): how often URLs of each class have a key.
-
-    Each batch adds up its own counts first.
-    """
+    """(key, accepted, rejected) of (text, fold, accepted): how often URLs of each class and fold
+    have a key. Each batch adds up its own counts first."""
 
     def make():
         def step(rows):
-            out: dict[str, list] = {"accepted": [], "key": [], "n": []}
-            for accepted in (True, False):
-                texts = [t for t, a in zip(rows["text"], rows["accepted"], strict=True) if a is accepted]
-                if not texts:
-                    continue
+            out: dict[str, list] = {"accepted": [], "fold": [], "key": [], "n": []}
+            groups: dict[tuple, list] = {}
+            for text, fold_, accepted in zip(rows["text"], rows["fold"], rows["accepted"], strict=True):
+                groups.setdefault((accepted, fold_), []).append(text)
+            for (accepted, fold_), texts in groups.items():
                 key, n = np.unique(np.concatenate(_keys(texts)[1:]), return_counts=True)
                 out["key"] += key.tolist()
                 out["n"] += n.tolist()
                 out["accepted"] += [accepted] * len(key)
+                out["fold"] += [fold_] * len(key)
             return out
 
         return step
 
-    counts = map_rows(labelled.select("text", "accepted"), "accepted boolean, key bigint, n bigint", make)
-    of = lambda side: F.sum(F.when(side, F.col("n")).otherwise(0))
-    return counts.groupBy("key").agg(of(F.col("accepted")).alias("accepted"), of(~F.col("accepted")).alias("rejected"))
+    counts = map_rows(labelled.select("text", "fold", "accepted"), "accepted boolean, fold int, key bigint, n bigint", make)
+    of = lambda side, i: F.sum(F.when(side & (F.col("fold") == i), F.col("n")).otherwise(0))
+    sides = {"accepted": F.col("accepted"), "rejected": ~F.col("accepted")}
+    return counts.groupBy("key").agg(*[F.array(*[of(side, i) for i in range(FOLDS)]).alias(name) for name, side in sides.items()])
 
 
-def fit(labelled: DataFrame, calibration: Column) -> Model | None:
-    """Models and threshold from (text, accepted, key) rows; rows where ``calibration`` holds
-    set the threshold, the others are counted. None if a class is missing."""
-    labelled = labelled.withColumn("_held", calibration)
-    counts = materialize(count_symbols(labelled.where("NOT _held")), "url-counts")
+def fit(labelled: DataFrame) -> Model | None:
+    """Models and threshold from rows of ``in_blocks`` with text, fold and accepted. None if a
+    class is missing."""
+    counts = materialize(count_symbols(labelled), "url-counts")
     total = counts.where(F.col("key") == _ANY).first()
-    if total is None or not total["accepted"] or not total["rejected"]:
+    if total is None or not sum(total["accepted"]) or not sum(total["rejected"]):
         return None
     model = Model(counts, 0.0)
-    model.threshold = calibrated_threshold(labelled.where("_held"), model)
+    model.threshold = calibrated_threshold(labelled, model)
     return model
 
 
-def calibrated_threshold(held: DataFrame, model: Model) -> float:
-    """The difference that least confuses held-out URLs, both classes weighing the same.
+def calibrated_threshold(labelled: DataFrame, model: Model) -> float:
+    """The difference that least confuses the URLs, both classes weighing the same.
 
-    Differences are counted in bins; of equally good thresholds the middle is taken. 0 where a
-    class is missing.
+    Differences are counted in bins; of equally good thresholds the middle is taken.
     """
-    scored = score(held, model, "text", ["accepted"])
+    scored = score(labelled, model, ["accepted"])
     at = F.least(F.greatest(F.floor((F.col("difference") + SPAN) * (BINS / (2 * SPAN))), F.lit(0)), F.lit(BINS - 1))
     bins = np.zeros((2, BINS))
     for row in scored.groupBy("accepted", at.cast("int").alias("bin")).count().collect():
         bins[int(row["accepted"]), row["bin"]] += row["count"]
-    if not bins.sum(axis=1).all():
-        return 0.0
     rate = bins / bins.sum(axis=1, keepdims=True)
     # threshold at the lower edge of bin b: accepted below are lost, rejected from b on are let in
     lost = np.concatenate([[0.0], np.cumsum(rate[1])])
@@ -213,19 +215,17 @@ def calibrated_threshold(held: DataFrame, model: Model) -> float:
     return float((best[0] + best[-1]) / 2 * (2 * SPAN / BINS) - SPAN)
 
 
-def score(df: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns and the length-normalised difference of every row."""
-    kinds = dict(df.dtypes)
-    block = F.shiftrightunsigned(F.monotonically_increasing_id(), BLOCK_BITS)
-    # written, so that a row is in the same block wherever it is read
-    rows = materialize(df.select(*dict.fromkeys([*keep, text])).withColumn("_block", block), "url-blocks")
+def score(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns and the length-normalised difference of every row of ``in_blocks``."""
+    kinds = dict(rows.dtypes)
+    rows = rows.select("_block", "text", "fold", *keep)
 
     def make():
         def step(batch):
             out: dict[str, list] = {"_block": [], "key": []}
             blocks = np.array(batch["_block"])
             for b in np.unique(blocks).tolist():
-                texts = [batch[text][i] for i in np.flatnonzero(blocks == b)]
+                texts = [batch["text"][i] for i in np.flatnonzero(blocks == b)]
                 key = np.unique(np.concatenate(_keys(texts)[1:]))
                 out["key"] += key.tolist()
                 out["_block"] += [b] * len(key)
@@ -233,7 +233,7 @@ def score(df: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
 
         return step
 
-    wanted = map_rows(rows.select("_block", text), "_block bigint, key bigint", make).distinct()
+    wanted = map_rows(rows.select("_block", "text"), "_block bigint, key bigint", make).distinct()
     found = wanted.join(model.counts, "key")
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -241,32 +241,31 @@ def score(df: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
             keys = right["key"].to_numpy()
             order = np.argsort(keys)
             keys = np.r_[keys[order], np.iinfo(np.int64).max]
-            sides = [np.r_[right[side].to_numpy()[order], 0] for side in ("accepted", "rejected")]
-            parts = [text_differences(left[text].slice(at, SLICE_ROWS).to_pylist(), keys, *sides) for at in range(0, left.num_rows, SLICE_ROWS)]
+            sides = []
+            for side in ("accepted", "rejected"):
+                values = pc.list_flatten(right[side].combine_chunks()).to_numpy(zero_copy_only=False).reshape(-1, FOLDS)
+                sides.append(np.r_[values[order], np.zeros((1, FOLDS), np.int64)].T)
+            folds = left["fold"].to_numpy()
+            parts = [text_differences(left["text"].slice(at, SLICE_ROWS).to_pylist(), folds[at : at + SLICE_ROWS], keys, *sides) for at in range(0, left.num_rows, SLICE_ROWS)]
             return left.select(keep).append_column("difference", pa.array(np.concatenate(parts)))
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", difference double"
     return rows.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(add, schema)
 
 
-def rejected_host(host: Column, words: list[str] = REJECTED_WORDS) -> Column:
-    """Whether a host has one of the words between dots and hyphens."""
-    return F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, words)))
-
-
-def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str = "url", folds: int = CALIBRATION_FOLDS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str = "url") -> DataFrame:
     """Per row: key, host, path, rule, verdict, and the method's difference (null without models)."""
     host, path = host_and_path(F.col(url))
-    parsed = pages.select(F.col(key), host.alias("host"), path.alias("path"))
+    parsed = pages.select(F.col(key).alias("_id"), host.alias("host"), path.alias("path"))
     name, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", name).withColumn("ruled", verdict).withColumn("text", F.concat("host", "path"))
-    teach = parsed.withColumn("accepted", ~rejected_host(F.col("host")))
-    teach = teach.where((F.col("host") != "") & (~F.col("accepted") | F.col("ruled").isNull() | (F.col("ruled") == "allow")))
-    model = fit(teach.select(key, "text", "accepted"), fold(key, folds) == 0)
+    parsed = in_blocks(parsed.withColumn("fold", fold("host", FOLDS).cast("int")))
+    teach = parsed.where("host <> ''").withColumn("accepted", ~F.col("ruled").eqNullSafe(F.lit("block")))
+    model = fit(teach)
     if model is None:
         judged = parsed.withColumn("difference", F.lit(None).cast("double"))
         method = F.lit("allow")
     else:
-        judged = score(parsed, model, "text", [key, "host", "path", "rule", "ruled"])
+        judged = score(parsed, model, ["_id", "host", "path", "rule", "ruled"])
         method = F.when(F.col("difference") >= F.lit(model.threshold), "allow").otherwise("block")
-    return judged.select(key, "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "difference")
+    return judged.select(F.col("_id").alias(key), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "difference")
