@@ -58,6 +58,14 @@ def drop_materialized(df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, or a longer one where a table has a column of that name (in any case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(key: Column | str, n: int) -> Column:
     """crc32 of the key's decimal text modulo ``n``: the folds that contracts speak of."""
     key = F.col(key) if isinstance(key, str) else key
