@@ -3,18 +3,24 @@
 A page is cut into text blocks (runs of text between block-level tags). A classifier gives each
 block a log-odds of being content; the costs of the two labels are the capacities of its edges
 to the terminals. Neighbouring blocks, and neighbouring children of one parent, are joined by
-smoothness edges that weaken with their distance in the DOM. The maximum flow's cut is the
-cheapest labelling of the page; content blocks are joined in page order.
-
-The classifier is a logistic model over text features (length, links, punctuation, kind of
-tag, place), fitted on a bounded sample of pages whose semantic tags label their blocks. The
-innermost semantic evidence about a block - tags, roles, words of class and id - adds a fixed
-term, so that pages with such markup follow it and others rest on the fitted features.
+smoothness edges that weaken with their distance in the DOM and where semantic cues change. The
+maximum flow's cut is the cheapest labelling of the page; content blocks are joined in page order.
+
+The classifier is a logistic model over features of the text (length, links, punctuation, kind of
+tag, place, share of the page's text under the same parent) and two cues, for and against, from the
+innermost semantic evidence about a block: tags, roles, words of class and id. It is fitted on a
+bounded sample of pages whose evidence labels their blocks; every block is shown twice, with its
+cues and without, so that the features of the text must tell blocks apart where a page has no such
+markup. The text's part is held between -``TEXT_LIMIT`` and ``TEXT_LIMIT``, a cue's weight
+between ``CUE_LEAST`` and ``CUE_LIMIT``; both are of the order of a block's edges, so a block that its
+own features leave in doubt gets the label that its surroundings make cheapest.
 
 Edge cases: null and empty pages give the empty text; broken nesting and unclosed tags are
 read leniently; an unclosed script or style runs to the end of the page; hidden elements never
-count; very long pages are read whole, in linear time but for the undecided blocks of the cut;
-repeated rows repeat their result; an empty table gives no rows.
+count; very long and deeply nested pages are read whole, in time and memory that follow the page
+but for the flow among undecided blocks; blocks of equal cost either way are boilerplate; rows with
+a null key and repeated rows are extracted like others; an empty table gives no rows (and the
+default weights); extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +35,13 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.common import map_rows
 
+#: Pages of the fit's sample, and blocks of each, evenly spread, that it takes.
 FIT_PAGES = 400
-FIT_CHARS = 100_000
-EVIDENCE = 8.0
-SMOOTH_NEXT, SMOOTH_SIBLING = 1.5, 1.0
+FIT_BLOCKS = 200
+TEXT_LIMIT, CUE_LEAST, CUE_LIMIT = 2.0, 4.0, 6.0
+#: Edges between neighbours in the page (over 1 + distance) and between neighbouring children; both
+#: are divided by 1 + CUE_CONTRAST for each step between against, none and for.
+SMOOTH_NEXT, SMOOTH_SIBLING, CUE_CONTRAST = 5.0, 5.0, 10.0
 
 #: Fixed by HTML: elements that start a block, that have no content, and whose text is no text.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
@@ -56,22 +65,26 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in
 
 
 class Block:
-    __slots__ = ("evidence", "hidden", "link", "parent", "path", "tag", "text")
+    __slots__ = ("evidence", "hidden", "home", "link", "tag", "text")
 
     def __init__(self, text: str, link: int, node: _Node, tag: str):
         self.text, self.link, self.tag = text, link, tag
-        self.evidence, self.hidden = node.evidence, node.hidden
-        self.path, self.parent = node.path, node.path[-1]
+        self.evidence, self.hidden, self.home = node.evidence, node.hidden, node.home
 
 
 class _Node:
-    """An open element: what it says about the text in it."""
+    """An open element: what it says about the text in it. ``home`` is the block-level element it
+    is in (itself, if it is one), ``up`` a block-level element's own parent of that kind."""
 
-    __slots__ = ("evidence", "hidden", "link", "name", "path")
+    __slots__ = ("depth", "evidence", "hidden", "home", "link", "name", "up")
 
-    def __init__(self, name: str, number: int, above: _Node | None, attrs: dict[str, str]):
+    def __init__(self, name: str, above: _Node | None, attrs: dict[str, str]):
         self.name = name
-        self.path = (*(above.path if above else ()), number) if name in BLOCK_TAGS or not above else above.path
+        if above is None or name in BLOCK_TAGS:
+            self.home, self.up = self, above.home if above else None
+            self.depth = self.up.depth + 1 if self.up else 0
+        else:
+            self.home = above.home
         style = attrs.get("style", "").replace(" ", "").lower()
         self.hidden = bool(above and above.hidden) or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
         self.link = name == "a" or bool(above and above.link)
@@ -79,6 +92,59 @@ class _Node:
         self.evidence = own if own is not None else (above.evidence if above else 0)
 
 
+class _Stack:
+    """Open elements. Where the last one of a name, block or scope is, is known without a search,
+    so reading a page takes time that follows its length however deep it is nested."""
+
+    def __init__(self):
+        self.nodes = [_Node("#root", None, {})]
+        self.named: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def top(self) -> _Node:
+        return self.nodes[-1]
+
+    def last(self, name: str) -> int:
+        """Place of the last open element of a name; 0, the root's, if there is none."""
+        places = self.named.get(name)
+        return places[-1] if places else 0
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else 0
+
+    def push(self, name: str, attrs: dict[str, str]) -> None:
+        at = len(self.nodes)
+        self.nodes.append(_Node(name, self.nodes[-1], attrs))
+        self.named.setdefault(name, []).append(at)
+        if name in BLOCK_TAGS:
+            self.blocks.append(at)
+        if name in SCOPES:
+            self.scopes.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all that are open in it."""
+        while len(self.nodes) > at:
+            node = self.nodes.pop()
+            for places in (self.named.get(node.name), self.blocks, self.scopes):
+                if places and places[-1] == len(self.nodes):
+                    places.pop()
+
+    def open_for(self, name: str) -> None:
+        """Close what an opening tag closes in the same container."""
+        at = max((self.last(other) for other in CLOSES.get(name, ())), default=0)
+        if at and at >= (self.scopes[-1] if self.scopes else 0):
+            self.cut(at)
+
+    def end_link(self) -> None:
+        """Links do not nest: one that is open in the same block ends where another begins."""
+        at = self.last("a")
+        if at > self.last_block():
+            node = self.nodes[at]
+            self.named["a"].pop()
+            node.name, node.link = "", self.nodes[at - 1].link
+
+
 def _own_evidence(name: str, attrs: dict[str, str], above: _Node | None) -> int | None:
     role = attrs.get("role", "").lower()
     if name in AGAINST_TAGS or role in AGAINST_ROLES:
@@ -104,16 +170,15 @@ def _own_evidence(name: str, attrs: dict[str, str], above: _Node | None) -> int
 def blocks(html: str | None) -> list[Block]:
     """Text blocks in page order, white space normalised, empty ones left out."""
     html = html or ""
-    root = _Node("#root", 0, None, {})
-    stack, found, parts, linked, serial, at = [root], [], [], 0, 1, 0
+    stack, found, parts, linked, at = _Stack(), [], [], 0, 0
 
     def flush():
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tag = next((n.name for n in reversed(stack) if n.name in BLOCK_TAGS), "")
-                found.append(Block(text, min(linked, len(text)), stack[-1], tag))
+                holder = stack.last_block()
+                found.append(Block(text, min(linked, len(text)), stack.top(), stack.nodes[holder].name if holder else ""))
         parts, linked = [], 0
 
     def say(raw: str):
@@ -121,7 +186,7 @@ def blocks(html: str | None) -> list[Block]:
         if raw:
             text = unescape(raw)
             parts.append(text)
-            if stack[-1].link:
+            if stack.top().link:
                 linked += len(text.strip())
 
     while at < len(html):
@@ -137,16 +202,13 @@ def blocks(html: str | None) -> list[Block]:
                 say(match["cdata"])
             continue
         if match["close"]:
-            if name in ("br", "p") and not any(n.name == name for n in stack):
+            place = stack.last(name)
+            if name in ("br", "p") and not place:
                 parts.append(" ")
-                continue
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if name not in BLOCK_TAGS and any(n.name in BLOCK_TAGS for n in stack[depth + 1 :]):
-                depth = 0  # an inline end tag does not close the blocks inside it
-            if depth:
-                if any(n.name in BLOCK_TAGS for n in stack[depth:]):
+            elif place and (name in BLOCK_TAGS or stack.last_block() <= place):  # an inline end tag does not close the blocks inside it
+                if stack.last_block() >= place:
                     flush()
-                del stack[depth:]
+                stack.cut(place)
             continue
         if name in RAW_TAGS:
             if name in BLOCK_TAGS:
@@ -159,27 +221,16 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if name in BLOCK_TAGS:
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in CLOSES.get(name, ()):
-                    del stack[i:]
-                    break
-                if stack[i].name in SCOPES:
-                    break
-        elif name == "a":  # links do not nest
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == "a":
-                    del stack[i]
-                    break
-                if stack[i].name in BLOCK_TAGS:
-                    break
+            stack.open_for(name)
+        elif name == "a":
+            stack.end_link()
         if name not in VOID_TAGS:
             attrs = {}
             if match["attrs"].strip():
                 for a in _ATTR.finditer(match["attrs"]):
                     attrs.setdefault((a[1] or a[5]).lower(), unescape(a[2] or a[3] or a[4] or ""))
             if not match["attrs"].rstrip().endswith("/") or name in BLOCK_TAGS or name == "a":
-                stack.append(_Node(name, serial, stack[-1], attrs))
-                serial += 1
+                stack.push(name, attrs)
     flush()
     return found
 
@@ -187,65 +238,94 @@ def blocks(html: str | None) -> list[Block]:
 # --- classifier --------------------------------------------------------------------------
 
 #: Used where a sample has no labelled blocks: bias, then a weight per feature of ``features``.
-DEFAULT_WEIGHTS = np.array([-1.0, 0.9, -4.0, 1.5, 0.8, 0.8, -1.0, -0.5, -1.5])
+DEFAULT_WEIGHTS = np.array([-1.0, 0.9, -4.0, 1.5, 0.8, 0.8, -1.0, -0.5, -1.5, 0.5, 4.0, -5.0])
+CUES = 2  # the last features
 
 
 def features(found: list[Block]) -> np.ndarray:
     """Per block: 1, log words, share of linked text, ends a sentence, log sentence marks,
-    heading, list item, short without a mark, near the page's ends."""
+    heading, list item, short without a mark, near the page's ends, share of the page's unlinked
+    text under the same parent; then the cues for and against."""
     out = np.zeros((len(found), len(DEFAULT_WEIGHTS)))
+    free = [len(b.text) - b.link for b in found]
+    under: dict[_Node, int] = {}
+    for b, n in zip(found, free, strict=True):
+        holder = b.home.up or b.home
+        under[holder] = under.get(holder, 0) + n
+    total = max(1, sum(free))
     for i, b in enumerate(found):
         words = b.text.count(" ") + 1
         marks = b.text.count(". ") + b.text.count("? ") + b.text.count("! ") + b.text.count(", ")
         ends = b.text[-1] in ".!?:\"”»"
         edge = min(i, len(found) - 1 - i) / max(1, len(found))
-        out[i] = (1, np.log1p(words), b.link / len(b.text), ends, np.log1p(marks), b.tag in ("h1", "h2", "h3"), b.tag in ("li", "td", "dd", "option"), words < 6 and not ends, edge < 0.05)
+        share = under[b.home.up or b.home] / total
+        out[i] = (1, np.log1p(words), b.link / len(b.text), ends, np.log1p(marks), b.tag in ("h1", "h2", "h3"), b.tag in ("li", "td", "dd", "option"), words < 6 and not ends, edge < 0.05, share, b.evidence > 0, b.evidence < 0)
     return out
 
 
+def log_odds(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of content, per row of ``features``: the bounded part of the text and the cues' weights."""
+    return np.clip(x[:, :-CUES] @ weights[:-CUES], -TEXT_LIMIT, TEXT_LIMIT) + x[:, -CUES:] @ weights[-CUES:]
+
+
+def labelled_features(html: str | None) -> np.ndarray:
+    """Features of at most FIT_BLOCKS blocks of a page that its evidence labels."""
+    found = [b for b in blocks(html) if not b.hidden]
+    x = features(found)
+    x = x[x[:, -CUES:].any(axis=1)]
+    return x[np.unique(np.linspace(0, len(x) - 1, FIT_BLOCKS).astype(int))] if len(x) > FIT_BLOCKS else x
+
+
 def fit(pages: list[str]) -> np.ndarray:
-    """Logistic regression on the blocks that semantic evidence labels (Newton steps)."""
-    rows, labels = [], []
-    for html in pages:
-        found = [b for b in blocks(html) if not b.hidden]
-        if found:
-            x = features(found)
-            for b, row in zip(found, x, strict=True):
-                if b.evidence:
-                    rows.append(row)
-                    labels.append(b.evidence > 0)
-    if len(set(labels)) < 2:
+    return fit_features([labelled_features(html) for html in pages])
+
+
+def fit_features(parts: list[np.ndarray]) -> np.ndarray:
+    """Logistic regression (Newton steps) on blocks labelled by their cues, each shown with its
+    cues and without."""
+    x = np.concatenate([np.empty((0, len(DEFAULT_WEIGHTS))), *parts])
+    y = x[:, -CUES]
+    if len(np.unique(y)) < 2:
         return DEFAULT_WEIGHTS
-    x, y = np.array(rows), np.array(labels, dtype=float)
+    bare = x.copy()
+    bare[:, -CUES:] = 0.0
+    x, y = np.concatenate([x, bare]), np.concatenate([y, y])
     w = np.zeros(x.shape[1])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         curvature = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w))
         w += np.linalg.solve(curvature, x.T @ (y - p) - 0.5 * w)
+    w[-2], w[-1] = np.clip(w[-2], CUE_LEAST, CUE_LIMIT), np.clip(w[-1], -CUE_LIMIT, -CUE_LEAST)
     return w
 
 
 # --- the cut -----------------------------------------------------------------------------
 
 
+def _apart(a: _Node, b: _Node) -> int:
+    """Steps from one block-level element to the other by their nearest common one."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
+
+
 def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:
     """Edges between blocks that follow each other or follow each other under one parent."""
     edges: dict[tuple[int, int], float] = {}
-    last_child: dict[int, int] = {}
+    last_child: dict[_Node, int] = {}
+    contrast = lambda a, b: 1.0 + CUE_CONTRAST * abs(a.evidence - b.evidence)
     for i, b in enumerate(found):
         if i:
-            before = found[i - 1].path
-            common = 0
-            for u, v in zip(before, b.path, strict=False):
-                if u != v:
-                    break
-                common += 1
-            distance = len(before) + len(b.path) - 2 * common
-            edges[i - 1, i] = SMOOTH_NEXT / (1 + distance)
-        holder = b.path[-2] if len(b.path) > 1 else b.path[-1]
+            edges[i - 1, i] = SMOOTH_NEXT / (1 + _apart(found[i - 1].home, b.home)) / contrast(found[i - 1], b)
+        holder = b.home.up or b.home
         if holder in last_child:
-            pair = (last_child[holder], i)
-            edges[pair] = edges.get(pair, 0.0) + SMOOTH_SIBLING
+            before = last_child[holder]
+            edges[before, i] = edges.get((before, i), 0.0) + SMOOTH_SIBLING / contrast(found[before], b)
         last_child[holder] = i
     return edges
 
@@ -274,11 +354,17 @@ def minimum_cut(logits: np.ndarray, edges: dict[tuple[int, int], float]) -> list
                 del near[j][i]
                 todo.append(j)
             near[i] = {}
-    open_ = [i for i, x in enumerate(label) if x is None]
-    if open_:
-        side = _source_side(open_, own, near)
-        for i in open_:
-            label[i] = i in side
+    for first in range(len(own)):
+        if label[first] is None:  # undecided blocks that edges join are cut together
+            group, todo = {first}, deque([first])
+            while todo:
+                for j in near[todo.popleft()]:
+                    if j not in group:
+                        group.add(j)
+                        todo.append(j)
+            side = _source_side(sorted(group), own, near)
+            for i in group:
+                label[i] = i in side
     return [bool(x) for x in label]
 
 
@@ -329,28 +415,35 @@ def extract(html: str | None, weights: np.ndarray = DEFAULT_WEIGHTS) -> str:
     found = [b for b in blocks(html) if not b.hidden]
     if not found:
         return ""
-    logits = features(found) @ weights + EVIDENCE * np.array([b.evidence for b in found])
-    chosen = minimum_cut(logits, smoothness(found))
+    chosen = minimum_cut(log_odds(features(found), weights), smoothness(found))
     return "\n".join(b.text for b, content in zip(found, chosen, strict=True) if content)
 
 
 def fit_from_table(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> np.ndarray:
-    """Fit on at most FIT_PAGES pages, chosen by hash, of at most FIT_CHARS characters."""
-    usable = pages.where(F.length(html).between(1, FIT_CHARS) & F.col(key).isNotNull())
-    chosen = usable.select(F.col(key).alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(FIT_PAGES).distinct()
-    rows = usable.join(F.broadcast(chosen), F.col(key) == F.col("_key")).select(html).collect()
-    return fit(sorted(r[0] for r in rows))
+    """Fit on FIT_PAGES pages, chosen by hash of their key; their blocks' features alone come to
+    the driver."""
+    usable = pages.select(F.col(key).alias("k"), F.col(html).alias("html")).where("html IS NOT NULL AND k IS NOT NULL")
+    chosen = usable.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(FIT_PAGES)
+    kind = dict(usable.dtypes)["k"]
+
+    def make():
+        return lambda rows: {"k": rows["k"], "x": [labelled_features(h).astype("<f4").tobytes() for h in rows["html"]]}
+
+    # FIT_PAGES keys: a bounded side. Rows that repeat a key are bounded after the map.
+    parts = map_rows(usable.join(F.broadcast(chosen), "k"), f"k {kind}, x binary", make).orderBy(F.xxhash64("k"), "k", "x").limit(FIT_PAGES).collect()
+    return fit_features([np.frombuffer(r["x"], "<f4").reshape(-1, len(DEFAULT_WEIGHTS)).astype(np.float64) for r in parts])
 
 
 def extract_pages(pages: DataFrame, weights: np.ndarray, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page; a narrow map."""
-    kinds = dict(pages.dtypes)
+    rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.col(html).alias("h"))
 
     def make():
         def step(rows):
-            texts = [extract(h, weights) for h in rows[html]]
-            return {key: rows[key], url: rows[url], "text": texts, "n_chars": [len(t) for t in texts]}
+            texts = [extract(h, weights) for h in rows["h"]]
+            return {"k": rows["k"], "u": rows["u"], "text": texts, "n_chars": [len(t) for t in texts]}
 
         return step
 
-    return map_rows(pages.select(key, url, html), f"{key} {kinds[key]}, {url} string, text string, n_chars bigint", make)
+    made = map_rows(rows, f"k {dict(rows.dtypes)['k']}, u string, text string, n_chars bigint", make)
+    return made.select(F.col("k").alias(key), F.col("u").alias(url), "text", "n_chars")

@@ -4,6 +4,7 @@ import html as H
 import itertools
 import random
 import re
+import resource
 
 import numpy as np
 import pytest
@@ -98,9 +99,66 @@ def test_query_on_whole_table(spark, sf_dir):
         assert got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
 
 
+def article_parts(source):
+    article = re.search(r"<article>(.*?)</article>", source, re.S)[1]
+    parts = [" ".join(H.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+    return [x for x in parts if x]
+
+
+def sources(spark, sf_dir):
+    return [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+
+
+def test_pages_without_semantic_names(spark):
+    pages = sources(spark, "/root/testdata/sf0.01")
+    weights = X.fit(pages)
+    kept = whole = found = 0
+    for source in pages:
+        neutral = re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|ul|li|h1)\b", r"<\1div", source))
+        assert not any(b.evidence for b in X.blocks(neutral))
+        got, want = set(X.extract(neutral, weights).split("\n")), article_parts(source)
+        kept += sum(len(x) for x in want if x in got)
+        whole += sum(map(len, want))
+        found += sum(map(len, got))
+    assert kept >= 0.95 * whole and kept >= 0.95 * found
+
+
+def test_boilerplate_inside_the_article_and_the_flow(spark, monkeypatch):
+    pages = sources(spark, "/root/testdata/sf0.01")
+    weights, cut = X.fit(pages), []
+    flow = X._source_side
+    monkeypatch.setattr(X, "_source_side", lambda group, *rest: cut.append(len(group)) or flow(group, *rest))
+    extra = '<section class="comments"><p>I like this one, really. Thanks a lot, it was good to read.</p></section><form><p>Write to us, please.</p></form></article>'
+    for source in pages:
+        inner = source.replace("</p><p>", '</p><div class="ad">Buy these now, they are very good and cheap.</div><p>', 1).replace("</article>", extra)
+        assert X.extract(inner, weights).split("\n") == X.extract(source, weights).split("\n") == article_parts(source)
+    assert len(cut) >= 2 * len(pages)  # the maximum flow decides on every page
+
+
+def test_a_block_takes_the_label_of_its_surroundings():
+    # a name and a line of numbers among paragraphs; a sentence among links
+    body = f"<div><p>{LONG}</p><p>{MORE}</p><p>Anna</p><p>{LONG}</p><p>12 31</p><p>{MORE}</p></div><div>" + "<p><a href=/x>Go there</a></p>" * 6 + "<p>Or here.</p>" + "<p><a href=/x>Go there</a></p>" * 6 + "</div>"
+    assert X.extract(page(body)).split("\n") == [LONG, MORE, "Anna", LONG, "12 31", MORE]
+    found = X.blocks(page(body))
+    own = X.log_odds(X.features(found), X.DEFAULT_WEIGHTS)
+    assert own[2] < 0 < own[12]  # against what they say of themselves
+
+
+def test_deep_nesting_takes_time_and_memory_that_follow_the_page():
+    n, before = 50_000, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for source in ("<div>x y. " * n, "<div>" * n + "z</b></i></p>" * n, "<b><a><i>" * n + "<p>t</b></a>" * n, "<ul><li>" * n + "<table><tr><td>q" * 1000):
+        X.extract(source + f"<article><p>{LONG}</p></article>")
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 << 10
+
+
+def test_distance_is_counted_by_the_common_parent():
+    found = X.blocks("<div><div><p>a</p></div><div><ul><li>b</li></ul></div>c</div>d")
+    assert [X._apart(a.home, b.home) for a, b in itertools.pairwise(found)] == [5, 3, 1]
+
+
 def test_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (2, None, ""), (None, "u", f"<article><p>{LONG}</p>"), (3, "u", "<article>" + f"<p>{LONG}</p>" * 3000)]
-    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id bigint, url string, html string, text string, n_chars int")
+    pages = spark.createDataFrame([(*r, "x", 1, 2, 3, 4, 5, 6) for r in rows], "page_id bigint, url string, html string, text string, n_chars int, _key int, k int, u int, h int, x int")
     got = sorted((str(r.page_id), r.n_chars) for r in X.extract_pages(pages, X.fit_from_table(pages)).collect())
     assert got == [("1", 0), ("2", 0), ("2", 0), ("3", 3000 * (len(LONG) + 1) - 1), ("None", len(LONG))]
     assert X.extract_pages(pages.limit(0), X.fit_from_table(pages.limit(0))).count() == 0
