@@ -58,6 +58,21 @@ def drop_materialized(df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+#: A key with at least one row in so many is joined by broadcast; there are at most so many of them.
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of ``rows`` with one row per key of ``facts``, whose column ``size`` says how many
+    rows have the key. Both are stored tables. Keys with a thousandth of all rows or more - so at
+    most a thousand keys - are broadcast and their rows stay where they are; the others are dealt out.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HOT_KEYS >= total
+    few = F.broadcast(facts.where(hot))
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(facts.where(hot).select(*keys)), keys, "left_anti").join(facts.where(~hot), keys))
+
+
 def fresh(name: str, *tables: DataFrame) -> str:
     """``name``, or a longer one where a table has a column of that name (in any case)."""
     taken = {c.lower() for t in tables for c in t.columns}

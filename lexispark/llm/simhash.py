@@ -13,46 +13,75 @@ links are followed breadth first against the members not reached yet, so that a
 of near copies costs its edges to a spanning forest, not its pairs. The forests' edges are
 joined into components by ``components``. Documents of equal fingerprint are one node.
 
+At 3 bits only texts with few edits are near. ``similar_documents`` finds all pairs of a Jaccard
+similarity of 0.8 or more of their 5-word shingles, whose 64-bit fingerprints differ in some ten bits,
+more than any byte index over them can promise to find. A document then has ``SKETCHES`` positions; at
+each the value is the SimHash of the ``SAMPLE`` shingles that a hash function of that position ranks
+lowest. Two documents have a value in common with probability J**SAMPLE at each position, so a pair at
+0.8 shares none of 12 with probability 0.0003. A posting list (position, value) yields its
+members' nearest pairs by the distance of 128-bit fingerprints over all shingles: a forest of least
+distances and some nearest members of each, never all pairs; lists of more than ``LIST_MEMBERS`` are
+dealt into parts by chance, differently at each position. A pair must pass the ratio of sizes and
+a bound on the distance (at five standard deviations), and is then verified by the Jaccard
+similarity of the sets of 32-bit shingle hashes.
+
 Edge cases: null and empty texts and texts of white space have fingerprint zero and are linked
-like any other; a text of fewer words than a shingle is one shingle; null keys are rows like
-others but never name a component unless all of it is null; repeated rows share a component;
-an empty table gives no rows; other columns are ignored.
+like any other (in ``similar_documents``: to each other); a text of fewer words than a shingle is one
+shingle; very long texts are read whole; null keys are rows like others but never name a component
+unless all of it is null; repeated rows share a component; an empty table gives no rows; other
+columns, whatever their names, are ignored, and carried by ``keep_first``.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import map_rows, materialize
+from lexispark.llm.common import fresh, join_hot, map_rows, materialize
 from lexispark.llm.components import connected_components
 
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 3
 BYTES = 8
+#: Of ``similar_documents``: words of a shingle, least Jaccard similarity, positions, shingles of a
+#: position's sample, bits of the fingerprint over all shingles, members of a list that are held
+#: together, and nearest members that each is compared with besides the forest's.
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+SKETCHES = 12
+SAMPLE = 3
+FULL_BITS = 128
+LIST_MEMBERS = 4096
+NEIGHBOURS = 12
 #: Above so many members a list's links are found by trying all masks of up to r bits.
 ENUMERATE_ABOVE = 60_000
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """The unsigned 64-bit SimHash of a text's word shingles."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Unsigned 64-bit hashes of a text's word shingles, repeats included; none without words."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(tokens)
     if len(tokens) < words:
-        return xxh64_intdigest(joined, SEED)
+        return np.array([xxh64_intdigest(joined, SEED)], dtype="<u8")
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     spans = zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         block = hashes[at : at + 65_536].view(np.uint8).reshape(-1, BYTES)
@@ -60,6 +89,11 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """The unsigned 64-bit SimHash of a text's word shingles."""
+    return majority(shingle_hashes(text, words))
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
@@ -146,23 +180,162 @@ def link_edges(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: key, fingerprint (hex) and component_id, the smallest key that links reach."""
     prints = materialize(fingerprints(docs, key=key, text=text, words=words, carry=carry), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("first")), "distinct-fingerprints")
-    roots = connected_components(link_edges(distinct, max_bits))
+    named = name_components(prints, lambda distinct: link_edges(distinct, max_bits), key)
+    return named.select(key, *carry, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def name_components(prints: DataFrame, edges_of: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """``prints`` with component_id: the smallest key among rows whose ``fp`` the edges join."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("rows")), "distinct-fingerprints")
+    roots = connected_components(edges_of(distinct))
     linked = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "first")
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
     named = linked.join(lowest, "root").select("fp", "lowest")
-    ids = distinct.join(named, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return prints.join(ids, "fp").select(key, *carry, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = distinct.join(named, "fp", "left").select("fp", "rows", F.coalesce("lowest", "first").alias("component_id"))
+    return join_hot(prints, materialize(ids, "component-names"), ["fp"], "rows").drop("rows")
+
+
+# --- pairs of a Jaccard similarity -------------------------------------------------------
+
+_MUL1, _MUL2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * _MUL1
+        x = (x ^ (x >> np.uint64(27))) * _MUL2
+        return x ^ (x >> np.uint64(31))
+
+
+_SEEDS = _mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64))
+
+
+def sketches(distinct: np.ndarray) -> list[int]:
+    """Per position the SimHash of the SAMPLE distinct hashes that the position ranks lowest."""
+    out = []
+    for seed in _SEEDS:
+        ranked = _mixed(distinct ^ seed)
+        if len(distinct) > SAMPLE:
+            chosen = np.argpartition(ranked, SAMPLE - 1)[:SAMPLE]
+            ranked = ranked[chosen]
+        out.append(signed(majority(_mixed(ranked + seed))))
+    return out
+
+
+def signatures(docs: DataFrame, *, key: str, text: str, words: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, fp: identity of the text's words, n: distinct shingles, f0 and f1: the
+    128-bit fingerprint, values: the positions' values, hashes: the shingles' 32-bit hashes)."""
+    kinds = dict(docs.dtypes)
+
+    def make():
+        from xxhash import xxh64_intdigest
+
+        def step(rows):
+            out: dict[str, list] = {c: rows[c] for c in (key, *carry)} | {c: [] for c in ("fp", "n", "f0", "f1", "values", "hashes")}
+            for value in rows[text]:
+                tokens = (value or "").encode("utf-8", "surrogatepass").lower().split()
+                distinct = np.unique(shingle_hashes(value, words))
+                out["fp"].append(signed(xxh64_intdigest(b" ".join(tokens), 1)))
+                out["n"].append(len(distinct))
+                out["f0"].append(signed(majority(distinct)))
+                out["f1"].append(signed(majority(_mixed(distinct))))
+                out["values"].append(sketches(distinct) if len(distinct) else [])
+                out["hashes"].append(np.unique(distinct & np.uint64(0xFFFFFFFF)).astype("<u4").view("<i4"))
+            return out
+
+        return step
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *carry)) + ", fp bigint, n int, f0 bigint, f1 bigint, values array<bigint>, hashes array<int>"
+    return map_rows(docs.select(key, *carry, text), schema, make)
+
+
+def bit_limit(similarity: float) -> int:
+    """Differing bits of FULL_BITS that pairs of a Jaccard similarity stay below, at five standard
+    deviations: their sets' cosine is 2 J / (1 + J) at least."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(FULL_BITS * share + 5 * math.sqrt(FULL_BITS * share * (1 - share)))
+
+
+def nearest_pairs(fp: np.ndarray, n: np.ndarray, full: np.ndarray, similarity: float) -> set[tuple[int, int]]:
+    """Pairs of a list's members (distinct ``fp``; ``full``: their fingerprints [members, 2]) worth
+    verifying: a spanning forest of least distances, and each member's NEIGHBOURS nearest, as far
+    as distance and sizes allow a link. Memory follows the members, not their pairs."""
+    limit, never = bit_limit(similarity), FULL_BITS + 1
+    out: set[tuple[int, int]] = set()
+
+    def add(i: int, j: int) -> None:
+        out.add((max(int(fp[i]), int(fp[j])), min(int(fp[i]), int(fp[j]))))
+
+    free = np.ones(len(fp), dtype=bool)
+    best, source, now = np.full(len(fp), never), np.zeros(len(fp), dtype=np.int64), 0
+    while True:
+        free[now] = False
+        apart = np.bitwise_count((full ^ full[now]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        apart[np.minimum(n, n[now]) < similarity * np.maximum(n, n[now])] = never
+        apart[now] = never
+        near = np.argpartition(apart, NEIGHBOURS)[:NEIGHBOURS] if len(fp) > NEIGHBOURS + 1 else np.arange(len(fp))
+        for j in near[apart[near] <= limit].tolist():
+            add(now, j)
+        closer = free & (apart < best)
+        best[closer], source[closer] = apart[closer], now
+        left = np.flatnonzero(free)
+        if not len(left):
+            return out
+        now = int(left[best[left].argmin()])
+        if best[now] <= limit:
+            add(now, int(source[now]))
+
+
+def similar_edges(signed_: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): verified pairs of different ``fp``."""
+    tasks = int(signed_.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    first = lambda *columns: [F.first(c).alias(c) for c in columns]
+    distinct = materialize(signed_.groupBy("fp").agg(*first("n", "f0", "f1", "values")).repartition(tasks), "distinct-signatures")
+    postings = distinct.select("fp", "n", "f0", "f1", F.posexplode("values").alias("position", "value"))
+    sizes = postings.groupBy("position", "value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = join_hot(postings, materialize(sizes, "list-sizes"), ["position", "value"], "members")
+    # a long list is dealt into parts by chance, another way at each position
+    part = F.pmod(F.xxhash64("fp", "position"), F.ceil(F.col("members") / F.lit(LIST_MEMBERS)))
+    lists = met.groupBy("position", "value", part.alias("part")).agg(F.collect_list(F.struct("fp", "n", "f0", "f1")).alias("members"))
+
+    def make():
+        def step(rows):
+            pairs: set[tuple[int, int]] = set()
+            for members in rows["members"]:
+                column = lambda c: np.array([m[c] for m in members], dtype=np.int64)  # noqa: B023, E731
+                pairs |= nearest_pairs(column("fp"), column("n"), np.stack([column("f0"), column("f1")], axis=1), similarity)
+            return {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
+
+        return step
+
+    pairs = materialize(map_rows(lists.select("members"), "a bigint, b bigint", make).distinct(), "near-pairs")
+    involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    sets = materialize(signed_.groupBy("fp").agg(*first("hashes")).join(involved, "fp"), "shingle-sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: key, fingerprint (hex) and component_id, the smallest key that pairs of at least
+    this Jaccard similarity of their word shingles reach."""
+    prints = materialize(signatures(docs, key=key, text=text, words=words, carry=carry), "signatures")
+    named = name_components(prints.select(key, *carry, "fp", "f0"), lambda _: similar_edges(prints, similarity), key)
+    return named.select(key, *carry, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
     """``docs`` with one document per component: the one of the smallest key.
 
-    Of rows that repeat that key and its text one stays. Rows without a key stay unless their
-    component has a key, for nothing else names one of them.
+    Components are those of ``near_duplicates``, or with a similarity of ``similar_documents``. Of rows
+    that repeat that key and its text one stays. Rows without a key stay unless their component
+    has a key, for nothing else names one of them.
     """
     columns = docs.columns
-    docs = docs.select("*", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"))
-    marks = near_duplicates(docs, key=key, text=text, carry=("_key", "_hash"))
-    kept = marks.where(F.col(key).eqNullSafe(F.col("component_id"))).select("_key", "_hash").distinct()
-    return docs.join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*columns)
+    name, digest = fresh("_key", docs), fresh("_hash", docs)
+    docs = docs.select("*", F.coalesce(F.col(key).cast("string"), F.lit("")).alias(name), F.xxhash64(F.coalesce(text, F.lit(""))).alias(digest))
+    narrow = docs.select(F.col(key).alias("id"), F.col(text).alias("body"), F.col(name).alias("shown"), F.col(digest).alias("digest"))
+    marked = {"key": "id", "text": "body", "carry": ("shown", "digest")}
+    marks = near_duplicates(narrow, **marked) if similarity is None else similar_documents(narrow, similarity=similarity, **marked)
+    kept = marks.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("shown").alias(name), F.col("digest").alias(digest)).distinct()
+    return docs.join(kept, [name, digest], "left_semi").dropDuplicates([name, digest]).select(*columns)

@@ -8,7 +8,7 @@ from lexispark.llm import language_id, toxicity
 from lexispark.llm.common import materialize, read_table
 from test_exact_dedup import low
 from test_packing import check_layout
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_similar
 
 
 def test_against_brute_force(spark):
@@ -41,7 +41,7 @@ def test_against_brute_force(spark):
     rows = list(best.values())
     assert kept[2] == sorted(r["doc_id"] for r in rows)
 
-    component = brute_components([(r["doc_id"], brute_fingerprint(r["text"])) for r in rows])
+    component = brute_similar([(r["doc_id"], r["text"]) for r in rows])
     rows = [r for r in rows if component[r["doc_id"]] == r["doc_id"]]
     assert kept[3] == sorted(r["doc_id"] for r in rows)
 
@@ -61,9 +61,18 @@ def test_repeated_rows_and_clashing_columns(spark):
     text = "some quite ordinary words that stand in one line for this test of the stages"
     base = read_table(spark, "/root/testdata/sf0.001", "documents").where("doc_id < 60")
     extra = spark.createDataFrame([(100_000, text, "en", "s", 1), (100_000, text, "en", "s", 1), (100_001, None, None, None, None)], base.schema)
-    docs = base.unionByName(extra).selectExpr("*", "1 AS kept", "'x' AS score", "'y' AS fingerprint")
+    docs = base.unionByName(extra).selectExpr("*", "1 AS kept", "'x' AS score", "'y' AS fingerprint", "1 AS _key", "2 AS _sha", "3 AS _hash", "4 AS h", "5 AS fp", "6 AS cell", "7 AS rows", "8 AS k", "9 AS label", "10 AS l")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = materialize(stage(spark, docs, "/root/testdata/sf0.001"), name)
-        assert docs.columns[-3:] == ["kept", "score", "fingerprint"]
+        assert docs.columns[5:8] == ["kept", "score", "fingerprint"] and docs.columns[-1] == "l"
     assert docs.where("doc_id = 100000").count() == 1
     assert docs.where("doc_id = 100001").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
+    assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_empty_table(spark):
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, "/root/testdata/sf0.001"), name)
+        assert docs.count() == 0

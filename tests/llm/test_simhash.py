@@ -110,3 +110,79 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "8", "None"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def brute_shingles(text, words=5):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        lowered = lowered.replace(c, " ")
+    own = [w for w in lowered.split(" ") if w]
+    return {" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def brute_similar(docs, similarity=0.8):
+    """{doc_id: smallest doc_id reachable} by the Jaccard similarity of all pairs."""
+    sets = {i: brute_shingles(t) for i, t in docs}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and (a == b or len(a & b) >= similarity * len(a | b)):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in sets}
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+    return words
+
+
+def test_similar_documents_are_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(500)]
+    docs, passage = [], rng.choices(vocabulary, k=60)
+    for _ in range(60):
+        base = rng.choices(vocabulary, k=rng.randrange(4, 150))
+        if rng.random() < 0.4:
+            base += passage  # shared by many documents that are not near copies
+        docs += [(len(docs) + n, " ".join(edited(rng, base, rng.choice([0, 1, 1, 2, 3])))) for n in range(rng.choice([1, 1, 2, 5, 9]))]
+    docs += [(len(docs), None), (len(docs) + 1, ""), (len(docs) + 2, " \t"), (len(docs) + 3, "one two"), (len(docs) + 4, "One  TWO")]
+    table = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in docs], "doc_id bigint, text string, fp int, n int, hashes int, values int").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+    assert got == brute_similar(docs)
+
+
+def test_long_lists_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIST_MEMBERS", 16)
+    rng = random.Random(3)
+    base = rng.choices([f"w{i}" for i in range(900)], k=300)
+    docs = [(i, " ".join(edited(rng, base, rng.randrange(1, 6)))) for i in range(120)] + [(200, "something else that stands alone here")]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+    assert got == brute_similar(docs) and set(got.values()) == {0, 200}
+
+
+def test_similar_documents_on_a_whole_table(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = brute_similar([(r.doc_id, r.text) for r in table.collect()])
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()} == want
+
+
+def test_keep_first_with_clashing_columns_and_edges(spark):
+    text = "some quite ordinary words that stand in one line for this test"
+    schema = "doc_id bigint, text string, _key string, _hash int, fp int, id int, body int, shown int, digest int, component_id int, rows int"
+    rows = [(i, t, "k", 1, 2, 3, 4, 5, 6, 7, 8) for i, t in [(4, text), (2, text + " again"), (2, text + " again"), (None, "alone here"), (7, None)]]
+    docs = spark.createDataFrame(rows, schema)
+    kept = simhash.keep_first(docs, similarity=0.8)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r._key) for r in kept.collect()) == [("2", "k"), ("7", "k"), ("None", "k")]
+    assert simhash.keep_first(docs).count() == 4  # the last word is more than 3 bits
+    empty = spark.createDataFrame([], schema)
+    assert simhash.keep_first(empty).count() == simhash.keep_first(empty, similarity=0.8).count() == simhash.similar_documents(empty).count() == 0
