@@ -9,16 +9,22 @@ segmentations (forward and backward pass) of EM, started from equal probabilitie
 Words are runs of letters in lower case with the word-start mark; what has no letters says
 nothing about the language. Forward passes are run for many words of one length at a time.
 
-The fit reads a bounded sample, ``FIT_DOCS`` documents of each language by hash of at most
-``FIT_CHARS`` characters. What is broadcast is a table of pieces times languages.
+The fit reads a bounded sample: ``FIT_DOCS`` documents of each language by hash of their keys, whole and
+of any length, and of their distinct words the ``FIT_WORDS`` most frequent. What is broadcast is a table
+of pieces times languages. The score is the posterior of the predicted language, all being equally
+likely beforehand.
 
 Edge cases: null and empty texts and texts without a letter are ``und`` with score 0; without
 labelled rows every text is ``und`` with score 0; ties go to the alphabetically first language;
-very long words are scored exactly, by a scaled pass; repeated rows repeat their result.
+very long words are learned and scored exactly, by passes kept in range; very long texts are read
+whole; rows with a null key are predicted but not learned; repeated rows repeat their result; an
+empty table gives no rows; extra columns, whatever their names, are ignored, and carried by
+``keep_determined``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import lru_cache
@@ -31,7 +37,7 @@ from lexispark.llm.common import filter_rows, fold, letters, map_rows, materiali
 
 UNDETERMINED = "und"
 FIT_DOCS = 400
-FIT_CHARS = 20_000
+FIT_WORDS = 100_000
 ROUNDS = 3
 #: Smoothing of piece probabilities, and the probability of a character outside the vocabulary.
 ALPHA = 0.02
@@ -39,8 +45,6 @@ UNKNOWN = 1e-8
 #: Words up to this length are scored in batches; longer ones by the scaled pass.
 BATCH_LENGTH = 28
 CACHE_WORDS = 300_000
-#: The score is the posterior as if the text had at most so many words of its mean evidence.
-EVIDENCE_WORDS = 10
 
 _WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -125,13 +129,36 @@ class Segmenter:
                 recent = recent[-self.longest :]
         return scale + np.log(np.maximum(recent[-1], 1e-300))
 
+    def _long_counts(self, word: str, count: float, theta: np.ndarray) -> np.ndarray:
+        """Expected piece counts of one long word, by passes over logarithms."""
+        text = MARK + word
+        n, add = len(text), np.logaddexp.reduce
+        spans = [[(i, self.index.get(text[i:j], -1 if j - i == 1 else 0)) for i in range(max(0, j - self.longest), j)] for j in range(1, n + 1)]
+        spans = [[(i, row) for i, row in own if row] for own in spans]  # by end: (start, row) of pieces
+        forward, backward = np.full(n + 1, -np.inf), [[] for _ in range(n + 1)]
+        forward[0], log = 0.0, np.log(np.maximum(theta, 1e-300))
+        for j, own in enumerate(spans, 1):
+            forward[j] = add([forward[i] + log[row] for i, row in own])
+        total, after = np.zeros(len(theta)), np.full(n + 1, -np.inf)
+        after[n] = 0.0
+        for j in range(n, 0, -1):
+            if backward[j]:
+                after[j] = add(backward[j])
+            for i, row in spans[j - 1]:
+                backward[i].append(after[j] + log[row])
+                total[row] += count * np.exp(forward[i] + log[row] + after[j] - forward[n])
+            backward[j] = []
+        return total
+
     def expected_counts(self, batches: list, counts: np.ndarray, theta: np.ndarray) -> np.ndarray:
         """Expected piece counts over all segmentations of weighted words (one language), given
-        as the batches of ``by_length``."""
+        as batches of ``by_length``; a long word stands for its position."""
         total = np.zeros(len(theta))
         for own, rows, by_end in batches:
             if rows is None:
-                continue  # words longer than a batch takes part in scoring alone
+                word, k = own
+                total += self._long_counts(word, counts[k], theta)
+                continue
             n = len(by_end) - 1
             p = theta[rows]
             forward, backward = np.zeros((n + 1, len(own))), np.zeros((n + 1, len(own)))
@@ -165,7 +192,7 @@ def fit(words: dict[str, Counter], pieces: list[str]) -> Model:
         distinct = sorted(words[language])
         counts = np.array([words[language][w] for w in distinct], dtype=np.float64)
         theta = np.full(segmenter.size + 2, 1.0 / max(1, segmenter.size))
-        batches = list(segmenter.by_length(distinct))
+        batches = [((distinct[own[0]], own[0]) if rows is None else own, rows, by_end) for own, rows, by_end in segmenter.by_length(distinct)]
         for _ in range(ROUNDS):
             theta[0], theta[-1] = 0.0, UNKNOWN
             expected = segmenter.expected_counts(batches, counts, theta)[1:-1] + ALPHA
@@ -182,20 +209,36 @@ def split_words(text: str | None) -> list[str]:
 def fit_from_table(docs: DataFrame, pieces: list[str], *, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2) -> Model:
     """Fit from labelled documents outside the held-out fold.
 
-    At most FIT_DOCS texts a language are brought together; they are chosen before any text is
-    moved, by ranking keys alone.
+    FIT_DOCS keys a language are chosen by hash before any text is read: rows whose hash is beyond
+    what so many of a language's keys need go at once, the few that are left are ranked.
     """
-    usable = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.length(text).alias("n"))
-    usable = usable.where(F.col("lang").isNotNull() & F.col("k").isNotNull() & F.col("n").between(1, FIT_CHARS) & (fold("k", folds) != held_out))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k"))
-    chosen = usable.select("k", "lang").withColumn("rank", rank).where(F.col("rank") <= FIT_DOCS).select("k", F.col("lang").alias("l"))
-    chosen = materialize(chosen, "language-sample")
+    usable = docs.select(F.col(key).alias("k"), F.col(lang).alias("l")).where("l IS NOT NULL AND k IS NOT NULL")
+    usable = usable.where(fold("k", folds) != held_out).distinct()
+    sizes = usable.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    draw = F.shiftrightunsigned(F.xxhash64("k"), 11) / F.lit(float(1 << 53))
+    enough = FIT_DOCS + 8 * math.sqrt(FIT_DOCS) + 40  # fewer than FIT_DOCS are left with a chance below 1e-12
+    near = usable.withColumn("draw", draw).join(sizes, "l").where(F.col("draw") * F.col("n") <= enough)
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("draw", "k"))
+    chosen = materialize(near.select("k", "l", rank.alias("rank")).where(F.col("rank") <= FIT_DOCS).drop("rank"), "language-sample")
     # FIT_DOCS keys a language: a bounded side.
-    texts = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("_text")).join(F.broadcast(chosen.distinct()), ["k", "l"])
+    texts = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).join(F.broadcast(chosen), ["k", "l"])
+
+    def make():
+        def step(rows):
+            found: dict[tuple, int] = {}
+            for language, value in zip(rows["l"], rows["t"], strict=True):
+                for word in split_words(value):
+                    found[language, word] = found.get((language, word), 0) + 1
+            return {"l": [x for x, _ in found], "word": [w for _, w in found], "n": list(found.values())}
+
+        return step
+
+    counts = map_rows(texts.select("l", "t"), "l string, word string, n bigint", make).groupBy("l", "word").agg(F.sum("n").alias("n"))
+    often = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "word"))
     words: dict[str, Counter] = {}
-    for row in texts.select("l", "_text").toLocalIterator():
-        words.setdefault(row["l"], Counter()).update(split_words(row["_text"]))
-    return fit({k: v for k, v in words.items() if v}, pieces)
+    for row in counts.withColumn("rank", often).where(F.col("rank") <= FIT_WORDS).toLocalIterator():
+        words.setdefault(row["l"], Counter())[row["word"]] = row["n"]
+    return fit(words, pieces)
 
 
 class Predictor:
@@ -230,8 +273,8 @@ class Predictor:
                     labels.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                mean = self.logs[np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))].mean(axis=0)
-                evidence = np.exp((mean - mean.max()) * min(len(own), EVIDENCE_WORDS))
+                total = self.logs[np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))].sum(axis=0)
+                evidence = np.exp(total - total.max())
                 best = int(evidence.argmax())
                 labels.append(languages[best])
                 scores.append(float(evidence[best] / evidence.sum()))
@@ -241,17 +284,18 @@ class Predictor:
 def predict_texts(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) of every text; a narrow map."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def make():
         predictor = Predictor(shared.value)
 
         def step(rows):
-            labels, scores = predictor.predict(rows[text])
-            return {key: rows[key], "lang_pred": labels, "score": scores}
+            labels, scores = predictor.predict(rows["t"])
+            return {"k": rows["k"], "lang_pred": labels, "score": scores}
 
         return step
 
-    return map_rows(docs.select(key, text), f"{key} {dict(docs.dtypes)[key]}, lang_pred string, score double", make)
+    return map_rows(rows, f"k {dict(rows.dtypes)['k']}, lang_pred string, score double", make).withColumnRenamed("k", key)
 
 
 def keep_determined(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.5) -> DataFrame:

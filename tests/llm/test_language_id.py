@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -122,3 +123,54 @@ def test_query_on_whole_table(spark, sf_dir):
     assert len(got) == len(docs)
     held = [r for r in docs if got[r.doc_id].held_out and r.lang]
     assert held and sum(got[r.doc_id].lang_pred == r.lang for r in held) >= 0.98 * len(held)
+
+
+def test_long_words_are_learned():
+    seg, t = tables(np.random.default_rng(4), 1)
+    word = "abacabxb" * 5  # 40 letters
+    batches = [((word, 0), None, None)]
+    got = seg.expected_counts(batches, np.array([2.0]), t[:, 0])
+    short = "abacab"
+    assert seg._long_counts(short, 3.0, t[:, 0]) == pytest.approx(3 * brute_counts(short, t[:, 0], seg.index, len(t)))
+    lengths = np.array([0, *map(len, PIECES), 1])
+    assert got @ lengths == pytest.approx(2 * 41)  # every segmentation covers the word and its mark
+    model = L.fit({"aa": Counter({word: 5}), "bb": Counter({"cccc" * 10: 5})}, PIECES)
+    assert L.Predictor(model).predict([word, "c" * 40])[0] == ["aa", "bb"]
+
+
+def test_query_is_brute_force_on_a_small_table(spark, monkeypatch):
+    monkeypatch.setattr(L, "FIT_DOCS", 6)
+    rng = random.Random(5)
+    docs = []
+    for i in range(60):
+        lang = rng.choice(["p", "q", None])
+        letters_ = {"p": "aaab", "q": "abbc", None: "abc"}[lang]
+        docs.append((i, " ".join("".join(rng.choice(letters_) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(0, 5))), lang))
+    docs += [(100, None, "p"), (101, "12", "q"), (None, "ab", "p"), (7, "zz " + "ab" * 20, "p")]
+    table = spark.createDataFrame([(*d, 1, 2, 3, 4) for d in docs], "doc_id bigint, text string, lang string, k int, l int, t int, word int").repartition(3)
+    model = L.fit_from_table(table, PIECES)
+    got = {(r.doc_id, r.lang_pred): r.score for r in L.predict_texts(table, model).collect()}
+
+    # the same by plain loops: choice, EM over all segmentations, products over words
+    order = dict(table.selectExpr("doc_id", "shiftrightunsigned(xxhash64(doc_id), 11) AS h").distinct().collect())
+    index = {piece: i + 1 for i, piece in enumerate(PIECES)}
+    theta = {}
+    for lang in ("p", "q"):
+        keys = {i for i, _, own in docs if own == lang and i is not None and zlib.crc32(str(i).encode()) % 4 != 2}
+        chosen = sorted(keys, key=lambda i: (order[i], i))[:6]
+        words = Counter(w for i, t, own in docs if own == lang and i in chosen for w in (t or "").split() if w.isalpha())
+        p = np.full(len(PIECES) + 2, 1.0 / len(PIECES))
+        for _ in range(L.ROUNDS):
+            p[0], p[-1] = 0.0, L.UNKNOWN
+            expected = sum((n * (brute_counts(w, p, index, len(p)) if len(w) < 20 else L.Segmenter(PIECES)._long_counts(w, 1.0, p)) for w, n in words.items()), np.zeros(len(p)))[1:-1] + L.ALPHA
+            p[1:-1] = expected / expected.sum()
+        p[-1] = L.UNKNOWN
+        theta[lang] = p
+    for i, text, _ in docs:
+        words = [w for w in (text or "").split() if w.isalpha()]
+        if not words:
+            assert got[i, "und"] == 0.0
+            continue
+        product = {lang: np.prod([brute(w, theta[lang], index) if len(w) < 20 else np.exp(L.Segmenter(PIECES)._scaled(w, theta[lang][:, None])[0]) for w in words]) for lang in theta}
+        best = max(sorted(product), key=product.get)
+        assert got[i, best] == pytest.approx(product[best] / sum(product.values()))
