@@ -89,7 +89,7 @@ class WordTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         self.tokenizer = tokenizers.Tokenizer.from_str(data.decode("utf-8"))
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -137,7 +137,7 @@ class WordTokenizer:
 
         for text in texts:
             text = text or ""
-            if needs_whole(text):
+            if needs_whole(text) or any(token in text for token in self.special):
                 pending.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
             else:
                 pending.append(text.lower().split())

@@ -17,9 +17,7 @@ FILE = P.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = tokenizers.Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(FILE)
 
 
 def texts():
@@ -27,7 +25,7 @@ def texts():
     for alphabet in ["abc d", "It's we'll x9 ", "éñÜß…œ ab", "\t\n\x1c\x85\xa0 ab!?", "ΣİıſŁ中 a", "".join(map(chr, range(33, 0x180)))]:
         for _ in range(60):
             yield "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 50)))
-    yield from ["", None, "x" * 5000, "'s'd''re!'", "<|endoftext|> a", "word " * 9000]
+    yield from ["", None, "x" * 5000, "'s'd''re!'", "<|endoftext|> a", "a<|endoftext|>b", "A <|ENDOFTEXT|> b", "x<|startoftext|> y<|endoftext|><|endoftext|>", "word " * 9000]
 
 
 def test_ids_equal_the_library(library, monkeypatch):
