@@ -30,9 +30,8 @@ from lexispark.llm.common import filter_rows, fold, map_rows
 #: Labelled documents of each class that the fit reads, and the longest text among them.
 FIT_ROWS = 4_000
 FIT_CHARS = 20_000
-#: Slots of the weight table (a power of two) and features kept after screening.
+#: Slots of the weight table (a power of two).
 SLOTS = 1 << 18
-KEPT = 30_000
 #: Screening: toxic documents that hold a feature, in standard deviations beyond chance and at least.
 LEAST_EXCESS = 3.5
 LEAST_SUPPORT = 4
@@ -113,7 +112,6 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     share = (seen1 + seen0) / n_docs
     excess = (seen1 - n1 * share) / np.sqrt(np.maximum(n1 * n0 / n_docs * share * (1 - share), 1e-12))
     kept = np.flatnonzero((excess >= LEAST_EXCESS) & (seen1 >= LEAST_SUPPORT))
-    kept = kept[np.argsort(-excess[kept], kind="stable")][:KEPT]
     dense = np.full(SLOTS, -1, dtype=np.int64)
     dense[kept] = np.arange(len(kept))
     use = dense[slot] >= 0
