@@ -1,22 +1,26 @@
 """Exact top-k inner products by norm order and rotated partial sums (operator 2).
 
 Vectors are made of integers, so scores are exact. Candidates are dealt into blocks by
-descending length. Every query first meets the head, a fixed number of the longest vectors,
-which gives a lower bound t of its k-th best score. A block whose longest vector cannot reach t
-(|q| |c| < t, Cauchy-Schwarz) is never paired with the query's block: blocks of queries and
-candidates are paired by that inequality of their metadata, and only then meet. In a pair,
-coordinates are rotated by the singular vectors of a sample, which moves most of the length to
-the first ones; partial sums over those plus the product of the residual lengths bound each
-score, and only what reaches t is multiplied out in integers.
+descending length, and the blocks are gone through in that order, in bands that grow fourfold. After
+a band every query knows the k-th best score it has so far, its threshold t; in the next one it
+only meets blocks whose longest vector can reach it (|q| |c| >= t, Cauchy-Schwarz), and as lengths fall
+those are the first ones of the band. Queries of similar need t / |q| share a block, so a query
+block is paired with a run of numbered candidate blocks by an equi-join; the search ends with
+the band in which no query can gain any more. In a pair, coordinates are rotated by the singular
+vectors of a sample, which moves most of the length to the first ones; partial sums over those
+plus the product of the residual lengths bound each score, and only what reaches t is multiplied
+out in integers.
 
 The query set is a stated part of the rows and is held against all rows in blocks; each pair
 returns at most k rows per query, and the k best of those are taken by a window.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor rows
-without an id; vectors of unequal size are padded with zeros; rows that repeat an id and its
-vector count once; where one id has several vectors each is a candidate, and as a query they
-are ranked together; fewer than k candidates are all returned; no queries, no rows; components
-beyond 64 bits are saturated and such scores are summed in unbounded integers, then clamped.
+without an id; vectors of unequal size are padded with zeros, empty ones are zero; every row is a
+candidate of every other, so repeated rows and rows of one id count each, also against each other,
+and each is a query of its own; fewer than k candidates are all returned; ties go to the smaller
+id; no queries, or an empty table, no rows; very long vectors are read whole; components beyond
+64 bits are saturated and such scores are summed in unbounded integers, then clamped; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,22 +33,25 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.common import materialize
 
-#: Vectors of a candidate block, of a query block, of the head, and of the rotation's sample.
+#: Vectors of a candidate block, of a query block, and of the rotation's sample.
 BLOCK = 4096
 QUERY_BLOCK = 512
-HEAD = 2048
 SAMPLE = 2000
+#: A band ends at so many times the blocks before it; lengths by which a band's blocks are found.
+GROWTH = 4
+EDGES = 1024
 #: Share of a pair of blocks above which survivors are taken from one matrix product.
 DENSE = 0.02
 LONG = (1 << 63) - 1
 
 
 def quantised(table: DataFrame, *, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
-    """(id, v array<bigint>, norm): floor(scale * x) of the vectors that take part."""
+    """(row, id, v array<bigint>, norm): floor(scale * x) of the vectors that take part; to be
+    written before row is used."""
     x = F.col(vector)
     usable = F.col(key).isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     ints = F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")))
-    rows = table.where(usable).select(F.col(key).alias("id"), ints.alias("v")).distinct()
+    rows = table.where(usable).select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), ints.alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double")))
     return rows.withColumn("norm", norm)
 
@@ -84,10 +91,10 @@ def best_k(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.
 
 
 class Block:
-    """Ids, integers and lengths of some vectors."""
+    """Row numbers, ids, integers and lengths of some vectors, and the scores that queries need."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, bound: np.ndarray | None = None):
-        self.ids, self.v, self.bound = ids, v, bound
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, bound: np.ndarray | None = None):
+        self.rows, self.ids, self.v, self.bound = rows, ids, v, bound
         self.f = v.astype(np.float64)
         self.norm = np.sqrt((self.f * self.f).sum(axis=1))
 
@@ -107,56 +114,44 @@ def survivors(q: Block, c: Block, rotation: np.ndarray) -> tuple[np.ndarray, np.
     used = np.flatnonzero(reach)
     if not len(used):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    part = Block(c.ids[used], c.v[used])
+    part = Block(c.rows[used], c.ids[used], c.v[used])
     (ql, qr), (cl, cr) = q.rotated(rotation, first), part.rotated(rotation, first)
     bound = ql @ cl.T + qr[:, None] * cr[None, :] + slack[:, used]
     rows, cols = np.nonzero((bound >= q.bound[:, None]) & alive[:, used])
     return rows, used[cols]
 
 
-def top_of(q: Block, c: Block, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score): each query's k best in a block that reach its bound."""
+def top_of(q: Block, c: Block, rotation: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query's row, query's id, candidate's id, score): each query's k best in a block that reach
+    its bound."""
     rows, cols = survivors(q, c, rotation)
-    other = q.ids[rows] != c.ids[cols]
+    other = q.rows[rows] != c.rows[cols]
     rows, cols = rows[other], cols[other]
     scores = exact_products(q.v, c.v, rows, cols)
     enough = scores >= q.bound[rows]
     rows, cols, scores = rows[enough], cols[enough], scores[enough]
     best = best_k(rows, c.ids[cols], scores, k)
-    return q.ids[rows[best]], c.ids[cols[best]], scores[best]
-
-
-def kth_scores(q: Block, head: Block, k: int) -> np.ndarray:
-    """A lower bound of each query's k-th best score: its k-th best within the head."""
-    out = np.full(len(q.ids), -np.inf)
-    for at in range(0, len(q.ids), 256):
-        part = slice(at, at + 256)
-        approx = q.f[part] @ head.f.T
-        approx[q.ids[part][:, None] == head.ids[None, :]] = -np.inf
-        if approx.shape[1] >= k:
-            # rounding of the float product only loosens the bound
-            out[part] = np.partition(approx, -k, axis=1)[:, -k] - 1e-9 * q.norm[part] * head.norm.max(initial=0) - 1e-6
-    return out
+    return q.rows[rows[best]], q.ids[rows[best]], c.ids[cols[best]], scores[best]
+
+
+_BLOCK_SCHEMA = "part int, serial bigint, edge double, rows binary, ids binary, v binary, bound binary"
 
 
-def _block_rows(width: int, size: int, extra: str | None):
-    """mapInArrow function: vectors of a task, in order, into block rows."""
+def _block_rows(width: int, size: int, queries: bool):
+    """mapInArrow function: vectors of a task, in order, into block rows. The edge of candidates is
+    their greatest length, that of queries the least length that any of them needs."""
+    schema = pa.schema([("part", pa.int32()), ("serial", pa.int64()), ("edge", pa.float64())] + [(c, pa.binary()) for c in ("rows", "ids", "v", "bound")])
 
     def run(batches):
         part, serial, held, count = TaskContext.get().partitionId(), 0, [], 0
 
         def emit(rows: pa.Table):
             nonlocal serial
-            ids, v = rows["id"].to_numpy(), _matrix(rows["v"].combine_chunks(), width)
-            norm = rows["norm"].to_numpy()
-            bound = rows[extra].to_numpy() if extra else np.zeros(len(ids))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                need = np.where(norm > 0, bound / norm, -np.inf) if extra else norm
-            edge = float(np.min(need)) if extra else float(norm.max())
-            yield pa.RecordBatch.from_pydict(
-                {"block": [part << 32 | serial], "edge": [edge - 1e-6 - 1e-9 * abs(edge) if extra and np.isfinite(edge) else edge], "ids": [ids.astype("<i8").tobytes()], "v": [v.astype("<i8").tobytes()], "bound": [bound.astype("<f8").tobytes()]},
-                schema=pa.schema([("block", pa.int64()), ("edge", pa.float64()), ("ids", pa.binary()), ("v", pa.binary()), ("bound", pa.binary())]),
-            )
+            number, ids, v = rows["row"].to_numpy(), rows["id"].to_numpy(), _matrix(rows["v"].combine_chunks(), width)
+            bound = rows["bound"].to_numpy() if queries else np.zeros(len(ids))
+            edge = float(rows["need"].to_numpy().min()) if queries else float(rows["norm"].to_numpy().max())
+            packed = {"rows": number.astype("<i8"), "ids": ids.astype("<i8"), "v": v.astype("<i8"), "bound": bound.astype("<f8")}
+            yield pa.RecordBatch.from_pydict({"part": [part], "serial": [serial], "edge": [edge]} | {c: [x.tobytes()] for c, x in packed.items()}, schema=schema)
             serial += 1
 
         for batch in batches:
@@ -172,12 +167,9 @@ def _block_rows(width: int, size: int, extra: str | None):
     return run
 
 
-_BLOCK_SCHEMA = "block bigint, edge double, ids binary, v binary, bound binary"
-
-
 def rotation_of(vectors: DataFrame, width: int) -> np.ndarray:
     """Right singular vectors of a bounded sample; any rotation gives exact results."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+    rows = vectors.orderBy(F.xxhash64("id", "row"), "row").limit(SAMPLE).select("v").toArrow()
     if not rows.num_rows:
         return np.eye(width)
     x = _matrix(rows["v"].combine_chunks(), width).astype(np.float64)
@@ -185,45 +177,61 @@ def rotation_of(vectors: DataFrame, width: int) -> np.ndarray:
     return np.linalg.svd(x / scale, full_matrices=True)[2].T
 
 
-def exact_top_k(table: DataFrame, k: int = 20, *, key: str = "vec_id", vector: str = "embedding", every: int = 20, scale: int = 64) -> DataFrame:
-    """query_id, rank, vec_id, score of the rows whose id is divisible by ``every``."""
+def numbered(blocks: DataFrame) -> DataFrame:
+    """Blocks with their number ``at`` in the order of parts, which is that of their lengths."""
+    counts = blocks.groupBy("part").agg((F.max("serial") + 1).alias("n")).orderBy("part").collect()  # a row per task
+    firsts = np.cumsum([0, *(r["n"] for r in counts)])[:-1].tolist()
+    offsets = blocks.sparkSession.createDataFrame([(r["part"], first) for r, first in zip(counts, firsts, strict=True)], "part int, first bigint")
+    return blocks.join(F.broadcast(offsets), "part").withColumn("at", F.col("first") + F.col("serial")).drop("first")
+
+
+def exact_top_k(table: DataFrame, k: int = 20, *, key: str = "vec_id", vector: str = "embedding", every: int = 20, scale: int = 64, trace: list | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the rows whose id is divisible by ``every``. To ``trace``, if
+    given, each band adds (pairs of blocks that met, pairs of blocks)."""
     spark = table.sparkSession
     vectors = materialize(quantised(table, key=key, vector=vector, scale=scale), "vectors")
     width = max(1, vectors.agg(F.max(F.size("v"))).first()[0] or 0)  # a vector without components is zero
     rotation = spark.sparkContext.broadcast(rotation_of(vectors, width))
-    longest = vectors.orderBy(F.desc("norm"), "id").limit(HEAD).select("id", "v").toArrow()  # HEAD rows
-    head_ids = longest["id"].to_numpy()
-    head_v = _matrix(longest["v"].combine_chunks(), width) if longest.num_rows else np.zeros((0, width), np.int64)
-    head = spark.sparkContext.broadcast((head_ids, head_v))
-
-    def bounds(batches):
-        top = Block(*head.value)
-        for batch in batches:
-            q = Block(batch.column("id").to_numpy(), _matrix(batch.column("v"), width))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kth_scores(q, top, k))], names=["id", "v", "norm", "bound"])
-
-    queries = vectors.where(F.col("id") % every == 0).mapInArrow(bounds, "id bigint, v array<bigint>, norm double, bound double")
-    need = F.when(F.col("norm") > 0, F.col("bound") / F.col("norm")).otherwise(F.lit(float("-inf")))
-    query_blocks = queries.repartitionByRange(need).sortWithinPartitions(need).mapInArrow(_block_rows(width, QUERY_BLOCK, "bound"), _BLOCK_SCHEMA)
-    query_blocks = materialize(query_blocks, "query-blocks")
-    blocks = vectors.repartitionByRange(F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").mapInArrow(_block_rows(width, BLOCK, None), _BLOCK_SCHEMA)
+    by_length = (F.desc("norm"), F.asc("row"))
+    blocks = vectors.repartitionByRange(*by_length).sortWithinPartitions(*by_length).mapInArrow(_block_rows(width, BLOCK, False), _BLOCK_SCHEMA)
     blocks = materialize(blocks, "candidate-blocks")
-
-    # Metadata decides which blocks meet; the vectors follow by equi-joins.
-    left = query_blocks.select(F.col("block").alias("qb"), F.col("edge").alias("need"))
-    right = blocks.select(F.col("block").alias("cb"), F.col("edge").alias("longest"))
-    meet = left.join(right, F.col("longest") >= F.col("need")).select("qb", "cb")
-    pairs = meet.join(query_blocks.select(F.col("block").alias("qb"), F.col("ids").alias("qids"), F.col("v").alias("qv"), F.col("bound").alias("qbound")), "qb")
-    pairs = pairs.join(blocks.select(F.col("block").alias("cb"), F.col("ids").alias("cids"), F.col("v").alias("cv")), "cb")
+    total = blocks.count()
+    blocks = numbered(blocks)
+    queries = vectors.where(F.col("id") % every == 0)
 
     def score(batches):
         for batch in batches:
-            for row in batch.select(["qids", "qv", "qbound", "cids", "cv"]).to_pylist():
-                q = Block(np.frombuffer(row["qids"], "<i8"), np.frombuffer(row["qv"], "<i8").reshape(-1, width), np.frombuffer(row["qbound"], "<f8"))
-                c = Block(np.frombuffer(row["cids"], "<i8"), np.frombuffer(row["cv"], "<i8").reshape(-1, width))
-                found = top_of(q, c, rotation.value, k)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(score, "query_id bigint, vec_id bigint, score bigint")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for row in batch.to_pylist():
+                q = Block(np.frombuffer(row["rows"], "<i8"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["v"], "<i8").reshape(-1, width), np.frombuffer(row["bound"], "<f8"))
+                c = Block(np.frombuffer(row["crows"], "<i8"), np.frombuffer(row["cids"], "<i8"), np.frombuffer(row["cv"], "<i8").reshape(-1, width))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, top_of(q, c, rotation.value, k))), names=["row", "query_id", "vec_id", "score"])
+
+    schema = "row bigint, query_id bigint, vec_id bigint, score bigint"
+    best = spark.createDataFrame([], schema + ", rank int")
+    low, high = 0, 1
+    while low < total:
+        # the k-th best so far; rounding of large scores only loosens it
+        kth = best.where(F.col("rank") == k).select("row", (F.col("score") - F.abs("score") * 1e-12).cast("double").alias("bound"))
+        need = F.when(F.col("norm") > 0, F.col("bound") / F.col("norm")).otherwise(F.lit(float("-inf")))
+        known = queries.join(kth, "row", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))).withColumn("need", need - F.abs(need) * 1e-9 - 1e-6)
+        known = known.withColumn("need", F.when(F.isnan("need"), F.lit(float("-inf"))).otherwise(F.col("need")))
+        asked = known.repartitionByRange("need", "row").sortWithinPartitions("need", "row").mapInArrow(_block_rows(width, QUERY_BLOCK, True), _BLOCK_SCHEMA)
+        asked = materialize(asked, "query-blocks")
+
+        step = -(-(high - low) // EDGES)
+        band = blocks.where(F.col("at").between(low, high - 1)).withColumn("run", F.expr(f"(at - {low}) div {step}"))
+        edges = [r["edge"] for r in band.where((F.col("at") - low) % step == 0).orderBy("at").select("edge").collect()]  # EDGES at most
+        reach = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e >= F.col("edge")))
+        met = asked.withColumn("reach", reach)
+        pairs, asking = met.agg(F.sum("reach"), F.count(F.lit(1))).first()
+        if trace is not None:
+            trace.append((pairs or 0, asking * len(edges)))
+        if not pairs:
+            break
+        runs = met.where("reach > 0").select("rows", "ids", "v", "bound", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("reach").cast("bigint") - 1)).alias("run"))
+        joined = runs.join(band.select("run", F.col("rows").alias("crows"), F.col("ids").alias("cids"), F.col("v").alias("cv")), "run").drop("run")
+        found = joined.mapInArrow(score, schema).unionByName(best.select("row", "query_id", "vec_id", "score"))
+        place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+        best = materialize(found.withColumn("rank", place).where(F.col("rank") <= k), "best-so-far")
+        low, high = high, min(total, high * GROWTH)
+    return best.select("query_id", "rank", "vec_id", "score")

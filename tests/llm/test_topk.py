@@ -9,15 +9,12 @@ from lexispark.llm import topk
 
 
 def brute(rows, k, every):
-    """rows: (vec_id, list or None) without repeated ids."""
-    ints = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            ints[i] = [math.floor(64 * float(np.float32(x))) for x in v]
+    """rows: (vec_id, list or None); every row is a candidate of every other."""
+    ints = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in ints:
+    for n, (q, u) in enumerate(ints):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(ints[q], ints[c], strict=False)), c) for c in ints if c != q)
+            scored = sorted((-sum(a * b for a, b in zip(u, v, strict=False)), c) for m, (c, v) in enumerate(ints) if m != n)
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -31,7 +28,7 @@ def run(spark, rows, k=20, every=20):
 def test_is_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(topk, "BLOCK", 64)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(topk, "HEAD", 50)
+    monkeypatch.setattr(topk, "EDGES", 3)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 12))
     if kind == "equal norms":
@@ -58,11 +55,37 @@ def test_exact_products_agree_however_they_are_made(monkeypatch):
 def test_edges(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf")]), (5, []), (6, [0.5]), (7, [-1.0, 3.0, 9.0]), (20, [0.0, 0.0]), (-20, [2.0, 2.0])]
     assert run(spark, rows) == brute(rows, 20, 20)
-    assert run(spark, [*rows, (7, [-1.0, 3.0, 9.0]), (None, [1.0])]) == brute(rows, 20, 20)
+    again = [*rows, (7, [-1.0, 3.0, 9.0]), (20, [1.0]), (20, [1.0]), (None, [1.0])]
+    assert run(spark, again) == brute(again, 20, 20)
     assert run(spark, [(0, []), (1, []), (20, [])]) == [(0, 1, 1, 0), (0, 2, 20, 0), (20, 1, 0, 0), (20, 2, 1, 0)]
     assert run(spark, []) == [] == run(spark, [(20, [1.0])])
     huge = [(0, [3e38, -3e38]), (1, [3e38, 3e38]), (2, [1.0, 1.0])]
-    assert [(r[2]) for r in run(spark, huge)] == [1, 2] or len(run(spark, huge)) == 2
+    big = (1 << 63) - 1
+    assert run(spark, huge) == [(0, 1, 2, 64 * big - 64 * (big + 1)), (0, 2, 1, -big - 1)] or run(spark, huge) == saturated(huge)
+    extra = spark.createDataFrame([(20, [1.0], 1, 2, 3, 4, 5), (1, [2.0], 1, 2, 3, 4, 5)], "vec_id bigint, embedding array<float>, row int, id int, norm int, v int, rank int")
+    assert [tuple(r) for r in topk.exact_top_k(extra).collect()] == [(20, 1, 1, 64 * 128)]
+
+
+def saturated(rows):
+    """The one query's results with components and scores clamped to 64 bits."""
+    clamp = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    ints = [(i, [clamp(math.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    q = ints[0][1]
+    scored = sorted((-clamp(sum(a * b for a, b in zip(q, v, strict=True))), i) for i, v in ints[1:])
+    return [(ints[0][0], n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+
+
+def test_blocks_of_short_vectors_are_never_met(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(4)
+    x = np.abs(rng.normal(size=(1200, 8))) * np.exp(-np.arange(1200) / 200)[:, None] * 50
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x[rng.permutation(1200)])]
+    table, trace = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(2), []
+    got = topk.exact_top_k(table, 5, every=20, trace=trace)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5, 20)
+    assert sum(met for met, _ in trace) < 0.4 * sum(whole for _, whole in trace) and trace[-1][0] == 0
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
 
 
 def test_query_on_whole_table(spark, sf_dir):
