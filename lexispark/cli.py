@@ -17,7 +17,7 @@ from lexispark.model import evaluation, generation, training
 from lexispark.model.providers import Transformer
 from lexispark.model.transformer import init_params
 from lexispark.operators import chat, packing, scoring
-from lexispark.session import build_session
+from lexispark.session import build_session, store
 from lexispark.sources import corpus, shards, tasks
 
 
@@ -28,13 +28,15 @@ def prepare(spark: SparkSession, *, source="synthetic", parts_dir: str, parts: i
     texts = corpus.read_parts(spark, parts_dir, parts=parts)
     tokenizer = train_bpe(texts, vocab_size, min_frequency=min_frequency)
     tokenizer.save(spark, tokenizer_path)
+    # ids are made and written once; lengths alone go through the prefix sum
     encoded = texts.select((F.col("part") * docs_per_part + F.col("line")).alias("doc_id"), tokenizer.encode_column(F.col("text"), eos=True).alias("ids"))
-    placed = packing.token_offsets(encoded, F.size("ids"), add_eos=False)
+    encoded = store(encoded, "encoded")
+    placed = store(packing.token_offsets(encoded.select("doc_id", F.size("ids").alias("n")), F.col("n"), add_eos=False).drop("n"), "offsets")
     cut = packing.pack(placed, shard_tokens, val_shards)
     if not cut.take(1):
         raise ValueError("the corpus has no tokens")
     record = packing.manifest(cut, tokenizer.fingerprint(), tokenizer.vocab_size)
-    shards.write_corpus(packing.shard_tokens_table(placed, shard_tokens), cut, record, data)
+    shards.write_corpus(packing.shard_tokens_table(placed.join(encoded, "doc_id"), shard_tokens), cut, record, data)
     return shards.load_manifest(spark, data)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexispark.functions.vocab import PRETOKEN_PATTERN, SPECIAL_TOKENS, byte_alphabet, byte_ids, fingerprint, pretokens
+from lexispark.session import store
 
 Pair = tuple[int, int]
 
@@ -126,6 +127,30 @@ class BpeTokenizer:
                 out += bytes(_byte_of()[c] for c in self.tokens[i])
         return out.decode("utf-8", "replace")
 
+    def to_public_json(self) -> str:
+        """The vocabulary in the layout of a ``tokenizer.json`` file of the public library."""
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        flags = dict.fromkeys(("single_word", "lstrip", "rstrip", "normalized"), False) | {"special": True}
+        model = {
+            "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None,
+            "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": dict(self.ids), "merges": [list(m) for m in self.merges],
+        }
+        added = [{"id": i, "content": self.tokens[i]} | flags for i in sorted(self.special_ids)]
+        return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": added, "normalizer": None, "pre_tokenizer": byte_level, "post_processor": None, "decoder": byte_level, "model": model}, ensure_ascii=False)
+
+    @classmethod
+    def from_public_json(cls, text: str) -> BpeTokenizer:
+        """A byte-level BPE from such a file; merges may be pairs or space-joined."""
+        record = json.loads(text)
+        model = record["model"]
+        if model.get("type", "BPE") != "BPE" or record.get("normalizer") or (record.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
+            raise ValueError("not a byte-level BPE without normaliser")
+        ids = dict(model["vocab"]) | {t["content"]: t["id"] for t in record.get("added_tokens", [])}
+        tokens = sorted(ids, key=ids.get)
+        if [ids[t] for t in tokens] != list(range(len(tokens))):
+            raise ValueError("the vocabulary's ids have gaps")
+        return cls(tokens, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+
     def to_json(self) -> str:
         return json.dumps({"tokens": self.tokens, "merges": self.merges}, ensure_ascii=False)
 
@@ -256,15 +281,15 @@ def train(docs: DataFrame, vocab_size: int, *, min_frequency: int = 2, text: str
     a checked bound, the merges are learned from the collected counts; beyond it every merge is
     a distributed count and a rewrite of the words.
     """
-    counts = word_counts(docs, text)
+    counts = store(word_counts(docs, text), "word-counts")
     if counts.limit(DRIVER_WORDS + 1).count() <= DRIVER_WORDS:
         return learn_merges({r["word"]: r["n"] for r in counts.orderBy("word").toLocalIterator()}, vocab_size, min_frequency)
     return learn_merges_distributed(counts, vocab_size, min_frequency)
 
 
 def learn_merges_distributed(counts: DataFrame, vocab_size: int, min_frequency: int = 2, *, cut_every: int = 8) -> BpeTokenizer:
-    """The same merges with the words left in Spark: one aggregation per merge, lineage cut by
-    checkpoints every ``cut_every`` merges."""
+    """The same merges with the words left in Spark: one aggregation per merge; the words are
+    written to the shared folder every ``cut_every`` merges, which ends their lineage."""
     tokens = base_tokens()
     ids = {t: i for i, t in enumerate(tokens)}
     start = [ids[_stand_in()[b]] for b in range(256)]
@@ -273,7 +298,8 @@ def learn_merges_distributed(counts: DataFrame, vocab_size: int, min_frequency:
     def spelled(words: pa.Array) -> pa.Array:
         return pa.array([[start[b] for b in w.encode("utf-8", "surrogatepass")] for w in words.to_pylist()], pa.list_(pa.int32()))
 
-    words = counts.select(spelled("word").alias("ids"), "n").checkpoint()
+    words = counts.select(spelled("word").alias("ids"), "n")
+    words = store(words, "bpe-words")
     merges: list[tuple[str, str]] = []
     while len(tokens) < vocab_size:
         pairs = words.where(F.size("ids") > 1).select("n", F.explode(F.arrays_zip(F.slice("ids", F.lit(1), F.size("ids") - 1).alias("a"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("b"))).alias("p"))
@@ -287,7 +313,7 @@ def learn_merges_distributed(counts: DataFrame, vocab_size: int, min_frequency:
             tokens.append(joined)
         words = words.withColumn("ids", _merge_udf(pair, ids[joined])("ids"))
         if len(merges) % cut_every == 0:
-            words = words.checkpoint()
+            words = store(words, "bpe-words")
     return BpeTokenizer(tokens, merges)
 
 

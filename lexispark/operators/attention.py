@@ -14,6 +14,14 @@ def allowed(query_pos: Column, key_pos: Column, window: int | None = None) -> Co
     return causal if window is None else causal & (query_pos - key_pos < window)
 
 
+def in_blocks(q: DataFrame, k: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Queries (position i) in their own and the previous block of the window's size, keys
+    (position j) in theirs: a pair within the window meets in exactly one block."""
+    block = F.expr(f"cast(i as bigint) div {window}")
+    met = F.array_distinct(F.array(block, F.greatest(block - 1, F.lit(0).cast("bigint"))))
+    return q.withColumn("block", F.explode(met)), k.withColumn("block", F.expr(f"cast(j as bigint) div {window}"))
+
+
 def attention_pairs(tokens: DataFrame, *, sequence: str = "seq", pos: str = "pos", segment: str | None = None, window: int | None = None) -> DataFrame:
     """(sequence, i, j) of all pairs that may attend.
 
@@ -25,10 +33,7 @@ def attention_pairs(tokens: DataFrame, *, sequence: str = "seq", pos: str = "pos
     q = tokens.select(*keys, F.col(pos).alias("i"))
     k = tokens.select(*keys, F.col(pos).alias("j"))
     if window is not None:
-        block = F.expr(f"i div {window}")
-        q = q.withColumn("block", F.explode(F.array_distinct(F.array(block, F.greatest(block - 1, F.lit(0).cast("bigint"))))))
-        k = k.withColumn("block", F.expr(f"j div {window}"))
-        keys = [*keys, "block"]
+        q, k, keys = *in_blocks(q, k, window), [*keys, "block"]
     return q.join(k, keys).where(allowed(F.col("i"), F.col("j"), window)).select(sequence, "i", "j")
 
 
@@ -44,7 +49,10 @@ def attend(q: DataFrame, kv: DataFrame, head_dim: int, *, window: int | None = N
     query; outputs are summed per coordinate.
     """
     keys = ["seq", "kv_head"] + [segment] * (segment is not None)
-    pairs = q.withColumnRenamed("pos", "i").join(kv.withColumnRenamed("pos", "j"), keys).where(allowed(F.col("i"), F.col("j"), window))
+    q, kv = q.withColumnRenamed("pos", "i"), kv.withColumnRenamed("pos", "j")
+    if window is not None:
+        q, kv, keys = *in_blocks(q, kv, window), [*keys, "block"]
+    pairs = q.join(kv, keys).where(allowed(F.col("i"), F.col("j"), window))
     scored = pairs.withColumn("s", dot(F.col("q"), F.col("k")) / F.sqrt(F.lit(float(head_dim))))
     one = Window.partitionBy("seq", "head", "i")
     weighed = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(one)))
@@ -55,9 +63,20 @@ def attend(q: DataFrame, kv: DataFrame, head_dim: int, *, window: int | None = N
     return rows.select("seq", "head", F.col("i").alias("pos"), F.transform("o", lambda o: o["x"]).alias("out"))
 
 
+#: Values of a matrix that is broadcast: 32 MB.
+MATRIX_VALUES = 1 << 22
+
+
 def project(rows: DataFrame, vector: str, weights: DataFrame, out: str, *, key: list[str]) -> DataFrame:
-    """rows.vector times a weight matrix given as (o, w array<double>) rows: one broadcast-sized
-    matrix row per output coordinate, a dot product each."""
+    """rows.vector times a weight matrix given as (o, w array<double>) rows.
+
+    A matrix of at most ``MATRIX_VALUES`` values, which is counted, is gathered into one row that all
+    rows get by broadcast, without a shuffle; a larger one meets the rows coordinate by coordinate.
+    """
+    values, listed = weights.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)), F.count(F.lit(1))).first()
+    if values <= MATRIX_VALUES and listed:
+        matrix = weights.agg(F.array_sort(F.collect_list(F.struct("o", "w"))).alias("_matrix"))
+        return rows.join(F.broadcast(matrix)).select(*key, F.transform("_matrix", lambda m: dot(F.col(vector), m["w"])).alias(out))
     made = rows.join(weights).select(*key, "o", dot(F.col(vector), F.col("w")).alias("x"))
     gathered = made.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o", "x"))).alias("xs"))
     return gathered.select(*key, F.transform("xs", lambda o: o["x"]).alias(out))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions import rng
@@ -28,11 +28,10 @@ def shard_overlaps(placed: DataFrame, shard_tokens: int, *, key: str = "doc_id")
     return rows.select(key, "shard", (begin - F.col("shard") * shard_tokens).alias("start_in_shard"), (begin - F.col("offset")).alias("start_in_doc"), (end - begin).alias("n"))
 
 
-def with_split(shards: DataFrame, val_shards: int) -> DataFrame:
-    """Mark the last shards as validation; at least one stays for training."""
-    count = F.max("shard").over(Window.partitionBy(F.lit(1))) + 1
+def split_of(shard: Column, count: Column, val_shards: int) -> Column:
+    """The last of ``count`` shards are validation; at least one stays for training."""
     n_val = F.greatest(F.lit(0), F.least(F.lit(val_shards), count - 1))
-    return shards.withColumn("split", F.when(F.col("shard") >= count - n_val, "val").otherwise("train"))
+    return F.when(shard >= count - n_val, "val").otherwise("train")
 
 
 def pack(placed: DataFrame, shard_tokens: int, val_shards: int = 1) -> DataFrame:
@@ -43,8 +42,8 @@ def pack(placed: DataFrame, shard_tokens: int, val_shards: int = 1) -> DataFrame
     total = placed.agg(F.sum("n_tokens").alias("total"))
     shards = total.where("total > 0").select("total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(total - 1) div {shard_tokens}"))).alias("shard"))
     tokens = F.least(F.lit(shard_tokens).cast("bigint"), F.col("total") - F.col("shard") * shard_tokens)
-    named = shards.select("shard", F.format_string(SHARD_NAME, "shard").alias("name"), tokens.alias("tokens"))
-    return with_split(named, val_shards)
+    count = F.expr(f"(total - 1) div {shard_tokens} + 1")
+    return shards.select("shard", F.format_string(SHARD_NAME, "shard").alias("name"), tokens.alias("tokens"), split_of(F.col("shard"), count, val_shards).alias("split"))
 
 
 def shard_tokens_table(docs_with_ids: DataFrame, shard_tokens: int, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -80,10 +79,9 @@ def window_starts(shards: DataFrame, context: int, split: str = "train") -> Data
     Adds starts, probability and the cumulative interval [low, high) of the share.
     """
     counted = shards.where(F.col("split") == split).withColumn("starts", F.greatest(F.lit(0).cast("bigint"), F.col("tokens") - context))
-    whole, upto = Window.partitionBy(F.lit(1)), Window.orderBy("shard")
-    total = F.sum("starts").over(whole)
-    high = F.sum("starts").over(upto)
-    return counted.withColumn("probability", F.try_divide("starts", total)).withColumn("low", high - F.col("starts")).withColumn("high", high).withColumn("total", total)
+    total = counted.agg(F.sum("starts").alias("total"))  # one row
+    summed = with_prefix_sum(counted, ["shard"], F.col("starts"), "low").join(F.broadcast(total))
+    return summed.withColumn("probability", F.try_divide("starts", "total")).withColumn("high", F.col("low") + F.col("starts"))
 
 
 def draw_windows(starts: DataFrame, draws: DataFrame, u_shard: Column, u_start: Column) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import resource
 import subprocess
 import sys
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,18 +65,26 @@ def program(prompt: Column, completion: Column, test: Column, entry_point: Colum
     return F.concat(prompt, completion, F.lit("\n\n"), test, F.lit("\n\ncheck("), entry_point, F.lit(")\n"))
 
 
+#: Bytes of address space that a program may take.
+PROGRAM_MEMORY = 1 << 30
+
+
+def _bounded() -> None:
+    resource.setrlimit(resource.RLIMIT_AS, (PROGRAM_MEMORY, PROGRAM_MEMORY))
+
+
 def run_program(source: str, timeout: float = 5.0) -> bool:
     """Whether a program ends cleanly in a child interpreter.
 
-    The child has a time limit and an empty environment and folder, but no further isolation:
-    only run programs that you would run yourself.
+    The child has a limit of time and of memory and an empty environment and folder, but no
+    further isolation: only run programs that you would run yourself.
     """
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "program.py")
         with open(path, "w", encoding="utf-8") as file:
             file.write(source)
         try:
-            done = subprocess.run([sys.executable, "-I", path], capture_output=True, timeout=timeout, cwd=folder, env={}, check=False)
+            done = subprocess.run([sys.executable, "-I", path], capture_output=True, timeout=timeout, cwd=folder, env={}, check=False, preexec_fn=_bounded)
         except subprocess.TimeoutExpired:
             return False
         return done.returncode == 0
@@ -85,9 +95,9 @@ def pass_rate(programs: DataFrame, source: str = "program", timeout: float = 5.0
     if not allow_execution:
         raise PermissionError("pass_rate runs code: call it with allow_execution=True")
 
-    @F.udf("boolean")
-    def passed(text):
-        return run_program(text, timeout)
+    @F.arrow_udf("boolean")
+    def passed(texts: pa.Array) -> pa.Array:
+        return pa.array([run_program(text, timeout) for text in texts.to_pylist()], pa.bool_())
 
     return programs.agg(F.coalesce(F.avg(passed(F.col(source)).cast("double")), F.lit(0.0)).alias("pass_rate"))
 

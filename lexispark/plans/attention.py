@@ -91,7 +91,7 @@ def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrix product: all vectors by the first eight as weight rows."""
     df = table(spark, sf_dir, "embeddings").select("vec_id", arrays.doubles("embedding").alias("x"))
     weights = df.where("vec_id < 8").select(F.col("vec_id").alias("o"), F.col("x").alias("w"))
-    made = attention.project(df, "x", F.broadcast(weights), "y", key=["vec_id"])
+    made = attention.project(df, "x", weights, "y", key=["vec_id"])
     return made.select("vec_id", F.posexplode("y").alias("o", "value")).select("vec_id", "o", arrays.stable(F.col("value")).alias("value"))
 
 

@@ -35,10 +35,11 @@ def batch_mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token log-probabilities of four choices a question; every 13th choice has no token."""
+    """Token log-probabilities of four choices a question, of 60 to 64 tokens; every 13th choice has
+    none."""
     df = table(spark, sf_dir, "embeddings")
-    logs = F.transform(F.slice("embedding", 1, 8), lambda v: -F.abs(F.floor(v * 8).cast("double")))
-    own = F.when(F.col("vec_id") % 13 == 0, F.array().cast("array<double>")).otherwise(F.slice(logs, F.lit(1), (F.col("vec_id") % 5 + 1).cast("int")))
+    logs = F.transform(F.col("embedding"), lambda v: -F.abs(F.floor(v * 8).cast("double")))
+    own = F.when(F.col("vec_id") % 13 == 0, F.array().cast("array<double>")).otherwise(F.slice(logs, F.lit(1), (F.size("embedding") - F.col("vec_id") % 5).cast("int")))
     return df.select(F.expr("vec_id div 4").alias("q_id"), (F.col("vec_id") % 4).cast("int").alias("choice"), (F.expr("vec_id div 4") % 4).cast("int").alias("answer"), F.explode_outer(own).alias("logp"))
 
 
@@ -52,7 +53,7 @@ def keyed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "benchmark")
     words = F.split("text", " ")
     rows = df.select(
-        F.col("item_id").alias("q_id"), F.substring("text", 1, 30).alias("question"), F.array(*map(F.lit, "ABCD")).alias("labels"), F.slice(words, 1, 4).alias("texts"),
+        F.col("item_id").alias("q_id"), F.col("text").alias("question"), F.array(*map(F.lit, "ABCD")).alias("labels"), words.alias("texts"),
         F.element_at(F.array(*map(F.lit, "ABCDE")), (F.col("item_id") % 5 + 1).cast("int")).alias("answer_key"),
     )
     made = tasks.keyed_questions(rows, limit=25)
@@ -62,7 +63,7 @@ def keyed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same template for questions with an integer answer."""
     df = table(spark, sf_dir, "benchmark")
-    rows = df.select(F.col("item_id").alias("q_id"), F.substring("text", 1, 30).alias("question"), F.slice(F.split("text", " "), 1, 4).alias("choices"), (F.col("item_id") % 4).alias("answer"))
+    rows = df.select(F.col("item_id").alias("q_id"), F.col("text").alias("question"), F.split("text", " ").alias("choices"), (F.col("item_id") % 4).alias("answer"))
     return tasks.indexed_questions(rows).select("q_id", "prompt", F.array_join("choices", "|").alias("choices"), "answer")
 
 
@@ -113,7 +114,7 @@ _NLL = """p AS (SELECT user_id, event_type AS token, lag(event_type) OVER (PARTI
     t AS (SELECT before, sum(c) AS n FROM c GROUP BY 1),
     nll AS (SELECT k.user_id, -ln((c + 1) / CAST(n + (SELECT count(DISTINCT token) FROM k) AS DOUBLE)) AS nll FROM k JOIN c USING (before, token) JOIN t USING (before))"""
 _MC = """e AS (SELECT vec_id // 4 AS q, vec_id % 4 AS choice, (vec_id // 4) % 4 AS answer, vec_id, embedding FROM embeddings),
-    x AS (SELECT vec_id, unnest(range(CASE WHEN vec_id % 13 = 0 THEN 0 ELSE vec_id % 5 + 1 END)) AS i, embedding FROM e),
+    x AS (SELECT vec_id, unnest(range(CASE WHEN vec_id % 13 = 0 THEN 0 ELSE len(embedding) - vec_id % 5 END)) AS i, embedding FROM e),
     s AS (SELECT vec_id, sum(-abs(floor(CAST(embedding[i + 1] AS DOUBLE) * 8))) / count(*) AS score FROM x GROUP BY vec_id),
     r AS (SELECT q, choice, answer, row_number() OVER (PARTITION BY q ORDER BY coalesce(score, -1e308) DESC, choice) AS r FROM e LEFT JOIN s USING (vec_id)),
     acc AS (SELECT coalesce(avg(CASE WHEN choice = answer THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0.0) AS accuracy FROM r WHERE r = 1)"""
@@ -129,11 +130,11 @@ ORACLE = {
     "batch_mean_loss": f"WITH {_NLL}, b AS (SELECT avg(nll) AS m FROM nll GROUP BY user_id % 8) SELECT round(avg(m), 6) + 0.0 AS loss FROM b",
     "choice_accuracy": f"WITH {_MC} SELECT round(accuracy, 6) + 0.0 AS accuracy FROM acc",
     "keyed_questions": """
-        SELECT item_id AS q_id, 'Question: ' || substr(text, 1, 30) || chr(10) || 'Answer:' AS prompt, ' ' || string_split(text, ' ')[2] AS second, CAST(item_id % 5 AS INTEGER) AS answer
+        SELECT item_id AS q_id, 'Question: ' || text || chr(10) || 'Answer:' AS prompt, ' ' || string_split(text, ' ')[2] AS second, CAST(item_id % 5 AS INTEGER) AS answer
         FROM benchmark WHERE item_id % 5 < 4 ORDER BY item_id LIMIT 25""",
     "indexed_questions": """
-        SELECT item_id AS q_id, 'Question: ' || substr(text, 1, 30) || chr(10) || 'Answer:' AS prompt,
-               array_to_string(list_transform(list_slice(string_split(text, ' '), 1, 4), lambda c: ' ' || c), '|') AS choices, CAST(item_id % 4 AS INTEGER) AS answer FROM benchmark""",
+        SELECT item_id AS q_id, 'Question: ' || text || chr(10) || 'Answer:' AS prompt,
+               array_to_string(list_transform(string_split(text, ' '), lambda c: ' ' || c), '|') AS choices, CAST(item_id % 4 AS INTEGER) AS answer FROM benchmark""",
     "sample_tasks": """
         SELECT prompt, answer, choice, text FROM (VALUES ('The sky is', 0, 0, ' blue'), ('The sky is', 0, 1, ' loud'),
             ('Two plus two equals', 0, 0, ' four'), ('Two plus two equals', 0, 1, ' purple')) v(prompt, answer, choice, text)""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import arrays
@@ -95,8 +95,8 @@ def masked_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_entropy_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logit gradients of the mean loss, times 1000: softmax less one-hot, 0 where ignored."""
     df = _losses(spark, sf_dir)
-    n = F.greatest(F.lit(1), F.count(F.when(F.col("target") != -100, 1)).over(Window.partitionBy(F.lit(1))))
-    df = df.withColumn("scale", F.when(F.col("target") == -100, 0.0).otherwise(F.lit(1000.0) / n))
+    count = df.agg(F.greatest(F.lit(1), F.count(F.when(F.col("target") != -100, 1))).alias("n"))
+    df = df.join(F.broadcast(count)).withColumn("scale", F.when(F.col("target") == -100, 0.0).otherwise(F.lit(1000.0) / F.col("n")))  # one row
     grad = F.transform(arrays.softmax(F.col("x")), lambda p, i: (p - F.when(i == F.col("target"), 1.0).otherwise(0.0)) * F.col("scale"))
     return _long(df, grad)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from lexispark.model import evaluation, generation, optim, providers, training
 from lexispark.model.transformer import init_params
 from lexispark.operators import chat, scoring
 from lexispark.plans.text import BYTE_AT, BYTE_ID
-from lexispark.session import table
+from lexispark.session import shared_folder, table
 from lexispark.sources import corpus, tasks
 
 TINY = {"vocab_size": 384, "d_model": 32, "n_layers": 2, "n_q_heads": 4, "n_kv_heads": 2, "head_dim": 8, "mlp_hidden": 64, "context": 64, "window": 16, "micro_batch": 2, "grad_accum": 1}
@@ -67,10 +68,19 @@ def arithmetic_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generation_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy replies of a provider that prefers one token: it is repeated to the limit."""
-    prompts = chat.render(table(spark, sf_dir, "conversations").where("conv_id < 20"), generation_prompt=True)
+    return _preferred_replies(spark, sf_dir, vocab_id("a"))
+
+
+def generation_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of one that prefers the end: a reply ends with its first eos, which is no text."""
+    return _preferred_replies(spark, sf_dir, 2)
+
+
+def _preferred_replies(spark: SparkSession, sf_dir: str, token: int) -> DataFrame:
+    prompts = chat.render(table(spark, sf_dir, "conversations"), generation_prompt=True)
     ids = prompts.select(F.col("conv_id").alias("group"), F.transform("tokens", lambda t: t["id"]).alias("ids"))
     coder = bpe.BpeTokenizer(bpe.base_tokens(), [])
-    out = generation.sample_groups(ids, providers.Preferred(264, [vocab_id("a")]), coder, group_size=2, max_new=6, temperature=0.0)
+    out = generation.sample_groups(ids, providers.Preferred(264, [token]), coder, group_size=2, max_new=6, temperature=0.0)
     return out.select("group", "sample", "text", "n_new", "terminated")
 
 
@@ -132,17 +142,41 @@ def transformer_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orthogonalized_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Singular values of an orthogonalised gradient-like matrix: all near one."""
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 48").orderBy("vec_id").select("embedding").collect()
-    values = np.linalg.svd(optim.orthogonalized(np.array([r[0] for r in rows])), compute_uv=False)
-    return spark.createDataFrame([(i, bool(0.5 < s < 1.4)) for i, s in enumerate(values)], "i int, near_one boolean")
+    """Singular values of orthogonalised gradient-like matrices, one of each 48 vectors: all near one."""
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 48").alias("block"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+    def singular(block: pa.Table) -> pa.Table:
+        x = np.array(block.sort_by("vec_id")["x"].to_pylist())
+        values = np.linalg.svd(optim.orthogonalized(x), compute_uv=False)
+        return pa.table({"block": [block["block"][0].as_py()] * len(values), "i": pa.array(range(len(values)), pa.int32()), "near_one": [bool(0.5 < s < 1.4) for s in values]})
+
+    return rows.groupBy("block").applyInArrow(singular, "block bigint, i int, near_one boolean")
+
+
+def tokenizer_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose ids are the same under a learned vocabulary and under the one that was saved,
+    in its own and in the public layout, and loaded again."""
+    coder = _tokenizer(spark, sf_dir, 40)
+    path = shared_folder(spark, "tokenizer")
+    coder.save(spark, path)
+    again, public = bpe.BpeTokenizer.load(spark, path), bpe.BpeTokenizer.from_public_json(coder.to_public_json())
+    ids = [c.encode_column(F.col("text")).alias(n) for n, c in (("a", coder), ("b", again), ("c", public))]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *ids).select("conv_id", "turn", ((F.col("a") == F.col("b")) & (F.col("a") == F.col("c"))).alias("same"))
+
+
+def sample_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pass@1 of the built-in code problem with a right, a wrong, an endless and a broken completion."""
+    tries = F.explode(F.array(*map(F.lit, ["return a + b", "return a - b", "while True: pass", "return ("])))
+    rows = tasks.sample_problems(spark).withColumn("completion", tries)
+    programs = rows.select(scoring.program(F.col("prompt"), F.col("completion"), F.col("test"), F.col("entry_point")).alias("program"))
+    return scoring.pass_rate(programs, timeout=2.0, allow_execution=True)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        pretoken_words, bpe_pair_counts, bpe_merges, bpe_token_counts, synthetic_documents, synthetic_chats, arithmetic_bank, generation_preferred, sampled_groups,
-        uniform_perplexity, sample_choice_accuracy, sample_programs, transformer_loss, orthogonalized_update,
+        pretoken_words, bpe_pair_counts, bpe_merges, bpe_token_counts, synthetic_documents, synthetic_chats, arithmetic_bank, generation_preferred, generation_ends, sampled_groups,
+        uniform_perplexity, sample_choice_accuracy, sample_programs, transformer_loss, orthogonalized_update, tokenizer_round_trip, sample_pass_rate,
     )
 }
 
@@ -156,10 +190,17 @@ ORACLE = {
         SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM p WHERE b IS NOT NULL GROUP BY a, b HAVING sum(n) >= 2""",
     "generation_preferred": """
         SELECT conv_id AS "group", CAST(sample AS INTEGER) AS sample, 'aaaaaa' AS text, 6 AS n_new, false AS terminated
-        FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id < 20) c, (SELECT unnest([0, 1]) AS sample) s""",
+        FROM (SELECT DISTINCT conv_id FROM conversations) c, (SELECT unnest([0, 1]) AS sample) s""",
     "uniform_perplexity": "SELECT 264.0::DOUBLE AS perplexity",
     "sample_choice_accuracy": "SELECT 0.5::DOUBLE AS accuracy",
     "sample_programs": """
         SELECT 'def add(a, b):' || chr(10) || '    return a + b' || chr(10) || chr(10) || 'def check(candidate):' || chr(10) || '    assert candidate(1, 2) == 3' || chr(10) || chr(10) || chr(10) || 'check(add)' || chr(10) AS program""",
-    "orthogonalized_update": "SELECT CAST(range AS INTEGER) AS i, true AS near_one FROM range(48)",
+    "generation_ends": """
+        SELECT conv_id AS "group", CAST(sample AS INTEGER) AS sample, '' AS text, 1 AS n_new, true AS terminated
+        FROM (SELECT DISTINCT conv_id FROM conversations) c, (SELECT unnest([0, 1]) AS sample) s""",
+    "orthogonalized_update": """
+        WITH b AS (SELECT vec_id // 48 AS block, least(count(*), 64) AS n FROM embeddings GROUP BY 1)
+        SELECT block, CAST(unnest(range(n)) AS INTEGER) AS i, true AS near_one FROM b""",
+    "tokenizer_round_trip": "SELECT conv_id, turn, true AS same FROM conversations",
+    "sample_pass_rate": "SELECT 0.25::DOUBLE AS pass_rate",
 }

@@ -53,7 +53,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of token rows: every third has ``tokens``, others ``input_ids``, some neither."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", vocab.byte_ids(F.substring("text", 1, 40)).alias("ids"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", vocab.byte_ids(F.col("text")).alias("ids"))
     rows = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("ids")).when(F.col("doc_id") % 3 == 1, F.array().cast("array<int>")).alias("tokens"), F.when(F.col("doc_id") % 5 > 0, F.col("ids")).alias("input_ids"))
     return corpus.token_documents(rows, vocab.byte_text).select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
 
@@ -94,7 +94,7 @@ ORACLE = {
     "byte_round_trip": "SELECT count(*) AS n_docs, count(*) AS n_same FROM documents",
     "raw_documents": "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents WHERE text IS NOT NULL AND text <> ''",
     "token_source": """
-        SELECT doc_id, CAST(length(substr(text, 1, 40)) AS BIGINT) AS n_chars FROM documents
+        SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents
         WHERE length(text) > 0 AND (doc_id % 3 = 0 OR doc_id % 5 > 0)""",
     "part_assignment": f"""
         WITH r AS (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / {DOCS_PER_PART}) AS BIGINT) AS part FROM documents)

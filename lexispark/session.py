@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the results or the plans depend on; all are ordinary Spark options.
 DEFAULTS = {
@@ -43,3 +45,24 @@ def build_session(
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables under ``sf_dir`` (a local or any Hadoop path)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where the session names none, which only local mode allows, a temporary folder is set.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="lexispark-")
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/lexispark/{label}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: its lineage ends there."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

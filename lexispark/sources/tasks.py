@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import rng
 from lexispark.functions.rewards import final_int
-from lexispark.sources.corpus import read_jsonl
+from lexispark.sources.corpus import read_jsonl, read_rows
 
 CONVERSATION = "messages array<struct<role: string, content: string>>"
 QUESTION = "prompt string, choices array<string>, answer int"
@@ -17,9 +17,15 @@ PROBLEM = "prompt string, test string, entry_point string"
 
 
 def load_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """(conv_id, messages) of a JSON-lines file; conv_id numbers the lines in file order."""
-    rows = read_jsonl(spark, path, CONVERSATION).where("messages IS NOT NULL")
-    return rows.select(F.monotonically_increasing_id().alias("conv_id"), "messages")
+    """(conv_id, messages) of a JSON-lines file or folder; conv_id numbers the conversations in file
+    order, however the files are split."""
+    own = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("split")
+    parsed = F.from_json("value", CONVERSATION, {"mode": "FAILFAST"})["messages"].alias("messages")
+    lines = spark.read.text(path, lineSep="\n").select(own, "value").where(F.trim("value") != "").select("split", parsed).where("messages IS NOT NULL")
+    rows = lines.select("split", F.monotonically_increasing_id().alias("at"), "messages")  # ascends in a split
+    splits = rows.groupBy("split").agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))  # a row per split
+    first = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(splits.select("split", "low", first.alias("first"))), "split").select((F.col("first") + F.col("at") - F.col("low")).alias("conv_id"), "messages")
 
 
 def first_valid(rows: DataFrame, order: str, limit: int | None) -> DataFrame:
@@ -83,6 +89,51 @@ def code_problems(rows: DataFrame, *, key: str = "q_id", limit: int | None = Non
     return first_valid(rows, key, limit).select("prompt", "test", "entry_point")
 
 
+# --- local copies of public task sets, Parquet or JSON lines --------------------------------
+
+
+def load_word_problems(spark: SparkSession, path: str, *, max_new: int = 256, limit: int | None = None) -> DataFrame:
+    """Bank of (question, answer) rows whose answer ends with a mark and the number."""
+    rows = numbered_rows(read_rows(spark, path, "question string, answer string"), ["question", "answer"], "prompt_id")
+    final = F.regexp_extract("answer", r"(?s).*####\s*(.*)$", 1)
+    return question_bank(rows.withColumn("final", final), key="prompt_id", question="question", answer="final", max_new=max_new, limit=limit)
+
+
+def load_keyed(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
+    """Questions of (id, question, choices: text and label, answerKey) rows."""
+    rows = read_rows(spark, path, "id string, question string, choices struct<text: array<string>, label: array<string>>, answerKey string")
+    named = rows.select(F.col("id").alias("q_id"), "question", F.col("choices.label").alias("labels"), F.col("choices.text").alias("texts"), F.col("answerKey").alias("answer_key"))
+    return keyed_questions(named, limit=limit).drop("q_id")
+
+
+def load_indexed(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
+    """Questions of (question, choices, answer: a number) rows."""
+    rows = numbered_rows(read_rows(spark, path, "question string, choices array<string>, answer int"), ["question", "choices"], "q_id")
+    return indexed_questions(rows, limit=limit).drop("q_id")
+
+
+def load_problems(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
+    """Code problems of (task_id, prompt, test, entry_point) rows."""
+    rows = read_rows(spark, path, "task_id string, prompt string, test string, entry_point string")
+    number = F.coalesce(F.try_to_number(F.regexp_extract("task_id", r"(\d+)$", 1), F.lit("999999999")).cast("bigint"), F.lit(0))
+    return code_problems(rows.withColumn("q_id", F.struct(number.alias("n"), F.col("task_id"))), limit=limit)
+
+
+def numbered_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with a name for ``first_valid`` to order by: the values themselves, so that a limit
+    chooses the same rows however files are split."""
+    return rows.withColumn(name, F.struct(*order))
+
+
+#: Loaders by metric, for ``register_task(metric, local(metric, path))``.
+LOADERS: dict[str, Callable[..., DataFrame]] = {"arc_easy": load_keyed, "arc_challenge": load_keyed, "mmlu": load_indexed, "humaneval": load_problems}
+
+
+def local(metric: str, path: str) -> Callable[[SparkSession, int | None], DataFrame]:
+    """A task set that reads a local copy."""
+    return lambda spark, limit: LOADERS[metric](spark, path, limit=limit)
+
+
 def sample_questions(spark: SparkSession) -> DataFrame:
     """Two questions for dry runs."""
     # Fixed values.

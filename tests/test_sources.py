@@ -152,3 +152,34 @@ def test_sampler_is_uniform_restartable_and_exact(spark):
         packing.WindowSampler(cut, pieces, context=100)
     with pytest.raises(ValueError, match="another context"):
         packing.WindowSampler(cut, pieces, context=8).load_state(state)
+
+
+def test_conversations_are_numbered_by_line(spark, tmp_path):
+    for name, low, high in (("a.jsonl", 0, 40), ("b.jsonl", 40, 300)):
+        (tmp_path / name).write_text("".join(json.dumps({"messages": [{"role": "user", "content": str(i) * 20}]}) + "\n" + "\n" * (i % 3 == 0) for i in range(low, high)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")  # several splits a file
+    try:
+        rows = tasks.load_conversations(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.conv_id: r.messages[0].content for r in rows} == {i: str(i) * 20 for i in range(300)}
+
+
+def test_loaders_of_local_copies(spark, tmp_path):
+    def lines(name, *rows):
+        (tmp_path / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+        return str(tmp_path / name)
+
+    bank = lines("w.jsonl", {"question": "q1", "answer": "so\n#### 1,234"}, {"question": "q2", "answer": "no number"}, {"question": "q3", "answer": "#### -5"})
+    assert sorted((r.question, r.gold, r.max_new) for r in tasks.load_word_problems(spark, bank).collect()) == [("q1", 1234, 256), ("q3", -5, 256)]
+    assert tasks.load_word_problems(spark, bank, limit=1).collect()[0].question == "q1"
+    keyed = lines("k.jsonl", {"id": "b", "question": "q", "choices": {"text": ["x", "y"], "label": ["A", "B"]}, "answerKey": "B"}, {"id": "a", "question": "p", "choices": {"text": ["x"], "label": ["1"]}, "answerKey": "2"})
+    assert [tuple(r) for r in tasks.load_keyed(spark, keyed, limit=5).collect()] == [("Question: q\nAnswer:", [" x", " y"], 1)]
+    indexed = lines("i.jsonl", {"question": "q", "choices": ["x", "y"], "answer": 1, "subject": "s"})
+    spark.read.json(indexed).write.parquet(str(tmp_path / "i.parquet"))
+    for path in (indexed, str(tmp_path / "i.parquet")):
+        tasks.register_task("mmlu", tasks.local("mmlu", path))
+        assert [tuple(r) for r in tasks.resolve_tasks(spark, "table", "mmlu", 3).collect()] == [("Question: q\nAnswer:", [" x", " y"], 1)]
+    code = lines("c.jsonl", *({"task_id": f"T/{n}", "prompt": f"p{n}", "test": "t", "entry_point": "e"} for n in (10, 9, 1)))
+    assert [r.prompt for r in tasks.load_problems(spark, code, limit=2).collect()] == ["p1", "p9"]

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from lexispark.functions import bpe, vocab
@@ -62,7 +64,6 @@ def test_training_equals_the_library(trained):
 def test_distributed_learning_is_the_same(spark):
     docs = spark.createDataFrame([(t,) for t in corpus(40)], "text string")
     counts = bpe.word_counts(docs)
-    spark.sparkContext.setCheckpointDir("/tmp/lexispark-test-checkpoints")
     local = bpe.learn_merges({r["word"]: r["n"] for r in counts.collect()}, 276)
     assert bpe.learn_merges_distributed(counts, 276, cut_every=5).merges == local.merges
 
@@ -86,3 +87,16 @@ def test_round_trip_specials_and_storage(spark, trained, tmp_path):
 def test_min_frequency_stops():
     assert bpe.learn_merges({"ab": 1, "cd": 1}, 1000, min_frequency=2).merges == []
     assert bpe.learn_merges({}, 300).vocab_size == 264
+
+
+def test_public_layout_is_read_by_the_library_and_back(trained):
+    library = tokenizers.Tokenizer.from_str(trained.to_public_json())
+    for text in TEXTS:
+        assert library.encode(text, add_special_tokens=False).ids == trained.encode(text, allow_special=True)
+    again = bpe.BpeTokenizer.from_public_json(library.to_str())
+    assert (again.tokens, again.merges) == (trained.tokens, trained.merges)
+    record = json.loads(trained.to_public_json())
+    record["model"]["merges"] = [" ".join(m) for m in record["model"]["merges"]]
+    assert bpe.BpeTokenizer.from_public_json(json.dumps(record)).merges == trained.merges
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.BpeTokenizer.from_public_json(json.dumps(record | {"pre_tokenizer": None}))
