@@ -23,8 +23,9 @@ quality is the same at any size of corpus; no part of it is gathered or broadcas
 
 Edge cases: null and empty texts are the end token alone; the learning fold may be empty (all
 counts 0); null keys take part (their fold is that of the empty text); repeated rows are
-learned and scored one by one; very long texts are one chunk of their own; an empty table gives
-no rows.
+learned and scored one by one; very long texts are one chunk of their own; words of equal count
+keep the order in which a chunk has them; an empty table gives no rows; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -421,9 +422,9 @@ def materialize_by_kind(rows: DataFrame):
     """Write rows once, a folder per kind; returns a reader of one kind."""
     import uuid
 
-    from lexispark.llm.common import shared_dir
+    from lexispark.llm.common import _scratch, shared_dir
 
-    path = f"{shared_dir(rows.sparkSession)}/lexispark/chunks-{uuid.uuid4().hex}"
+    path = "/".join([shared_dir(rows.sparkSession), "lexispark", *_scratch, f"chunks-{uuid.uuid4().hex}"])
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     schema = rows.drop("kind").schema.add("kind", "integer")
 

@@ -12,8 +12,10 @@ itself the encoding of its bytes, so the result equals that of applying the merg
 order.
 
 Edge cases: a null or empty text has no tokens; its ids are the empty string and it decodes
-to no bytes. Repeated rows give repeated results. A very long match (a line of one letter)
-costs time in proportion to its bytes times the longest token.
+to no bytes. Rows with null keys and repeated rows are encoded like others; there are no ties, as ranks
+differ. A very long text is encoded whole; a very long match (a line of one letter) costs time in
+proportion to its bytes times the longest token. An empty table gives no rows; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

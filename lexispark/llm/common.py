@@ -43,11 +43,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Cuts lineage; a lost executor costs only the tasks it was running, as the files are in
     the shared folder and each task commits its file whole.
     """
-    path = f"{shared_dir(df.sparkSession)}/lexispark/{label}-{uuid.uuid4().hex}"
+    path = "/".join([shared_dir(df.sparkSession), "lexispark", *_scratch, f"{label}-{uuid.uuid4().hex}"])
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders, inside one another, of the ``scratch`` blocks that are open.
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[None]:
+    """Tables materialised inside are removed at the end; what is to stay is written with
+    ``materialize_outside`` before."""
+    _scratch.append(f"{label}-{uuid.uuid4().hex}")
+    path = "/".join([shared_dir(spark), "lexispark", *_scratch])
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialize_outside(df: DataFrame, label: str) -> DataFrame:
+    """``materialize`` into the folder around the innermost ``scratch`` block."""
+    inner = _scratch.pop()
+    try:
+        return materialize(df, label)
+    finally:
+        _scratch.append(inner)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Remove the files of a table made by ``materialize`` that nothing will read again."""
     spark = df.sparkSession

@@ -12,9 +12,12 @@ div count is the bin. Only the last, incomplete bin of each class is left; these
 most about ``capacity * ln(capacity)`` whatever the input's size, are put together by first-fit
 decreasing in one task.
 
+Special tokens that a text spells out are single ids, as the library reads them.
+
 Edge cases: a null or empty text has the end id alone; rows are packed one by one, so repeated
-rows and null keys are packed like any others; an empty table gives no pieces; a very long
-text is cut like any other. A sequence is padded to the capacity unless its length is a power
+rows and null keys are packed like any others; pieces of equal length keep the order of their
+workers and rows; an empty table gives no pieces; a very long text is cut like any other; extra
+columns, whatever their names, are ignored. A sequence is padded to the capacity unless its length is a power
 of two, see ``padding``.
 """
 

@@ -11,8 +11,11 @@ sample of labelled documents, ``FIT_ROWS`` a class, chosen by hash; that table i
 broadcast. Scoring is a narrow map over whole texts.
 
 Edge cases: null and empty texts have no sentence and score the leak; without labelled rows of
-both classes every score is the label's base rate (0 without any); repeated rows repeat their
-scores; null keys are scored like others; an empty table gives no rows.
+both classes every score is the label's base rate (0 without any); a document with labels of both
+classes counts as toxic; very long texts are scored whole (the fit's sample has texts of at most
+``FIT_CHARS`` characters); repeated rows repeat their scores, and teach once; null keys are scored
+like others and do not teach; an empty table gives no rows; extra columns, whatever their names, are
+ignored, and carried by ``keep_clean``.
 """
 
 from __future__ import annotations

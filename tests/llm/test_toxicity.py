@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -83,3 +84,48 @@ def test_query_on_whole_table(spark):
     held = [(g.predicted, y) for g, y in labelled if g.held_out]
     assert sum(p == y for p, y in held) >= 0.93 * len(held)
     assert sum(p and not y for p, y in held) <= 1
+
+
+def test_fit_is_a_minimum_of_the_likelihood():
+    """The loss by plain loops, at the fitted parameters and beside them."""
+    texts, labels, _ = corpus(random.Random(3), 200)
+    model = toxicity.fit(texts, labels)
+    share = {1: toxicity.TOXIC_SHARE / sum(labels), 0: (1 - toxicity.TOXIC_SHARE) / (len(labels) - sum(labels))}
+
+    def loss(weights, bias, leak):
+        total = toxicity.L1 * float(weights.sum())
+        for text, label in zip(texts, labels, strict=True):
+            miss = 1 - leak
+            for words in toxicity.sentences(text):
+                own = {f for w in words for f in toxicity.features(w)}
+                if any(model.weights[f] > 0 for f in own):
+                    miss *= 1 / (1 + np.exp(bias + sum(weights[f] for f in own)))
+            p = min(max(1 - miss, 1e-12), 1 - 1e-12)
+            total -= share[label] * np.log(p if label else 1 - p)
+        return total
+
+    fitted = loss(model.weights, model.bias, model.leak)
+    assert fitted < 0.1 * loss(np.zeros_like(model.weights), -4.0, 0.02)
+    for f in np.argsort(-model.weights)[:4]:
+        lower = model.weights.copy()
+        lower[f] -= 1.5
+        assert loss(lower, model.bias, model.leak) > 0.98 * fitted  # prefixes of a word stand in for each other
+    halved = model.weights * 0.5
+    assert loss(halved, model.bias, model.leak) > 1.5 * fitted
+    assert loss(model.weights, model.bias - 3, model.leak) > fitted and loss(model.weights, model.bias, model.leak + 0.05) > fitted
+
+
+def test_query_scores_are_plain_loops(spark, sf_dir):
+    from lexispark.llm.queries_text import op7_toxicity, toxicity_model
+
+    model = toxicity_model(spark, sf_dir)
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in op7_toxicity(spark, sf_dir).collect():
+        miss, offending = 1 - model.leak, 0
+        for words in toxicity.sentences(rows[r.doc_id]):
+            weight = sum(float(model.weights[toxicity.features(w)].sum()) for w in set(words))
+            p = 1 / (1 + np.exp(-(model.bias + weight))) if weight > 0 else 0.0
+            miss, offending = miss * (1 - p), offending + (p >= 0.5)
+        assert r.score == pytest.approx(1 - miss, abs=1e-9)
+        assert r.predicted == int(r.score >= 0.5) and r.n_offending == offending
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
