@@ -127,8 +127,8 @@ class _Chunk:
         numbers = np.concatenate(self.numbers)
         order = np.argsort(-np.bincount(numbers, minlength=len(self.words))[1:], kind="stable") + 1
         order = np.r_[0, order].astype(np.int64)
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), dtype=np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
         numbers = place[numbers]
         learn = np.repeat(~np.asarray(self.held, bool), list(map(len, self.numbers)))
         words = list(self.words)
@@ -145,7 +145,9 @@ def _chunks(batches, key: str):
                 for doc_id, held, text in zip(*(c.slice(at, 64).to_pylist() for c in columns), strict=True):
                     chunk.add(doc_id, held, text)
             if chunk.bytes >= CHUNK_BYTES:
-                yield base | serial, chunk
+                done, chunk = chunk, None
+                yield base | serial, done
+                del done
                 serial, chunk = serial + 1, _Chunk()
     if chunk.ids:
         yield base | serial, chunk
@@ -178,6 +180,7 @@ def read_chunks(docs: DataFrame, key: str) -> DataFrame:
                 yield rows(len(part), kind=np.full(len(part), WORDS, np.int32), chunk=np.full(len(part), number), number=own, word=part, n=counts[own])
             hashes = word_hashes(words).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
             yield rows(1, kind=[TEXTS], chunk=[number], ids=[chunk.ids], held=[chunk.held], lengths=[list(map(len, chunk.numbers))], numbers=[pack_numbers(numbers)], hashes=[hashes])
+            del chunk, words, numbers, counts, hashes  # before the next chunk fills up
 
     return docs.mapInArrow(run, struct)
 
