@@ -44,8 +44,8 @@ from lexispark.llm.common import _arrow_schema, bound_batches, collector_off, fo
 #: Text bytes of a chunk; training tokens whose bigrams make a segment of the filter; tokens
 #: whose bigrams are counted at a time.
 CHUNK_BYTES = 16 << 20
-SEGMENT_TOKENS = 2_000_000
-SLICE_TOKENS = 1_500_000
+SEGMENT_TOKENS = 800_000
+SLICE_TOKENS = 1_000_000
 #: Bits of the filter per training token, least bits per entry, probes per entry.
 BITS_PER_TOKEN = 14
 BITS_PER_ENTRY = 8
@@ -428,7 +428,7 @@ def materialize_by_kind(rows: DataFrame):
     from lexispark.llm.common import _scratch, shared_dir
 
     path = "/".join([shared_dir(rows.sparkSession), "lexispark", *_scratch, f"chunks-{uuid.uuid4().hex}"])
-    rows.write.partitionBy("kind").parquet(path)
+    rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     schema = rows.drop("kind").schema.add("kind", "integer")
 
     def read(kind: int) -> DataFrame:
