@@ -43,9 +43,9 @@ from lexispark.llm.common import _arrow_schema, bound_batches, collector_off, fo
 
 #: Text bytes of a chunk; training tokens whose bigrams make a segment of the filter; tokens
 #: whose bigrams are counted at a time.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 SEGMENT_TOKENS = 800_000
-SLICE_TOKENS = 1_000_000
+SLICE_TOKENS = 700_000
 #: Bits of the filter per training token, least bits per entry, probes per entry.
 BITS_PER_TOKEN = 14
 BITS_PER_ENTRY = 8
@@ -358,20 +358,15 @@ def probe_bigrams(texts: DataFrame, train_tokens: int) -> DataFrame:
 # --- scoring -----------------------------------------------------------------------------
 
 
-def chunk_levels(numbers: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, segments: int, rows: dict[str, list]) -> np.ndarray:
-    """The level of every token's bigram, from the rows (slice, segment, levels) of a chunk."""
-    parts = {(i, s): data for i, s, data in zip(rows["slice"], rows["segment"], rows["levels"], strict=True)}
-    ends, out = np.cumsum(lengths), np.empty(len(numbers), dtype=np.uint8)
-    for i, (first, last) in enumerate(text_slices(lengths)):
-        span = slice(ends[first] - lengths[first], ends[last - 1])
-        distinct, own = np.unique(placed(_bigrams_of(numbers[span], hashes), segments), return_inverse=True)
-        levels = np.frombuffer(b"".join(zlib.decompress(parts[i, s]) for s in np.unique(distinct >> 32).tolist()), np.uint8)
-        out[span] = levels[own]
-    return out
+def slice_levels(numbers: np.ndarray, hashes: np.ndarray, segments: int, parts: dict[int, bytes]) -> np.ndarray:
+    """The level of every token's bigram in a slice, from the levels that each segment sent."""
+    distinct, own = np.unique(placed(_bigrams_of(numbers, hashes), segments), return_inverse=True)
+    levels = np.frombuffer(b"".join(zlib.decompress(parts[s]) for s in np.unique(distinct >> 32).tolist()), np.uint8)
+    return levels[own]
 
 
 def score_chunk(numbers: np.ndarray, lengths: np.ndarray, levels: np.ndarray, counts: np.ndarray, n: int, v: int, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n_known, base, score) of a chunk's texts, from the global counts of its words and the
+    """(n_known, base, score) of whole texts of a chunk, from the global counts of its words and the
     levels of its bigrams; a bigram of a word never seen has none."""
     p1 = (counts + 1.0) / (n + v + 1.0)
     base, known, log_p = np.empty(len(numbers)), np.empty(len(numbers), np.int64), np.empty(len(numbers))
@@ -409,8 +404,14 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         counts[right["number"].to_numpy()] = right["c"].to_numpy()
         lengths, numbers = np.asarray(row["lengths"][0], dtype=np.int64), unpack_numbers(row["numbers"][0])
         rows = left.filter(pc.invert(is_text)).select(["slice", "segment", "levels"]).to_pydict()
-        levels = chunk_levels(numbers, lengths, unpack_hashes(row["hashes"][0]), segments, rows)
-        known, base, total = score_chunk(numbers, lengths, levels, counts, n, v, n_texts)
+        parts: dict[int, dict[int, bytes]] = {}
+        for i, segment, data in zip(rows["slice"], rows["segment"], rows["levels"], strict=True):
+            parts.setdefault(i, {})[segment] = data
+        hashes, ends, sums = unpack_hashes(row["hashes"][0]), np.cumsum(lengths), []
+        for i, (first, last) in enumerate(text_slices(lengths)):
+            own = numbers[ends[first] - lengths[first] : ends[last - 1]]
+            sums.append(score_chunk(own, lengths[first:last], slice_levels(own, hashes, segments, parts[i]), counts, n, v, n_texts))
+        known, base, total = (np.concatenate(x) for x in zip(*sums, strict=True))
         return pa.table(
             {"doc_id": pa.array(row["ids"][0], pa.int64()), "held_out": pa.array(row["held"][0], pa.bool_()), "n_tokens": lengths, "n_known": known, "train_tokens": np.full(len(lengths), n), "base_score": base, "score": total}
         )
