@@ -43,9 +43,9 @@ from lexispark.llm.common import _arrow_schema, bound_batches, collector_off, fo
 
 #: Text bytes of a chunk; training tokens whose bigrams make a segment of the filter; tokens
 #: whose bigrams are counted at a time.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 16 << 20
 SEGMENT_TOKENS = 800_000
-SLICE_TOKENS = 700_000
+SLICE_TOKENS = 1_200_000
 #: Bits of the filter per training token, least bits per entry, probes per entry.
 BITS_PER_TOKEN = 14
 BITS_PER_ENTRY = 8
