@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import bloom_lm, byte_bpe, exact_dedup, language_id, packing, simhash, toxicity
+from lexispark.llm import bloom_lm, byte_bpe, exact_dedup, importance, language_id, packing, simhash, toxicity
 from lexispark.llm.common import fold, read_table
 
 
@@ -66,6 +66,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn by importance for ``benchmark``."""
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bloom_lm": op1_bloom_lm,
     "op3_simhash": op3_simhash,
@@ -74,6 +79,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op11_importance": op11_importance,
 }
 
 ORACLE = {
