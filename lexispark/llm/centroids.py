@@ -69,8 +69,8 @@ def nearest(block: np.ndarray, centroids: Centroids) -> tuple[np.ndarray, list[i
     n, d = block.shape
     most = max((abs(e) for c in centroids for e in c), default=0)
     sizes = np.abs(block).max(axis=1, initial=0)
-    # |x|^2, 2 |x.c| and |c|^2 together, each at most so large; compared in a way that cannot overflow
-    fits = d * (sizes + float(most)) ** 2 < EXACT if most < EXACT else np.zeros(n, dtype=bool)
+    # what the three terms may add up to; half the limit, as this bound is rounded itself
+    fits = d * (sizes + float(most)) ** 2 < EXACT / 2 if most < EXACT else np.zeros(n, dtype=bool)
     label, distance = np.zeros(n, dtype=np.int64), [0] * n
     at = np.flatnonzero(fits)
     if len(at):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["queries_text", "queries_pages"]
+MODULES = ["queries_text", "queries_pages", "queries_chat"]
 
 
 def _joined(attribute: str) -> dict:
