@@ -82,20 +82,22 @@ def generate(spark: SparkSession, *, checkpoint: str, tokenizer_path: str, c: Mo
     return tokenizer.decode(generation.generate(provider, ids, max_new=max_new, eos=tokenizer.eos_id, **options)[0])
 
 
-def posttrain(spark: SparkSession, *, stage: str, checkpoint: str | None, tokenizer_path: str, c: ModelConfig, out: str, steps: int, conversations: DataFrame | None = None, bank: DataFrame | None = None, seed: int = 0) -> list[float]:
-    """``sft`` on conversations (conv_id, messages), or ``grpo`` on a bank (question, gold)."""
+def posttrain(spark: SparkSession, *, stage: str, checkpoint: str | None, tokenizer_path: str, c: ModelConfig, out: str, steps: int, conversations: DataFrame | None = None, bank: DataFrame | None = None, resume: str | None = None, seed: int = 0) -> list[float]:
+    """``sft`` on conversations (conv_id, messages), or ``grpo`` on a bank (question, gold); ``resume`` continues
+    a fine-tuning run of the same ``steps`` in all exactly where its checkpoint stands."""
     tokenizer = BpeTokenizer.load(spark, tokenizer_path)
     run = training.Run(c, init_params(c), steps)
     if checkpoint:
         training.load_weights(spark, checkpoint, run.params)
+    if resume:
+        training.load_checkpoint(spark, resume, run)
     if stage == "sft":
         rows = conversations if conversations is not None else tasks.synthetic_conversations(spark, 256, seed)
         rendered = chat.render_messages(rows, ids=tokenizer.encode_column(F.coalesce("text", F.lit(""))))
         result = training.train_sft(run, chat.pack_conversations(rendered, c.context), steps)
     elif stage == "grpo":
         rows = bank if bank is not None else tasks.arithmetic_bank(spark, 64, seed=seed)
-        prompts = [([{"role": "user", "content": r["question"]}], r["gold"]) for r in rows.select("question", "gold").collect()]
-        result = training.run_grpo(spark, run, tokenizer, prompts, steps=steps, seed=seed)
+        result = training.run_grpo(spark, run, tokenizer, rows, steps=steps, seed=seed)
     else:
         raise ValueError(f"unknown stage {stage!r}; choose sft or grpo")
     training.save_checkpoint(spark, out, run, extra={"stage": stage, "curve": result}, weights_only=stage == "grpo")

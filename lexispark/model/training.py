@@ -1,8 +1,9 @@
-"""Training: data-parallel gradients in Spark, pretraining, SFT and GRPO loops, checkpoints."""
+"""Training: pretraining, SFT and GRPO, each update from gradients taken in Spark; checkpoints."""
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from dataclasses import asdict
 
 import numpy as np
@@ -10,46 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.functions import rewards
 from lexispark.functions.bpe import BpeTokenizer
 from lexispark.functions.schedule import ModelConfig
 from lexispark.model import generation
+from lexispark.model.gradients import distributed_gradients, gradient_sums
 from lexispark.model.optim import Optimizer, clip, scheduler
 from lexispark.model.providers import Transformer
-from lexispark.model.transformer import Params, backward, forward, log_softmax, loss_and_grads, loss_sums
-
-
-def distributed_gradients(rows: DataFrame, params: Params, c: ModelConfig) -> tuple[float, Params]:
-    """Mean loss and gradients over rows of inputs, targets and optionally mask and segments.
-
-    Parameters are broadcast, every task returns the sums over its rows, one row per tensor, and
-    the sums are added up by tensor before they come to the driver: what comes is one model.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(params)
-    names = [n for n in ("inputs", "targets", "mask", "segments") if n in rows.columns]
-
-    def run(batches):
-        total, count, sums = 0.0, 0, None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8):
-                part = {n: np.array(batch.column(i).slice(at, 8).to_pylist()) for i, n in enumerate(names)}
-                loss, n, grads = loss_sums(shared.value, c, part["inputs"], part["targets"], part.get("mask"), part.get("segments"))
-                total, count = total + loss, count + n
-                sums = grads if sums is None else {k: sums[k] + g for k, g in grads.items()}
-        if sums is not None:
-            sums["_loss"] = np.array([total, count], dtype=np.float64)
-            yield pa.RecordBatch.from_pydict({"name": list(sums), "data": [np.ascontiguousarray(g, dtype="<f8").tobytes() for g in sums.values()]}, schema=pa.schema([("name", pa.string()), ("data", pa.binary())]))
-
-    def add(table: pa.Table) -> pa.Table:
-        data = sum(np.frombuffer(x, "<f8") for x in table["data"].to_pylist())
-        return pa.table({"name": table["name"].slice(0, 1), "data": [data.tobytes()]})
-
-    parts = rows.select(*names).mapInArrow(run, "name string, data binary").groupBy("name").applyInArrow(add, "name string, data binary").collect()
-    found = {r["name"]: np.frombuffer(bytes(r["data"]), "<f8") for r in parts}
-    if not found:
-        raise ValueError("no rows to train on")
-    total, count = found.pop("_loss")
-    n = max(1.0, count)
-    return total / n, {k: v.reshape(params[k].shape) / n for k, v in found.items()}
+from lexispark.model.transformer import Params, backward, forward, log_softmax, loss_sums
+from lexispark.operators.order import with_row_index
+from lexispark.session import store
 
 
 class Run:
@@ -58,6 +29,7 @@ class Run:
     def __init__(self, c: ModelConfig, params: Params, steps: int | None = None):
         self.c, self.params = c, params
         self.optimizer = Optimizer(c, params)
+        self.cursor = 0  # the next micro-batch of fine-tuning
         self.schedule = scheduler(c, self.optimizer, steps)
 
     def update(self, grads: Params) -> float:
@@ -98,25 +70,52 @@ def validation_loss(rows: DataFrame, run: Run) -> float:
     return row[0] / max(1, row[1])
 
 
-def train_sft(run: Run, packed: DataFrame, steps: int) -> list[float]:
-    """Fine-tune on packed rows, taken round in micro-batches; the loss sees assistant tokens."""
-    from lexispark.operators.chat import to_matrix
+def microbatch_rows(packed: DataFrame, first: int, count: int, batches: int, size: int) -> DataFrame:
+    """Rows of ``count`` consecutive micro-batches from ``first`` on, taken round, with ``microbatch``.
+
+    Rows are found by number: the conditions are ranges, which Parquet's statistics answer.
+    """
+    row = F.col("row")
+    if count < batches:
+        last = (first + count - 1) % batches
+        low, high = row >= first * size, row < (last + 1) * size
+        packed = packed.where(low & high if first <= last else low | high)
+    return packed.withColumn("microbatch", F.expr(f"row div {size}"))
+
 
-    columns = [to_matrix(packed, n) for n in ("input_ids", "targets", "loss_mask", "segment_ids")]
-    n = len(columns[0])
+def sft_step(run: Run, packed: DataFrame, batches: int, *, tasks: int | None = None) -> float:
+    """One update from the next ``grad_accum`` micro-batches: the mean of their mean losses.
+
+    A micro-batch's mean is over its own supervised targets, so each row weighs in with its
+    micro-batch's share; these weights, one for each micro-batch of the step, are all that the driver sees.
+    """
+    accum, size = run.c.grad_accum, run.c.micro_batch
+    first = run.cursor % batches
+    times = Counter((first + i) % batches for i in range(accum))
+    rows = microbatch_rows(packed, first, accum, batches, size)
+    counted = rows.groupBy("microbatch").agg(F.sum(F.size(F.filter("loss_mask", lambda m: m != 0))).alias("n")).collect()
+    weights = [(r["microbatch"], times[r["microbatch"]] / (accum * max(1, r["n"]))) for r in counted]
+    weighed = rows.join(F.broadcast(rows.sparkSession.createDataFrame(weights, "microbatch bigint, weight double")), "microbatch")
+    named = weighed.select(F.col("input_ids").alias("inputs"), "targets", F.col("loss_mask").alias("mask"), F.col("segment_ids").alias("segments"), "weight")
+    loss, grads = distributed_gradients(named, run.params, run.c, tasks=tasks)
+    run.update(grads)
+    run.cursor += accum
+    return loss
+
+
+def train_sft(run: Run, packed: DataFrame, steps: int, *, tasks: int | None = None) -> list[float]:
+    """Fine-tune on packed rows (numbered from 0 without gaps), taken round in micro-batches; the loss
+    sees assistant tokens.
+
+    The packed table is written once, ordered by row number; a step reads its rows from there, and
+    their gradients are added up in Spark. ``run.cursor`` is where the next step goes on, also after
+    a checkpoint.
+    """
+    stored = store(packed.select("row", "input_ids", "targets", "loss_mask", "segment_ids").repartitionByRange("row").sortWithinPartitions("row"), "packed")
+    n = stored.count()
     if not n:
         raise ValueError("no packed rows to train on")
-    size, cursor, losses = run.c.micro_batch, 0, []
-    batches = [slice(a, a + size) for a in range(0, n, size)]
-    for _ in range(steps):
-        parts = []
-        for _ in range(run.c.grad_accum):
-            rows = batches[cursor % len(batches)]
-            cursor += 1
-            parts.append(loss_and_grads(run.params, run.c, *(x[rows] for x in columns)))
-        run.update({k: sum(g[k] for _, g in parts) / len(parts) for k in parts[0][1]})
-        losses.append(sum(loss for loss, _ in parts) / len(parts))
-    return losses
+    return [sft_step(run, stored, -(-n // run.c.micro_batch), tasks=tasks) for _ in range(steps)]
 
 
 def group_advantages(rewards: np.ndarray, groups: np.ndarray, eps: float = 1e-6) -> np.ndarray:
@@ -130,53 +129,92 @@ def group_advantages(rewards: np.ndarray, groups: np.ndarray, eps: float = 1e-6)
     return out
 
 
-def grpo_loss(params: Params, c: ModelConfig, seqs, mask, advantages, old_logp, clip_eps: float = 0.2) -> tuple[float, Params]:
-    """Clipped surrogate over completion tokens and its gradients."""
+def grpo_sums(params: Params, c: ModelConfig, seqs, mask, advantages, old_logp=None, clip_eps: float = 0.2) -> tuple[float, float, Params]:
+    """(sum of the clipped surrogate over completion tokens, their number, gradients of the sum).
+
+    Without ``old_logp`` the parameters are the ones that sampled.
+    """
     logits, tape = forward(params, c, seqs)
     logp = log_softmax(logits[:, :-1])
     tgt, m = seqs[:, 1:, None], mask[:, 1:].astype(float)
     own = np.take_along_axis(logp, tgt, -1)[..., 0]
-    ratio, adv = np.exp(own - old_logp), advantages[:, None]
+    ratio, adv = np.exp(own - (own if old_logp is None else old_logp)), advantages[:, None]
     free, bound = ratio * adv, np.clip(ratio, 1 - clip_eps, 1 + clip_eps) * adv
-    n = max(1.0, m.sum())
-    loss = -(np.minimum(free, bound) * m).sum() / n
-    d_own = -(np.where(free <= bound, free, 0.0) * m) / n  # d ratio / d logp = ratio; a clipped term is flat
+    d_own = -(np.where(free <= bound, free, 0.0) * m)  # d ratio / d logp = ratio; a clipped term is flat
     dlogits = np.zeros_like(logits)
     d = -np.exp(logp) * d_own[..., None]
     np.put_along_axis(d, tgt, np.take_along_axis(d, tgt, -1) + d_own[..., None], -1)
     dlogits[:, :-1] = d
-    return float(loss), backward(params, c, tape, dlogits)
+    return -float((np.minimum(free, bound) * m).sum()), float(m.sum()), backward(params, c, tape, dlogits)
 
 
-def run_grpo(spark: SparkSession, run: Run, tokenizer: BpeTokenizer, bank: list[tuple[list[dict], int]], *, steps: int, group_size: int = 8, prompts_per_step: int = 4, max_new: int = 16, temperature: float = 1.0, top_k: int | None = 40, lr: float = 1e-4, clip_eps: float = 0.2, seed: int = 0, reward=None) -> list[float]:
-    """Roll out in Spark, score, normalise in groups, one clipped update a step; mean rewards.
+def grpo_loss(params: Params, c: ModelConfig, seqs, mask, advantages, old_logp, clip_eps: float = 0.2) -> tuple[float, Params]:
+    """Clipped surrogate over completion tokens and its gradients."""
+    total, n, grads = grpo_sums(params, c, seqs, mask, advantages, old_logp, clip_eps)
+    n = max(1.0, n)
+    return total / n, {k: g / n for k, g in grads.items()}
 
-    ``bank`` has (messages, gold); ``reward`` is a Column function of (text, gold, terminated,
-    n_new, max_new), by default the rewards of ``functions.rewards``.
-    """
-    from lexispark.functions import rewards as R
 
-    reward = reward or R.reward
+def padded(sequences: list[list[int]], prompt_len: list[int], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences as a matrix, and a mask that is 1 on what follows the prompts."""
+    seqs = np.full((len(sequences), max(map(len, sequences))), pad)
+    mask = np.zeros_like(seqs)
+    for i, (tokens, start) in enumerate(zip(sequences, prompt_len, strict=True)):
+        seqs[i, : len(tokens)] = tokens
+        mask[i, start : len(tokens)] = 1
+    return seqs, mask
+
+
+def grpo_gradients(rows: DataFrame, params: Params, c: ModelConfig, *, pad: int, clip_eps: float = 0.2, tasks: int | None = None) -> tuple[float, Params]:
+    """Surrogate and gradients over rows of tokens, prompt_len and advantage, sampled by ``params``."""
+
+    def sums(now: Params, part: dict[str, list]) -> tuple[float, float, Params]:
+        return grpo_sums(now, c, *padded(part["tokens"], part["prompt_len"], pad), np.array(part["advantage"]), clip_eps=clip_eps)
+
+    total, n, grads = gradient_sums(rows.select("tokens", "prompt_len", "advantage"), params, sums, tasks=tasks)
+    n = max(1.0, n)
+    return total / n, {k: g / n for k, g in grads.items()}
+
+
+def numbered_bank(bank: DataFrame) -> DataFrame:
+    """(number, messages, gold) of a bank of questions, numbered from 0 in order of question and gold; a bank
+    that has ``messages`` is numbered in its own order of ``number``."""
+    if "messages" not in bank.columns:
+        asked = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content")))
+        bank = with_row_index(bank.select("question", "gold"), ["question", "gold"], "number").withColumn("messages", asked)
+    return store(bank.select(F.col("number").cast("bigint").alias("number"), "messages", F.col("gold").cast("bigint").alias("gold")).repartitionByRange("number"), "bank")
+
+
+def run_grpo(spark: SparkSession, run: Run, tokenizer: BpeTokenizer, bank: DataFrame | list[tuple[list[dict], int]], *, steps: int, group_size: int = 8, prompts_per_step: int = 4, max_new: int = 16, temperature: float = 1.0, top_k: int | None = 40, lr: float = 1e-4, clip_eps: float = 0.2, seed: int = 0, reward=None, tasks: int | None = None) -> list[float]:
+    """Roll out, score, normalise in groups and take gradients in Spark, one clipped update a step;
+    mean rewards.
+
+    ``bank`` is a table (question, gold), or a list of (messages, gold); a step's prompts are found by number,
+    and only they come to the driver. ``reward`` is a Column function of (text, gold, terminated, n_new,
+    max_new), by default the rewards of ``functions.rewards``. A run continues at ``run.cursor``.
+    """
+    if isinstance(bank, list):
+        bank = spark.createDataFrame([(i, m, gold) for i, (m, gold) in enumerate(bank)], "number bigint, messages array<struct<role: string, content: string>>, gold bigint")
+    stored = numbered_bank(bank)
+    n = stored.count()
+    if not n:
+        raise ValueError("no prompts to train on")
+    reward = reward or rewards.reward
     means = []
-    for step in range(steps):
-        picked = [bank[(step * prompts_per_step + j) % len(bank)] for j in range(prompts_per_step)]
-        prompts = spark.createDataFrame([(g, generation.rendered(m, tokenizer, prompt=True)[0], gold) for g, (m, gold) in enumerate(picked)], "group bigint, ids array<int>, gold bigint")
+    for _ in range(steps):
+        step = run.cursor
+        numbers = [(step * prompts_per_step + j) % n for j in range(prompts_per_step)]
+        found = {r["number"]: r for r in stored.where(F.col("number").isin(numbers)).collect()}
+        picked = [(g, generation.rendered([m.asDict() for m in found[i]["messages"]], tokenizer, prompt=True)[0], found[i]["gold"]) for g, i in enumerate(numbers)]
+        prompts = spark.createDataFrame(picked, "group bigint, ids array<int>, gold bigint")
         out = generation.sample_groups(prompts, Transformer(run.params, run.c), tokenizer, group_size=group_size, max_new=max_new, temperature=temperature, top_k=top_k, seed=seed + 1000 * step)
-        scored = out.join(prompts.select("group", "gold"), "group").withColumn("reward", reward(F.col("text"), F.col("gold"), F.col("terminated"), F.col("n_new"), F.lit(max_new)))
-        rows = scored.orderBy("group", "sample").collect()  # group_size * prompts_per_step rows
-        longest = max(len(r["tokens"]) for r in rows)
-        seqs = np.full((len(rows), longest), tokenizer.pad_id)
-        mask = np.zeros_like(seqs)
-        for i, r in enumerate(rows):
-            seqs[i, : len(r["tokens"])] = r["tokens"]
-            mask[i, r["prompt_len"] : len(r["tokens"])] = 1
-        value = np.array([r["reward"] for r in rows])
-        adv = group_advantages(value, np.array([r["group"] for r in rows]))
-        old, _ = generation.token_logprobs(Transformer(run.params, run.c), seqs, mask)
-        _, grads = grpo_loss(run.params, run.c, seqs, mask, adv, old, clip_eps)
+        scored = out.join(F.broadcast(prompts.select("group", "gold")), "group").withColumn("reward", reward(F.col("text"), F.col("gold"), F.col("terminated"), F.col("n_new"), F.lit(max_new)))
+        rolled = store(scored.withColumn("advantage", rewards.group_advantage(F.col("reward"), "group")).select("tokens", "prompt_len", "reward", "advantage"), "rollouts")
+        _, grads = grpo_gradients(rolled, run.params, run.c, pad=tokenizer.pad_id, clip_eps=clip_eps, tasks=tasks)
         grads, _ = clip(grads, run.c.grad_clip)
         run.optimizer.step(run.params, grads, {"hidden": lr, "misc": lr})
-        means.append(float(value.mean()))
+        run.cursor += 1
+        means.append(float(rolled.agg(F.avg("reward")).first()[0]))
     return means
 
 
@@ -191,7 +229,7 @@ def save_checkpoint(spark: SparkSession, path: str, run: Run, *, sampler=None, e
     groups = {"param": run.params} if weights_only else {"param": run.params, "first": state["first"], "second": state["second"]}
     rows = [(kind, name, list(x.shape), np.ascontiguousarray(x, dtype="<f8").tobytes()) for kind, values in groups.items() for name, x in values.items()]
     spark.createDataFrame(rows, _TENSORS).write.mode("overwrite").parquet(f"{path}/tensors")
-    record = {"config": asdict(run.c), "steps": state["steps"], "schedule": run.schedule.state(), "sampler": sampler.state() if sampler else None, "extra": extra or {}}
+    record = {"config": asdict(run.c), "steps": state["steps"], "schedule": run.schedule.state(), "cursor": run.cursor, "sampler": sampler.state() if sampler else None, "extra": extra or {}}
     spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/record")
 
 
@@ -217,6 +255,7 @@ def load_checkpoint(spark: SparkSession, path: str, run: Run, *, sampler=None) -
     record = json.loads(spark.read.text(f"{path}/record").first()[0])
     run.optimizer.load_state({"steps": record["steps"], "first": found.get("first", {}), "second": found.get("second", {})})
     run.schedule.load_state(record["schedule"])
+    run.cursor = record.get("cursor", 0)
     if sampler and record["sampler"]:
         sampler.load_state(record["sampler"])
     return record

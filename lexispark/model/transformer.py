@@ -154,19 +154,21 @@ def supervised(targets: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
     return targets if mask is None else np.where(mask == 0, IGNORE_INDEX, targets)
 
 
-def loss_sums(p: Params, c: ModelConfig, ids, targets, mask=None, segments=None, *, grad: bool = True):
-    """(sum of cross-entropy, supervised targets, gradients of the sum)."""
+def loss_sums(p: Params, c: ModelConfig, ids, targets, mask=None, segments=None, *, weights=None, grad: bool = True):
+    """(sum of cross-entropy, supervised targets, gradients of the sum); each row's share in the
+    sum can be weighted."""
     logits, tape = forward(p, c, ids, segments)
     tgt = supervised(targets, mask)
     valid = tgt != IGNORE_INDEX
     logp = log_softmax(logits)
     at = np.where(valid, tgt, 0)[..., None]
-    nll = -np.take_along_axis(logp, at, -1)[..., 0] * valid
+    share = valid if weights is None else valid * weights[:, None]
+    nll = -np.take_along_axis(logp, at, -1)[..., 0] * share
     if not grad:
         return float(nll.sum()), int(valid.sum()), None
     d = np.exp(logp)
     np.put_along_axis(d, at, np.take_along_axis(d, at, -1) - 1.0, -1)
-    return float(nll.sum()), int(valid.sum()), backward(p, c, tape, d * valid[..., None])
+    return float(nll.sum()), int(valid.sum()), backward(p, c, tape, d * share[..., None])
 
 
 def loss_and_grads(p: Params, c: ModelConfig, ids, targets, mask=None, segments=None):

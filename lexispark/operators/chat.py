@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.vocab import BOS, EOS, PAD, ROLE_IDS, byte_ids
+from lexispark.operators import nextfit
 
 IGNORE_INDEX = -100
 PAD_SEGMENT = -1
@@ -46,32 +46,13 @@ def render_messages(conversations: DataFrame, *, key: str = "conv_id", messages:
     return render(turns, key=key, **options)
 
 
-def next_fit(lengths: DataFrame, capacity: int, *, key: str = "conv_id", length: str = "n") -> DataFrame:
+def next_fit(lengths: DataFrame, capacity: int, *, key: str = "conv_id", length: str = "n", **sizes) -> DataFrame:
     """Sequential next-fit in key order: (key, n, row, start, segment).
 
-    A conversation longer than the capacity is truncated to it. The rule is sequential: where
-    one conversation goes depends on all before it. What runs through the one ordered task is
-    the key and the length alone, in Arrow batches with constant memory; everything else is
-    joined back by key.
+    A conversation longer than the capacity is truncated to it. Only keys and lengths are moved; where one
+    conversation goes depends on all before it, which ``operators.nextfit`` settles in parallel.
     """
-    kind = dict(lengths.dtypes)[key]
-    ordered = lengths.select(key, F.least(F.col(length), F.lit(capacity)).cast("int").alias("n")).orderBy(key).coalesce(1)
-
-    def place(batches):
-        row, used, segment = 0, 0, 0
-        for batch in batches:
-            n = batch.column(1).to_pylist()
-            rows, starts, segments = [], [], []
-            for size in n:
-                if used + size > capacity:
-                    row, used, segment = row + 1, 0, 0
-                rows.append(row)
-                starts.append(used)
-                segments.append(segment)
-                used, segment = used + size, segment + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(segments, pa.int32())], names=[key, "n", "row", "start", "segment"])
-
-    return ordered.mapInArrow(place, f"{key} {kind}, n int, row bigint, start int, segment int")
+    return nextfit.next_fit(lengths, capacity, key=key, length=length, **sizes)
 
 
 def pack_conversations(rendered: DataFrame, seq_len: int, *, key: str = "conv_id") -> DataFrame:
