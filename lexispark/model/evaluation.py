@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import batched, groupby
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,30 +10,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.bpe import BpeTokenizer
-from lexispark.model.generation import generate
-from lexispark.model.providers import Provider
-from lexispark.model.transformer import log_softmax
+from lexispark.model.generation import generate_all
+from lexispark.model.providers import Provider, target_logprobs
 from lexispark.operators import scoring
 
+#: Sequences that a provider sees at once, unless it says otherwise.
+ROWS_AT_A_TIME = 64
 
-#: Neighbours of equal length that the provider sees at once.
-WINDOWS_AT_A_TIME = 64
+
+def equal_lengths(column: pa.Array, rows: int) -> Iterator[np.ndarray]:
+    """The sequences of a list column as matrices of up to ``rows`` of one length, in any order; those
+    that are null or shorter than two have no target and are left out."""
+    column = column.drop_null()
+    values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+    lengths = np.diff(ends, prepend=0)
+    for n in np.unique(lengths[lengths > 1]):
+        starts = (ends - lengths)[lengths == n]
+        for a in range(0, len(starts), rows):
+            yield values[starts[a : a + rows, None] + np.arange(n)]
 
 
 def perplexity(windows: DataFrame, provider: Provider, tokens: str = "tokens") -> DataFrame:
-    """Token-weighted perplexity of windows: one row (perplexity)."""
+    """Token-weighted perplexity of windows: one row (perplexity).
+
+    A task sends on sums, one row a batch, and never holds logits that it does not need.
+    """
     shared = windows.sparkSession.sparkContext.broadcast(provider)
 
     def run(batches):
+        model = shared.value
+        rows = getattr(model, "rows_at_a_time", ROWS_AT_A_TIME)
         for batch in batches:
-            for _, same in groupby(batch.column(0).to_pylist(), key=len):
-                for part in batched(same, WINDOWS_AT_A_TIME):
-                    x = np.array(part)
-                    logp = log_softmax(shared.value(x[:, :-1]))
-                    nll = -np.take_along_axis(logp, x[:, 1:, None], -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(nll.ravel())], names=["nll"])
+            total, n = 0.0, 0
+            for x in equal_lengths(batch.column(0), rows):
+                total -= float(target_logprobs(model, x[:, :-1], x[:, 1:]).sum())
+                n += x[:, 1:].size
+            yield pa.RecordBatch.from_pydict({"nll": [total], "n": [n]}, schema=pa.schema([("nll", pa.float64()), ("n", pa.int64())]))
 
-    return windows.select(tokens).mapInArrow(run, "nll double").agg(scoring.perplexity(F.col("nll")).alias("perplexity"))
+    sums = windows.select(tokens).mapInArrow(run, "nll double, n bigint")
+    return sums.agg(scoring.perplexity_of_sums(F.col("nll"), F.col("n")).alias("perplexity"))
 
 
 def choice_logprobs(questions: DataFrame, provider: Provider, tokenizer: BpeTokenizer, *, key: str = "q_id") -> DataFrame:
@@ -52,8 +67,8 @@ def choice_logprobs(questions: DataFrame, provider: Provider, tokenizer: BpeToke
                     ids = coder.encode(choice)
                     logs: list[float | None] = [None]
                     if ids:
-                        logp = log_softmax(model(np.array([context + ids])))[0]
-                        logs = [float(logp[len(context) + i - 1, token]) for i, token in enumerate(ids)]
+                        whole = np.array([context + ids])
+                        logs = target_logprobs(model, whole[:, :-1], whole[:, 1:])[0, len(context) - 1 :].tolist()
                     for name, values in (("q_id", [q] * len(logs)), ("choice", [j] * len(logs)), ("answer", [answer] * len(logs)), ("logp", logs)):
                         out[name] += values
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("q_id", pa.int64()), ("choice", pa.int32()), ("answer", pa.int32()), ("logp", pa.float64())]))
@@ -69,13 +84,17 @@ def programs(problems: DataFrame, provider: Provider, tokenizer: BpeTokenizer, *
     """(program): greedily completed prompts with their tests."""
     shared = problems.sparkSession.sparkContext.broadcast((provider, tokenizer))
 
-    @F.udf("string")
-    def completion(prompt):
+    def run(batches):
         model, coder = shared.value
-        ids = coder.encode(prompt)
-        return coder.decode(generate(model, np.array([ids]), max_new=max_new, eos=coder.eos_id)[0, len(ids) :].tolist())
-
-    return problems.select(scoring.program(F.col("prompt"), completion("prompt"), F.col("test"), F.col("entry_point")).alias("program"))
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                part = batch.slice(a, ROWS_AT_A_TIME)
+                prompts = [coder.encode(p) for p in part.column(0).to_pylist()]
+                texts = [coder.decode(new) for new in generate_all(model, prompts, max_new=max_new, eos=coder.eos_id)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["prompt", "test", "entry_point", "completion"])
+
+    done = problems.select("prompt", "test", "entry_point").mapInArrow(run, "prompt string, test string, entry_point string, completion string")
+    return done.select(scoring.program(F.col("prompt"), F.col("completion"), F.col("test"), F.col("entry_point")).alias("program"))
 
 
 def evaluate(provider: Provider, tokenizer: BpeTokenizer, *, windows: DataFrame | None = None, arc_easy: DataFrame | None = None, arc_challenge: DataFrame | None = None, mmlu: DataFrame | None = None, humaneval: DataFrame | None = None, max_new: int = 256, allow_execution: bool = False) -> DataFrame | None:

@@ -1,4 +1,14 @@
-"""Logits providers: functions from ids [B, T] to logits [B, T, V]."""
+"""Logits providers: functions from ids [B, T] to logits [B, T, V].
+
+Scoring needs no logits, only the log-probability of each target. A provider may therefore have
+``target_logprobs(ids, targets)``, which returns these [B, T] without ever holding a row of V logits;
+``target_logprobs`` below uses it, and for any other provider takes the logits a few positions at a time.
+``rows_at_a_time`` says how many sequences a provider likes to see at once.
+
+Generation needs the last position's logits only. A provider with ``start(rows, size)``, which makes a state
+for sequences of up to ``size`` tokens, and ``extend(state, ids)``, which shows it further tokens and
+returns the last one's logits [B, V], is not shown a token twice.
+"""
 
 from __future__ import annotations
 
@@ -10,33 +20,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.schedule import ModelConfig
-from lexispark.model.transformer import Params, forward
+from lexispark.model.transformer import Cache, Params, extend, forward, hidden_states
 
 Provider = Callable[[np.ndarray], np.ndarray]
 
+#: Values of a tile of logits.
+TILE = 1 << 20
+
+
+def log_sum_exp(hidden: np.ndarray, weight: np.ndarray, tile: int = TILE) -> np.ndarray:
+    """Of hidden [N, D] @ weight.T [D, V] along V, with at most ``tile`` logits at a time."""
+    columns = max(1, tile // max(1, len(hidden)))
+    peak, total = np.full(len(hidden), -np.inf), np.zeros(len(hidden))
+    for a in range(0, len(weight), columns):
+        z = hidden @ weight[a : a + columns].T
+        top = np.maximum(peak, z.max(1))
+        total = total * np.exp(peak - top) + np.exp(z - top[:, None]).sum(1)
+        peak = top
+    return peak + np.log(total)
+
+
+def target_logprobs(provider: Provider, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """log p of the targets [B, T] behind each prefix of ids [B, T]."""
+    own = getattr(provider, "target_logprobs", None)
+    if own is not None:
+        return own(ids, targets)
+    logits = np.asarray(provider(ids))
+    flat, at = logits.reshape(-1, logits.shape[-1]), targets.ravel()
+    out = np.empty(len(at))
+    rows = max(1, TILE // max(1, flat.shape[1]))
+    for a in range(0, len(at), rows):
+        z = flat[a : a + rows].astype(np.float64)
+        peak = z.max(1)
+        out[a : a + rows] = z[np.arange(len(z)), at[a : a + rows]] - peak - np.log(np.exp(z - peak[:, None]).sum(1))
+    return out.reshape(targets.shape)
+
 
 class Uniform:
+    rows_at_a_time = 1 << 14
+
     def __init__(self, vocab_size: int):
         self.vocab_size = vocab_size
 
+    def target_logprobs(self, ids, targets):
+        return np.full(np.shape(targets), -np.log(self.vocab_size))
+
     def __call__(self, ids):
         return np.zeros((*ids.shape, self.vocab_size))
 
+    def start(self, rows, size):
+        return None
+
+    def extend(self, state, ids):
+        return np.zeros((len(ids), self.vocab_size))
+
 
 class Preferred:
     """Always the given tokens, the first most; others are far behind."""
 
+    rows_at_a_time = 1 << 14
+
     def __init__(self, vocab_size: int, tokens: list[int], strength: float = 5.0):
         self.row = np.full(vocab_size, -strength)
         self.row[tokens] = strength - np.arange(len(tokens))
 
+    def target_logprobs(self, ids, targets):
+        return self.row[targets] - np.log(np.exp(self.row).sum())
+
     def __call__(self, ids):
         return np.broadcast_to(self.row, (*ids.shape, len(self.row)))
 
+    def start(self, rows, size):
+        return None
+
+    def extend(self, state, ids):
+        return np.broadcast_to(self.row, (len(ids), len(self.row)))
+
 
 class Bigram:
     """Add-one bigram counts of token sequences; pickles as one matrix, for small vocabularies."""
 
+    rows_at_a_time = 1 << 14
+
     def __init__(self, counts: np.ndarray):
         self.log_p = np.log((counts + 1.0) / (counts.sum(1, keepdims=True) + counts.shape[1]))
 
@@ -68,6 +133,15 @@ class Bigram:
     def __call__(self, ids):
         return self.log_p[ids]
 
+    def target_logprobs(self, ids, targets):
+        return self.log_p[ids, targets]  # rows are normalised
+
+    def start(self, rows, size):
+        return None
+
+    def extend(self, state, ids):
+        return self.log_p[ids[:, -1]]
+
 
 class Transformer:
     def __init__(self, params: Params, config: ModelConfig):
@@ -79,3 +153,16 @@ class Transformer:
 
     def __call__(self, ids):
         return forward(self.params, self.config, np.asarray(ids))[0]
+
+    def target_logprobs(self, ids, targets):
+        ids, targets = np.asarray(ids), np.asarray(targets)
+        hidden, head = hidden_states(self.params, self.config, ids), self.params["embed"]
+        flat, at = hidden.reshape(-1, hidden.shape[-1]), targets.ravel()
+        own = np.einsum("ij,ij->i", flat, head[at])
+        return (own - log_sum_exp(flat, head)).reshape(targets.shape)
+
+    def start(self, rows, size):
+        return Cache(self.config, rows, size)
+
+    def extend(self, state, ids):
+        return extend(self.params, self.config, state, np.asarray(ids))[:, -1] @ self.params["embed"].T

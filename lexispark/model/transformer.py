@@ -49,8 +49,8 @@ def norm_back(dy, x, r, w):
     return dx, (dy * x * r).reshape(-1, x.shape[-1]).sum(0)
 
 
-def rope_angles(length: int, head_dim: int, base: float):
-    angle = np.outer(np.arange(length), base ** (-2.0 * np.arange(head_dim // 2) / head_dim))
+def rope_angles(length: int, head_dim: int, base: float, first: int = 0):
+    angle = np.outer(np.arange(first, first + length), base ** (-2.0 * np.arange(head_dim // 2) / head_dim))
     angle = np.concatenate([angle, angle], axis=1)
     return np.cos(angle), np.sin(angle)
 
@@ -70,8 +70,18 @@ def attention_mask(length: int, window: int | None, segments: np.ndarray | None)
     return allowed
 
 
+def hidden_states(p: Params, c: ModelConfig, ids: np.ndarray, segments: np.ndarray | None = None) -> np.ndarray:
+    """What the output head sees, [B, T, D]; logits are its products with the embeddings."""
+    return _layers(p, c, ids, segments)["y"]
+
+
 def forward(p: Params, c: ModelConfig, ids: np.ndarray, segments: np.ndarray | None = None):
     """Logits [B, T, V] and the tape for ``backward``."""
+    tape = _layers(p, c, ids, segments)
+    return tape["y"] @ p["embed"].T, tape
+
+
+def _layers(p: Params, c: ModelConfig, ids: np.ndarray, segments: np.ndarray | None) -> dict:
     b, t = ids.shape
     cos, sin = rope_angles(t, c.head_dim, c.rope_base)
     x = p["embed"][ids]
@@ -104,8 +114,49 @@ def forward(p: Params, c: ModelConfig, ids: np.ndarray, segments: np.ndarray | N
         x = x + m @ p[n + "down"].T
         tape["layers"].append(s)
     y, tape["rf"] = norm(x, p["final_norm"])
-    tape |= {"xf": x, "y": y}
-    return y @ p["embed"].T, tape
+    return tape | {"xf": x, "y": y}
+
+
+class Cache:
+    """Keys and values of the tokens that a model has seen, for ``rows`` sequences of up to ``size``
+    tokens; ``work`` counts the positions that went through the layers."""
+
+    def __init__(self, c: ModelConfig, rows: int, size: int):
+        shape = (c.n_layers, rows, c.n_kv_heads, size, c.head_dim)
+        self.keys, self.values = np.empty(shape), np.empty(shape)
+        self.length = self.work = 0
+
+
+def extend(p: Params, c: ModelConfig, cache: Cache, ids: np.ndarray) -> np.ndarray:
+    """Hidden states [B, T, D] of further tokens, which see those in the cache and join them."""
+    b, t = ids.shape
+    past, rep = cache.length, c.n_q_heads // c.n_kv_heads
+    cos, sin = rope_angles(t, c.head_dim, c.rope_base, past)
+    split = lambda y, heads: y.reshape(b, t, heads, c.head_dim).transpose(0, 2, 1, 3)
+    x = p["embed"][ids]
+    for i in range(c.n_layers):
+        n = f"layer{i}."
+        h = norm(x, p[n + "attn_norm"])[0]
+        q, k = split(h @ p[n + "q"].T, c.n_q_heads), split(h @ p[n + "k"].T, c.n_kv_heads)
+        if c.qk_norm:
+            q, k = norm(q, p[n + "q_norm"])[0], norm(k, p[n + "k_norm"])[0]
+        cache.keys[i, :, :, past : past + t] = rotate(k, cos, sin)
+        cache.values[i, :, :, past : past + t] = split(h @ p[n + "v"].T, c.n_kv_heads)
+        window = None if c.full_attention(i) else c.window
+        low = 0 if window is None else max(0, past - window + 1)
+        keys, values = cache.keys[i, :, :, None, low : past + t], cache.values[i, :, :, None, low : past + t]
+        own, seen = np.arange(past, past + t)[:, None], np.arange(low, past + t)[None, :]
+        allowed = (seen <= own) & ((own - seen < window) if window is not None else True)
+        q = rotate(q, cos, sin).reshape(b, c.n_kv_heads, rep, t, c.head_dim)
+        a = np.where(allowed, q @ keys.swapaxes(-1, -2) / np.sqrt(c.head_dim), -np.inf)
+        a = np.exp(a - a.max(-1, keepdims=True))
+        a /= a.sum(-1, keepdims=True)
+        x = x + (a @ values).reshape(b, c.n_q_heads, t, c.head_dim).transpose(0, 2, 1, 3).reshape(b, t, c.q_dim) @ p[n + "o"].T
+        h = norm(x, p[n + "mlp_norm"])[0]
+        g = h @ p[n + "gate"].T
+        x = x + (g / (1.0 + np.exp(-g)) * (h @ p[n + "up"].T)) @ p[n + "down"].T
+    cache.length, cache.work = past + t, cache.work + t
+    return norm(x, p["final_norm"])[0]
 
 
 def log_softmax(logits: np.ndarray) -> np.ndarray:

@@ -74,23 +74,40 @@ def manifest_json(row) -> str:
 
 
 def window_starts(shards: DataFrame, context: int, split: str = "train") -> DataFrame:
-    """Start positions of context + 1 tokens in each shard of a split, and their share.
-
-    Adds starts, probability and the cumulative interval [low, high) of the share.
-    """
+    """Start positions of context + 1 tokens in each shard of a split, their share, and the cumulative
+    interval [low, high) of the share, in a total of all starts."""
     counted = shards.where(F.col("split") == split).withColumn("starts", F.greatest(F.lit(0).cast("bigint"), F.col("tokens") - context))
-    total = counted.agg(F.sum("starts").alias("total"))  # one row
-    summed = with_prefix_sum(counted, ["shard"], F.col("starts"), "low").join(F.broadcast(total))
+    total = counted.agg(F.sum("starts")).first()[0]
+    summed = with_prefix_sum(counted, ["shard"], F.col("starts"), "low").withColumn("total", F.lit(total).cast("bigint"))
     return summed.withColumn("probability", F.try_divide("starts", "total")).withColumn("high", F.col("low") + F.col("starts"))
 
 
-def draw_windows(starts: DataFrame, draws: DataFrame, u_shard: Column, u_start: Column) -> DataFrame:
-    """Place draws (two uniforms each) in shards by weight and at a uniform start: an interval
-    join with the shard list, which is small and broadcast by its size."""
-    uniforms = draws.withColumn("_u", u_shard).withColumn("_s", u_start)
-    inside = (F.floor(F.col("_u") * F.col("total")) >= F.col("low")) & (F.floor(F.col("_u") * F.col("total")) < F.col("high"))
-    picked = uniforms.join(starts.where("starts > 0").select("shard", "starts", "low", "high", "total"), inside)
-    return picked.withColumn("start", F.floor(F.col("_s") * F.col("starts")).cast("bigint")).drop("_u", "_s", "starts", "low", "high", "total")
+def guide_table(starts: DataFrame) -> tuple[DataFrame, int, int]:
+    """(shard, starts, low, high, bucket) for each bucket that a shard's interval touches, the buckets'
+    width and the total.
+
+    There are as many buckets as shards with a start, all of one width, so the table has at most twice as many
+    rows as there are shards, and a uniform draw finds two rows in its bucket on average.
+    """
+    usable = starts.where("starts > 0")
+    n, total = usable.agg(F.count(F.lit(1)), F.sum("starts")).first()
+    width = max(1, -(-(total or 0) // max(1, n)))
+    buckets = F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))
+    return usable.select("shard", "starts", "low", "high", F.explode(buckets).alias("bucket")), width, total or 0
+
+
+def draw_windows(starts: DataFrame, draws: DataFrame, u_shard: Column, u_start: Column, guide: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+    """Place draws (two uniforms each) in shards by weight and at a uniform start.
+
+    A draw meets the shards of its bucket in the guide table by equality, and the one whose interval
+    holds it stays: the same shard that a join on intervals finds, at a cost that does not grow with
+    the number of shards.
+    """
+    table, width, total = guide or guide_table(starts)
+    at = F.floor(u_shard * F.lit(total))
+    placed = draws.withColumn("_at", at).withColumn("_s", u_start).withColumn("bucket", F.expr(f"_at div {width}"))
+    picked = placed.join(table, "bucket").where((F.col("_at") >= F.col("low")) & (F.col("_at") < F.col("high")))
+    return picked.withColumn("start", F.floor(F.col("_s") * F.col("starts")).cast("bigint")).drop("_at", "_s", "bucket", "starts", "low", "high")
 
 
 def window_tokens(windows: DataFrame, pieces: DataFrame, context: int) -> DataFrame:
@@ -127,12 +144,14 @@ class WindowSampler:
             raise ValueError(f"no {split!r} shards")
         if not totals["starts"]:
             raise ValueError(f"no shard of split {split!r} holds a window of {context + 1} tokens")
+        table, width, total = guide_table(self.starts)
+        self.guide = (table.cache(), width, total)
 
     def next_batch(self, n: int) -> DataFrame:
         """n windows: draw, shard, start, tokens, inputs, targets."""
         spark = self.pieces.sparkSession
         draws = spark.range(self.position, self.position + n).withColumnRenamed("id", "draw")
-        placed = draw_windows(self.starts, draws, rng.uniform(self.seed, F.col("draw"), "shard"), rng.uniform(self.seed, F.col("draw"), "start"))
+        placed = draw_windows(self.starts, draws, rng.uniform(self.seed, F.col("draw"), "shard"), rng.uniform(self.seed, F.col("draw"), "start"), self.guide)
         self.position += n
         return inputs_and_targets(window_tokens(placed, self.pieces, self.context))
 

@@ -28,6 +28,11 @@ def perplexity(nll: Column) -> Column:
     return F.exp(F.coalesce(F.sum(nll), F.lit(0.0)) / F.greatest(F.lit(1), F.count(nll)))
 
 
+def perplexity_of_sums(nll: Column, n: Column) -> Column:
+    """Aggregate: the same from sums over several tokens and their numbers."""
+    return F.exp(F.coalesce(F.sum(nll), F.lit(0.0)) / F.greatest(F.lit(1), F.coalesce(F.sum(n), F.lit(0))))
+
+
 def batch_mean_loss(losses: DataFrame, batch: str, nll: str = "nll") -> DataFrame:
     """Mean over batches of each batch's mean (batches weigh the same, whatever their size)."""
     return losses.groupBy(batch).agg(F.avg(nll).alias("mean")).agg(F.avg("mean").alias("loss"))

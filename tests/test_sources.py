@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import json
 
 import numpy as np
@@ -183,3 +185,23 @@ def test_loaders_of_local_copies(spark, tmp_path):
         assert [tuple(r) for r in tasks.resolve_tasks(spark, "table", "mmlu", 3).collect()] == [("Question: q\nAnswer:", [" x", " y"], 1)]
     code = lines("c.jsonl", *({"task_id": f"T/{n}", "prompt": f"p{n}", "test": "t", "entry_point": "e"} for n in (10, 9, 1)))
     assert [r.prompt for r in tasks.load_problems(spark, code, limit=2).collect()] == ["p1", "p9"]
+
+
+def test_draws_by_guide_table_are_those_of_the_intervals(spark):
+    rng = random.Random(11)
+    for sizes in ([5], [1, 1, 1], [1, 10_000, 1, 1, 50], [rng.randrange(0, 60) for _ in range(300)], [rng.choice([0, 1, 9000]) for _ in range(80)]):
+        shards = spark.createDataFrame([(i, n + 8, "train") for i, n in enumerate(sizes)] + [(999, 50, "val")], "shard bigint, tokens bigint, split string")
+        starts = packing.window_starts(shards, 8).cache()
+        table, width, total = packing.guide_table(starts)
+        assert total == sum(sizes) and table.count() <= 2 * sum(n > 0 for n in sizes)
+        draws = spark.range(500).withColumnRenamed("id", "draw")
+        u, s = (F.col("draw") * 37 + 5) % 499 / F.lit(499.0), (F.col("draw") * 11 + 3) % 251 / F.lit(251.0)
+        placed = packing.draw_windows(starts, draws, u, s)
+        got = {r.draw: (r.shard, r.start) for r in placed.collect()}
+        ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+        for d in range(500):
+            at = int((d * 37 + 5) % 499 / 499.0 * total)
+            shard = next(i for i, end in enumerate(ends) if at < end)
+            assert got[d] == (shard, int((d * 11 + 3) % 251 / 251.0 * sizes[shard]))
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
