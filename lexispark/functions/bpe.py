@@ -5,7 +5,8 @@ from __future__ import annotations
 import heapq
 import json
 from collections import Counter, defaultdict
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -287,9 +288,162 @@ def train(docs: DataFrame, vocab_size: int, *, min_frequency: int = 2, text: str
     return learn_merges_distributed(counts, vocab_size, min_frequency)
 
 
-def learn_merges_distributed(counts: DataFrame, vocab_size: int, min_frequency: int = 2, *, cut_every: int = 8) -> BpeTokenizer:
-    """The same merges with the words left in Spark: one aggregation per merge; the words are
-    written to the shared folder every ``cut_every`` merges, which ends their lineage."""
+class PairCounts:
+    """Counts of pairs with the most frequent one at hand; of equal counts the lowest ids come first.
+
+    ``floor`` is a bound for the counts of pairs that are not held (0: all are).
+    """
+
+    def __init__(self, counts: dict[Pair, int], floor: int = 0):
+        self.counts, self.floor = counts, floor
+        self.heap = [(-n, p) for p, n in counts.items()]
+        heapq.heapify(self.heap)
+
+    def change(self, pair: Pair, by: int) -> None:
+        self.counts[pair] = self.counts.get(pair, 0) + by
+        heapq.heappush(self.heap, (-self.counts[pair], pair))
+
+    def drop(self, pair: Pair) -> None:
+        self.counts.pop(pair, None)
+
+    def first(self, k: int) -> list[tuple[int, Pair]]:
+        """Up to k pairs in order, as (count, pair), among those that no pair beyond them can precede."""
+        found: dict[Pair, int] = {}
+        while self.heap and len(found) < k:
+            n, pair = heapq.heappop(self.heap)
+            if pair not in found and self.counts.get(pair) == -n and -n > max(0, self.floor):
+                found[pair] = -n
+            elif -n <= self.floor:
+                heapq.heappush(self.heap, (n, pair))
+                break
+        for pair, n in found.items():
+            heapq.heappush(self.heap, (-n, pair))
+        return [(n, pair) for pair, n in found.items()]
+
+
+def _spelled_again(ids: list[int], ranks: dict[Pair, tuple[int, int]]) -> list[int]:
+    """All merges applied to ids, lowest rank first."""
+    while len(ids) > 1:
+        known = [(ranks[p], p) for p in zip(ids, ids[1:], strict=False) if p in ranks]
+        if not known:
+            break
+        (_, new), pair = min(known)
+        ids = _merged(ids, pair, new)
+    return ids
+
+
+_POSTING = "step int, a int, b int, change bigint, word bigint, ids array<int>, n bigint"
+
+
+class PairIndex:
+    """Which words hold a pair, for distinct words that stay in Spark.
+
+    A posting is a row (pair, word, spelling, count). The first ones are a table ordered by pair; a merge
+    writes postings for the pairs that it brings about, which hold the new token, to a table of
+    its own. So the words of a pair are in the tables of the later of its two tokens. Postings of the other pairs
+    of a changed word stay as they are: their spelling is brought up to date when they are read, by the merges
+    learned since. No merge reads or rewrites words that do not hold its pair.
+    """
+
+    def __init__(self, words: DataFrame, ranks: dict[Pair, tuple[int, int]], top: int):
+        self.ranks, self.later = dict(ranks), {}
+        #: Tokens first made since the first table was written, in order; tokens that were there already and were made again.
+        self.since: dict[int, int] = {}
+        self.again: set[int] = set()
+        found = self._postings(words)
+        self.base = store(found.repartitionByRange("a", "b").sortWithinPartitions("a", "b"), "bpe-index")
+        totals = self.base.groupBy("a", "b").agg(F.sum("change").alias("n")).orderBy(F.desc("n"), "a", "b").limit(top + 1).collect()
+        self.pairs = PairCounts({(r["a"], r["b"]): r["n"] for r in totals[:top]}, totals[top]["n"] if len(totals) > top else 0)
+        self.known = {new for _, new in ranks.values()}
+
+    def _postings(self, words: DataFrame) -> DataFrame:
+        ranks = self.ranks
+
+        def run(batches):
+            for batch in batches:
+                rows = []
+                for word, ids, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    ids = _spelled_again(ids, ranks)
+                    rows += [{"step": -1, "a": p[0], "b": p[1], "change": times * n, "word": word, "ids": ids, "n": n} for p, times in Counter(zip(ids, ids[1:], strict=False)).items()]
+                yield pa.RecordBatch.from_pylist(rows, schema=_posting_schema())
+
+        return words.select("word", "ids", "n").mapInArrow(run, _POSTING)
+
+    def holders(self, pairs: list[Pair]) -> DataFrame:
+        """(step, word, ids, n): the words of each pair, which is numbered by its step."""
+        asked: dict[tuple, list[tuple[int, Pair]]] = {}
+        for step, pair in enumerate(pairs):
+            asked.setdefault(self._places(pair), []).append((step, pair))
+        found = None
+        for places, own in asked.items():
+            is_pair = lambda pair: (F.col("a") == pair[0]) & (F.col("b") == pair[1])
+            which = F
+            for step, pair in own:
+                which = which.when(is_pair(pair), F.lit(step))
+            wanted = reduce(or_, [is_pair(pair) for _, pair in own])
+            for table in (t for place in places for t in ([self.base] if place is None else self.later[place])):
+                rows = table.where(F.col("ids").isNotNull() & wanted).select(which.alias("step"), "word", "ids", "n")
+                found = rows if found is None else found.unionByName(rows)
+        return found.dropDuplicates(["step", "word"])
+
+    def _places(self, pair: Pair) -> tuple[int | None, ...]:
+        """The tokens in whose tables the pair's postings are, None for the first table."""
+        new = [t for t in pair if t in self.since]
+        if any(t in self.again for t in pair):  # made twice, so its pairs are in several tables
+            return (None, *sorted({t for t in pair if t in self.later}))
+        return (max(new, key=self.since.get),) if new else (None,)
+
+    def tried(self, pairs: list[Pair], news: list[int]) -> DataFrame:
+        """What merging the pairs one after the other would change, as stored rows: for each step the
+        pairs' changes of count, and postings of pairs that a word did not have before."""
+        ranks = self.ranks
+
+        def run(batches):
+            for batch in batches:
+                rows = []
+                for step, word, ids, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    ids = _spelled_again(ids, ranks)
+                    for j in range(step):
+                        ids = _merged(ids, pairs[j], news[j])
+                    merged = _merged(ids, pairs[step], news[step])
+                    before, after = Counter(zip(ids, ids[1:], strict=False)), Counter(zip(merged, merged[1:], strict=False))
+                    for p in before.keys() | after.keys():
+                        if by := after[p] - before[p]:
+                            new = after[p] and not before[p]
+                            rows.append({"step": step, "a": p[0], "b": p[1], "change": by * n, "word": word, "ids": merged if new else None, "n": n})
+                yield pa.RecordBatch.from_pylist(rows, schema=_posting_schema())
+
+        return store(self.holders(pairs).mapInArrow(run, _POSTING).coalesce(max(1, self.base.sparkSession.sparkContext.defaultParallelism)), "bpe-round")
+
+    def accept(self, pair: Pair, new: int, table: DataFrame, step: int) -> None:
+        """A merge of a round is learned: its postings count from now on."""
+        self.ranks[pair] = (len(self.ranks), new)
+        if new in self.known:
+            self.again.add(new)
+        else:
+            self.since[new] = len(self.since)
+            self.known.add(new)
+        self.later.setdefault(new, []).append(table.where(F.col("step") == step))
+
+
+def _posting_schema() -> pa.Schema:
+    ints = pa.list_(pa.int32())
+    return pa.schema([("step", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("change", pa.int64()), ("word", pa.int64()), ("ids", ints), ("n", pa.int64())])
+
+
+#: Pairs whose counts the driver holds.
+TOP_PAIRS = 1 << 17
+
+
+def learn_merges_distributed(counts: DataFrame, vocab_size: int, min_frequency: int = 2, *, cut_every: int = 32, top: int = TOP_PAIRS, work: list[tuple[int, int]] | None = None) -> BpeTokenizer:
+    """The same merges with the words left in Spark.
+
+    A round tries the ``cut_every`` most frequent pairs one after the other, on the words that the index has for
+    them, and writes what each would change. The driver goes through the changes of count in order and
+    accepts merges as long as the next pair tried is really the most frequent one, at least the first. It holds
+    the ``top`` most frequent pairs; when these are used up, counts and index are made anew from the
+    words. ``work`` gets (merges accepted, words visited) of each round.
+    """
     tokens = base_tokens()
     ids = {t: i for i, t in enumerate(tokens)}
     start = [ids[_stand_in()[b]] for b in range(256)]
@@ -298,28 +452,52 @@ def learn_merges_distributed(counts: DataFrame, vocab_size: int, min_frequency:
     def spelled(words: pa.Array) -> pa.Array:
         return pa.array([[start[b] for b in w.encode("utf-8", "surrogatepass")] for w in words.to_pylist()], pa.list_(pa.int32()))
 
-    words = counts.select(spelled("word").alias("ids"), "n")
-    words = store(words, "bpe-words")
+    words = store(counts.select(spelled("word").alias("ids"), "n", F.monotonically_increasing_id().alias("word")), "bpe-words")
+    index = PairIndex(words, {}, top)
     merges: list[tuple[str, str]] = []
+    least = max(1, min_frequency)
     while len(tokens) < vocab_size:
-        pairs = words.where(F.size("ids") > 1).select("n", F.explode(F.arrays_zip(F.slice("ids", F.lit(1), F.size("ids") - 1).alias("a"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("b"))).alias("p"))
-        best = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
-        if best is None or best["n"] < max(1, min_frequency):
-            break
-        pair, joined = (best["a"], best["b"]), tokens[best["a"]] + tokens[best["b"]]
-        merges.append((tokens[pair[0]], tokens[pair[1]]))
-        if joined not in ids:
-            ids[joined] = len(tokens)
-            tokens.append(joined)
-        words = words.withColumn("ids", _merge_udf(pair, ids[joined])("ids"))
-        if len(merges) % cut_every == 0:
-            words = store(words, "bpe-words")
+        ahead = [(n, pair) for n, pair in index.pairs.first(cut_every) if n >= least]
+        if not ahead:
+            if index.pairs.floor < least:
+                break
+            index = PairIndex(words, index.ranks, top)
+            if not index.pairs.first(1) and index.pairs.floor >= least:  # more pairs of one count than are held
+                top *= 2
+            continue
+        pairs, news, named = [pair for _, pair in ahead], [], {}
+        for a, b in pairs:
+            joined = tokens[a] + tokens[b]
+            news.append(ids.get(joined, named.get(joined, len(tokens) + len(named))))
+            if joined not in ids:
+                named.setdefault(joined, news[-1])
+        table = index.tried(pairs, news)
+        if work is not None:
+            visited = table.select("step", "word").distinct().count()
+        changes: dict[int, list[tuple[Pair, int]]] = {}
+        for r in table.groupBy("step", "a", "b").agg(F.sum("change").alias("change")).collect():
+            changes.setdefault(r["step"], []).append(((r["a"], r["b"]), r["change"]))
+        done, again = 0, False
+        for step, (pair, new) in enumerate(zip(pairs, news, strict=True)):
+            best = index.pairs.first(1)
+            if again or len(tokens) >= vocab_size or not best or best[0][1] != pair or best[0][0] < least:
+                break
+            a, b = pair
+            merges.append((tokens[a], tokens[b]))
+            made = new == len(tokens)
+            if made:
+                ids[tokens[a] + tokens[b]] = new
+                tokens.append(tokens[a] + tokens[b])
+            index.accept(pair, new, table, step)
+            index.pairs.drop(pair)
+            for other, by in changes.get(step, []):
+                if other != pair and (other in index.pairs.counts or new in other):
+                    index.pairs.change(other, by)
+            # a token that was there before may be in pairs whose counts are not held
+            again = not made and index.pairs.floor > 0
+            done += 1
+        if again:
+            index = PairIndex(words, index.ranks, top)
+        if work is not None:
+            work.append((done, visited))
     return BpeTokenizer(tokens, merges)
-
-
-def _merge_udf(pair: Pair, new: int):
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def merge(lists: pa.Array) -> pa.Array:
-        return pa.array([_merged(x, pair, new) for x in lists.to_pylist()], pa.list_(pa.int32()))
-
-    return merge

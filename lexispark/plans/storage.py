@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import vocab
 from lexispark.operators import packing
+from lexispark.operators.order import with_row_index
 from lexispark.plans.packing import _SHARDS, CONTEXT, SHARD_TOKENS, VAL_SHARDS
 from lexispark.plans.text import DOCS_PER_PART
-from lexispark.session import shared_folder, table
-from lexispark.sources import corpus, shards
+from lexispark.session import shared_folder, store, table
+from lexispark.sources import corpus, datasource, shards
 
 PARTS = 12
 HELD = (3, 7)
+RAW_BLOCK = 1024
 
 
 def parts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,17 +60,16 @@ def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of headerless 16-bit files: byte lengths of the documents' texts, modulo 2**16."""
+    """Tokens of headerless 16-bit files: byte lengths of the documents' texts, modulo 2**16. The files are
+    written by tasks, and read by ranges of a thousand tokens."""
     path = shared_folder(spark, "raw")
-    lengths = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) % 65_536).cast("int").alias("n"))
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for shard in range(2):  # as another program would have left them
-        own = lengths.where(F.col("doc_id") % 2 == shard).groupBy().agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("x")).first()["x"]
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/shard_{shard:05d}.bin")
-        stream = target.getFileSystem(conf).create(target)
-        stream.write(bytearray(np.array([r["n"] for r in own], dtype="<u2").tobytes()))
-        stream.close()
-    rows = shards.read_raw_shards(spark, path, piece=100)
+    lengths = table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).alias("shard"), "doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) % 65_536).cast("int").alias("n"))
+    placed = store(with_row_index(lengths, ["shard", "doc_id"]), "lengths")
+    first = placed.groupBy("shard").agg(F.min("row_index").alias("first"))
+    at = placed.join(F.broadcast(first), "shard").withColumn("at", F.col("row_index") - F.col("first"))  # one row a shard
+    blocks = at.groupBy("shard", F.expr(f"at div {RAW_BLOCK} * {RAW_BLOCK}").alias("start")).agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("x"))
+    datasource.write_raw_shards(blocks.select("shard", "start", F.transform("x", lambda x: x["n"]).alias("tokens")), path)
+    rows = shards.read_raw_shards(spark, path, piece=100, split=1000)
     return rows.groupBy("shard").agg(F.sum(F.size("tokens")).alias("n"), F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t)).alias("total"))
 
 

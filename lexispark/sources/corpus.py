@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lexispark.functions import rng
 from lexispark.operators.order import with_row_index
+from lexispark.sources.datasource import Parted, parted_documents
 
 #: Words of synthetic documents, each as often as it is listed.
 SYNTHETIC_WORDS = (
@@ -77,8 +78,11 @@ def register_source(name: str, make: Callable[..., DataFrame]) -> None:
     SOURCES[name] = make
 
 
-def resolve_source(spark: SparkSession, source: str | Callable[[], DataFrame | Iterable[str]] | DataFrame | Iterable[str], **options) -> DataFrame:
-    """Documents of a source: a registered name, a function, a DataFrame or an iterable of texts."""
+def resolve_source(spark: SparkSession, source: str | Parted | Callable[[], DataFrame | Iterable[str]] | DataFrame | Iterable[str], **options) -> DataFrame:
+    """Documents of a source: a registered name, a function, a DataFrame or an iterable of texts; a
+    ``Parted`` source is a function that runs in tasks, part by part."""
+    if isinstance(source, Parted):
+        return parted_documents(spark, source)
     if callable(source):
         source = source()
     if isinstance(source, DataFrame):

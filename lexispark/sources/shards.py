@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.sources import datasource
+
 MANIFEST = "tokenizer_fingerprint string, vocab_size int, dtype string, add_eos boolean, total_tokens bigint, shards array<struct<name: string, tokens: bigint, split: string>>"
 
 
@@ -60,8 +62,14 @@ def require_tokenizer(manifest: DataFrame, fingerprint: str, vocab_size: int) ->
         raise ValueError(f"the tokenizer's {row[1]} ids exceed the model's vocabulary of {vocab_size}")
 
 
-def read_raw_shards(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFrame:
-    """(shard, start, tokens) of headerless little-endian 16-bit files shard_NNNNN.bin."""
+def read_raw_shards(spark: SparkSession, path: str, piece: int = 1 << 20, split: int = datasource.SPLIT) -> DataFrame:
+    """(shard, start, tokens) of headerless little-endian 16-bit files shard_NNNNN.bin, in pieces of up to
+    ``piece`` tokens; a task reads about ``split`` tokens, by their place in the file.
+
+    In a store that only Spark can open, each file is read whole by one task.
+    """
+    if datasource.opens(path):
+        return datasource.read_ranges(spark, path, piece=piece, split=split)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard_*.bin").load(path).select("path", "content")
 
     def run(batches):

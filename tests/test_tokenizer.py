@@ -100,3 +100,44 @@ def test_public_layout_is_read_by_the_library_and_back(trained):
     assert bpe.BpeTokenizer.from_public_json(json.dumps(record)).merges == trained.merges
     with pytest.raises(ValueError, match="byte-level"):
         bpe.BpeTokenizer.from_public_json(json.dumps(record | {"pre_tokenizer": None}))
+
+
+def varied(n=120, seed=3):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(3, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("cut_every", "top"), [(1, 1 << 17), (6, 1 << 17), (32, 1 << 17), (8, 5)])
+def test_incremental_merges_are_the_local_ones(spark, cut_every, top):
+    counts = bpe.word_counts(spark.createDataFrame([(t,) for t in varied()], "text string")).cache()
+    size = 264 + (12 if cut_every == 1 or top == 5 else 60)
+    local = bpe.learn_merges({r["word"]: r["n"] for r in counts.collect()}, size)
+    work = []
+    assert bpe.learn_merges_distributed(counts, size, cut_every=cut_every, top=top, work=work).merges == local.merges
+    assert sum(done for done, _ in work) == len(local.merges) and all(done for done, _ in work)
+    if cut_every == 32:
+        assert len(work) < len(local.merges) / 2  # rounds accept several merges
+
+
+def test_a_merge_visits_the_words_that_hold_its_pair(spark):
+    counts = bpe.word_counts(spark.createDataFrame([(t,) for t in varied()], "text string")).cache()
+    words = {r["word"]: r["n"] for r in counts.collect()}
+    work = []
+    merges = bpe.learn_merges_distributed(counts, 264 + 15, cut_every=1, work=work).merges
+    assert len(work) == len(merges) == 15
+    coder = bpe.BpeTokenizer(bpe.base_tokens(), [])
+    spelled = [[coder.tokens[i] for i in coder.encode_word(w)] for w in words]
+    for pair, (_, visited) in zip(merges, work, strict=True):
+        holding = sum(pair in zip(x, x[1:], strict=False) for x in spelled)
+        assert holding <= visited <= holding + len(words) // 50  # a posting can outlive its pair
+        spelled = [bpe._merged(x, pair, "".join(pair)) for x in spelled]
+    assert work[-1][1] < len(words) / 3
+
+
+def test_a_token_made_twice(spark):
+    # "abc" comes first from ab+c, later from a+bc
+    counts = {"abc": 50, "ab": 60, "xbc": 40, "bc": 45, "aabcd": 30, "zabcd": 30, "yabc": 9, "abca": 8, "abcabc": 7, "bcbc": 6}
+    table = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    local = bpe.learn_merges(counts, 300).merges
+    for cut_every, top in ((1, 99), (7, 99), (4, 3)):
+        assert bpe.learn_merges_distributed(table, 300, cut_every=cut_every, top=top).merges == local
