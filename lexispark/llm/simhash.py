@@ -13,9 +13,13 @@ links are followed breadth first against the members not reached yet, so that a
 of near copies costs its edges to a spanning forest, not its pairs. The forests' edges are
 joined into components by ``components``. Documents of equal fingerprint are one node.
 
-At 3 bits only texts with few edits are near. ``similar_documents`` finds all pairs of a Jaccard
+At 3 bits only texts with few edits are near. ``similar_documents`` joins all pairs of a Jaccard
 similarity of 0.8 or more of their 5-word shingles, whose 64-bit fingerprints differ in some ten bits,
-more than any byte index over them can promise to find. A document then has ``SKETCHES`` positions; at
+more than any byte index over them can promise to find. It goes two ways: most links, those
+of groups of copies above all, are found by sampled positions, and an exact filter then finds every
+link that these have left out.
+
+For the samples a document has ``SKETCHES`` positions; at
 each the value is the SimHash of the ``SAMPLE`` shingles that a hash function of that position ranks
 lowest. Two documents have a value in common with probability J**SAMPLE at each position, so a pair at
 0.8 shares none of 12 with probability 0.0003. A posting list (position, value) yields its
@@ -25,6 +29,15 @@ dealt into parts by chance, differently at each position. A pair must pass the r
 a bound on the distance (at five standard deviations), and is then verified by the Jaccard
 similarity of the sets of 32-bit shingle hashes.
 
+For the exact filter the shingles of all texts have one order, rare ones first (``shingle_counts``). Let two texts of
+n >= m different shingles have the similarity t, and their first common shingle in that order be
+at places i and j. All that they share comes from there on, so min(n - i, m - j) is at least
+t / (1 + t) of n + m. Hence i < (1 - t) n + 1, and the smaller text's j is below (1 - 2t / (1 + t)) m + 1: a text
+posts no more than its first fifth, and as the smaller one of a pair no more than its first ninth. Texts
+that share a template of 89 % or less post none of it as smaller ones, so long lists lead to
+few pairs. Pairs come from an equi-join on the shingle under this condition, only for texts that the first
+way has not joined already, and all of them are verified; nothing is cut.
+
 Edge cases: null and empty texts and texts of white space have fingerprint zero and are linked
 like any other (in ``similar_documents``: to each other); a text of fewer words than a shingle is one
 shingle; very long texts are read whole; null keys are rows like others but never name a component
@@ -39,11 +52,13 @@ from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import fresh, join_hot, map_rows, materialize
+from lexispark.llm.common import bound_batches, collector_off, fresh, join_hot, map_rows, materialize, slices, worker_task
 from lexispark.llm.components import connected_components
+from lexispark.model.gradients import sliced, tree_sum
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -308,19 +323,125 @@ def similar_edges(signed_: DataFrame, similarity: float) -> DataFrame:
 
         return step
 
-    pairs = materialize(map_rows(lists.select("members"), "a bigint, b bigint", make).distinct(), "near-pairs")
+    return verified(signed_, materialize(map_rows(lists.select("members"), "a bigint, b bigint", make).distinct(), "near-pairs"), similarity)
+
+
+def verified(signed_: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the stored pairs (a, b) of ``fp`` whose shingle sets have the similarity."""
     involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = materialize(signed_.groupBy("fp").agg(*first("hashes")).join(involved, "fp"), "shingle-sets")
+    sets = materialize(signed_.groupBy("fp").agg(F.first("hashes").alias("hashes")).join(involved, "fp"), "shingle-sets")
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+# --- the exact filter --------------------------------------------------------------------
+
+#: Shingles that share a counter on average, least and most counters (of 4 bytes, broadcast), and
+#: shingles that a task counts, about.
+PER_COUNTER = 32
+COUNTERS = (1 << 12, 1 << 22)
+COUNT_AT_A_TIME = 1 << 26
+#: Texts of which a task remembers that it has posted them.
+REMEMBERED = 1 << 18
+
+
+def shingle_counts(signed_: DataFrame) -> np.ndarray:
+    """How often shingles occur, by counters that they share by hash; a power of two of them that follows the
+    number of shingles up to a fixed size. Any counts give a valid order; better ones give shorter lists."""
+    total = signed_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = min(COUNTERS[1], max(COUNTERS[0], 1 << (total // PER_COUNTER).bit_length()))
+    tasks = max(1, -(-total // COUNT_AT_A_TIME))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        with worker_task("simhash.counts"):
+            found = np.zeros(size, dtype=np.int64)
+            for batch in batches:
+                values = batch.column(0).flatten().to_numpy().astype(np.uint32) & np.uint32(size - 1)
+                found += np.bincount(values, minlength=size)
+            schema = pa.schema([("name", pa.string()), ("slice", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
+            for row in sliced("counts", found, TaskContext.get().partitionId()):
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    parts = tree_sum(signed_.select("hashes").coalesce(tasks).mapInArrow(run, "name string, slice int, part int, data binary"), tasks).collect()
+    pieces = [np.frombuffer(bytes(r["data"]), "<f8") for r in sorted(parts, key=lambda r: r["slice"])]
+    return np.minimum(np.concatenate(pieces), (1 << 31) - 1).astype(np.int32) if pieces else np.zeros(size, dtype=np.int32)
+
+
+def prefix_length(n: int, share: float) -> int:
+    """Places i from 0 on with i <= share * n, with room for rounding."""
+    return min(n, int(share * n + 1e-6) + 1)
+
+
+def prefix_postings(docs: DataFrame, counts: np.ndarray, *, text: str, words: int, similarity: float) -> DataFrame:
+    """(token, fp, n, place, small): the shingles with which a text can meet another one; ``small`` where it can
+    be the smaller of the two."""
+    bound_batches(docs.sparkSession)
+    shared, mask = docs.sparkSession.sparkContext.broadcast(counts), np.uint64(len(counts) - 1)
+    as_larger, as_smaller = 1 - similarity, 1 - 2 * similarity / (1 + similarity)
+    schema = pa.schema([("token", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("small", pa.bool_())])
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        with worker_task("simhash.prefixes"):
+            counted, posted = shared.value, set()
+            for batch in slices(batches):
+                out: list[list[np.ndarray]] = [[] for _ in schema.names]
+                with collector_off():
+                    for value in batch.column(0).to_pylist():
+                        fp = signed(xxh64_intdigest(b" ".join((value or "").encode("utf-8", "surrogatepass").lower().split()), 1))
+                        if fp in posted:
+                            continue
+                        if len(posted) < REMEMBERED:
+                            posted.add(fp)
+                        distinct = np.unique(shingle_hashes(value, words))
+                        n = len(distinct)
+                        if not n:
+                            continue
+                        long, short = prefix_length(n, as_larger), prefix_length(n, as_smaller)
+                        often = counted[(distinct & mask).astype(np.int64)]
+                        first = distinct[np.lexsort((distinct, often))[:long]]
+                        for column, values in zip(out, (first.view("<i8"), np.full(long, fp), np.full(long, n), np.arange(long), np.arange(long) < short), strict=True):
+                            column.append(values)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return docs.select(text).mapInArrow(run, "token bigint, fp bigint, n int, place int, small boolean")
+
+
+def left_out_pairs(postings: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of texts of different roots that can have the similarity. ``roots`` has (node, root) of
+    the texts that are joined already."""
+    token = Window.partitionBy("token")
+    several = lambda table, column: table.withColumn("_low", F.min(column).over(token)).withColumn("_high", F.max(column).over(token)).where("_low <> _high").drop("_low", "_high")
+    met = materialize(several(postings, "fp"), "met-shingles")
+    rooted = met.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = materialize(several(rooted, "root"), "mixed-shingles")
+    x, y = (mixed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("fp", "n", "place", "root", "small")]) for s in "xy")
+    ordered = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_fp") < F.col("x_fp")))
+    rest = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    enough = rest * F.lit(1 + similarity) + F.lit(1e-6) >= F.lit(similarity) * (F.col("x_n") + F.col("y_n"))
+    found = x.join(y.where("y_small"), "token").where((F.col("x_root") != F.col("y_root")) & ordered & enough)
+    return found.select(F.greatest("x_fp", "y_fp").alias("a"), F.least("x_fp", "y_fp").alias("b")).distinct()
+
+
+def all_similar_edges(signed_: DataFrame, docs: DataFrame, *, text: str, words: int, similarity: float) -> DataFrame:
+    """(a, b): verified pairs whose components are those of all pairs of at least the similarity."""
+    quick = materialize(similar_edges(signed_, similarity), "similar-edges")
+    roots = materialize(connected_components(quick), "similar-roots")
+    postings = prefix_postings(docs, shingle_counts(signed_), text=text, words=words, similarity=similarity)
+    pairs = materialize(left_out_pairs(postings, roots, similarity), "left-out-pairs")
+    return quick if pairs.isEmpty() else quick.unionByName(verified(signed_, pairs, similarity))
+
+
 def similar_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: key, fingerprint (hex) and component_id, the smallest key that pairs of at least
     this Jaccard similarity of their word shingles reach."""
     prints = materialize(signatures(docs, key=key, text=text, words=words, carry=carry), "signatures")
-    named = name_components(prints.select(key, *carry, "fp", "f0"), lambda _: similar_edges(prints, similarity), key)
+    named = name_components(prints.select(key, *carry, "fp", "f0"), lambda _: all_similar_edges(prints, docs, text=text, words=words, similarity=similarity), key)
     return named.select(key, *carry, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 

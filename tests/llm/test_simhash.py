@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lexispark.llm import components, simhash
 
@@ -186,3 +188,62 @@ def test_keep_first_with_clashing_columns_and_edges(spark):
     assert simhash.keep_first(docs).count() == 4  # the last word is more than 3 bits
     empty = spark.createDataFrame([], schema)
     assert simhash.keep_first(empty).count() == simhash.keep_first(empty, similarity=0.8).count() == simhash.similar_documents(empty).count() == 0
+
+
+def templated(rng, n, groups=1, share=85, size=100):
+    """Pairs at a similarity of 0.818 among texts that share a template of 85 % (0.739 to all others)."""
+    docs = []
+    for g in range(groups):
+        template = [f"t{g}x{i}" for i in range(share + 4)]
+        for p in range(n // groups):
+            kept = [f"k{g}x{p}x{i}" for i in range((size - share) // 3)]
+            docs += [template + kept + [f"o{g}x{p}x{side}x{i}" for i in range(size - share - len(kept))] for side in (0, 1)]
+    return [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+@pytest.mark.parametrize("bound", [4096, 16])
+def test_templates_lose_no_pair(spark, monkeypatch, bound):
+    # lists of one template are long, and a text's partner is hardly nearer than the others
+    monkeypatch.setattr(simhash, "LIST_MEMBERS", bound)
+    docs = templated(random.Random(1), 150)
+    sets = [brute_shingles(t) for _, t in docs[:4]]
+    near, far = (len(sets[0] & s) / len(sets[0] | s) for s in (sets[1], sets[2]))
+    assert near >= 0.8 > 0.75 > far
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs} == brute_similar(docs)
+
+
+def test_the_exact_filter_alone_finds_all_pairs(spark, monkeypatch):
+    # nothing from the samples: every link comes through the prefixes
+    monkeypatch.setattr(simhash, "similar_edges", lambda signed_, similarity: signed_.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(300)]
+    docs = [(i, t) for i, t in templated(rng, 20)]
+    for _ in range(50):
+        base = rng.choices(vocabulary, k=rng.choice([1, 3, 5, 6, 8, 20, 60, 150]))
+        for _ in range(rng.choice([1, 2, 4])):
+            own = edited(rng, base, rng.choice([0, 1, 2, 3]))
+            docs.append((len(docs), " ".join(own + rng.choices(vocabulary, k=rng.choice([0, 0, 1, 5, 14])))))
+    docs += [(len(docs), ""), (len(docs) + 1, None)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute_similar(docs)
+
+
+def test_template_lists_lead_to_few_pairs(spark):
+    docs = spark.createDataFrame(templated(random.Random(3), 200), "doc_id bigint, text string")
+    prints = simhash.signatures(docs, key="doc_id", text="text", words=5).cache()
+    postings = simhash.prefix_postings(docs, simhash.shingle_counts(prints), text="text", words=5, similarity=0.8).cache()
+    longest = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("small").cast("int")).alias("small")).agg(F.max("n"), F.max("small")).first()
+    assert longest[0] == 400 and longest[1] <= 2  # the template is in every list as the larger side alone
+    nobody = spark.createDataFrame([], "node bigint, root bigint")
+    assert simhash.left_out_pairs(postings, nobody, 0.8).count() == 200
+
+
+def test_counters_do_not_change_the_result(spark, monkeypatch):
+    docs = templated(random.Random(4), 40, groups=4)
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for counters in ((1, 1), (64, 64)):
+        monkeypatch.setattr(simhash, "COUNTERS", counters)
+        monkeypatch.setattr(simhash, "COUNT_AT_A_TIME", 500)
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+        assert got == {i: i - i % 2 for i, _ in docs}
