@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexispark.functions.bpe import BpeTokenizer
 from lexispark.model.generation import generate_all
@@ -51,6 +52,26 @@ def perplexity(windows: DataFrame, provider: Provider, tokens: str = "tokens") -
     return sums.agg(scoring.perplexity_of_sums(F.col("nll"), F.col("n")).alias("perplexity"))
 
 
+def sequence_logprobs(rows: DataFrame, provider: Provider, *, key: list[str], tokens: str = "tokens") -> DataFrame:
+    """(key, n, logp): targets of each row's sequence and the sum of their log-probabilities; 0 and 0.0 where
+    there is none."""
+    shared = rows.sparkSession.sparkContext.broadcast(provider)
+    named = rows.select(*key, tokens)
+    schema = T.StructType([*named.schema.fields[:-1], T.StructField("n", T.LongType()), T.StructField("logp", T.DoubleType())])
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            n, logp = [], []
+            for ids in batch.column(len(key)):
+                x = np.asarray(ids.values, np.int64)[None] if ids.is_valid else np.empty((1, 0), np.int64)
+                n.append(max(0, x.shape[1] - 1))
+                logp.append(float(target_logprobs(model, x[:, :-1], x[:, 1:]).sum()) if x.shape[1] > 1 else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], pa.array(n, pa.int64()), pa.array(logp, pa.float64())], names=[f.name for f in schema])
+
+    return named.mapInArrow(run, schema)
+
+
 def choice_logprobs(questions: DataFrame, provider: Provider, tokenizer: BpeTokenizer, *, key: str = "q_id") -> DataFrame:
     """(q_id, choice, answer, logp) rows, one per token of each choice; a choice without tokens
     has one row with a null. The prompt starts with bos, so that even an empty prompt has a

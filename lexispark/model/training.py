@@ -223,26 +223,32 @@ def run_grpo(spark: SparkSession, run: Run, tokenizer: BpeTokenizer, bank: DataF
 _TENSORS = "kind string, name string, shape array<int>, data binary"
 
 
+def write_tensors(spark: SparkSession, path: str, groups: dict[str, Params]) -> None:
+    """Named tensors of each kind, a row each."""
+    rows = [(kind, name, list(x.shape), np.ascontiguousarray(x, dtype="<f8").tobytes()) for kind, values in groups.items() for name, x in values.items()]
+    spark.createDataFrame(rows, _TENSORS).write.mode("overwrite").parquet(path)
+
+
 def save_checkpoint(spark: SparkSession, path: str, run: Run, *, sampler=None, extra: dict | None = None, weights_only: bool = False) -> None:
     """A folder with a tensor table and a JSON record, at any path that Spark can write."""
     state = run.optimizer.state()
     groups = {"param": run.params} if weights_only else {"param": run.params, "first": state["first"], "second": state["second"]}
-    rows = [(kind, name, list(x.shape), np.ascontiguousarray(x, dtype="<f8").tobytes()) for kind, values in groups.items() for name, x in values.items()]
-    spark.createDataFrame(rows, _TENSORS).write.mode("overwrite").parquet(f"{path}/tensors")
+    write_tensors(spark, f"{path}/tensors", groups)
     record = {"config": asdict(run.c), "steps": state["steps"], "schedule": run.schedule.state(), "cursor": run.cursor, "sampler": sampler.state() if sampler else None, "extra": extra or {}}
     spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/record")
 
 
-def _tensors(spark: SparkSession, path: str) -> dict[str, Params]:
+def read_tensors(spark: SparkSession, path: str) -> dict[str, Params]:
+    """What ``write_tensors`` wrote, by kind and name."""
     out: dict[str, Params] = {}
-    for r in spark.read.schema(_TENSORS).parquet(f"{path}/tensors").collect():
+    for r in spark.read.schema(_TENSORS).parquet(path).collect():
         out.setdefault(r["kind"], {})[r["name"]] = np.frombuffer(bytes(r["data"]), "<f8").reshape(r["shape"]).copy()
     return out
 
 
 def load_weights(spark: SparkSession, path: str, params: Params) -> None:
     """Replace parameters by a checkpoint's; names and shapes must match."""
-    found = _tensors(spark, path)["param"]
+    found = read_tensors(spark, f"{path}/tensors")["param"]
     if found.keys() != params.keys() or any(found[k].shape != v.shape for k, v in params.items()):
         raise ValueError("the checkpoint belongs to another model")
     params.update(found)
@@ -251,7 +257,7 @@ def load_weights(spark: SparkSession, path: str, params: Params) -> None:
 def load_checkpoint(spark: SparkSession, path: str, run: Run, *, sampler=None) -> dict:
     """Restore a run (and its sampler) in place; returns the record."""
     load_weights(spark, path, run.params)
-    found = _tensors(spark, path)
+    found = read_tensors(spark, f"{path}/tensors")
     record = json.loads(spark.read.text(f"{path}/record").first()[0])
     run.optimizer.load_state({"steps": record["steps"], "first": found.get("first", {}), "second": found.get("second", {})})
     run.schedule.load_state(record["schedule"])

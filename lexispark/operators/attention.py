@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.arrays import dot
+from lexispark.operators.matmul import blocked_product
 
 
 def allowed(query_pos: Column, key_pos: Column, window: int | None = None) -> Column:
@@ -71,15 +72,15 @@ def project(rows: DataFrame, vector: str, weights: DataFrame, out: str, *, key:
     """rows.vector times a weight matrix given as (o, w array<double>) rows.
 
     A matrix of at most ``MATRIX_VALUES`` values, which is counted, is gathered into one row that all
-    rows get by broadcast, without a shuffle; a larger one meets the rows coordinate by coordinate.
+    rows get by broadcast, without a shuffle; for a larger one both sides are cut into tiles.
     """
-    values, listed = weights.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)), F.count(F.lit(1))).first()
-    if values <= MATRIX_VALUES and listed:
+    values, listed, widest = weights.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)), F.count(F.lit(1)), F.max(F.size("w"))).first()
+    if not listed:
+        return rows.select(*key, F.array().cast("array<double>").alias(out)).limit(0)
+    if values <= MATRIX_VALUES:
         matrix = weights.agg(F.array_sort(F.collect_list(F.struct("o", "w"))).alias("_matrix"))
         return rows.join(F.broadcast(matrix)).select(*key, F.transform("_matrix", lambda m: dot(F.col(vector), m["w"])).alias(out))
-    made = rows.join(weights).select(*key, "o", dot(F.col(vector), F.col("w")).alias("x"))
-    gathered = made.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o", "x"))).alias("xs"))
-    return gathered.select(*key, F.transform("xs", lambda o: o["x"]).alias(out))
+    return blocked_product(rows, vector, weights, out, key=key, inner=widest, outer=listed)
 
 
 def rope_table(spark, length: int, head_dim: int, base: float = 10_000.0) -> DataFrame:

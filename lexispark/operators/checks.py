@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.functions.schedule import ModelConfig
+from lexispark.functions.schedule import ModelConfig, parameter_shapes
 
 
 def missing_tokens(vocabulary: DataFrame, required: DataFrame, token: str = "token") -> DataFrame:
@@ -27,21 +27,6 @@ def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return joined.where("_l IS NULL OR _r IS NULL").select(key, F.when(F.col("_r").isNull(), "left").otherwise("right").alias("only_in"))
 
 
-def parameter_shapes(c: ModelConfig) -> list[tuple[str, str, tuple[int, ...]]]:
-    """(tensor, storage, shape) of a model: the head shares the embedding's storage."""
-    out = [("embed", "embed", (c.vocab_size, c.d_model)), ("head", "embed", (c.vocab_size, c.d_model)), ("final_norm", "final_norm", (c.d_model,))]
-    for i in range(c.n_layers):
-        shapes = {
-            "attn_norm": (c.d_model,), "mlp_norm": (c.d_model,),
-            "q": (c.q_dim, c.d_model), "k": (c.kv_dim, c.d_model), "v": (c.kv_dim, c.d_model), "o": (c.d_model, c.q_dim),
-            "gate": (c.mlp_hidden, c.d_model), "up": (c.mlp_hidden, c.d_model), "down": (c.d_model, c.mlp_hidden),
-        }
-        if c.qk_norm:
-            shapes |= {"q_norm": (c.head_dim,), "k_norm": (c.head_dim,)}
-        out += [(f"layer{i}.{name}",) * 2 + (shape,) for name, shape in shapes.items()]
-    return out
-
-
 def parameter_table(spark: SparkSession, configs: list[ModelConfig]) -> DataFrame:
     """(tier, tensor, storage, n_dims, numel)."""
     rows = []

@@ -15,7 +15,12 @@ from lexispark.session import table
 def tier_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameter counts and tokens per step of the presets."""
     step = F.col("micro_batch") * F.col("grad_accum") * F.col("context")
-    return schedule.tier_table(spark).select("name", *schedule.parameter_columns(), step.cast("bigint").alias("tokens_per_step"), "max_steps", "train_tokens")
+    storages = checks.unique_parameters(checks.parameter_table(spark, list(schedule.TIERS.values())))
+    numel = lambda own: F.coalesce(F.sum(F.when(own, F.col("numel"))), F.lit(0)).cast("bigint")
+    embed = F.col("storage") == "embed"
+    counts = storages.groupBy(F.col("tier").alias("name")).agg(numel(embed).alias("embedding"), numel(~embed).alias("non_embedding"), F.sum("numel").cast("bigint").alias("total"))
+    tiers = schedule.tier_table(spark).select("name", step.cast("bigint").alias("tokens_per_step"), "max_steps", "train_tokens")
+    return tiers.join(counts, "name").select("name", "embedding", "non_embedding", "total", "tokens_per_step", "max_steps", "train_tokens")
 
 
 def swiglu_width(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text", "packing", "chat", "kernels", "attention", "policy", "evaluation", "configs", "models", "storage"]
+MODULES = ["text", "packing", "chat", "kernels", "attention", "policy", "evaluation", "configs", "models", "storage", "round_trips"]
 
 
 def _joined(attribute: str) -> dict:

@@ -9,11 +9,10 @@ from lexispark.functions import vocab
 from lexispark.operators import packing
 from lexispark.operators.order import with_row_index
 from lexispark.plans.packing import _SHARDS, CONTEXT, SHARD_TOKENS, VAL_SHARDS
-from lexispark.plans.text import DOCS_PER_PART
+from lexispark.plans.text import PART_SIZE, part_sizes
 from lexispark.session import shared_folder, store, table
 from lexispark.sources import corpus, datasource, shards
 
-PARTS = 12
 HELD = (3, 7)
 RAW_BLOCK = 1024
 
@@ -22,15 +21,18 @@ def parts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of JSON-lines parts written in two runs, the second of which skips what is there."""
     path = shared_folder(spark, "parts")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    corpus.write_parts(docs, path, parts=HELD[0], docs_per_part=DOCS_PER_PART)
-    corpus.write_parts(docs, path, parts=PARTS, docs_per_part=DOCS_PER_PART)
+    parts, size = part_sizes(docs)
+    corpus.write_parts(docs, path, parts=min(HELD[0], parts), docs_per_part=size)
+    corpus.write_parts(docs, path, parts=parts, docs_per_part=size)
     return corpus.read_parts(spark, path).select("part", "line", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def part_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of the parts in a folder, and whether a range that is read has them."""
     path = shared_folder(spark, "parts")
-    corpus.write_parts(table(spark, sf_dir, "documents").select("doc_id", "text"), path, parts=PARTS, docs_per_part=DOCS_PER_PART)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts, size = part_sizes(docs)
+    corpus.write_parts(docs, path, parts=parts, docs_per_part=size)
     read = corpus.read_parts(spark, path, first=HELD[0], parts=HELD[1] - HELD[0]).groupBy("part").agg(F.count(F.lit(1)).alias("lines"))
     there = spark.createDataFrame([(i,) for i in corpus.existing_parts(spark, path)], "part bigint")
     return there.join(read, "part", "left").select("part", F.coalesce("lines", F.lit(0)).cast("bigint").alias("lines"))
@@ -98,8 +100,8 @@ def raw_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (parts_round_trip, part_range, corpus_round_trip, raw_shards, sampler_restart, raw_source)}
 
-_PARTS = f"""r AS (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
-    p AS (SELECT i // {DOCS_PER_PART} AS part, i % {DOCS_PER_PART} AS line, coalesce(text, '') AS text FROM r WHERE i // {DOCS_PER_PART} < {PARTS})"""
+_PARTS = f"""{PART_SIZE}, r AS (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+    p AS (SELECT i // size AS part, i % size AS line, coalesce(text, '') AS text FROM r, z)"""
 
 ORACLE = {
     "parts_round_trip": f"WITH {_PARTS} SELECT part, line, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS digest FROM p",

@@ -10,8 +10,16 @@ from lexispark.operators.order import with_row_index
 from lexispark.session import table
 from lexispark.sources import corpus
 
+#: Documents of a part at least, and parts at most.
 DOCS_PER_PART = 64
-PARTS = 10
+MOST_PARTS = 64
+
+
+def part_sizes(docs: DataFrame) -> tuple[int, int]:
+    """(parts, documents of a part) for all rows of a table, from their number."""
+    n = docs.count()
+    size = max(DOCS_PER_PART, -(-n // MOST_PARTS))
+    return -(-n // size), size
 
 
 def special_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +69,9 @@ def token_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part of each document, for parts that are not there yet (2 and 5 are)."""
     have = spark.createDataFrame([(2,), (5,)], "part bigint")
-    placed = corpus.assign_parts(table(spark, sf_dir, "documents").select("doc_id"), parts=PARTS, docs_per_part=DOCS_PER_PART, have=have)
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    parts, size = part_sizes(docs)
+    placed = corpus.assign_parts(docs, parts=parts, docs_per_part=size, have=have)
     return placed.select("doc_id", "part", corpus.part_name(F.col("part")).alias("name"))
 
 
@@ -77,6 +87,8 @@ QUERIES = {f.__name__: f for f in (special_tokens, byte_alphabet, doc_token_coun
 BYTE_ID = "(CASE WHEN b BETWEEN 33 AND 126 THEN b - 33 WHEN b BETWEEN 161 AND 172 THEN b - 67 WHEN b BETWEEN 174 AND 255 THEN b - 68 WHEN b <= 32 THEN b + 188 WHEN b BETWEEN 127 AND 160 THEN b + 94 ELSE 255 END + 8)"
 #: byte k (from 0) of the text t.
 BYTE_AT = "CAST(('0x' || substr(hex(encode({t})), CAST(2 * {k} + 1 AS BIGINT), 2)) AS INTEGER)"
+#: Documents of a part in SQL, as z(size).
+PART_SIZE = f"z AS (SELECT greatest({DOCS_PER_PART}, (count(*) + {MOST_PARTS - 1}) // {MOST_PARTS}) AS size FROM documents)"
 
 ORACLE = {
     "special_tokens": """
@@ -97,7 +109,7 @@ ORACLE = {
         SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents
         WHERE length(text) > 0 AND (doc_id % 3 = 0 OR doc_id % 5 > 0)""",
     "part_assignment": f"""
-        WITH r AS (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / {DOCS_PER_PART}) AS BIGINT) AS part FROM documents)
-        SELECT doc_id, part, 'part_' || lpad(CAST(part AS VARCHAR), 5, '0') || '.jsonl' AS name FROM r WHERE part < {PARTS} AND part NOT IN (2, 5)""",
+        WITH {PART_SIZE}, r AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // size AS part FROM documents, z)
+        SELECT doc_id, part, 'part_' || lpad(CAST(part AS VARCHAR), 5, '0') || '.jsonl' AS name FROM r WHERE part NOT IN (2, 5)""",
     "row_index": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_index FROM orders",
 }

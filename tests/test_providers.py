@@ -105,3 +105,16 @@ def test_programs_are_completed_in_batches(spark):
     rows = tasks.sample_problems(spark)
     got = evaluation.programs(rows.unionByName(rows), providers.Preferred(264, [coder.encode("z")[0]]), coder, max_new=3).collect()
     assert len(got) == 2 * rows.count() and all("zzz" in r.program for r in got)
+
+
+def test_sequence_logprobs_of_rows(spark, model):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(0, 384, n).tolist() if n is not None else None) for i, n in enumerate((5, 1, 0, 9, None, 2))]
+    table = spark.createDataFrame(rows, "k int, tokens array<int>")
+    got = {r.k: (r.n, r.logp) for r in evaluation.sequence_logprobs(table, model, key=["k"]).collect()}
+    for k, ids in rows:
+        if not ids or len(ids) < 2:
+            assert got[k] == (0, 0.0)
+        else:
+            want = np.take_along_axis(T.log_softmax(model(np.array([ids]))[:, :-1]), np.array([ids])[:, 1:, None], -1).sum()
+            assert got[k] == (len(ids) - 1, pytest.approx(want))
