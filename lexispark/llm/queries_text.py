@@ -89,4 +89,30 @@ ORACLE = {
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.norm) AS text_sha256
         FROM n JOIN g ON n.norm = g.norm""",
+    # crc32 is linear: a byte's share in it depends on the byte and on how many follow
+    "op11_importance": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        g AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        df AS (SELECT n, unnest(w || list_transform(range(1, greatest(1, len(w))), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+        gf AS (SELECT unnest(w || list_transform(range(1, greatest(1, len(w))), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM g),
+        f AS (SELECT f, hex(encode(f)) AS h, octet_length(encode(f)) AS size FROM (SELECT f FROM df UNION SELECT f FROM gf) u),
+        most AS (SELECT max(size) AS size FROM f),
+        t AS (SELECT range AS i, list_reduce(list_prepend(range, range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v FROM range(256)),
+        share(behind, b, v) AS (SELECT 0, i, v FROM t UNION ALL SELECT behind + 1, b, xor(share.v // 256, t.v) FROM share JOIN t ON t.i = share.v % 256 WHERE behind < (SELECT size FROM most)),
+        start(size, v) AS (SELECT 0, CAST(4294967295 AS BIGINT) UNION ALL SELECT size + 1, xor(start.v // 256, t.v) FROM start JOIN t ON t.i = start.v % 256 WHERE size < (SELECT size FROM most)),
+        b AS (SELECT f, size, size - 1 - k AS behind, CAST('0x' || substr(h, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT) AS b FROM (SELECT *, unnest(range(size)) AS k FROM f) x),
+        x AS (SELECT f, any_value(size) AS size, bit_xor(v) AS v FROM b JOIN share USING (behind, b) GROUP BY f),
+        c AS (SELECT f, xor(xor(x.v, start.v), 4294967295) % 10000 AS bucket FROM x JOIN start USING (size)),
+        s AS (SELECT bucket, count(*) AS s FROM df JOIN c USING (f) GROUP BY bucket),
+        tt AS (SELECT bucket, count(*) AS t FROM gf JOIN c USING (f) GROUP BY bucket),
+        gain AS (
+            SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM df) + 10000) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM gf) + 10000)))) AS BIGINT) AS gain
+            FROM s FULL JOIN tt USING (bucket)),
+        m AS (SELECT n, count(*) AS k, sum(gain) AS total FROM df JOIN c USING (f) JOIN gain USING (bucket) GROUP BY n),
+        w AS (SELECT d.n, doc_id, len(d.w) AS words, coalesce(k, 0) AS n_features, CAST(coalesce(floor(total / CAST(k AS DOUBLE)), 0) AS BIGINT) AS weight FROM d LEFT JOIN m USING (n)),
+        z AS (
+            SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM w),
+        r AS (SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (n)""",
 }

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from oracle import connect
 
 from lexispark.llm import importance
 
@@ -58,12 +59,13 @@ def random_text(rng, n):
 
 
 def test_whole_query_against_brute_force(spark, sf_dir):
-    from lexispark.llm.queries_text import op11_importance
+    from lexispark.llm.queries_text import ORACLE, op11_importance
 
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     target = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = sorted((tuple(r) for r in op11_importance(spark, sf_dir).collect()), key=str)
     assert got == brute(docs, target)
+    assert sorted(connect(sf_dir).execute(ORACLE["op11_importance"]).fetchall(), key=str) == got
     assert sum(r[4] is not None for r in got) > 20
 
 
