@@ -12,7 +12,7 @@ from lexispark.llm.queries_pages import URL_RULES
 NAMES = (
     "_key _sha _hash _id _block _text h fp cell slot chain norm n k l t u x y row rank rows value values position members part place start length offset "
     "sequence_id host path rule ruled text_sha256 kept keep_id group_size score predicted lang_pred difference fold accepted at serial edge bound need "
-    "token bucket total weight falling unkeyed before cluster n_words record layout paths turns print messages prompt formatted mask place small "
+    "token bucket total weight falling unkeyed before cluster n_words record layout paths turns print messages prompt formatted mask small "
     "a b root node first lowest component_id fingerprint held_out n_tokens chunk number word c kind id body shown digest query_id v draw label"
 ).split()
 
