@@ -7,13 +7,14 @@ smoothness edges that weaken with their distance in the DOM and where semantic c
 maximum flow's cut is the cheapest labelling of the page; content blocks are joined in page order.
 
 The classifier is a logistic model over features of the text (length, links, punctuation, kind of
-tag, place, share of the page's text under the same parent) and two cues, for and against, from the
+tag, place, share of the page's text and headings under the same parent) and two cues, for and against, from the
 innermost semantic evidence about a block: tags, roles, words of class and id. It is fitted on a
 bounded sample of pages whose evidence labels their blocks; every block is shown twice, with its
 cues and without, so that the features of the text must tell blocks apart where a page has no such
-markup. The text's part is held between -``TEXT_LIMIT`` and ``TEXT_LIMIT``, a cue's weight
-between ``CUE_LEAST`` and ``CUE_LIMIT``; both are of the order of a block's edges, so a block that its
-own features leave in doubt gets the label that its surroundings make cheapest.
+markup. The text's part is held between -``TEXT_LIMIT`` and ``TEXT_LIMIT``; a cue weighs what the
+fit gives it, at most ``CUE_LIMIT``, so a text that is clear outweighs any cue. Both are of the order
+of a block's edges, so a block that its own features leave in doubt gets the label that its
+surroundings make cheapest.
 
 Edge cases: null and empty pages give the empty text; broken nesting and unclosed tags are
 read leniently; an unclosed script or style runs to the end of the page; hidden elements never
@@ -38,10 +39,10 @@ from lexispark.llm.common import map_rows
 #: Pages of the fit's sample, and blocks of each, evenly spread, that it takes.
 FIT_PAGES = 400
 FIT_BLOCKS = 200
-TEXT_LIMIT, CUE_LEAST, CUE_LIMIT = 2.0, 4.0, 6.0
+TEXT_LIMIT, CUE_LIMIT = 4.0, 3.0
 #: Edges between neighbours in the page (over 1 + distance) and between neighbouring children; both
 #: are divided by 1 + CUE_CONTRAST for each step between against, none and for.
-SMOOTH_NEXT, SMOOTH_SIBLING, CUE_CONTRAST = 5.0, 5.0, 10.0
+SMOOTH_NEXT, SMOOTH_SIBLING, CUE_CONTRAST = 1.0, 6.0, 4.0
 
 #: Fixed by HTML: elements that start a block, that have no content, and whose text is no text.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
@@ -238,28 +239,33 @@ def blocks(html: str | None) -> list[Block]:
 # --- classifier --------------------------------------------------------------------------
 
 #: Used where a sample has no labelled blocks: bias, then a weight per feature of ``features``.
-DEFAULT_WEIGHTS = np.array([-1.0, 0.9, -4.0, 1.5, 0.8, 0.8, -1.0, -0.5, -1.5, 0.5, 4.0, -5.0])
+DEFAULT_WEIGHTS = np.array([-1.0, 0.9, -4.0, 1.5, 0.8, 0.8, -1.0, -0.5, -1.5, 0.5, -1.0, 1.0, 3.0, -3.0])
 CUES = 2  # the last features
+HEADINGS = frozenset(["h1", "h2", "h3"])
 
 
 def features(found: list[Block]) -> np.ndarray:
     """Per block: 1, log words, share of linked text, ends a sentence, log sentence marks,
     heading, list item, short without a mark, near the page's ends, share of the page's unlinked
-    text under the same parent; then the cues for and against."""
+    text in the block's company, loose in the page, a heading in its company; then the cues for and
+    against. A block's company are the blocks under the same parent, those with a cue against and
+    the others apart."""
     out = np.zeros((len(found), len(DEFAULT_WEIGHTS)))
     free = [len(b.text) - b.link for b in found]
-    under: dict[_Node, int] = {}
-    for b, n in zip(found, free, strict=True):
-        holder = b.home.up or b.home
-        under[holder] = under.get(holder, 0) + n
+    holders = [b.home.up or b.home for b in found]
+    company = [(holder, b.evidence < 0) for holder, b in zip(holders, found, strict=True)]
+    under: dict[tuple[_Node, bool], int] = {}
+    for at, n in zip(company, free, strict=True):
+        under[at] = under.get(at, 0) + n
+    headed = {at for at, b in zip(company, found, strict=True) if b.tag in HEADINGS}
     total = max(1, sum(free))
     for i, b in enumerate(found):
         words = b.text.count(" ") + 1
         marks = b.text.count(". ") + b.text.count("? ") + b.text.count("! ") + b.text.count(", ")
         ends = b.text[-1] in ".!?:\"”»"
         edge = min(i, len(found) - 1 - i) / max(1, len(found))
-        share = under[b.home.up or b.home] / total
-        out[i] = (1, np.log1p(words), b.link / len(b.text), ends, np.log1p(marks), b.tag in ("h1", "h2", "h3"), b.tag in ("li", "td", "dd", "option"), words < 6 and not ends, edge < 0.05, share, b.evidence > 0, b.evidence < 0)
+        share, loose = under[company[i]] / total, holders[i].name in ("#root", "html", "body")
+        out[i] = (1, np.log1p(words), b.link / len(b.text), ends, np.log1p(marks), b.tag in HEADINGS, b.tag in ("li", "td", "dd", "option"), words < 6 and not ends, edge < 0.05, share, loose, company[i] in headed, b.evidence > 0, b.evidence < 0)
     return out
 
 
@@ -295,7 +301,7 @@ def fit_features(parts: list[np.ndarray]) -> np.ndarray:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         curvature = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w))
         w += np.linalg.solve(curvature, x.T @ (y - p) - 0.5 * w)
-    w[-2], w[-1] = np.clip(w[-2], CUE_LEAST, CUE_LIMIT), np.clip(w[-1], -CUE_LIMIT, -CUE_LEAST)
+    w[-2], w[-1] = np.clip(w[-2], 0.0, CUE_LIMIT), np.clip(w[-1], -CUE_LIMIT, 0.0)
     return w
 
 

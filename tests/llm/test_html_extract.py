@@ -109,20 +109,58 @@ def sources(spark, sf_dir):
     return [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
 
 
+def neutral(source):
+    """The page without tags and classes that say what a block is."""
+    return re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|ul|li|h1)\b", r"<\1div", source))
+
+
 def test_pages_without_semantic_names(spark):
     pages = sources(spark, "/root/testdata/sf0.01")
     weights = X.fit(pages)
     kept = whole = found = 0
     for source in pages:
-        neutral = re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|ul|li|h1)\b", r"<\1div", source))
-        assert not any(b.evidence for b in X.blocks(neutral))
-        got, want = set(X.extract(neutral, weights).split("\n")), article_parts(source)
+        bare = neutral(source)
+        assert not any(b.evidence for b in X.blocks(bare))
+        got, want = set(X.extract(bare, weights).split("\n")), article_parts(source)
         kept += sum(len(x) for x in want if x in got)
         whole += sum(map(len, want))
         found += sum(map(len, got))
     assert kept >= 0.95 * whole and kept >= 0.95 * found
 
 
+def test_the_cut_beats_the_signs_on_noisy_pages(spark):
+    # short lines inside the article, a sentence in the menu, and no tag or class that tells them apart
+    pages, rng = sources(spark, "/root/testdata/sf0.01"), random.Random(3)
+    weights = X.fit(pages)
+    cut = signs = right = wrong = 0
+    for source in pages:
+        short = lambda m: f"</p><p>{rng.choice(['Anna', '12 31', 'Photo', 'Part two', 'M. L.'])}</p><p>" if rng.random() < 0.4 else m[0]
+        before, rest = source.split("<article>", 1)
+        article, after = rest.split("</article>", 1)
+        noisy = before.replace("</li><li>", "</li><li>All of the news of the day, and more than that.</li><li>", 1) + "<article>" + re.sub("</p><p>", short, article) + "</article>" + after
+        want, bare = article_parts(noisy), neutral(noisy)
+        found = X.blocks(bare)
+        z = X.log_odds(X.features(found), weights)
+        labels, own = X.minimum_cut(z, X.smoothness(found)), z > 0
+        assert X.extract(bare, weights) == "\n".join(b.text for b, on in zip(found, labels, strict=True) if on)
+        cut += [b.text for b, on in zip(found, labels, strict=True) if on] == want
+        signs += [b.text for b, on in zip(found, own, strict=True) if on] == want
+        for b, on, sign in zip(found, labels, own, strict=True):
+            if on != sign:
+                right, wrong = right + ((b.text in want) == on), wrong + ((b.text in want) != on)
+    assert right >= 10 and right > 3 * wrong
+    assert cut > signs and cut >= 0.95 * len(pages)
+
+
+def test_a_clear_text_outweighs_a_cue(spark):
+    weights = X.fit(sources(spark, "/root/testdata/sf0.01"))
+    assert abs(weights[-X.CUES :]).max() < X.TEXT_LIMIT
+    source = page(f'<article><h1>{LONG}</h1><p>{LONG}</p><p>{MORE}</p></article><div class="story"><a href=/x>Go</a></div>')
+    found = X.blocks(source)
+    assert found[-1].evidence > 0 > X.log_odds(X.features(found), weights)[-1]
+    assert X.extract(source, weights) == "\n".join([LONG, LONG, MORE])
+
+
 def test_boilerplate_inside_the_article_and_the_flow(spark, monkeypatch):
     pages = sources(spark, "/root/testdata/sf0.01")
     weights, cut = X.fit(pages), []
