@@ -7,20 +7,21 @@ accepted and one from rejected URLs. The judgement is the difference of their lo
 divided by the number of characters, against a threshold calibrated on URLs held out of the
 counts.
 
-Which URLs teach: rejected are those that a rule blocks; accepted are all others, those that a rule
-allows and those that no rule speaks of. Hosts are dealt into ``FOLDS`` folds, and counts are kept
-per fold: a URL is judged by the counts of the other folds alone, so no URL, ruled or not, is
-judged by models that have seen it or its host, and the threshold, too, is one for unseen hosts.
+Which URLs teach: rejected are those that a rule blocks, accepted those that a rule allows. URLs
+that no rule speaks of are unlabelled: they show what URLs look like, so the accepted model counts
+them too, at a weight at which all of them together weigh as much as the accepted; the threshold is
+calibrated on labelled URLs alone. Hosts are dealt into ``FOLDS`` folds, and counts are kept per fold: a URL
+is judged by the counts of the other folds alone, so no URL, ruled or not, is judged by models that
+have seen it or its host, and the threshold, too, is one for unseen hosts.
 
 Counts are exact: a context of up to five bytes, its order and the symbol after it are one
 64-bit number, and the table of counts by that number stays in Spark, as large as the URLs make
 it. URLs are scored in blocks of ``1 << BLOCK_BITS`` rows: the distinct numbers of a block are joined
 with the table, and the counts found meet the block's URLs. No counts come to the driver.
-Digits count as one character, since numbers in paths only identify pages.
 
 Edge cases: null and empty URLs and URLs without ``://`` have empty host and path, fit no rule, teach
 nothing and are judged by the models (of the end mark alone); where the rules block nothing, or
-everything, all verdicts of the method are allow; of fitting rules of equal length the
+allow nothing, all verdicts of the method are allow; of fitting rules of equal length the
 alphabetically first decides; very long URLs are judged whole; rows with a null key are judged
 like others; repeated rows teach and are judged one by one; an empty table gives no rows; extra
 columns, whatever their names, are ignored.
@@ -88,9 +89,8 @@ _PAD, _END = 1, 2
 
 
 def symbols(text: str | None) -> bytes:
-    """UTF-8 bytes with digits folded into one."""
-    out = (text or "").encode("utf-8", "surrogatepass")
-    return out.translate(bytes.maketrans(b"123456789", b"000000000"))
+    """UTF-8 bytes."""
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 def _keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,15 +114,15 @@ def _keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _CONTEXT = 1 << 52
-_ANY = _CONTEXT  # the context of order 0: its counts are those of all symbols
 
 
 @dataclass
 class Model:
-    """(key, accepted, rejected): counts of (context, symbol) and of contexts, an array with a
-    place for each fold; and the threshold."""
+    """(key, accepted, rejected, unlabelled): counts of (context, symbol) and of contexts, an array with
+    a place for each fold; the weight of the unlabelled, and the threshold."""
 
     counts: DataFrame
+    weight: float
     threshold: float
 
 
@@ -159,8 +159,8 @@ def in_blocks(df: DataFrame) -> DataFrame:
 
 
 def count_symbols(labelled: DataFrame) -> DataFrame:
-    """(key, accepted, rejected) of (text, fold, accepted): how often URLs of each class and fold
-    have a key. Each batch adds up its own counts first."""
+    """(key, accepted, rejected, unlabelled) of (text, fold, accepted): how often URLs of each class and
+    fold have a key; null is unlabelled. Each batch adds up its own counts first."""
 
     def make():
         def step(rows):
@@ -180,19 +180,20 @@ def count_symbols(labelled: DataFrame) -> DataFrame:
 
     counts = map_rows(labelled.select("text", "fold", "accepted"), "accepted boolean, fold int, key bigint, n bigint", make)
     of = lambda side, i: F.sum(F.when(side & (F.col("fold") == i), F.col("n")).otherwise(0))
-    sides = {"accepted": F.col("accepted"), "rejected": ~F.col("accepted")}
+    sides = {"accepted": F.col("accepted"), "rejected": ~F.col("accepted"), "unlabelled": F.col("accepted").isNull()}
     return counts.groupBy("key").agg(*[F.array(*[of(side, i) for i in range(FOLDS)]).alias(name) for name, side in sides.items()])
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """Models and threshold from rows of ``in_blocks`` with text, fold and accepted. None if a
-    class is missing."""
+    """Models and threshold from rows of ``in_blocks`` with text, fold and accepted (null: unlabelled).
+    None if accepted or rejected are missing."""
     counts = materialize(count_symbols(labelled), "url-counts")
-    total = counts.where(F.col("key") == _ANY).first()
-    if total is None or not sum(total["accepted"]) or not sum(total["rejected"]):
+    urls = counts.where(F.col("key") == _END).first()  # every URL ends once
+    if urls is None or not sum(urls["accepted"]) or not sum(urls["rejected"]):
         return None
-    model = Model(counts, 0.0)
-    model.threshold = calibrated_threshold(labelled, model)
+    unlabelled = sum(urls["unlabelled"])
+    model = Model(counts, sum(urls["accepted"]) / unlabelled if unlabelled else 0.0, 0.0)
+    model.threshold = calibrated_threshold(labelled.where("accepted IS NOT NULL"), model)
     return model
 
 
@@ -217,7 +218,7 @@ def calibrated_threshold(labelled: DataFrame, model: Model) -> float:
 
 def score(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The ``keep`` columns and the length-normalised difference of every row of ``in_blocks``."""
-    kinds = dict(rows.dtypes)
+    kinds, weight = dict(rows.dtypes), model.weight
     rows = rows.select("_block", "text", "fold", *keep)
 
     def make():
@@ -241,10 +242,11 @@ def score(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             keys = right["key"].to_numpy()
             order = np.argsort(keys)
             keys = np.r_[keys[order], np.iinfo(np.int64).max]
-            sides = []
-            for side in ("accepted", "rejected"):
-                values = pc.list_flatten(right[side].combine_chunks()).to_numpy(zero_copy_only=False).reshape(-1, FOLDS)
-                sides.append(np.r_[values[order], np.zeros((1, FOLDS), np.int64)].T)
+            side = {}
+            for name in ("accepted", "rejected", "unlabelled"):
+                values = pc.list_flatten(right[name].combine_chunks()).to_numpy(zero_copy_only=False).reshape(-1, FOLDS)
+                side[name] = np.r_[values[order], np.zeros((1, FOLDS), np.int64)].T
+            sides = [side["accepted"] + weight * side["unlabelled"], side["rejected"]]
             folds = left["fold"].to_numpy()
             parts = [text_differences(left["text"].slice(at, SLICE_ROWS).to_pylist(), folds[at : at + SLICE_ROWS], keys, *sides) for at in range(0, left.num_rows, SLICE_ROWS)]
             return left.select(keep).append_column("difference", pa.array(np.concatenate(parts)))
@@ -260,7 +262,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
     name, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", name).withColumn("ruled", verdict).withColumn("text", F.concat("host", "path"))
     parsed = in_blocks(parsed.withColumn("fold", fold("host", FOLDS).cast("int")))
-    teach = parsed.where("host <> ''").withColumn("accepted", ~F.col("ruled").eqNullSafe(F.lit("block")))
+    teach = parsed.where("host <> ''").withColumn("accepted", F.col("ruled") == "allow")
     model = fit(teach)
     if model is None:
         judged = parsed.withColumn("difference", F.lit(None).cast("double"))
