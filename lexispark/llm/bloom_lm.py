@@ -221,7 +221,8 @@ def placed(keys: np.ndarray, segments: int) -> np.ndarray:
 
 def count_bigrams(texts: DataFrame, segments: int) -> DataFrame:
     """(segment, chunk, slice, keys, counts): a slice's distinct bigrams of all texts in a
-    segment, in order, and how often training texts have them."""
+    segment, in order, and how often training texts have them. Segments that a slice has no bigram
+    in are not touched, so rows and work never exceed the bigrams, however many segments there are."""
     schema = pa.schema([("segment", pa.int32()), ("chunk", pa.int64()), ("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def count(chunk: int, at: int, numbers: np.ndarray, learn: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
@@ -231,15 +232,14 @@ def count_bigrams(texts: DataFrame, segments: int) -> DataFrame:
         first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
         counts = np.add.reduceat(learn[order].astype(np.int64), first)
         places = places[first]
-        edges = np.searchsorted(places >> 32, np.arange(segments + 1))
+        met, starts = np.unique(places >> 32, return_index=True)
         out: dict[str, list] = {name: [] for name in schema.names}
-        for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            if a < b:
-                out["segment"].append(s)
-                out["chunk"].append(chunk)
-                out["slice"].append(at)
-                out["keys"].append(pack_sorted(places[a:b] & 0xFFFFFFFF))
-                out["counts"].append(pack_numbers(counts[a:b]))
+        for s, a, b in zip(met.tolist(), starts, [*starts[1:], len(places)], strict=True):
+            out["segment"].append(s)
+            out["chunk"].append(chunk)
+            out["slice"].append(at)
+            out["keys"].append(pack_sorted(places[a:b] & 0xFFFFFFFF))
+            out["counts"].append(pack_numbers(counts[a:b]))
         return pa.RecordBatch.from_pydict(out, schema=schema)
 
     def run(batches):

@@ -116,6 +116,23 @@ def test_no_ceiling_drops_rare_bigrams(spark, monkeypatch):
     compare([tuple(r) for r in B.score_documents(docs).collect()], brute(rows), 0.99)
 
 
+def test_more_segments_than_bigrams(spark, monkeypatch):
+    # a slice sends rows only for segments that it has a bigram in
+    monkeypatch.setattr(B, "SEGMENT_TOKENS", 3)
+    monkeypatch.setattr(B, "BITS_PER_TOKEN", 400)  # false positives are rare: the filter gives the quantised counts
+    monkeypatch.setattr(B, "PROBES", 10)
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(20)}" for _ in range(20))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    compare([tuple(r) for r in B.score_documents(docs).collect()], brute(rows), 0.95)
+    source = docs.selectExpr("doc_id", "false AS held_out", "text").coalesce(1)
+    texts = B.materialize_by_kind(B.read_chunks(source, "doc_id"))(B.TEXTS)
+    bigrams = {pair for _, t in rows for pair in zip([None, *t.split()], [*t.split(), None], strict=True)}
+    sent = B.count_bigrams(texts, 5000).collect()
+    assert texts.count() == 1 and len(sent) <= len(bigrams) < 500
+    assert sum(len(B.unpack_sorted(r["keys"])) for r in sent) == len(bigrams)
+
+
 def test_full_segment_enters_all_counts():
     rng = np.random.default_rng(5)
     short = np.sort(rng.choice(1 << 32, 4000, replace=False))
