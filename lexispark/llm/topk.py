@@ -4,14 +4,15 @@ Vectors are made of integers, so scores are exact. Candidates are dealt into blo
 descending length, and the blocks are gone through in that order, in bands that grow fourfold. After
 a band every query knows the k-th best score it has so far, its threshold t; in the next one it
 only meets blocks whose longest vector can reach it (|q| |c| >= t, Cauchy-Schwarz), and as lengths fall
-those are the first ones of the band. Queries of similar need t / |q| share a block, so a query
-block is paired with a run of numbered candidate blocks by an equi-join; the search ends with
+those are the first ones of the band. Queries of similar need t / |q| share a block. A few query blocks, a group,
+meet a few candidate blocks, a run, in one cell, to which both are shuffled: vectors are dealt once to a
+cell, never broadcast, and a cell holds a bounded number of them. The search ends with
 the band in which no query can gain any more. In a pair, coordinates are rotated by the singular
 vectors of a sample, which moves most of the length to the first ones; partial sums over those
 plus the product of the residual lengths bound each score, and only what reaches t is multiplied
-out in integers.
+out in integers. Within a cell t rises from block to block.
 
-The query set is a stated part of the rows and is held against all rows in blocks; each pair
+The query set is a stated part of the rows and is held against all rows in blocks; each cell
 returns at most k rows per query, and the k best of those are taken by a window.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor rows
@@ -40,6 +41,11 @@ SAMPLE = 2000
 #: A band ends at so many times the blocks before it; lengths by which a band's blocks are found.
 GROWTH = 4
 EDGES = 1024
+#: Groups of query blocks and runs of a band's candidate blocks that are aimed at; blocks of a group and of a run at most.
+GROUPS = 8
+RUNS = 32
+GROUP_BLOCKS = 64
+RUN_BLOCKS = 16
 #: Share of a pair of blocks above which survivors are taken from one matrix product.
 DENSE = 0.02
 LONG = (1 << 63) - 1
@@ -97,12 +103,30 @@ class Block:
         self.rows, self.ids, self.v, self.bound = rows, ids, v, bound
         self.f = v.astype(np.float64)
         self.norm = np.sqrt((self.f * self.f).sum(axis=1))
+        self._rotated: tuple[np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def unpacked(cls, row: dict, width: int) -> Block:
+        rows = np.frombuffer(row["rows"], "<i8")
+        v = np.frombuffer(row["v"], f"<i{len(row['v']) // (len(rows) * width)}").reshape(-1, width)
+        return cls(rows, np.frombuffer(row["ids"], "<i8"), v.astype(np.int64), np.frombuffer(row["bound"], "<f8").copy())
 
     def rotated(self, rotation: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-        """Leading rotated coordinates and the length of the rest."""
-        lead = self.f @ rotation[:, :first]
-        rest = np.maximum(self.norm**2 - (lead * lead).sum(axis=1), 0.0)
-        return lead, np.sqrt(rest)
+        """Leading rotated coordinates and the length of the rest, made once."""
+        if self._rotated is None:
+            lead = self.f @ rotation[:, :first]
+            rest = np.maximum(self.norm**2 - (lead * lead).sum(axis=1), 0.0)
+            self._rotated = lead, np.sqrt(rest)
+        return self._rotated
+
+    def raise_bound(self, rows: np.ndarray, scores: np.ndarray, k: int) -> None:
+        """Take the k-th score of each row number that has so many, from the order of ``best_k``, as bound."""
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        full = starts[np.diff(np.r_[starts, len(rows)]) >= k]
+        kth = scores[full + k - 1].astype(np.float64)
+        order = np.argsort(self.rows)
+        at = order[np.searchsorted(self.rows, rows[full], sorter=order)]
+        self.bound[at] = np.maximum(self.bound[at], kth - np.abs(kth) * 1e-12)
 
 
 def survivors(q: Block, c: Block, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +138,8 @@ def survivors(q: Block, c: Block, rotation: np.ndarray) -> tuple[np.ndarray, np.
     used = np.flatnonzero(reach)
     if not len(used):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    part = Block(c.rows[used], c.ids[used], c.v[used])
-    (ql, qr), (cl, cr) = q.rotated(rotation, first), part.rotated(rotation, first)
-    bound = ql @ cl.T + qr[:, None] * cr[None, :] + slack[:, used]
+    (ql, qr), (cl, cr) = q.rotated(rotation, first), c.rotated(rotation, first)
+    bound = ql @ cl[used].T + qr[:, None] * cr[used][None, :] + slack[:, used]
     rows, cols = np.nonzero((bound >= q.bound[:, None]) & alive[:, used])
     return rows, used[cols]
 
@@ -134,6 +157,28 @@ def top_of(q: Block, c: Block, rotation: np.ndarray, k: int) -> tuple[np.ndarray
     return q.rows[rows[best]], q.ids[rows[best]], c.ids[cols[best]], scores[best]
 
 
+def top_of_cell(queries: list[Block], candidates: list[Block], rotation: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
+    """The same for each query block over all candidate blocks, whose scores raise its bound one after the other."""
+    out = []
+    for q in queries:
+        best = tuple(np.empty(0, np.int64) for _ in range(4))
+        for c in candidates:
+            found = top_of(q, c, rotation, k)
+            if len(found[0]):
+                both = tuple(map(np.concatenate, zip(best, found, strict=True)))
+                first = best_k(both[0], both[2], both[3], k)
+                best = tuple(x[first] for x in both)
+                q.raise_bound(best[0], best[3], k)
+        out.append(best)
+    return out
+
+
+def narrow(v: np.ndarray) -> np.ndarray:
+    """The integers in the fewest bytes that hold all of them."""
+    low, high = (int(v.min()), int(v.max())) if v.size else (0, 0)
+    return v.astype(next(f"<i{n}" for n in (1, 2, 4, 8) if -(1 << (8 * n - 1)) <= low and high < 1 << (8 * n - 1)))
+
+
 _BLOCK_SCHEMA = "part int, serial bigint, edge double, rows binary, ids binary, v binary, bound binary"
 
 
@@ -150,7 +195,7 @@ def _block_rows(width: int, size: int, queries: bool):
             number, ids, v = rows["row"].to_numpy(), rows["id"].to_numpy(), _matrix(rows["v"].combine_chunks(), width)
             bound = rows["bound"].to_numpy() if queries else np.zeros(len(ids))
             edge = float(rows["need"].to_numpy().min()) if queries else float(rows["norm"].to_numpy().max())
-            packed = {"rows": number.astype("<i8"), "ids": ids.astype("<i8"), "v": v.astype("<i8"), "bound": bound.astype("<f8")}
+            packed = {"rows": number.astype("<i8"), "ids": ids.astype("<i8"), "v": narrow(v), "bound": bound.astype("<f8")}
             yield pa.RecordBatch.from_pydict({"part": [part], "serial": [serial], "edge": [edge]} | {c: [x.tobytes()] for c, x in packed.items()}, schema=schema)
             serial += 1
 
@@ -199,12 +244,11 @@ def exact_top_k(table: DataFrame, k: int = 20, *, key: str = "vec_id", vector: s
     blocks = numbered(blocks)
     queries = vectors.where(F.col("id") % every == 0)
 
-    def score(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                q = Block(np.frombuffer(row["rows"], "<i8"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["v"], "<i8").reshape(-1, width), np.frombuffer(row["bound"], "<f8"))
-                c = Block(np.frombuffer(row["crows"], "<i8"), np.frombuffer(row["cids"], "<i8"), np.frombuffer(row["cv"], "<i8").reshape(-1, width))
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, top_of(q, c, rotation.value, k))), names=["row", "query_id", "vec_id", "score"])
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        unpacked = [[Block.unpacked(row, width) for row in t.sort_by("at").to_pylist()] for t in (left, right)]
+        found = top_of_cell(*unpacked, rotation.value, k)
+        columns = map(np.concatenate, zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 4
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "query_id", "vec_id", "score"])
 
     schema = "row bigint, query_id bigint, vec_id bigint, score bigint"
     best = spark.createDataFrame([], schema + ", rank int")
@@ -216,21 +260,32 @@ def exact_top_k(table: DataFrame, k: int = 20, *, key: str = "vec_id", vector: s
         known = queries.join(kth, "row", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))).withColumn("need", need - F.abs(need) * 1e-9 - 1e-6)
         known = known.withColumn("need", F.when(F.isnan("need"), F.lit(float("-inf"))).otherwise(F.col("need")))
         asked = known.repartitionByRange("need", "row").sortWithinPartitions("need", "row").mapInArrow(_block_rows(width, QUERY_BLOCK, True), _BLOCK_SCHEMA)
-        asked = materialize(asked, "query-blocks")
-
-        step = -(-(high - low) // EDGES)
-        band = blocks.where(F.col("at").between(low, high - 1)).withColumn("run", F.expr(f"(at - {low}) div {step}"))
-        edges = [r["edge"] for r in band.where((F.col("at") - low) % step == 0).orderBy("at").select("edge").collect()]  # EDGES at most
+        asked = numbered(materialize(asked, "query-blocks"))
+
+        # a run is a cell's blocks; an edge stands for some runs, so that there are few edges at any number of runs
+        span = max(1, min(RUN_BLOCKS, (high - low) // RUNS))
+        runs = -(-(high - low) // span)
+        step = -(-runs // EDGES)
+        band = blocks.where(F.col("at").between(low, high - 1)).withColumn("run", F.expr(f"(at - {low}) div {span}"))
+        edges = [r["edge"] for r in band.where((F.col("at") - low) % (step * span) == 0).orderBy("at").select("edge").collect()]  # EDGES at most
         reach = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e >= F.col("edge")))
         met = asked.withColumn("reach", reach)
-        pairs, asking = met.agg(F.sum("reach"), F.count(F.lit(1))).first()
+        reached = met.groupBy("reach").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last")).collect()  # a row for each edge at most
+        pairs, asking = sum(r["reach"] * r["n"] for r in reached), sum(r["n"] for r in reached)
         if trace is not None:
-            trace.append((pairs or 0, asking * len(edges)))
+            trace.append((pairs, asking * len(edges)))
         if not pairs:
             break
-        runs = met.where("reach > 0").select("rows", "ids", "v", "bound", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("reach").cast("bigint") - 1)).alias("run"))
-        joined = runs.join(band.select("run", F.col("rows").alias("crows"), F.col("ids").alias("cids"), F.col("v").alias("cv")), "run").drop("run")
-        found = joined.mapInArrow(score, schema).unionByName(best.select("row", "query_id", "vec_id", "score"))
+        # the first groups need least and reach farthest, so a run meets the groups up to a last one
+        size = max(1, min(GROUP_BLOCKS, -(-asking // GROUPS)))
+        last = [max((r["last"] // size for r in reached if r["reach"] > e), default=-1) for e in range(len(edges))]
+        farthest = F.least(F.col("reach").cast("bigint") * step, F.lit(runs))
+        cells = met.where("reach > 0").select("at", "rows", "ids", "v", "bound", F.expr(f"at div {size}").alias("group"), F.explode(F.sequence(F.lit(0).cast("bigint"), farthest - 1)).alias("run"))
+        deepest = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in last]), (F.expr(f"run div {step}") + 1).cast("int"))
+        dealt = band.withColumn("deepest", deepest).where("deepest >= 0")
+        dealt = dealt.select("at", "rows", "ids", "v", "bound", "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deepest"))).alias("group"))
+        met_in = cells.groupBy("group", "run").cogroup(dealt.groupBy("group", "run")).applyInArrow(score, schema)
+        found = met_in.unionByName(best.select("row", "query_id", "vec_id", "score"))
         place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
         best = materialize(found.withColumn("rank", place).where(F.col("rank") <= k), "best-so-far")
         low, high = high, min(total, high * GROWTH)

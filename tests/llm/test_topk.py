@@ -87,6 +87,37 @@ def test_blocks_of_short_vectors_are_never_met(spark, monkeypatch):
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
 
 
+def test_vectors_are_never_broadcast(spark, monkeypatch):
+    # a table of query blocks is small, but not once each block is there for every run of candidates
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 32)
+    x = np.random.default_rng(6).normal(size=(6000, 16))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    whole = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1500000b")  # Spark fails if a broadcast is larger
+    try:
+        got = run(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", whole)
+    ints = np.floor(64 * np.array([v for _, v in rows], np.float32).astype(np.float64)).astype(np.int64)
+    want = []
+    for q in range(0, 6000, 20):
+        scores = ints @ ints[q]
+        order = [c for c in np.lexsort((np.arange(6000), -scores)) if c != q][:20]
+        want += [(q, r + 1, int(c), int(scores[c])) for r, c in enumerate(order)]
+    assert got == want
+
+
+def test_cells_of_several_blocks_and_edges_of_several_runs(spark, monkeypatch):
+    for name, value in {"BLOCK": 16, "QUERY_BLOCK": 4, "EDGES": 3, "RUNS": 4, "RUN_BLOCKS": 3, "GROUPS": 3, "GROUP_BLOCKS": 2}.items():
+        monkeypatch.setattr(topk, name, value)
+    x = np.random.default_rng(8).normal(size=(700, 6))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    assert run(spark, rows, 5, 10) == brute(rows, 5, 10)
+    for v in (np.zeros((0, 3), np.int64), np.array([[-128, 127]]), np.array([[-129, 0]]), np.array([[0, 32768]]), np.array([[-(1 << 63), topk.LONG]])):
+        assert topk.narrow(v).tolist() == v.tolist()
+
+
 def test_query_on_whole_table(spark, sf_dir):
     from lexispark.llm.queries_pages import op2_topk
 
