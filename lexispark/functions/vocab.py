@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -60,6 +61,10 @@ def byte_ids(text: Column) -> Column:
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _encode_bytes(texts: pa.Array) -> pa.Array:
+    return _ids_of(texts)
+
+
+def _ids_of(texts: pa.Array) -> pa.Array:
     texts = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
@@ -82,6 +87,10 @@ def byte_text(ids: Column) -> Column:
 
 @F.arrow_udf(T.StringType())
 def _decode_bytes(lists: pa.Array) -> pa.Array:
+    return _text_of(lists)
+
+
+def _text_of(lists: pa.Array) -> pa.Array:
     table = _byte_of_id()
     out = []
     for ids in lists:
@@ -90,6 +99,47 @@ def _decode_bytes(lists: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+#: Bytes of text that one step of a round trip encodes; only a single longer text takes more.
+STEP_BYTES = 1 << 20
+
+
+def byte_slices(texts: pa.Array, step: int | None = None) -> Iterator[pa.Array]:
+    """A text column in slices of up to ``step`` bytes, at least one row each."""
+    step = step or STEP_BYTES
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, done + step, side="right")))
+        yield texts.slice(at, to - at)
+        at, done = to, int(ends[to - 1])
+
+
+def round_trips(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row (n_docs, n_same): texts, and those that encoding with bos and eos and decoding returns
+    unchanged; null counts as empty. Ids are made for ``STEP_BYTES`` of text at a time and never leave their step, so
+    a task's memory does not grow with the rows of a batch."""
+
+    def run(batches):
+        n = same = 0
+        for batch in batches:
+            for texts in byte_slices(batch.column(0)):
+                ids = _ids_of(texts)
+                # a row's ids and its specials, in the order bos, ids, eos
+                lengths = ids.value_lengths().to_numpy() + 2
+                ends = np.cumsum(lengths)
+                values = np.empty(int(ends[-1]), np.int32)
+                inner = np.ones(len(values), bool)
+                inner[ends - lengths] = inner[ends - 1] = False
+                values[ends - lengths], values[ends - 1], values[inner] = BOS, EOS, ids.flatten().to_numpy()
+                whole = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values))
+                same += pc.sum(pc.equal(_text_of(whole), pc.fill_null(texts, "").cast(pa.string()))).as_py() or 0
+                n += len(texts)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([same], pa.int64())], names=["n_docs", "n_same"])
+
+    counted = df.select(text).mapInArrow(run, "n_docs bigint, n_same bigint")
+    return counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_docs", "n_same")])
+
+
 @lru_cache(maxsize=1)
 def _id_of_byte() -> np.ndarray:
     return np.array([i for _, _, i in byte_alphabet()], dtype=np.int32)

@@ -45,8 +45,7 @@ def byte_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def byte_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, and those that byte-level encoding and decoding returns unchanged."""
-    same = vocab.byte_text(vocab.with_specials(vocab.byte_ids(F.col("text")), bos=True, eos=True)) == F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_docs"), F.count(F.when(same, 1)).alias("n_same"))
+    return vocab.round_trips(table(spark, sf_dir, "documents"))
 
 
 def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

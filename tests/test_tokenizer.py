@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
@@ -141,3 +143,56 @@ def test_a_token_made_twice(spark):
     local = bpe.learn_merges(counts, 300).merges
     for cut_every, top in ((1, 99), (7, 99), (4, 3)):
         assert bpe.learn_merges_distributed(table, 300, cut_every=cut_every, top=top).merges == local
+
+
+def test_round_trips_make_ids_of_a_step_at_a_time(spark, monkeypatch):
+    table = spark.createDataFrame([(t,) for t in [*TEXTS, None]], "text string")
+    assert [tuple(r) for r in vocab.round_trips(table).collect()] == [(len(TEXTS) + 1, len(TEXTS) + 1)]
+    assert [tuple(r) for r in vocab.round_trips(table.where("false")).collect()] == [(0, 0)]
+    texts = pa.array(["", None, "a" * 30, "é" * 7, "", "b" * 200, "c", None])
+    slices = list(vocab.byte_slices(texts, 50))
+    assert [x for s in slices for x in s.to_pylist()] == texts.to_pylist()
+    assert all(len(s) == 1 or sum(len((x or "").encode()) for x in s.to_pylist()) <= 50 for s in slices)
+    # of a batch of any size, ids of one step are made together
+    seen, whole = [], vocab._ids_of
+    monkeypatch.setattr(vocab, "_ids_of", lambda t: seen.append(len("".join(t.to_pylist()))) or whole(t))
+    monkeypatch.setattr(vocab, "STEP_BYTES", 1000)
+    assert [r.to_pylist() for r in mapped(lambda df: vocab.round_trips(df))([pa.record_batch([pa.array(["x" * 90] * 500)], ["text"])])] == [[{"n_docs": 500, "n_same": 500}]]
+    assert sum(seen) == 45_000 and max(seen) <= 1000
+
+
+def mapped(call):
+    """The function that ``call`` hands to mapInArrow."""
+
+    class Table:
+        sparkSession = None
+        select = lambda self, *columns: self
+
+        def mapInArrow(self, run, schema):
+            raise Found(run)
+
+    class Found(Exception):
+        pass
+
+    with pytest.raises(Found) as found:
+        call(Table())
+    return found.value.args[0]
+
+
+def test_bigram_counts_hold_a_slice_at_a_time(monkeypatch):
+    from lexispark.model import providers
+
+    rng = random.Random(2)
+    sequences = [[rng.randrange(9) for _ in range(rng.randrange(5))] for _ in range(700)] + [None]
+    column = pa.array(sequences, pa.list_(pa.int32()))
+    want = Counter(p for s in sequences for p in zip(s or [], (s or [])[1:], strict=False))
+    adjacent, seen = providers.adjacent, []
+    monkeypatch.setattr(providers, "adjacent", lambda c, v: seen.append(len(c)) or adjacent(c, v))
+    for tile in (1 << 20, 50):  # a matrix for the task, or pairs of each slice
+        monkeypatch.setattr(providers, "TILE", tile)
+        got = Counter()
+        for batch in mapped(lambda df: providers.Bigram.fit_table(df, 9))([pa.record_batch([column.slice(0, 300)], ["t"]), pa.record_batch([column.slice(300)], ["t"])]):
+            for pair, n in zip(*batch.to_pydict().values(), strict=True):
+                got[divmod(pair, 9)] += n
+        assert got == want
+    assert max(seen) <= providers.SEQUENCES
