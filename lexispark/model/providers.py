@@ -26,6 +26,8 @@ Provider = Callable[[np.ndarray], np.ndarray]
 
 #: Values of a tile of logits.
 TILE = 1 << 20
+#: Sequences whose pairs are counted at a time.
+SEQUENCES = 256
 
 
 def log_sum_exp(hidden: np.ndarray, weight: np.ndarray, tile: int = TILE) -> np.ndarray:
@@ -56,6 +58,17 @@ def target_logprobs(provider: Provider, ids: np.ndarray, targets: np.ndarray) ->
     return out.reshape(targets.shape)
 
 
+def adjacent(column: pa.Array, vocab_size: int) -> np.ndarray:
+    """a * vocab_size + b for each two adjacent ids (a, b) of the sequences of a list column."""
+    column = column.drop_null()
+    values, lengths = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy()
+    inside = np.ones(max(0, len(values) - 1), bool)
+    ends = np.cumsum(lengths)
+    ends = ends[(ends > 0) & (ends < len(values))]
+    inside[ends - 1] = False
+    return (values[:-1] * vocab_size + values[1:])[inside]
+
+
 class Uniform:
     rows_at_a_time = 1 << 14
 
@@ -116,14 +129,23 @@ class Bigram:
     def fit_table(cls, sequences: DataFrame, vocab_size: int) -> Bigram:
         """The same over a column of sequences: what comes to the driver is one matrix."""
 
+        cells = vocab_size * vocab_size
+
         def run(batches):
+            # a small matrix is kept for the task, of a large one each slice sends on what it saw
+            total = np.zeros(cells, np.int64) if cells <= TILE else None
             for batch in batches:
-                pair = [np.empty(0, np.int64)]
-                for s in batch.column(0):
-                    ids = np.asarray(s.values, np.int64)
-                    pair.append(ids[:-1] * vocab_size + ids[1:])
-                pair, n = np.unique(np.concatenate(pair), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], names=["pair", "n"])
+                for at in range(0, batch.num_rows, SEQUENCES):
+                    pair = adjacent(batch.column(0).slice(at, SEQUENCES), vocab_size)
+                    if total is not None:
+                        for a in range(0, len(pair), TILE):
+                            total += np.bincount(pair[a : a + TILE], minlength=cells)
+                    else:
+                        pair, n = np.unique(pair, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
+            if total is not None:
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["pair", "n"])
 
         counts = np.zeros(vocab_size * vocab_size)
         for row in sequences.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
