@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache, reduce
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,25 +209,123 @@ def pair_counts(words: DataFrame, min_frequency: int = 2) -> DataFrame:
     return pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
 
 
+#: A pair at less than one in so many places of the array has few; after so many of these, merges are made word by
+#: word. Listing the words of each pair, which that needs, costs as much as hundreds of passes over the array.
+FEW_PLACES = 512
+PATIENCE = 1000
+
+
+class Spelled:
+    """Ids of all words in one array, with -1 before, between and behind them; merges are made everywhere at once."""
+
+    def __init__(self, counts: dict[str, int]):
+        encoded = [w.encode("utf-8", "surrogatepass") for w in counts]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        self.weight = np.fromiter(counts.values(), np.int64, len(encoded))
+        self.word = np.repeat(np.arange(len(encoded), dtype=np.int32), lengths + 1)
+        self.word = np.r_[self.word, self.word[-1:]] if len(encoded) else np.zeros(1, np.int32)
+        self.ids = np.full(int(lengths.sum()) + len(encoded) + 1, -1, np.int32)
+        inside = np.arange(int(lengths.sum())) + np.repeat(np.arange(1, len(encoded) + 1), lengths)
+        id_of = np.array([i for _, _, i in byte_alphabet()], np.int32)
+        self.ids[inside] = id_of[np.frombuffer(b"".join(encoded), np.uint8)]
+
+    def _counted(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a << 32 | b, n) of the pairs that begin at some places, weighted by their words' counts."""
+        a, b = self.ids[edges].astype(np.int64), self.ids[edges + 1].astype(np.int64)
+        real = (a >= 0) & (b >= 0)
+        key, which = np.unique((a[real] << 32) | b[real], return_inverse=True)
+        n = np.zeros(len(key), np.int64)
+        np.add.at(n, which, self.weight[self.word[edges[real]]])
+        return key, n
+
+    def pairs(self) -> Counter[Pair]:
+        found: Counter[Pair] = Counter()
+        for low in range(0, len(self.ids) - 1, 1 << 20):
+            for key, n in zip(*map(np.ndarray.tolist, self._counted(np.arange(low, min(low + (1 << 20), len(self.ids) - 1)))), strict=True):
+                found[key >> 32, key & 0xFFFFFFFF] += n
+        return found
+
+    def places(self, pair: Pair) -> np.ndarray:
+        """Where a pair begins, from the left and without overlaps."""
+        at = np.flatnonzero(self.ids[:-1] == pair[0])
+        at = at[self.ids[at + 1] == pair[1]]
+        if pair[0] == pair[1] and len(at):  # of a run of one id every other place
+            starts = np.r_[True, np.diff(at) != 1]
+            first = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+        return at
+
+    def merge(self, at: np.ndarray, new: int) -> dict[Pair, int]:
+        """Put ``new`` for the pairs at some places; the changes of pairs' counts."""
+        apart = np.r_[True, np.diff(at) != 2]  # not right behind another one, with which it shares a pair
+        changes: Counter[Pair] = Counter()
+        old = self._counted(np.concatenate([at[apart] - 1, at, at + 1]))
+        self.ids[at] = new
+        keep = np.ones(len(self.ids), bool)
+        keep[at + 1] = False
+        self.ids, self.word = self.ids[keep], self.word[keep]
+        now = at - np.arange(len(at))
+        for sign, (keys, n) in ((-1, old), (1, self._counted(np.concatenate([now[apart] - 1, now])))):
+            for key, times in zip(keys.tolist(), n.tolist(), strict=True):
+                changes[key >> 32, key & 0xFFFFFFFF] += sign * times
+        return changes
+
+    def words(self) -> list[list[int]]:
+        ends = np.flatnonzero(self.ids < 0)
+        flat = self.ids.tolist()
+        return [flat[a + 1 : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def learn_merges(counts: dict[str, int], vocab_size: int, min_frequency: int = 2) -> BpeTokenizer:
     """Merge the most frequent adjacent pair until the vocabulary is full or no pair is frequent
     enough; of equally frequent pairs the one with the lowest ids comes first.
 
-    Pair counts are kept up to date: a merge touches only the words that hold its pair.
+    Pair counts are kept up to date. The first merges are in a good part of all words, and are made in
+    one array of all of them at once; after ``PATIENCE`` merges at few places, a merge touches only the words that
+    hold its pair.
     """
     tokens = base_tokens()
     ids = {t: i for i, t in enumerate(tokens)}
-    words = [[ids[_stand_in()[b]] for b in w.encode("utf-8", "surrogatepass")] for w in counts]
-    weight = list(counts.values())
-    pairs: Counter[Pair] = Counter()
+    spelled, few = Spelled(counts), 0
+    pairs: Counter[Pair] = spelled.pairs()
+    heap = [(-n, p) for p, n in pairs.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[str, str]] = []
+    while heap and len(tokens) < vocab_size:
+        count, pair = heapq.heappop(heap)
+        now = pairs.get(pair, 0)
+        if now != -count:
+            if now > 0:
+                heapq.heappush(heap, (-now, pair))
+            continue
+        if now < max(1, min_frequency):
+            break
+        at = spelled.places(pair)
+        few += len(at) * FEW_PLACES < len(spelled.ids)
+        if few > PATIENCE:
+            heapq.heappush(heap, (count, pair))
+            break
+        joined = tokens[pair[0]] + tokens[pair[1]]
+        merges.append((tokens[pair[0]], tokens[pair[1]]))
+        new = ids.get(joined)
+        if new is None:
+            new = ids[joined] = len(tokens)
+            tokens.append(joined)
+        changes = spelled.merge(at, new)
+        pairs.pop(pair, None)
+        for p, change in changes.items():
+            if p != pair and change:
+                pairs[p] += change
+                if pairs[p] > 0:
+                    heapq.heappush(heap, (-pairs[p], p))
+    if not heap or len(tokens) >= vocab_size:
+        return BpeTokenizer(tokens, merges)
+
+    words, weight = spelled.words(), spelled.weight.tolist()
     holders: defaultdict[Pair, set[int]] = defaultdict(set)
     for w, word in enumerate(words):
         for p in zip(word, word[1:], strict=False):
-            pairs[p] += weight[w]
             holders[p].add(w)
-    heap = [(-n, p) for p, n in pairs.items()]
-    heapq.heapify(heap)
-    merges: list[tuple[str, str]] = []
     while heap and len(tokens) < vocab_size:
         count, pair = heapq.heappop(heap)
         now = pairs.get(pair, 0)
@@ -284,7 +383,8 @@ def train(docs: DataFrame, vocab_size: int, *, min_frequency: int = 2, text: str
     """
     counts = store(word_counts(docs, text), "word-counts")
     if counts.limit(DRIVER_WORDS + 1).count() <= DRIVER_WORDS:
-        return learn_merges({r["word"]: r["n"] for r in counts.orderBy("word").toLocalIterator()}, vocab_size, min_frequency)
+        found = counts.toArrow()
+        return learn_merges(dict(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True)), vocab_size, min_frequency)
     return learn_merges_distributed(counts, vocab_size, min_frequency)
 
 

@@ -196,3 +196,23 @@ def test_bigram_counts_hold_a_slice_at_a_time(monkeypatch):
                 got[divmod(pair, 9)] += n
         assert got == want
     assert max(seen) <= providers.SEQUENCES
+
+
+def test_merges_of_all_words_at_once_are_those_word_by_word(monkeypatch):
+    rng = random.Random(11)
+    cases = [{"aaaa": 3, "aaa": 5, "baaab": 2, "abab": 7, "": 2, "x": 9, "é" * 5: 4}, {"abc": 50, "ab": 60, "xbc": 40, "bc": 45, "aabcd": 30, "abcabc": 7, "bcbc": 6}]
+    cases += [{"".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))): rng.randrange(1, 9) for _ in range(300)} for _ in range(5)]
+    monkeypatch.setattr(bpe, "PATIENCE", 0)
+    for counts in cases:
+        found = []
+        for few in (0, 1, 20, 1 << 40):  # from word by word at once to never
+            monkeypatch.setattr(bpe, "FEW_PLACES", few)
+            found.append(bpe.learn_merges(counts, 420).merges)
+        assert found[0] == found[1] == found[2] == found[3] and len(found[0]) > 4
+
+
+def test_a_merge_of_all_words_makes_no_step_for_each(monkeypatch):
+    rng = random.Random(12)
+    counts = {"".join(rng.choice("abcd") for _ in range(9)): 1 for _ in range(5_000)}
+    monkeypatch.setattr(bpe, "_merged", lambda *a: pytest.fail("a word was merged alone"))
+    assert len(bpe.learn_merges(counts, 264 + 20).merges) == 20
