@@ -48,6 +48,7 @@ class BpeTokenizer:
         self.ranks = {(self.ids[a], self.ids[b]): (r, self.ids[a + b]) for r, (a, b) in enumerate(self.merges)}
         self._known: dict[str, list[int]] = {}
         self._split = None
+        self._bytes: tuple[dict[int, bytes], dict[int, bytes]] = {}, {}
 
     def __getstate__(self):
         return {"tokens": self.tokens, "merges": self.merges}
@@ -118,16 +119,20 @@ class BpeTokenizer:
 
     def decode(self, ids, *, skip_special: bool = True) -> str:
         """Text of ids; ids outside the vocabulary say nothing, invalid UTF-8 is replaced."""
-        out = bytearray()
+        known, out = self._bytes[skip_special], []
         for i in ids:
-            if not 0 <= int(i) < len(self.tokens):
-                continue
-            if int(i) in self.special_ids:
-                if not skip_special:
-                    out += self.tokens[i].encode()
-            else:
-                out += bytes(_byte_of()[c] for c in self.tokens[i])
-        return out.decode("utf-8", "replace")
+            piece = known.get(i)
+            if piece is None:
+                piece = known[i] = self._spelled(int(i), skip_special)
+            out.append(piece)
+        return b"".join(out).decode("utf-8", "replace")
+
+    def _spelled(self, i: int, skip_special: bool) -> bytes:
+        if not 0 <= i < len(self.tokens):
+            return b""
+        if i in self.special_ids:
+            return b"" if skip_special else self.tokens[i].encode()
+        return bytes(_byte_of()[c] for c in self.tokens[i])
 
     def to_public_json(self) -> str:
         """The vocabulary in the layout of a ``tokenizer.json`` file of the public library."""

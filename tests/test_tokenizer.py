@@ -216,3 +216,12 @@ def test_a_merge_of_all_words_makes_no_step_for_each(monkeypatch):
     counts = {"".join(rng.choice("abcd") for _ in range(9)): 1 for _ in range(5_000)}
     monkeypatch.setattr(bpe, "_merged", lambda *a: pytest.fail("a word was merged alone"))
     assert len(bpe.learn_merges(counts, 264 + 20).merges) == 20
+
+
+def test_decoding_looks_an_id_up_once(trained, monkeypatch):
+    coder, seen = bpe.BpeTokenizer(trained.tokens, trained.merges), []
+    spelled = coder._spelled
+    monkeypatch.setattr(coder, "_spelled", lambda i, skip: seen.append(i) or spelled(i, skip))
+    ids = [*coder.encode("the fox jumps") * 50, -1, coder.vocab_size, 2]
+    assert coder.decode(ids) == "the fox jumps" * 50 and coder.decode(ids, skip_special=False) == "the fox jumps" * 50 + "<|eos|>"
+    assert max(Counter(seen).values()) == 2  # with specials and without
