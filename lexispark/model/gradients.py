@@ -23,14 +23,18 @@ from lexispark.model.transformer import Params, loss_sums
 #: Parts that one group of the tree adds up, and float64 values of a slice of a tensor.
 FAN_IN = 16
 SLICE = 1 << 16
-#: Rows that the model sees at once.
+#: Rows that a step sees at once, and positions that a model sees at once (a row at least): what it keeps of them
+#: stays in a core's cache.
 ROWS_AT_A_TIME = 8
+POSITIONS = 1024
+#: Bytes that glibc's allocator keeps, once a task has freed as many, instead of giving each step's pages back.
+KEPT = 16 << 20
 
 _PARTS = "name string, slice int, part int, data binary"
 _ARROW = pa.schema([("name", pa.string()), ("slice", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 
 #: From parameters and columns of rows to (sum of losses, their number, gradients of the sum).
-Sums = Callable[[Params, dict[str, list]], tuple[float, float, Params]]
+Sums = Callable[[Params, dict[str, pa.Array]], tuple[float, float, Params]]
 
 
 def sliced(name: str, values: np.ndarray, part: int, size: int = SLICE) -> Iterator[dict]:
@@ -66,8 +70,8 @@ def tree_sum(parts: DataFrame, tasks: int, fan_in: int = FAN_IN) -> DataFrame:
     return parts
 
 
-def gradient_sums(rows: DataFrame, params: Params, sums: Sums, *, tasks: int | None = None, fan_in: int = FAN_IN, size: int = SLICE) -> tuple[float, float, Params]:
-    """(sum of losses, their number, gradients of the sum) over all rows.
+def gradient_sums(rows: DataFrame, params: Params, sums: Sums, *, tasks: int | None = None, fan_in: int = FAN_IN, size: int = SLICE, at_a_time: int = ROWS_AT_A_TIME) -> tuple[float, float, Params]:
+    """(sum of losses, their number, gradients of the sum) over all rows, ``at_a_time`` of them at once.
 
     Rows are dealt evenly to ``tasks`` tasks, by default as many as the cluster runs at a time.
     """
@@ -78,9 +82,10 @@ def gradient_sums(rows: DataFrame, params: Params, sums: Sums, *, tasks: int | N
 
     def run(batches):
         part, total, found = TaskContext.get().partitionId(), np.zeros(2), None
+        np.empty(KEPT, np.uint8)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
-                columns = {n: batch.column(i).slice(at, ROWS_AT_A_TIME).to_pylist() for i, n in enumerate(names)}
+            for at in range(0, batch.num_rows, at_a_time):
+                columns = {n: batch.column(i).slice(at, at_a_time) for i, n in enumerate(names)}
                 loss, n, grads = sums(shared.value, columns)
                 total += (loss, n)
                 if found is None:
@@ -107,11 +112,22 @@ def gradient_sums(rows: DataFrame, params: Params, sums: Sums, *, tasks: int | N
     return float(loss), float(n), {k: flat[k].reshape(v.shape) for k, v in params.items() if k in flat}
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix, plain values as a vector."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    width = len(flat) // len(column)
+    if (column.value_lengths().to_numpy(zero_copy_only=False) != width).any():
+        raise ValueError("rows of different lengths")
+    return flat.reshape(len(column), width)
+
+
 def model_sums(c: ModelConfig) -> Sums:
     """Cross-entropy sums of rows of inputs, targets and optionally mask, segments and weight."""
 
-    def sums(params: Params, rows: dict[str, list]) -> tuple[float, float, Params]:
-        part = {n: np.array(v) for n, v in rows.items()}
+    def sums(params: Params, rows: dict[str, pa.Array]) -> tuple[float, float, Params]:
+        part = {n: matrix(v) for n, v in rows.items()}
         return loss_sums(params, c, part["inputs"], part["targets"], part.get("mask"), part.get("segments"), weights=part.get("weight"))
 
     return sums
@@ -121,6 +137,6 @@ def distributed_gradients(rows: DataFrame, params: Params, c: ModelConfig, *, ta
     """Mean loss and gradients over rows of inputs, targets and optionally mask and segments; with a
     column ``weight`` the weighted sums instead."""
     names = [n for n in ("inputs", "targets", "mask", "segments", "weight") if n in rows.columns]
-    total, count, grads = gradient_sums(rows.select(*names), params, model_sums(c), tasks=tasks, fan_in=fan_in, size=size)
+    total, count, grads = gradient_sums(rows.select(*names), params, model_sums(c), tasks=tasks, fan_in=fan_in, size=size, at_a_time=max(1, POSITIONS // c.context))
     n = 1.0 if "weight" in names else max(1.0, count)
     return total / n, {k: g / n for k, g in grads.items()}

@@ -168,8 +168,9 @@ def padded(sequences: list[list[int]], prompt_len: list[int], pad: int) -> tuple
 def grpo_gradients(rows: DataFrame, params: Params, c: ModelConfig, *, pad: int, clip_eps: float = 0.2, tasks: int | None = None) -> tuple[float, Params]:
     """Surrogate and gradients over rows of tokens, prompt_len and advantage, sampled by ``params``."""
 
-    def sums(now: Params, part: dict[str, list]) -> tuple[float, float, Params]:
-        return grpo_sums(now, c, *padded(part["tokens"], part["prompt_len"], pad), np.array(part["advantage"]), clip_eps=clip_eps)
+    def sums(now: Params, part: dict[str, pa.Array]) -> tuple[float, float, Params]:
+        tokens, start, advantage = (part[n].to_pylist() for n in ("tokens", "prompt_len", "advantage"))
+        return grpo_sums(now, c, *padded(tokens, start, pad), np.array(advantage), clip_eps=clip_eps)
 
     total, n, grads = gradient_sums(rows.select("tokens", "prompt_len", "advantage"), params, sums, tasks=tasks)
     n = max(1.0, n)

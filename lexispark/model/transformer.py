@@ -6,6 +6,8 @@ keeps what the backward pass needs; both are exact up to rounding, see the gradi
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from lexispark.functions.schedule import ModelConfig
@@ -13,6 +15,11 @@ from lexispark.functions.schedule import ModelConfig
 Params = dict[str, np.ndarray]
 EPS = 1e-6
 IGNORE_INDEX = -100
+#: Queries of a block of attention at least, and logits that are made at a time.
+QUERIES = 32
+LOGITS = 1 << 16
+#: exp is taken without subtracting the maximum where no exponent can be larger.
+SAFE_EXPONENT = 300.0
 
 
 def init_params(c: ModelConfig, seed: int | None = None) -> Params:
@@ -60,61 +67,150 @@ def rotate(x, cos, sin):
     return x * cos + np.concatenate([-x[..., half:], x[..., :half]], -1) * sin
 
 
-def attention_mask(length: int, window: int | None, segments: np.ndarray | None):
-    """[1 or B, 1, T, T]: causal, within the window, in one segment."""
-    i, j = np.arange(length)[:, None], np.arange(length)[None, :]
-    allowed = (j <= i) & ((i - j < window) if window is not None else True)
-    allowed = allowed[None, None]
+def query_blocks(length: int, window: int | None) -> list[tuple[int, int, int]]:
+    """(first key, first query, end): blocks of queries, each with the only keys that it can see."""
+    size = max(QUERIES, -(-length // 8))
+    return [(0 if window is None else max(0, a - window + 1), a, min(length, a + size)) for a in range(0, length, size)]
+
+
+@lru_cache(maxsize=256)
+def causal(low: int, first: int, end: int, window: int | None) -> np.ndarray:
+    """[1, 1, keys, 1, queries]: 1 where a query sees a key, not later and within the window, else 0."""
+    i, j = np.arange(first, end)[None, :], np.arange(low, end)[:, None]
+    return ((j <= i) & ((i - j < window) if window is not None else True)).astype(float)[None, None, :, None]
+
+
+def visible(low: int, first: int, end: int, window: int | None, segments: np.ndarray | None) -> np.ndarray:
+    """``causal``, and in one segment: [1 or B, 1, keys, 1, queries]."""
+    allowed = causal(low, first, end, window)
     if segments is not None:
-        allowed = allowed & (segments[:, None, :, None] == segments[:, None, None, :])
+        allowed = allowed * (segments[:, low:end, None] == segments[:, None, first:end])[:, None, :, None]
     return allowed
 
 
 def hidden_states(p: Params, c: ModelConfig, ids: np.ndarray, segments: np.ndarray | None = None) -> np.ndarray:
     """What the output head sees, [B, T, D]; logits are its products with the embeddings."""
-    return _layers(p, c, ids, segments)["y"]
+    return (_layers(p, c, ids, segments)["xn"].T * p["final_norm"]).reshape(*ids.shape, -1)
 
 
 def forward(p: Params, c: ModelConfig, ids: np.ndarray, segments: np.ndarray | None = None):
     """Logits [B, T, V] and the tape for ``backward``."""
     tape = _layers(p, c, ids, segments)
-    return tape["y"] @ p["embed"].T, tape
+    return (tape["xn"].T @ (p["embed"] * p["final_norm"]).T).reshape(*ids.shape, -1), tape
+
+
+# In the layers activations are [features, B * T], so that sums over features and rotations go along whole
+# rows. A norm's gain is multiplied into the matrix behind it, and a query's scale into its gain.
+
+
+def _normed(x):
+    r = 1.0 / np.sqrt((x * x).sum(-2, keepdims=True) / x.shape[-2] + EPS)
+    return x * r, r
+
+
+def _normed_back(d, xn, r):
+    """Gradient of what was normed; overwrites ``d``."""
+    part = d * xn
+    np.multiply(xn, part.sum(-2, keepdims=True) / xn.shape[-2], out=part)
+    d -= part
+    d *= r
+    return d
+
+
+def _gained_back(dz, xn, w, gain):
+    """Gradients of w and gain where z = (w * gain) @ xn."""
+    g = dz @ xn.T
+    return g * gain, (w * g).sum(0)
+
+
+def _turned(x, cos, sin):
+    """``rotate`` for [heads, features, N]."""
+    half = x.shape[1] // 2
+    a, b = x[:, :half], x[:, half:]
+    out, part = np.empty_like(x), np.empty_like(a)
+    np.multiply(a, cos, out=out[:, :half])
+    out[:, :half] -= np.multiply(b, sin, out=part)
+    np.multiply(b, cos, out=out[:, half:])
+    out[:, half:] += np.multiply(a, sin, out=part)
+    return out
+
+
+def _add_rows(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """Add column i of ``values`` [D, N] to row at[i] of ``total`` [V, D]."""
+    rows, place = np.unique(at, return_inverse=True)
+    d = len(values)
+    place = place.reshape(1, -1) * d + np.arange(d)[:, None]
+    total[rows] += np.bincount(place.ravel(), values.ravel(), len(rows) * d).reshape(-1, d)
+
+
+def _exponents(s: np.ndarray, allowed: np.ndarray, bound: float) -> np.ndarray:
+    """exp(s) where allowed, else 0, of scores [B, heads, keys, copies * queries] in place. Up to a factor for each
+    query, which its sum takes out again: below the bound no maximum has to be subtracted."""
+    each = s.reshape(*s.shape[:3], -1, allowed.shape[-1])
+    if bound > SAFE_EXPONENT:
+        np.copyto(each, -np.inf, where=allowed == 0)
+        s -= s.max(-2, keepdims=True)
+    np.exp(s, out=s)
+    each *= allowed
+    return s
+
+
+def _matrices(c: ModelConfig, p: Params, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, keys and values as one matrix, gate and up as one, and the gains of the heads [heads, features, 1]."""
+    n = f"layer{i}."
+    gain = np.ones((c.n_q_heads + c.n_kv_heads, c.head_dim))
+    if c.qk_norm:
+        gain[: c.n_q_heads], gain[c.n_q_heads :] = p[n + "q_norm"], p[n + "k_norm"]
+    gain[: c.n_q_heads] /= np.sqrt(c.head_dim)
+    return np.concatenate([p[n + "q"], p[n + "k"], p[n + "v"]]), np.concatenate([p[n + "gate"], p[n + "up"]]), gain[..., None]
 
 
 def _layers(p: Params, c: ModelConfig, ids: np.ndarray, segments: np.ndarray | None) -> dict:
     b, t = ids.shape
-    cos, sin = rope_angles(t, c.head_dim, c.rope_base)
-    x = p["embed"][ids]
+    kv, d, rep, heads = c.n_kv_heads, c.head_dim, c.n_q_heads // c.n_kv_heads, c.n_q_heads + c.n_kv_heads
+    cos, sin = (np.tile(x[:, : d // 2].T, b) for x in rope_angles(t, d, c.rope_base))
+    x = np.ascontiguousarray(p["embed"][ids.ravel()].T)
     tape: dict = {"ids": ids, "layers": [], "cos": cos, "sin": sin}
-    split = lambda y, heads: y.reshape(b, t, heads, c.head_dim).transpose(0, 2, 1, 3)
-    rep = c.n_q_heads // c.n_kv_heads
     for i in range(c.n_layers):
-        n, s = f"layer{i}.", {"x": x}
-        h, s["r1"] = norm(x, p[n + "attn_norm"])
-        q, k, v = split(h @ p[n + "q"].T, c.n_q_heads), split(h @ p[n + "k"].T, c.n_kv_heads), split(h @ p[n + "v"].T, c.n_kv_heads)
-        s |= {"h": h, "q0": q, "k0": k}
+        n, s = f"layer{i}.", {}
+        s["matrices"] = qkv, gate_up, gain = _matrices(c, p, i)
+        s["x1"], s["r1"] = _normed(x)
+        z = ((qkv * p[n + "attn_norm"]) @ s["x1"]).reshape(-1, d, b * t)
+        qk = z[:heads]
         if c.qk_norm:
-            q, s["rq"] = norm(q, p[n + "q_norm"])
-            k, s["rk"] = norm(k, p[n + "k_norm"])
-        q, k = rotate(q, cos, sin), np.repeat(rotate(k, cos, sin), rep, axis=1)
-        v = np.repeat(v, rep, axis=1)
-        mask = attention_mask(t, None if c.full_attention(i) else c.window, segments)
-        a = np.where(mask, q @ k.transpose(0, 1, 3, 2) / np.sqrt(c.head_dim), -np.inf)
-        a = np.exp(a - a.max(-1, keepdims=True))
-        a /= a.sum(-1, keepdims=True)
-        o = (a @ v).transpose(0, 2, 1, 3).reshape(b, t, c.q_dim)
-        s |= {"q": q, "k": k, "v": v, "a": a, "o": o}
-        x = x + o @ p[n + "o"].T
-        s["x2"] = x
-        h2, s["r2"] = norm(x, p[n + "mlp_norm"])
-        g, u = h2 @ p[n + "gate"].T, h2 @ p[n + "up"].T
-        sig = 1.0 / (1.0 + np.exp(-g))
-        m = g * sig * u
-        s |= {"h2": h2, "g": g, "u": u, "sig": sig, "m": m}
-        x = x + m @ p[n + "down"].T
+            qk, s["rqk"] = _normed(qk)
+        s["qk"] = qk
+        qk = _turned(qk * gain, cos, sin)
+        size = (qk * qk).sum(1)
+        bound = float(np.sqrt(size[: c.n_q_heads].max() * size[c.n_q_heads :].max()))
+        q = qk[: c.n_q_heads].reshape(kv, rep, d, b, t).transpose(3, 0, 2, 1, 4)
+        k = qk[c.n_q_heads :].reshape(kv, d, b, t).transpose(2, 0, 1, 3)
+        v = np.ones((b, kv, d + 1, t))  # the row of ones gives the sums of the weights
+        v[:, :, :d] = z[heads:].reshape(kv, d, b, t).transpose(2, 0, 1, 3)
+        o, total = np.empty((kv, rep, d, b, t)), np.empty((b, kv, rep, t))
+        window = None if c.full_attention(i) else c.window
+        s["blocks"] = []
+        for low, first, end in query_blocks(t, window):
+            own = q[..., first:end].reshape(b, kv, d, -1)
+            e = _exponents(k[..., low:end].swapaxes(-1, -2) @ own, visible(low, first, end, window, segments), bound)
+            w = (v[..., low:end] @ e).reshape(b, kv, d + 1, rep, -1)
+            total[..., first:end] = w[:, :, d]
+            o[..., first:end] = (w[:, :, :d] / w[:, :, d:]).transpose(1, 3, 2, 0, 4)
+            s["blocks"].append((low, first, end, own, e))
+        s |= {"k": k, "v": v, "o": o.reshape(c.q_dim, b * t), "total": total}
+        x = x + p[n + "o"] @ s["o"]
+        s["x2"], s["r2"] = _normed(x)
+        gu = (gate_up * p[n + "mlp_norm"]) @ s["x2"]
+        g, s["u"] = gu[: c.mlp_hidden], gu[c.mlp_hidden :]
+        sig = np.exp(-g)
+        sig += 1.0
+        np.reciprocal(sig, out=sig)
+        s |= {"sig": sig, "gs": g * sig}
+        s["m"] = s["gs"] * s["u"]
+        x = x + p[n + "down"] @ s["m"]
         tape["layers"].append(s)
-    y, tape["rf"] = norm(x, p["final_norm"])
-    return tape | {"xf": x, "y": y}
+    tape["xn"], tape["rf"] = _normed(x)
+    return tape
 
 
 class Cache:
@@ -166,38 +262,61 @@ def log_softmax(logits: np.ndarray) -> np.ndarray:
 
 def backward(p: Params, c: ModelConfig, tape: dict, dlogits: np.ndarray) -> Params:
     """Gradients of all parameters for a gradient of the logits."""
+    d = dlogits.reshape(-1, dlogits.shape[-1]).T
+    embed, gain = _gained_back(d, tape["xn"], p["embed"], p["final_norm"])
+    return _layers_back(p, c, tape, (p["embed"] * p["final_norm"]).T @ d, {"embed": embed, "final_norm": gain})
+
+
+def _layers_back(p: Params, c: ModelConfig, tape: dict, dxn: np.ndarray, grads: Params) -> Params:
+    """``grads``, which has those of the head, with all others, for a gradient of the last normed states (overwritten)."""
     ids, cos, sin = tape["ids"], tape["cos"], tape["sin"]
     b, t = ids.shape
-    flat = lambda y: y.reshape(-1, y.shape[-1])
-    merge = lambda y: y.transpose(0, 2, 1, 3).reshape(b, t, -1)
-    rep = c.n_q_heads // c.n_kv_heads
-    grads: Params = {"embed": flat(dlogits).T @ flat(tape["y"])}
-    dx, grads["final_norm"] = norm_back(dlogits @ p["embed"], tape["xf"], tape["rf"], p["final_norm"])
+    kv, d, rep, heads = c.n_kv_heads, c.head_dim, c.n_q_heads // c.n_kv_heads, c.n_q_heads + c.n_kv_heads
+    dx = _normed_back(dxn, tape["xn"], tape["rf"])
     for i in reversed(range(c.n_layers)):
         n, s = f"layer{i}.", tape["layers"][i]
-        grads[n + "down"] = flat(dx).T @ flat(s["m"])
-        dm = dx @ p[n + "down"]
-        dg, du = dm * s["u"] * s["sig"] * (1 + s["g"] * (1 - s["sig"])), dm * s["g"] * s["sig"]
-        grads[n + "gate"], grads[n + "up"] = flat(dg).T @ flat(s["h2"]), flat(du).T @ flat(s["h2"])
-        back, grads[n + "mlp_norm"] = norm_back(dg @ p[n + "gate"] + du @ p[n + "up"], s["x2"], s["r2"], p[n + "mlp_norm"])
-        dx = dx + back
-        grads[n + "o"] = flat(dx).T @ flat(s["o"])
-        do = (dx @ p[n + "o"]).reshape(b, t, c.n_q_heads, c.head_dim).transpose(0, 2, 1, 3)
-        da = do @ s["v"].transpose(0, 1, 3, 2)
-        dv = s["a"].transpose(0, 1, 3, 2) @ do
-        ds = s["a"] * (da - (da * s["a"]).sum(-1, keepdims=True)) / np.sqrt(c.head_dim)
-        dq, dk = ds @ s["k"], ds.transpose(0, 1, 3, 2) @ s["q"]
-        group = lambda y: y.reshape(b, c.n_kv_heads, rep, t, c.head_dim).sum(2)
-        dq, dk, dv = rotate(dq, cos, -sin), rotate(group(dk), cos, -sin), group(dv)
+        qkv, gate_up, gain = s["matrices"]
+        grads[n + "down"] = dx @ s["m"].T
+        dm = p[n + "down"].T @ dx
+        dgu = np.empty((2 * c.mlp_hidden, b * t))
+        np.multiply(dm, s["gs"], out=dgu[c.mlp_hidden :])
+        dm *= s["u"]
+        slope = s["gs"] * s["sig"]
+        np.subtract(s["gs"], slope, out=slope)
+        slope += s["sig"]
+        np.multiply(dm, slope, out=dgu[: c.mlp_hidden])
+        g, grads[n + "mlp_norm"] = _gained_back(dgu, s["x2"], gate_up, p[n + "mlp_norm"])
+        grads[n + "gate"], grads[n + "up"] = g[: c.mlp_hidden], g[c.mlp_hidden :]
+        dx = dx + _normed_back((gate_up * p[n + "mlp_norm"]).T @ dgu, s["x2"], s["r2"])
+        grads[n + "o"] = dx @ s["o"].T
+        do = p[n + "o"].T @ dx
+        own = (do * s["o"]).reshape(kv, rep, d, b, t).sum(2)
+        part = np.empty((b, kv, d + 1, rep, t))  # of the weighted values, and below of the sums
+        np.divide(do.reshape(kv, rep, d, b, t).transpose(3, 0, 2, 1, 4), s["total"][:, :, None], out=part[:, :, :d])
+        np.divide(own.transpose(2, 0, 1, 3), -s["total"], out=part[:, :, d])
+        dz = np.empty((heads + kv, d, b * t))
+        dq = dz[: c.n_q_heads].reshape(kv, rep, d, b, t)
+        dk, dv = np.zeros((b, kv, d, t)), np.zeros((b, kv, d, t))
+        for low, first, end, q, e in s["blocks"]:
+            w = part[..., first:end].reshape(b, kv, d + 1, -1)
+            dv[..., low:end] += w[:, :, :d] @ e.swapaxes(-1, -2)
+            ds = s["v"][..., low:end].swapaxes(-1, -2) @ w
+            ds *= e
+            dq[..., first:end] = (s["k"][..., low:end] @ ds).reshape(b, kv, d, rep, -1).transpose(1, 3, 2, 0, 4)
+            dk[..., low:end] += q @ ds.swapaxes(-1, -2)
+        dz[c.n_q_heads : heads].reshape(kv, d, b, t)[:] = dk.transpose(1, 2, 0, 3)
+        dz[heads:].reshape(kv, d, b, t)[:] = dv.transpose(1, 2, 0, 3)
+        dqk = _turned(dz[:heads], cos, -sin)
         if c.qk_norm:
-            dq, grads[n + "q_norm"] = norm_back(dq, s["q0"], s["rq"], p[n + "q_norm"])
-            dk, grads[n + "k_norm"] = norm_back(dk, s["k0"], s["rk"], p[n + "k_norm"])
-        dq, dk, dv = merge(dq), merge(dk), merge(dv)
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            grads[n + name] = flat(d).T @ flat(s["h"])
-        back, grads[n + "attn_norm"] = norm_back(dq @ p[n + "q"] + dk @ p[n + "k"] + dv @ p[n + "v"], s["x"], s["r1"], p[n + "attn_norm"])
-        dx = dx + back
-    np.add.at(grads["embed"], ids.ravel(), flat(dx))
+            g = np.einsum("hdn,hdn->hd", dqk, s["qk"])
+            grads[n + "q_norm"], grads[n + "k_norm"] = g[: c.n_q_heads].sum(0) / np.sqrt(d), g[c.n_q_heads :].sum(0)
+        dqk *= gain
+        dz[:heads] = _normed_back(dqk, s["qk"], s["rqk"]) if c.qk_norm else dqk
+        dz = dz.reshape(-1, b * t)
+        g, grads[n + "attn_norm"] = _gained_back(dz, s["x1"], qkv, p[n + "attn_norm"])
+        grads[n + "q"], grads[n + "k"], grads[n + "v"] = np.split(g, [c.q_dim, c.q_dim + c.kv_dim])
+        dx = dx + _normed_back((qkv * p[n + "attn_norm"]).T @ dz, s["x1"], s["r1"])
+    _add_rows(grads["embed"], ids.ravel(), dx)
     return grads
 
 
@@ -207,19 +326,36 @@ def supervised(targets: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
 
 def loss_sums(p: Params, c: ModelConfig, ids, targets, mask=None, segments=None, *, weights=None, grad: bool = True):
     """(sum of cross-entropy, supervised targets, gradients of the sum); each row's share in the
-    sum can be weighted."""
-    logits, tape = forward(p, c, ids, segments)
-    tgt = supervised(targets, mask)
-    valid = tgt != IGNORE_INDEX
-    logp = log_softmax(logits)
-    at = np.where(valid, tgt, 0)[..., None]
-    share = valid if weights is None else valid * weights[:, None]
-    nll = -np.take_along_axis(logp, at, -1)[..., 0] * share
+    sum can be weighted. Logits are made for supervised targets only, some of them at a time."""
+    tape = _layers(p, c, ids, segments)
+    tgt = supervised(targets, mask).ravel()
+    rows = np.flatnonzero(tgt != IGNORE_INDEX)
+    share = np.ones(len(rows)) if weights is None else np.repeat(np.asarray(weights, dtype=float), ids.shape[1])[rows]
+    xn, tgt, total = np.take(tape["xn"], rows, axis=1), tgt[rows], 0.0
+    head = p["embed"] * p["final_norm"]
+    bound = float(np.sqrt((head * head).sum(1).max() * (xn * xn).sum(0).max(initial=0.0)))
+    d, g = np.empty_like(xn), np.zeros_like(head)
+    step = max(64, LOGITS // len(head))
+    for a in range(0, len(rows), step):
+        x, y, w = xn[:, a : a + step], tgt[a : a + step], share[a : a + step]
+        z = head @ x
+        if bound > SAFE_EXPONENT:
+            z -= z.max(0)
+        hit = z[y, np.arange(len(y))]
+        np.exp(z, out=z)
+        sums = z.sum(0)
+        total += float(((np.log(sums) - hit) * w).sum())
+        if grad:
+            w = w / sums
+            g += z @ (x * w).T
+            np.multiply(head.T @ z, w, out=d[:, a : a + step])
     if not grad:
-        return float(nll.sum()), int(valid.sum()), None
-    d = np.exp(logp)
-    np.put_along_axis(d, at, np.take_along_axis(d, at, -1) - 1.0, -1)
-    return float(nll.sum()), int(valid.sum()), backward(p, c, tape, d * share[..., None])
+        return total, len(rows), None
+    d -= np.take(head.T, tgt, axis=1) * share
+    dxn = np.zeros_like(tape["xn"])
+    dxn[:, rows] = d
+    _add_rows(g, tgt, xn * -share)
+    return total, len(rows), _layers_back(p, c, tape, dxn, {"embed": g * p["final_norm"], "final_norm": (p["embed"] * g).sum(0)})
 
 
 def loss_and_grads(p: Params, c: ModelConfig, ids, targets, mask=None, segments=None):

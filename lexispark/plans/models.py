@@ -127,15 +127,15 @@ def sample_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transformer_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss and gradient norm of an untrained tiny model over windows of all conversations, by
-    distributed gradients. Windows without a supervised target add nothing and are not run."""
+    distributed gradients. Windows without a supervised target add nothing and are not run; padding ends a
+    window, so that no supervised token sees it and segments are not needed."""
     c = get_config("nano", **TINY)
     windows = chat.render(table(spark, sf_dir, "conversations")).select(F.explode(windows_of(F.col("tokens"), c.context)).alias("t"))
     windows = windows.where(F.exists(F.slice("t", 2, c.context), lambda t: t["mask"] > 0))
     filled = lambda value, pad: F.concat(value, F.array_repeat(F.lit(pad), c.context + 1 - F.size("t")))
     ids, mask = filled(F.transform("t", lambda t: t["id"]), vocab.PAD), filled(F.transform("t", lambda t: t["mask"]), 0)
-    segments = filled(F.transform("t", lambda t: F.lit(0)), chat.PAD_SEGMENT)
     first, second = (lambda x: F.slice(x, 1, c.context)), (lambda x: F.slice(x, 2, c.context))
-    named = windows.select(first(ids).alias("inputs"), second(ids).alias("targets"), second(mask).alias("mask"), first(segments).alias("segments"))
+    named = windows.select(first(ids).alias("inputs"), second(ids).alias("targets"), second(mask).alias("mask"))
     loss, grads = training.distributed_gradients(named, init_params(c), c)
     _, size = optim.clip(grads, c.grad_clip)
     return spark.createDataFrame([(round(float(loss), 6), round(float(size), 6))], "loss double, grad_norm double")
