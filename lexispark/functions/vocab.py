@@ -64,6 +64,11 @@ def _encode_bytes(texts: pa.Array) -> pa.Array:
     return _ids_of(texts)
 
 
+def ids_of(texts: pa.Array) -> pa.Array:
+    """``byte_ids`` of an Arrow array."""
+    return _ids_of(texts)
+
+
 def _ids_of(texts: pa.Array) -> pa.Array:
     texts = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]

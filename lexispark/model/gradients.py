@@ -23,10 +23,10 @@ from lexispark.model.transformer import Params, loss_sums
 #: Parts that one group of the tree adds up, and float64 values of a slice of a tensor.
 FAN_IN = 16
 SLICE = 1 << 16
-#: Rows that a step sees at once, and positions that a model sees at once (a row at least): what it keeps of them
-#: stays in a core's cache.
+#: Rows that a step sees at once, and bytes of one feature of the positions that a model sees at once (a row at
+#: least): what it keeps of them stays in a core's cache.
 ROWS_AT_A_TIME = 8
-POSITIONS = 1024
+POSITIONS_BYTES = 8192
 #: Bytes that glibc's allocator keeps, once a task has freed as many, instead of giving each step's pages back.
 KEPT = 16 << 20
 
@@ -70,13 +70,14 @@ def tree_sum(parts: DataFrame, tasks: int, fan_in: int = FAN_IN) -> DataFrame:
     return parts
 
 
-def gradient_sums(rows: DataFrame, params: Params, sums: Sums, *, tasks: int | None = None, fan_in: int = FAN_IN, size: int = SLICE, at_a_time: int = ROWS_AT_A_TIME) -> tuple[float, float, Params]:
+def gradient_sums(rows: DataFrame, params: Params, sums: Sums, *, tasks: int | None = None, dealt: int | None = None, fan_in: int = FAN_IN, size: int = SLICE, at_a_time: int = ROWS_AT_A_TIME) -> tuple[float, float, Params]:
     """(sum of losses, their number, gradients of the sum) over all rows, ``at_a_time`` of them at once.
 
-    Rows are dealt evenly to ``tasks`` tasks, by default as many as the cluster runs at a time.
+    Rows are dealt evenly to ``tasks`` tasks, by default as many as the cluster runs at a time; those that lie in
+    ``dealt`` partitions already stay there.
     """
     spark = rows.sparkSession
-    tasks = tasks or spark.sparkContext.defaultParallelism
+    tasks = dealt or tasks or spark.sparkContext.defaultParallelism
     shared = spark.sparkContext.broadcast(params)
     names = rows.columns
 
@@ -89,7 +90,7 @@ def gradient_sums(rows: DataFrame, params: Params, sums: Sums, *, tasks: int | N
                 loss, n, grads = sums(shared.value, columns)
                 total += (loss, n)
                 if found is None:
-                    found = {k: g.copy() for k, g in grads.items()}
+                    found = {k: g.astype(float) for k, g in grads.items()}
                 else:
                     for k, g in grads.items():
                         found[k] += g
@@ -99,7 +100,7 @@ def gradient_sums(rows: DataFrame, params: Params, sums: Sums, *, tasks: int | N
                     yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
     try:
-        parts = tree_sum(rows.repartition(tasks).mapInArrow(run, _PARTS), tasks, fan_in).collect()
+        parts = tree_sum((rows if dealt else rows.repartition(tasks)).mapInArrow(run, _PARTS), tasks, fan_in).collect()
     finally:
         shared.destroy()
     if not parts:
@@ -133,10 +134,11 @@ def model_sums(c: ModelConfig) -> Sums:
     return sums
 
 
-def distributed_gradients(rows: DataFrame, params: Params, c: ModelConfig, *, tasks: int | None = None, fan_in: int = FAN_IN, size: int = SLICE) -> tuple[float, Params]:
+def distributed_gradients(rows: DataFrame, params: Params, c: ModelConfig, *, tasks: int | None = None, dealt: int | None = None, fan_in: int = FAN_IN, size: int = SLICE) -> tuple[float, Params]:
     """Mean loss and gradients over rows of inputs, targets and optionally mask and segments; with a
-    column ``weight`` the weighted sums instead."""
+    column ``weight`` the weighted sums instead. Passes run in the precision of the parameters, sums over steps and
+    tasks are double."""
     names = [n for n in ("inputs", "targets", "mask", "segments", "weight") if n in rows.columns]
-    total, count, grads = gradient_sums(rows.select(*names), params, model_sums(c), tasks=tasks, fan_in=fan_in, size=size, at_a_time=max(1, POSITIONS // c.context))
+    total, count, grads = gradient_sums(rows.select(*names), params, model_sums(c), tasks=tasks, dealt=dealt, fan_in=fan_in, size=size, at_a_time=max(1, POSITIONS_BYTES // params["embed"].itemsize // c.context))
     n = 1.0 if "weight" in names else max(1.0, count)
     return total / n, {k: g / n for k, g in grads.items()}

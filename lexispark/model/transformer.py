@@ -1,7 +1,8 @@
 """A decoder-only Transformer in NumPy: forward pass, loss and hand-derived gradients.
 
-Parameters are a dictionary of float64 arrays. Weight matrices are (out, in). The forward pass
-keeps what the backward pass needs; both are exact up to rounding, see the gradient test.
+Parameters are a dictionary of arrays, float64 as ``init_params`` makes them; the passes run in their
+precision. Weight matrices are (out, in). The forward pass keeps what the backward pass needs; both are exact up
+to rounding, see the gradient test.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ IGNORE_INDEX = -100
 #: Queries of a block of attention at least, and logits that are made at a time.
 QUERIES = 32
 LOGITS = 1 << 16
-#: exp is taken without subtracting the maximum where no exponent can be larger.
-SAFE_EXPONENT = 300.0
+#: exp is taken without subtracting the maximum where no exponent can be larger, by bytes of a number.
+SAFE_EXPONENT = {8: 300.0, 4: 30.0}
 
 
 def init_params(c: ModelConfig, seed: int | None = None) -> Params:
@@ -74,15 +75,15 @@ def query_blocks(length: int, window: int | None) -> list[tuple[int, int, int]]:
 
 
 @lru_cache(maxsize=256)
-def causal(low: int, first: int, end: int, window: int | None) -> np.ndarray:
+def causal(low: int, first: int, end: int, window: int | None, dtype: str = "float64") -> np.ndarray:
     """[1, 1, keys, 1, queries]: 1 where a query sees a key, not later and within the window, else 0."""
     i, j = np.arange(first, end)[None, :], np.arange(low, end)[:, None]
-    return ((j <= i) & ((i - j < window) if window is not None else True)).astype(float)[None, None, :, None]
+    return ((j <= i) & ((i - j < window) if window is not None else True)).astype(dtype)[None, None, :, None]
 
 
-def visible(low: int, first: int, end: int, window: int | None, segments: np.ndarray | None) -> np.ndarray:
+def visible(low: int, first: int, end: int, window: int | None, segments: np.ndarray | None, dtype: str = "float64") -> np.ndarray:
     """``causal``, and in one segment: [1 or B, 1, keys, 1, queries]."""
-    allowed = causal(low, first, end, window)
+    allowed = causal(low, first, end, window, dtype)
     if segments is not None:
         allowed = allowed * (segments[:, low:end, None] == segments[:, None, first:end])[:, None, :, None]
     return allowed
@@ -137,17 +138,18 @@ def _turned(x, cos, sin):
 
 def _add_rows(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
     """Add column i of ``values`` [D, N] to row at[i] of ``total`` [V, D]."""
-    rows, place = np.unique(at, return_inverse=True)
-    d = len(values)
+    # a small total is added to whole, of a large one only the rows that occur
+    rows, place = (slice(None), at) if len(total) <= len(at) else np.unique(at, return_inverse=True)
+    d, n = len(values), len(total) if len(total) <= len(at) else len(rows)
     place = place.reshape(1, -1) * d + np.arange(d)[:, None]
-    total[rows] += np.bincount(place.ravel(), values.ravel(), len(rows) * d).reshape(-1, d)
+    total[rows] += np.bincount(place.ravel(), values.ravel(), n * d).reshape(-1, d)
 
 
 def _exponents(s: np.ndarray, allowed: np.ndarray, bound: float) -> np.ndarray:
     """exp(s) where allowed, else 0, of scores [B, heads, keys, copies * queries] in place. Up to a factor for each
     query, which its sum takes out again: below the bound no maximum has to be subtracted."""
     each = s.reshape(*s.shape[:3], -1, allowed.shape[-1])
-    if bound > SAFE_EXPONENT:
+    if bound > SAFE_EXPONENT[s.itemsize]:
         np.copyto(each, -np.inf, where=allowed == 0)
         s -= s.max(-2, keepdims=True)
     np.exp(s, out=s)
@@ -158,7 +160,7 @@ def _exponents(s: np.ndarray, allowed: np.ndarray, bound: float) -> np.ndarray:
 def _matrices(c: ModelConfig, p: Params, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Queries, keys and values as one matrix, gate and up as one, and the gains of the heads [heads, features, 1]."""
     n = f"layer{i}."
-    gain = np.ones((c.n_q_heads + c.n_kv_heads, c.head_dim))
+    gain = np.ones((c.n_q_heads + c.n_kv_heads, c.head_dim), p[n + "q"].dtype)
     if c.qk_norm:
         gain[: c.n_q_heads], gain[c.n_q_heads :] = p[n + "q_norm"], p[n + "k_norm"]
     gain[: c.n_q_heads] /= np.sqrt(c.head_dim)
@@ -168,7 +170,8 @@ def _matrices(c: ModelConfig, p: Params, i: int) -> tuple[np.ndarray, np.ndarray
 def _layers(p: Params, c: ModelConfig, ids: np.ndarray, segments: np.ndarray | None) -> dict:
     b, t = ids.shape
     kv, d, rep, heads = c.n_kv_heads, c.head_dim, c.n_q_heads // c.n_kv_heads, c.n_q_heads + c.n_kv_heads
-    cos, sin = (np.tile(x[:, : d // 2].T, b) for x in rope_angles(t, d, c.rope_base))
+    dtype = p["embed"].dtype
+    cos, sin = (np.tile(x[:, : d // 2].T.astype(dtype), b) for x in rope_angles(t, d, c.rope_base))
     x = np.ascontiguousarray(p["embed"][ids.ravel()].T)
     tape: dict = {"ids": ids, "layers": [], "cos": cos, "sin": sin}
     for i in range(c.n_layers):
@@ -185,14 +188,14 @@ def _layers(p: Params, c: ModelConfig, ids: np.ndarray, segments: np.ndarray | N
         bound = float(np.sqrt(size[: c.n_q_heads].max() * size[c.n_q_heads :].max()))
         q = qk[: c.n_q_heads].reshape(kv, rep, d, b, t).transpose(3, 0, 2, 1, 4)
         k = qk[c.n_q_heads :].reshape(kv, d, b, t).transpose(2, 0, 1, 3)
-        v = np.ones((b, kv, d + 1, t))  # the row of ones gives the sums of the weights
+        v = np.ones((b, kv, d + 1, t), dtype)  # the row of ones gives the sums of the weights
         v[:, :, :d] = z[heads:].reshape(kv, d, b, t).transpose(2, 0, 1, 3)
-        o, total = np.empty((kv, rep, d, b, t)), np.empty((b, kv, rep, t))
+        o, total = np.empty((kv, rep, d, b, t), dtype), np.empty((b, kv, rep, t), dtype)
         window = None if c.full_attention(i) else c.window
         s["blocks"] = []
         for low, first, end in query_blocks(t, window):
             own = q[..., first:end].reshape(b, kv, d, -1)
-            e = _exponents(k[..., low:end].swapaxes(-1, -2) @ own, visible(low, first, end, window, segments), bound)
+            e = _exponents(k[..., low:end].swapaxes(-1, -2) @ own, visible(low, first, end, window, segments, dtype.name), bound)
             w = (v[..., low:end] @ e).reshape(b, kv, d + 1, rep, -1)
             total[..., first:end] = w[:, :, d]
             o[..., first:end] = (w[:, :, :d] / w[:, :, d:]).transpose(1, 3, 2, 0, 4)
@@ -278,7 +281,7 @@ def _layers_back(p: Params, c: ModelConfig, tape: dict, dxn: np.ndarray, grads:
         qkv, gate_up, gain = s["matrices"]
         grads[n + "down"] = dx @ s["m"].T
         dm = p[n + "down"].T @ dx
-        dgu = np.empty((2 * c.mlp_hidden, b * t))
+        dgu = np.empty((2 * c.mlp_hidden, b * t), dx.dtype)
         np.multiply(dm, s["gs"], out=dgu[c.mlp_hidden :])
         dm *= s["u"]
         slope = s["gs"] * s["sig"]
@@ -291,25 +294,25 @@ def _layers_back(p: Params, c: ModelConfig, tape: dict, dxn: np.ndarray, grads:
         grads[n + "o"] = dx @ s["o"].T
         do = p[n + "o"].T @ dx
         own = (do * s["o"]).reshape(kv, rep, d, b, t).sum(2)
-        part = np.empty((b, kv, d + 1, rep, t))  # of the weighted values, and below of the sums
+        part = np.empty((b, kv, d + 1, rep, t), dx.dtype)  # of the weighted values, and below of the sums
         np.divide(do.reshape(kv, rep, d, b, t).transpose(3, 0, 2, 1, 4), s["total"][:, :, None], out=part[:, :, :d])
         np.divide(own.transpose(2, 0, 1, 3), -s["total"], out=part[:, :, d])
-        dz = np.empty((heads + kv, d, b * t))
+        dz = np.empty((heads + kv, d, b * t), dx.dtype)
         dq = dz[: c.n_q_heads].reshape(kv, rep, d, b, t)
-        dk, dv = np.zeros((b, kv, d, t)), np.zeros((b, kv, d, t))
+        dk, dv = np.zeros((b, kv, t, d), dx.dtype), np.zeros((b, kv, t, d), dx.dtype)
         for low, first, end, q, e in s["blocks"]:
             w = part[..., first:end].reshape(b, kv, d + 1, -1)
-            dv[..., low:end] += w[:, :, :d] @ e.swapaxes(-1, -2)
+            dv[..., low:end, :] += e @ w[:, :, :d].swapaxes(-1, -2)
             ds = s["v"][..., low:end].swapaxes(-1, -2) @ w
             ds *= e
             dq[..., first:end] = (s["k"][..., low:end] @ ds).reshape(b, kv, d, rep, -1).transpose(1, 3, 2, 0, 4)
-            dk[..., low:end] += q @ ds.swapaxes(-1, -2)
-        dz[c.n_q_heads : heads].reshape(kv, d, b, t)[:] = dk.transpose(1, 2, 0, 3)
-        dz[heads:].reshape(kv, d, b, t)[:] = dv.transpose(1, 2, 0, 3)
+            dk[..., low:end, :] += ds @ q.swapaxes(-1, -2)
+        dz[c.n_q_heads : heads].reshape(kv, d, b, t)[:] = dk.transpose(1, 3, 0, 2)
+        dz[heads:].reshape(kv, d, b, t)[:] = dv.transpose(1, 3, 0, 2)
         dqk = _turned(dz[:heads], cos, -sin)
         if c.qk_norm:
             g = np.einsum("hdn,hdn->hd", dqk, s["qk"])
-            grads[n + "q_norm"], grads[n + "k_norm"] = g[: c.n_q_heads].sum(0) / np.sqrt(d), g[c.n_q_heads :].sum(0)
+            grads[n + "q_norm"], grads[n + "k_norm"] = g[: c.n_q_heads].sum(0) / d**0.5, g[c.n_q_heads :].sum(0)
         dqk *= gain
         dz[:heads] = _normed_back(dqk, s["qk"], s["rqk"]) if c.qk_norm else dqk
         dz = dz.reshape(-1, b * t)
@@ -330,7 +333,8 @@ def loss_sums(p: Params, c: ModelConfig, ids, targets, mask=None, segments=None,
     tape = _layers(p, c, ids, segments)
     tgt = supervised(targets, mask).ravel()
     rows = np.flatnonzero(tgt != IGNORE_INDEX)
-    share = np.ones(len(rows)) if weights is None else np.repeat(np.asarray(weights, dtype=float), ids.shape[1])[rows]
+    dtype = p["embed"].dtype
+    share = np.ones(len(rows), dtype) if weights is None else np.repeat(np.asarray(weights, dtype), ids.shape[1])[rows]
     xn, tgt, total = np.take(tape["xn"], rows, axis=1), tgt[rows], 0.0
     head = p["embed"] * p["final_norm"]
     bound = float(np.sqrt((head * head).sum(1).max() * (xn * xn).sum(0).max(initial=0.0)))
@@ -338,23 +342,22 @@ def loss_sums(p: Params, c: ModelConfig, ids, targets, mask=None, segments=None,
     step = max(64, LOGITS // len(head))
     for a in range(0, len(rows), step):
         x, y, w = xn[:, a : a + step], tgt[a : a + step], share[a : a + step]
-        z = head @ x
-        if bound > SAFE_EXPONENT:
+        z, each = head @ x, np.arange(len(y))
+        if bound > SAFE_EXPONENT[z.itemsize]:
             z -= z.max(0)
-        hit = z[y, np.arange(len(y))]
+        hit = z[y, each]
         np.exp(z, out=z)
-        sums = z.sum(0)
+        sums = z.sum(0, dtype=float)
         total += float(((np.log(sums) - hit) * w).sum())
         if grad:
-            w = w / sums
+            w = (w / sums).astype(dtype)
+            z[y, each] -= sums.astype(dtype)
             g += z @ (x * w).T
             np.multiply(head.T @ z, w, out=d[:, a : a + step])
     if not grad:
         return total, len(rows), None
-    d -= np.take(head.T, tgt, axis=1) * share
     dxn = np.zeros_like(tape["xn"])
     dxn[:, rows] = d
-    _add_rows(g, tgt, xn * -share)
     return total, len(rows), _layers_back(p, c, tape, dxn, {"embed": g * p["final_norm"], "final_norm": (p["embed"] * g).sum(0)})
 
 

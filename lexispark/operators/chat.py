@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions.vocab import BOS, EOS, PAD, ROLE_IDS, byte_ids
+from lexispark.functions.vocab import BOS, EOS, PAD, ROLE_IDS, byte_ids, ids_of
 from lexispark.operators import nextfit
 
 IGNORE_INDEX = -100
 PAD_SEGMENT = -1
+#: Windows of a batch that ``supervised_windows`` hands on, at least, if there are as many.
+WINDOWS_AT_A_TIME = 1024
 
 
 def role_id(role: Column) -> Column:
@@ -46,6 +52,63 @@ def render_messages(conversations: DataFrame, *, key: str = "conv_id", messages:
     return render(turns, key=key, **options)
 
 
+def _rendered(turns: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and mask of one conversation, as in ``render``, of its (n, head, text) in order of n."""
+    heads, ids = turns.field("head").to_numpy(), ids_of(turns.field("text"))
+    numbers = turns.field("n").to_pylist()
+    if len(set(numbers)) < len(numbers):  # turns of one number go by their ids
+        same = [[i for i, _ in g] for _, g in groupby(enumerate(numbers), lambda x: x[1])]
+        order = [i for g in same for i in sorted(g, key=lambda i: (heads[i], ids[i].as_py()))]
+        heads, ids = heads[order], ids.take(pa.array(order))
+    lengths = ids.value_lengths().to_numpy() + 2
+    ends = np.cumsum(lengths) + 1
+    first = ends - lengths
+    tokens, mask, inner = np.empty(ends[-1], np.int32), np.zeros(ends[-1], np.int32), np.ones(ends[-1], bool)
+    inner[0] = inner[first] = inner[ends - 1] = False
+    tokens[0], tokens[first], tokens[ends - 1], tokens[inner] = BOS, heads, EOS, ids.flatten().to_numpy()
+    mask[1:] = np.repeat(heads == ROLE_IDS["assistant"], lengths)
+    mask[first] = 0
+    return tokens, mask
+
+
+def supervised_windows(turns: DataFrame, size: int, tasks: int, *, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(inputs, targets, mask), lists of ``size``: windows over what ``render`` gives, each token but a conversation's
+    first being a target once. Windows without a supervised target are left out; a last one is padded.
+
+    Conversations are dealt by key to ``tasks`` tasks, which cut them where they are: texts are shuffled, tokens never.
+    """
+    one = turns.select(key, F.struct(F.col(turn).alias("n"), role_id(F.col(role)).alias("head"), F.col(text).alias("text")).alias("t"))
+    ordered = one.repartition(tasks, key).groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("turns")).select("turns")
+
+    def windows(batches) -> Iterator[np.ndarray]:
+        for batch in batches:
+            column = batch.column(0)
+            offsets = column.offsets.to_numpy()
+            for at, end in zip(offsets, offsets[1:]):
+                tokens, mask = _rendered(column.values.slice(at, end - at))
+                n = -(-(len(tokens) - 1) // size) * size + 1
+                tokens, mask = np.pad(tokens, (0, n - len(tokens)), constant_values=PAD), np.pad(mask, (0, n - len(mask)))
+                cut = np.stack([x.reshape(-1, size) for x in (tokens[:-1], tokens[1:], mask[1:])])
+                yield cut[:, cut[2].any(1)]
+
+    def batch_of(parts: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = pa.array(np.arange(sum(x.shape[1] for x in parts) + 1, dtype=np.int32) * size)
+        columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[i] for x in parts]).ravel())) for i in range(3)]
+        return pa.RecordBatch.from_arrays(columns, names=["inputs", "targets", "mask"])
+
+    def run(batches):
+        parts: list[np.ndarray] = []
+        for found in windows(batches):
+            parts.append(found)
+            if sum(x.shape[1] for x in parts) >= WINDOWS_AT_A_TIME:
+                yield batch_of(parts)
+                parts = []
+        if parts:
+            yield batch_of(parts)
+
+    return ordered.mapInArrow(run, "inputs array<int>, targets array<int>, mask array<int>")
+
+
 def next_fit(lengths: DataFrame, capacity: int, *, key: str = "conv_id", length: str = "n", **sizes) -> DataFrame:
     """Sequential next-fit in key order: (key, n, row, start, segment).
 

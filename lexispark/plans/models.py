@@ -18,6 +18,8 @@ from lexispark.session import shared_folder, table
 from lexispark.sources import corpus, tasks
 
 TINY = {"vocab_size": 384, "d_model": 32, "n_layers": 2, "n_q_heads": 4, "n_kv_heads": 2, "head_dim": 8, "mlp_hidden": 64, "context": 64, "window": 16, "micro_batch": 2, "grad_accum": 1}
+#: Tasks of the model's passes for each core: no core waits long for one with larger conversations.
+TASKS_A_CORE = 4
 
 
 def _tokenizer(spark: SparkSession, sf_dir: str, merges: int = 120) -> bpe.BpeTokenizer:
@@ -128,15 +130,13 @@ def sample_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transformer_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss and gradient norm of an untrained tiny model over windows of all conversations, by
     distributed gradients. Windows without a supervised target add nothing and are not run; padding ends a
-    window, so that no supervised token sees it and segments are not needed."""
+    window, so that no supervised token sees it and segments are not needed. Passes run in single precision, like the
+    reference's; what is summed over steps and tasks is double."""
     c = get_config("nano", **TINY)
-    windows = chat.render(table(spark, sf_dir, "conversations")).select(F.explode(windows_of(F.col("tokens"), c.context)).alias("t"))
-    windows = windows.where(F.exists(F.slice("t", 2, c.context), lambda t: t["mask"] > 0))
-    filled = lambda value, pad: F.concat(value, F.array_repeat(F.lit(pad), c.context + 1 - F.size("t")))
-    ids, mask = filled(F.transform("t", lambda t: t["id"]), vocab.PAD), filled(F.transform("t", lambda t: t["mask"]), 0)
-    first, second = (lambda x: F.slice(x, 1, c.context)), (lambda x: F.slice(x, 2, c.context))
-    named = windows.select(first(ids).alias("inputs"), second(ids).alias("targets"), second(mask).alias("mask"))
-    loss, grads = training.distributed_gradients(named, init_params(c), c)
+    tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    windows = chat.supervised_windows(table(spark, sf_dir, "conversations"), c.context, tasks)
+    params = {k: v.astype(np.float32) for k, v in init_params(c).items()}
+    loss, grads = training.distributed_gradients(windows, params, c, dealt=tasks)
     _, size = optim.clip(grads, c.grad_clip)
     return spark.createDataFrame([(round(float(loss), 6), round(float(size), 6))], "loss double, grad_norm double")
 
