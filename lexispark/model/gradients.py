@@ -74,7 +74,7 @@ def gradient_sums(rows: DataFrame, params: Params, sums: Sums, *, tasks: int | N
     """(sum of losses, their number, gradients of the sum) over all rows, ``at_a_time`` of them at once.
 
     Rows are dealt evenly to ``tasks`` tasks, by default as many as the cluster runs at a time; those that lie in
-    ``dealt`` partitions already stay there.
+    ``dealt`` partitions already stay there. If it turns out that they lie in more, a few parts are left for the driver.
     """
     spark = rows.sparkSession
     tasks = dealt or tasks or spark.sparkContext.defaultParallelism
@@ -105,10 +105,11 @@ def gradient_sums(rows: DataFrame, params: Params, sums: Sums, *, tasks: int | N
         shared.destroy()
     if not parts:
         raise ValueError("no rows to train on")
-    pieces: dict[str, list] = {}
-    for r in sorted(parts, key=lambda r: (r["name"], r["slice"])):
-        pieces.setdefault(r["name"], []).append(np.frombuffer(bytes(r["data"]), "<f8"))
-    flat = {k: np.concatenate(v) for k, v in pieces.items()}
+    pieces: dict[str, dict[int, np.ndarray]] = {}
+    for r in sorted(parts, key=lambda r: (r["name"], r["slice"], r["part"])):
+        found, value = pieces.setdefault(r["name"], {}), np.frombuffer(bytes(r["data"]), "<f8")
+        found[r["slice"]] = found[r["slice"]] + value if r["slice"] in found else value
+    flat = {k: np.concatenate(list(v.values())) for k, v in pieces.items()}
     loss, n = flat.pop("_loss")
     return float(loss), float(n), {k: flat[k].reshape(v.shape) for k, v in params.items() if k in flat}
 

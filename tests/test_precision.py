@@ -53,6 +53,13 @@ def test_steps_are_summed_in_double(spark):
         assert gradients.gradient_sums(rows, {"x": np.zeros(1, np.float32)}, sums, at_a_time=1, **options)[2]["x"].tolist() == [1e8 + 8]
 
 
+def test_rows_in_more_partitions_than_said_are_all_summed(spark):
+    sums = lambda p, rows: (1.0, 1.0, {"x": rows["v"].to_numpy(zero_copy_only=False).repeat(5)})
+    rows = spark.range(9, numPartitions=9).selectExpr("cast(id as double) AS v")
+    loss, n, grads = gradients.gradient_sums(rows, {"x": np.zeros(5)}, sums, dealt=3, fan_in=3, size=2, at_a_time=1)
+    assert (loss, n) == (9.0, 9.0) and grads["x"].tolist() == [36.0] * 5
+
+
 def plain_windows(turns, size):
     """By ``render`` and ``windows_of``, one token at a time."""
     rows = chat.render(turns).select(F.explode(models.windows_of(F.col("tokens"), size)).alias("t")).collect()
