@@ -130,8 +130,8 @@ def sample_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transformer_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss and gradient norm of an untrained tiny model over windows of all conversations, by
     distributed gradients. Windows without a supervised target add nothing and are not run; padding ends a
-    window, so that no supervised token sees it and segments are not needed. Passes run in single precision, like the
-    reference's; what is summed over steps and tasks is double."""
+    window, so that no supervised token sees it and segments are not needed. Passes run in single precision;
+    what is summed over steps and tasks is double."""
     c = get_config("nano", **TINY)
     tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
     windows = chat.supervised_windows(table(spark, sf_dir, "conversations"), c.context, tasks)
